@@ -8,14 +8,34 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm.common import table
 from quern.llm.ngram_join import jaccard_components
+from quern.llm.packing import pack
+from quern.llm.quality import quality
+from quern.llm.secrets import scan
+from quern.llm.winnowing import contamination
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"))
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_ngram_jaccard_join,)}
+    return {f.__name__: f for f in (op2_quality_rules, op3_ngram_jaccard_join, op4_secret_scan, op8_packing, op9_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
