@@ -39,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm import wordscan as ws
@@ -374,3 +374,20 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     member = member.join(named, "class", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "class")))
     least = member.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     return member.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` that stand for their component: of each the one with the least doc_id, all columns kept.
+
+    Of rows that repeat both id and text one stays; an id with several texts stays if one of them stands for its component.
+    A row without an id or without words stays.
+    """
+    found = jaccard_components(docs).where("component_id is not null and n_shingles > 0")
+    by_id = saved(found.groupBy(F.col("doc_id").alias("own")).agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first"), F.count("*").alias("rows")), "components")
+    own = F.col("doc_id").cast("long") == F.col("own")
+    # the small side is built into a table per task, so texts are shuffled but never sorted
+    left = docs.join(by_id.where("not first or rows > 1").select("own").hint("shuffle_hash"), own, "left_anti")
+    several = docs.join(by_id.where("first and rows > 1").select("own").hint("shuffle_hash"), own, "left_semi")
+    place = Window.partitionBy("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256)).orderBy(F.xxhash64(*docs.columns))
+    several = several.select(F.struct("*").alias("row"), F.row_number().over(place).alias("place")).where("place = 1").select("row.*")
+    return left.unionByName(several)
