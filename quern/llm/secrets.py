@@ -1,11 +1,12 @@
 r"""Secret scans by corpus-wide ownership frequency (operator 4); DataFrame functions only.
 
-Base kinds are always reported.  Besides, strings that look like credentials
-of other kinds (:data:`CANDIDATE`) are hashed, and the corpus tells in how many
-repositories and under how many owners each hash occurs.  A string that many
-owners have is a copied example; one that few have is live-looking, and its
-spans are added under the kind `live`.  In the query the repository is the
-document and the owner its source.
+Candidates are the strings of the base kinds and others that look like
+credentials (:data:`CANDIDATE`).  All are hashed, and the corpus tells in how
+many repositories and under how many owners each hash occurs.  A string that
+many owners have is a copied example; one that few have is live-looking.  Spans
+of the base kinds are always reported, those of others if live-looking, under
+the kind `live`.  In the query the repository is the document and the owner its
+source.
 
 Places come without any Python: the pieces between matches (`split`) and the
 matches (`regexp_extract_all`) of one pattern alternate, so running sums of
@@ -69,14 +70,12 @@ def _spans(text: Column, pattern: str, rank: int, group: int = 0, least: int = 0
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """`docs` (columns row, owner, repository, text) with `base` spans and `candidates` that overlap none of them."""
+    """`docs` (columns row, owner, repository, text) with `base` spans and `candidates`: these, and others that overlap none of them."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     df = docs.withColumn("base", F.array_sort(F.concat(_spans(text, ASSIGN, 0, 2, 6), _spans(text, ACCESS, 1), _spans(text, HEX, 2))))
     df = df.withColumn("other", _spans(text, CANDIDATE, 3))
-    return df.withColumn(
-        "candidates",
-        F.when(F.size("other") > 0, F.filter("other", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))).otherwise(F.col("other")),
-    ).drop("other")
+    apart = F.filter("other", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    return df.withColumn("candidates", F.when(F.size("other") > 0, F.array_sort(F.concat("base", apart))).otherwise(F.col("base"))).drop("other")
 
 
 def ownership(spans: DataFrame) -> DataFrame:
@@ -86,15 +85,20 @@ def ownership(spans: DataFrame) -> DataFrame:
 
 
 def _judged(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """`keep` columns, `base`, and `spans`: base and live ones in order."""
+    """`keep` columns, `base`, `spans` (base and live ones in order), and the numbers of live and of copied candidates."""
     df = saved(found(docs).select(*keep, "owner", "repository", "base", "candidates", F.monotonically_increasing_id().alias("row")), "secrets")
     some = df.where(F.size("candidates") > 0)
     each = some.select("row", "owner", "repository", F.explode("candidates").alias("c")).select("row", "owner", "repository", "c", F.col("c.hash").alias("hash"))
-    live = ownership(each).where(F.col("owners") < EXAMPLE_OWNERS).select("hash")
-    added = each.join(live, "hash", "left_semi").groupBy("row").agg(F.collect_list("c").alias("live"))
-    some = some.join(added, "row", "left").withColumn("spans", F.array_sort(F.concat("base", F.coalesce("live", F.array().cast(f"array<{_SPAN}>")))))
-    none = df.where(F.size("candidates") == 0).withColumn("spans", F.col("base"))
-    return none.select(*keep, "base", "spans").unionByName(some.select(*keep, "base", "spans"))
+    spread = ownership(each).select("hash", (F.col("owners") < EXAMPLE_OWNERS).alias("live"))
+    told = each.join(spread, "hash").groupBy("row").agg(
+        F.collect_list(F.when((F.col("c.rank") < 3) | F.col("live"), F.col("c"))).alias("told"),
+        F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_example"),
+    )
+    some = some.join(told, "row").withColumn("spans", F.array_sort("told"))
+    zero = F.lit(0).cast("long")
+    none = df.where(F.size("candidates") == 0).withColumns({"spans": F.col("base"), "n_live": zero, "n_example": zero})
+    wanted = [*keep, "base", "spans", "n_live", "n_example"]
+    return none.select(*wanted).unionByName(some.select(*wanted))
 
 
 def _written(spans: str) -> Column:
@@ -103,12 +107,12 @@ def _written(spans: str) -> Column:
 
 
 def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, n_live, base_sha256, spans."""
+    """doc_id, n_assign, n_access, n_hex, n_live, n_example, base_sha256, spans; live and example say how far each candidate is spread."""
     df = docs.select("doc_id", "text", F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"))
     df = _judged(df, ["doc_id"])
     count = lambda rank: F.size(F.filter("spans", lambda s: s["rank"] == rank)).cast("long")
     return df.select(
-        "doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)],
+        "doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:3])], "n_live", "n_example",
         F.sha2(_written("base"), 256).alias("base_sha256"), _written("spans").alias("spans"),
     )
 

@@ -49,7 +49,14 @@ def test_owners_part_examples_from_live_strings(spark):
     every = [f"mine ghp_{KEY}", *[f"example {k} ghp_{'a1B2' * 8}" for k in range(8)]]
     rows = {r.doc_id: r for r in s.scan(documents(spark, every)).collect()}
     assert rows[0].spans == f"live:5:{5 + 4 + len(KEY)}" and rows[0].n_live == 1
-    assert all(rows[k].spans == "" for k in range(1, 9))
+    assert all(rows[k].spans == "" and rows[k].n_example == 1 and rows[k].n_live == 0 for k in range(1, 9))
+
+
+def test_base_candidates_are_judged_too(spark):
+    every = ["password=onlymine1", *["password=changeme"] * 6, None]
+    rows = {r.doc_id: r for r in s.scan(documents(spark, every)).collect()}
+    assert (rows[0].n_live, rows[0].n_example, rows[7].n_live) == (1, 0, 0)
+    assert all((rows[k].n_live, rows[k].n_example, rows[k].spans) == (0, 1, "assign:0:17") for k in range(1, 7))
 
 
 def test_redact(spark):
