@@ -3,10 +3,11 @@ r"""Quality rules by weak supervision (operator 2); DataFrame functions only.
 Rules on whole texts vote good (1), bad (0) or abstain (null).  The votes of
 the corpus are counted by pattern, and expectation-maximisation over those
 counts (at most ``3 ** len(RULES)`` of them, whatever the corpus) estimates how
-often each rule is right on good and on bad documents and how many documents
-are good.  A document's posterior probability of being good is then a sum of
-constants chosen by its votes.  It replaces "all rules must pass": one rule
-that misfires is outvoted.
+often each rule votes what on good and on bad documents, hence how often it is
+right, and how many documents are good.  A document's posterior probability of
+being good is then a sum of constants chosen by its votes.  It replaces "all
+rules must pass": a vote counts by how well its rule is borne out.
+Documents that fail outright (below) take no part in the fit.
 
 A document fails outright (`base_failed`) with fewer than 50 words, or when
 more than half of its words lie in 3-word windows that occur twice or more in
@@ -32,11 +33,16 @@ from quern.llm.common import saved
 _SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 LONG = "long"
-#: a rule: name, the measured share, good below / bad above (or the reverse), in terms of the features
-RULES: Sequence[str] = ("symbols", "lines", "repeats", "capitals", "word_length", "line_ends")
-PRIOR_GOOD = 0.8
-#: pseudo-counts of right and wrong votes, so that an unused rule says little and none is certain
-RIGHT, WRONG = 8.0, 2.0
+#: rules; all but the last speak only against a text
+RULES: Sequence[str] = ("symbols", "marked_words", "letters", "lines", "repeats", "capitals", "bangs", "word_length", "line_ends")
+PRIOR_GOOD = 0.85
+#: outcomes of a rule, and how often each is expected on good and on bad texts
+OUTCOMES = (1, 0, None)
+EXPECTED = {True: (0.6, 0.002, 0.398), False: (0.3, 0.3, 0.4)}
+#: weight of these expectations against the corpus, as a share of its size, so that the fit is alike at every size
+ANCHOR = 1.0
+#: a rule's chances on good and on bad texts, by outcome
+Chances = tuple[tuple[float, ...], tuple[float, ...]]
 
 
 def with_features(docs: DataFrame, text: str = "text", out: str = "f") -> DataFrame:
@@ -72,6 +78,9 @@ def with_features(docs: DataFrame, text: str = "text", out: str = "f") -> DataFr
             F.when(F.col(p), F.size(covered).cast(LONG)).otherwise(zero).alias("n_repeat_words"),
             F.size(lines).cast(LONG).alias("n_lines"),
             F.length(F.regexp_replace(t, r"[^\p{Lu}]+", "")).cast(LONG).alias("n_capitals"),
+            F.length(F.regexp_replace(t, r"\P{L}+", "")).cast(LONG).alias("n_letters"),
+            F.size(F.filter(w, lambda x: x.rlike(r"[#*$%&|<>]"))).cast(LONG).alias("n_marked_words"),
+            (F.octet_length(t) - F.octet_length(F.replace(F.col(t), F.lit("!"), F.lit("")))).cast(LONG).alias("n_bangs"),
             F.size(F.filter(lines, lambda x: x.rlike(r"[.!?:;\"'”»)][\x20\x09-\x0D]*$"))).cast(LONG).alias("n_ended_lines"),
         ),
     )
@@ -84,69 +93,81 @@ def base_failed(f: Column) -> Column:
 
 def votes(f: Column) -> dict[str, Column]:
     """Each rule's vote: 1 good, 0 bad, null abstains."""
-
-    def low_is_good(part: Column, whole: Column, good: float, bad: float) -> Column:
-        share = part / F.greatest(whole, F.lit(1))
-        return F.when(whole > 0, F.when(share <= good, 1).when(share >= bad, 0))
-
-    length = f["word_chars"] / F.greatest(f["n_words"], F.lit(1))
+    per_word = lambda x: x / F.greatest(f["n_words"], F.lit(1))
+    per_line = lambda x: x / F.greatest(f["n_lines"], F.lit(1))
+    length = per_word(f["word_chars"])
+    ended = per_line(f["n_ended_lines"])
     return {
-        "symbols": low_is_good(f["n_symbols"], f["n_words"], 0.05, 0.3),
-        "lines": F.when(f["n_lines"] >= 4, low_is_good(f["n_dup_lines"], f["n_lines"], 0.1, 0.3)),
-        "repeats": low_is_good(f["n_repeat_words"], f["n_words"], 0.2, 0.4),
-        "capitals": low_is_good(f["n_capitals"], f["word_chars"], 0.15, 0.4),
-        "word_length": F.when(f["n_words"] > 0, F.when((length >= 3) & (length <= 9), 1).when((length < 2) | (length > 14), 0)),
-        "line_ends": F.when(f["n_lines"] > 0, low_is_good(f["n_lines"] - f["n_ended_lines"], f["n_lines"], 0.4, 0.9)),
+        "symbols": F.when(per_word(f["n_symbols"]) > 0.1, 0),
+        "marked_words": F.when(per_word(f["n_marked_words"]) > 0.15, 0),
+        "letters": F.when(f["n_letters"] < 0.8 * f["word_chars"], 0),
+        "lines": F.when((f["n_lines"] >= 4) & (per_line(f["n_dup_lines"]) > 0.3), 0),
+        "repeats": F.when(per_word(f["n_repeat_words"]) > 0.4, 0),
+        "capitals": F.when(f["n_capitals"] / F.greatest(f["word_chars"], F.lit(1)) > 0.3, 0),
+        "bangs": F.when(per_word(f["n_bangs"]) > 0.2, 0),
+        "word_length": F.when((f["n_words"] > 0) & ((length < 3) | (length > 10)), 0),
+        "line_ends": F.when((f["n_lines"] > 0) & (ended >= 0.5), 1),
     }
 
 
-def fit(patterns: list[tuple[tuple[int | None, ...], int]], rounds: int = 100) -> tuple[float, list[tuple[float, float]]]:
-    """(share of good documents, each rule's chance to be right on good and on bad ones) from counted vote patterns."""
-    rules = len(patterns[0][0]) if patterns else 0
-    good, right = PRIOR_GOOD, [(RIGHT / (RIGHT + WRONG),) * 2] * rules
+def fit(patterns: list[tuple[tuple[int | None, ...], int]], rounds: int = 200) -> tuple[float, list[Chances]]:
+    """(share of good texts, each rule's chances) from counted vote patterns, by expectation-maximisation.
+
+    Kinds of bad text differ, so their rules rarely fire together, and votes alone don't tell a rule that finds a kind of its
+    own from one that misfires; the expectations anchor the fit.
+    """
+    rules = len(patterns[0][0]) if patterns else len(RULES)
+    good, chances = PRIOR_GOOD, [(EXPECTED[True], EXPECTED[False])] * rules
+    anchor = ANCHOR * max(1, sum(n for _, n in patterns))
     for _ in range(rounds):
-        total, mass = RIGHT + WRONG, PRIOR_GOOD * (RIGHT + WRONG)
-        seen = [[WRONG + RIGHT, RIGHT, WRONG + RIGHT, RIGHT] for _ in range(rules)]
+        total, mass = anchor, PRIOR_GOOD * anchor
+        seen = [[[p * anchor for p in EXPECTED[y]] for y in (True, False)] for _ in range(rules)]
         for pattern, count in patterns:
-            q = probability(good, right, pattern)
+            q = probability(good, chances, pattern)
             total, mass = total + count, mass + count * q
             for tally, vote in zip(seen, pattern, strict=True):
-                if vote is not None:
-                    tally[0] += count * q
-                    tally[1] += count * q * vote
-                    tally[2] += count * (1 - q)
-                    tally[3] += count * (1 - q) * (1 - vote)
-        # a rule is written to be right more often than not; the bound keeps the two classes from changing places
-        last, good, right = (good, right), mass / total, [(max(0.5, t[1] / t[0]), max(0.5, t[3] / t[2])) for t in seen]
-        if abs(last[0] - good) + sum(abs(a[0] - b[0]) + abs(a[1] - b[1]) for a, b in zip(last[1], right, strict=True)) < 1e-9:
+                k = OUTCOMES.index(vote)
+                tally[0][k] += count * q
+                tally[1][k] += count * (1 - q)
+        last, good = (good, chances), mass / total
+        chances = [tuple(tuple(x / sum(row) for x in row) for row in tally) for tally in seen]
+        if abs(last[0] - good) + sum(abs(x - y) for a, b in zip(last[1], chances, strict=True) for r, t in zip(a, b, strict=True) for x, y in zip(r, t, strict=True)) < 1e-9:
             break
-    return good, right
+    return good, chances
+
+
+def accuracies(chances: list[Chances]) -> list[tuple[float, float]]:
+    """How often each rule is right when it votes, on good and on bad texts."""
+    return [(g[0] / (g[0] + g[1]), b[1] / (b[0] + b[1])) for g, b in chances]
 
 
-def weights(good: float, right: list[tuple[float, float]]) -> tuple[float, list[tuple[float, float]]]:
-    """Log odds of the prior, and of a good and of a bad vote of each rule."""
-    return math.log(good / (1 - good)), [(math.log(a / (1 - b)), math.log((1 - a) / b)) for a, b in right]
+def weights(good: float, chances: list[Chances]) -> tuple[float, list[tuple[float, ...]]]:
+    """Log odds of the prior, and of each outcome of each rule. A vote never counts against what it says; to abstain says nothing."""
+    each = []
+    for g, b in chances:
+        w = [math.log(x / y) for x, y in zip(g, b, strict=True)]
+        each.append((max(0.0, w[0]), min(0.0, w[1]), 0.0))
+    return math.log(good / (1 - good)), each
 
 
-def probability(good: float, right: list[tuple[float, float]], pattern: Sequence[int | None]) -> float:
-    bias, each = weights(good, right)
-    return 1 / (1 + math.exp(-(bias + sum(w[0] if v else w[1] for w, v in zip(each, pattern, strict=True) if v is not None))))
+def probability(good: float, chances: list[Chances], pattern: Sequence[int | None]) -> float:
+    bias, each = weights(good, chances)
+    return 1 / (1 + math.exp(-(bias + sum(w[OUTCOMES.index(v)] for w, v in zip(each, pattern, strict=True)))))
 
 
-def posterior(f: Column, good: float, right: list[tuple[float, float]]) -> Column:
-    bias, each = weights(good, right)
+def posterior(f: Column, good: float, chances: list[Chances]) -> Column:
+    bias, each = weights(good, chances)
     odds = F.lit(bias)
-    for vote, (up, down) in zip(votes(f).values(), each, strict=True):
-        odds = odds + F.when(vote == 1, up).when(vote == 0, down).otherwise(0.0)
+    for vote, (up, down, none) in zip(votes(f).values(), each, strict=True):
+        odds = odds + F.when(vote == 1, up).when(vote == 0, down).otherwise(none)
     return 1 / (1 + F.exp(-odds))
 
 
-def fitted(measured: DataFrame) -> tuple[float, list[tuple[float, float]]]:
-    """Fit to all rows of a frame with a struct `f`."""
+def fitted(measured: DataFrame) -> tuple[float, list[Chances]]:
+    """Fit to all rows of a frame with a struct `f` that don't fail outright: these alone are left to the method."""
     by = votes(F.col("f"))
-    counted = measured.select(*[v.cast("int").alias(k) for k, v in by.items()]).groupBy(*by).count()
-    patterns = sorted(((tuple(r[k] for k in by), r["count"]) for r in counted.collect()), key=lambda x: [-1 if v is None else v for v in x[0]])
-    return fit(patterns) if patterns else (PRIOR_GOOD, [(RIGHT / (RIGHT + WRONG),) * 2] * len(by))
+    counted = measured.where(~base_failed(F.col("f"))).select(*[v.cast("int").alias(k) for k, v in by.items()]).groupBy(*by).count()
+    return fit(sorted(((tuple(r[k] for k in by), r["count"]) for r in counted.collect()), key=lambda x: [-1 if v is None else v for v in x[0]]))
 
 
 def quality(docs: DataFrame) -> DataFrame:
