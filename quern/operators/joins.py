@@ -38,3 +38,18 @@ def disjoint(train: DataFrame, evaluation: DataFrame, text: str = "prompt") -> D
 
 def members(df: DataFrame, keys: DataFrame, on: str, keep: bool = True) -> DataFrame:
     return df.join(keys.select(on).distinct(), on, "left_semi" if keep else "left_anti")
+
+
+def split_faults(train: DataFrame, val: DataFrame, whole: DataFrame, on: str) -> DataFrame:
+    """One row: keys in both parts, keys in neither, keys from elsewhere. A split has none of each."""
+    a, b, w = (x.select(on) for x in (train, val, whole))
+    parts = {"in_both": a.intersect(b), "in_none": w.exceptAll(a.unionAll(b)), "from_elsewhere": a.unionAll(b).exceptAll(w)}
+    return _counts(parts)
+
+
+def _counts(parts: dict[str, DataFrame]) -> DataFrame:
+    out = None
+    for name, df in parts.items():
+        one = df.agg(F.count("*").alias(name))
+        out = one if out is None else out.crossJoin(one)  # one row each
+    return out

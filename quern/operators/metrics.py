@@ -145,6 +145,21 @@ def reuse(summary: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> tuple[D
     return summary.join(wanted.select(*keys).distinct(), keys, "left_semi"), wanted.join(summary.select(*keys).distinct(), keys, "left_anti")
 
 
+def comparison(summary: DataFrame, totals: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Accuracy rows of each method beside its token and cost totals; a method without totals keeps its row."""
+    return summary.join(totals, list(keys), "left")
+
+
+def known(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows whose metrics are all there."""
+    return df.dropna(subset=list(columns))
+
+
+def format_lengths(name: str, count: int, mean: float, p50: int, p95: int, most: int) -> str:
+    """One line of `length_stats` for people."""
+    return f"{name}: n={count} mean={mean:.1f} p50={p50} p95={p95} max={most}"
+
+
 # -- extensions: planned in the field's practice, not in the parity list -------------------
 
 

@@ -149,6 +149,11 @@ ORACLES: dict[str, str] = {
     "split_membership": f"WITH {LANG_SPLIT} SELECT lang, count(*) AS n, CASE WHEN is_val THEN 'val' ELSE 'train' END AS part FROM split GROUP BY ALL",
     "cache_misses": f"WITH {ROLL} SELECT DISTINCT prompt_id, event_type FROM roll WHERE length(prompt_id) % 2 <> 0",
     "reused_summary": f"WITH {COMP} SELECT DISTINCT checkpoint, source, CASE WHEN source = 'math' THEN 'missing' ELSE 'reused' END AS state FROM comp",
+    "split_coverage": "SELECT 0::BIGINT AS in_both, 0::BIGINT AS in_none, 0::BIGINT AS from_elsewhere",
+    "generated_completions": f"WITH {SFT} SELECT conv_id, turn, unnest([0, 1, 2, 3])::BIGINT AS sample_index, length(prompt)::VARCHAR AS answer FROM sft",
+    "custom_tokenizer": f"WITH {SFT} SELECT conv_id, turn, len(string_split(prompt, ' ')) AS n, length(replace(prompt, ' ', '')) AS total FROM sft",
+    "method_comparison": f"""WITH {COMP} SELECT checkpoint, count(*) AS n, round(avg(correct::INT), 6) AS accuracy, round(avg((parsed IS NOT NULL)::INT), 6) AS parse_success_rate, sum(length(completion))::BIGINT AS tokens,
+      round(sum(value / 100), 6) AS sec, round(sum(value / 100) / 3600 * 0.44, 6) AS cost FROM texts WHERE checkpoint <> 'error' GROUP BY checkpoint""",
     "length_stats_by_lang": """SELECT lang, count(*) AS count, round(avg(n_chars), 6) AS mean, list_sort(list(n_chars))[(count(*) // 2 + 1)::INT] AS p50, list_sort(list(n_chars))[(floor(count(*) * 0.95::DOUBLE) + 1)::INT] AS p95, max(n_chars) AS max
       FROM documents GROUP BY lang""",
     "sft_length_stats": f"""WITH {SFT}, l AS (SELECT unnest(['prompt', 'response', 'total']) AS name, unnest([length(prompt), length(response), length(prompt) + length(response)]) AS v FROM sft)

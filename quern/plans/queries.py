@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import answers, kernels, rates, scoring
-from quern.operators import grouping, joins, metrics, sampling, token_rows, validation
+from quern.operators import grouping, joins, metrics, sampling, seams, token_rows, validation
 from quern.plans import views as v
 from quern.sources import cache, readers
 from quern.streaming import ledger
@@ -401,6 +401,37 @@ def reused_summary(spark, sf_dir):
     return have.select("checkpoint", "source", F.lit("reused").alias("state")).unionByName(need.select("checkpoint", "source", F.lit("missing").alias("state")))
 
 
+@query
+def split_coverage(spark, sf_dir):
+    whole = v.sizes(spark, sf_dir)
+    split = sampling.stratified_split(whole, 5, "doc_id")
+    return joins.split_faults(split.where("not is_val"), split.where("is_val"), whole, "doc_id")
+
+
+@query
+def generated_completions(spark, sf_dir):
+    """Four samples a prompt by a stand-in for a model."""
+    t = v.turns(spark, sf_dir).select("conv_id", "turn", "prompt")
+    out = seams.generate(grouping.expand_samples(t, 4), lambda prompts: [f"#### {len(p)}" for p in prompts])
+    return out.select("conv_id", "turn", F.col("sample_index").cast("long").alias("sample_index"), answers.hash_generated(F.col("completion")).alias("answer"))
+
+
+@query
+def custom_tokenizer(spark, sf_dir):
+    t = v.turns(spark, sf_dir)
+    ids = seams.token_ids(F.col("prompt"), lambda text: [len(w) for w in text.split(" ")])
+    return t.select("conv_id", "turn", F.size(ids).cast("long").alias("n"), F.aggregate(ids, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query
+def method_comparison(spark, sf_dir):
+    c = readers.grade(v.completions(spark, sf_dir))
+    summary = metrics.accuracy(c, ["checkpoint"])
+    totals = c.where("checkpoint <> 'error'").groupBy("checkpoint").agg(F.sum(F.length("completion")).cast("long").alias("tokens"), F.sum(F.col("value") / 100).alias("sec"))
+    out = metrics.known(metrics.comparison(summary, totals, ["checkpoint"]), "tokens")
+    return rounded(out.withColumn("cost", rates.dollars(F.col("sec"), F.lit(0.44))), "accuracy", "parse_success_rate", "sec", "cost")
+
+
 # -- reports -----------------------------------------------------------------------------------------
 
 
