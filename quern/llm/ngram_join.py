@@ -370,10 +370,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
     )
     links = saved(pairs.groupBy("bin", "chunks", "i", "j").applyInPandas(_product, "a long, b long"), "links")
-    named = components(links).selectExpr("node class", "root")
-    member = member.join(named, "class", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "class")))
-    least = member.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return member.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    # a class's name is its least id, a component's the least name of its classes. Each step is written, so that the joins read
+    # plain exchanges, which adaptive execution can split where one class or component is large
+    first = saved(member.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least")), "classes")
+    several = saved(components(links).selectExpr("node class", "root").join(first, "class"), "members")
+    top = saved(several.groupBy("root").agg(F.min("least").alias("top")), "tops")
+    name = first.join(several.join(top, "root").select("class", "top"), "class", "left").select("class", F.coalesce("top", "least").alias("component_id"))
+    named = member.where("n > 0").join(saved(name, "names"), "class")
+    alone = member.where("n = 0").withColumn("component_id", F.col("doc_id"))
+    return named.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
