@@ -32,6 +32,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def partitions(spark: SparkSession) -> int:
-    """Blocks to cut token space into: the cluster's number of shuffle partitions, which is set in proportion to the data."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: blocks that a table is dealt into: one for this many bytes, up to a number that keeps what one task sends to each worthwhile
+BLOCK_BYTES, MOST_BLOCKS = 4 << 20, 100_000
+
+
+def partitions(df: DataFrame) -> int:
+    """Blocks to deal `df` into: by the size that the optimizer expects, and no fewer than the session's shuffle partitions."""
+    expected = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_BLOCKS, expected // BLOCK_BYTES if expected < 1 << 60 else 0))

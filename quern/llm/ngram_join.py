@@ -346,9 +346,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     See the module for the method and for the cases.  An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    blocks = partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    blocks = partitions(docs)
     mapped = docs.mapInArrow(_mapped(blocks), _MAPPED)
     reply = mapped.groupBy("block").applyInPandas(_counted(blocks), _REPLY)
     bounded = saved(reply.groupBy("block").applyInPandas(_bounded(blocks), _CANDIDATE), "shingles")

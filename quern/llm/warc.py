@@ -190,7 +190,7 @@ def index(spark: SparkSession, path: str) -> DataFrame:
     """The capture histories of the archives under `path`, in global order."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     runs = saved(files.mapInArrow(_runs, _INDEX), "captures")
-    ranged = runs.repartitionByRange(partitions(spark), "url_key", "captured", "page_id", "archive", "offset")
+    ranged = runs.repartitionByRange(partitions(runs), "url_key", "captured", "page_id", "archive", "offset")
     return ranged.mapInArrow(_merged, _INDEX)
 
 
