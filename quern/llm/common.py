@@ -38,5 +38,5 @@ BLOCK_BYTES, MOST_BLOCKS = 4 << 20, 100_000
 
 def partitions(df: DataFrame) -> int:
     """Blocks to deal `df` into: by the size that the optimizer expects, and no fewer than the session's shuffle partitions."""
-    expected = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    expected = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_BLOCKS, expected // BLOCK_BYTES if expected < 1 << 60 else 0))
