@@ -5,8 +5,8 @@ SHA-1 and length) are stored once, by the row with the largest page_id; the
 others become revisit records that refer to it.  Which digests repeat is found
 on (digest, length, page_id) alone, reduced before the shuffle.  A record is
 made with string functions and written by Spark's text writer, whose line
-separator is the two line breaks that end every WARC record; so archives are
-committed like any table, in the folder that all executors share, and a lost
+separator is the two line breaks that end every WARC record, as gzip files; so
+archives are committed like any table, in the folder that all executors share, and a lost
 task leaves nothing behind.
 
 Reading: archives come back as whole files of at most :data:`RECORDS` records,
@@ -26,6 +26,7 @@ ignored.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
@@ -79,7 +80,12 @@ def records(pages: DataFrame) -> DataFrame:
 
 
 def write(pages: DataFrame, path: str) -> None:
-    records(pages).write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", RECORDS).text(path)
+    records(pages).write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", RECORDS).option("compression", "gzip").text(path)
+
+
+def unpacked(content: bytes) -> bytes:
+    """An archive's records, whether the file is compressed or not."""
+    return gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
 
 
 def url_key(url: str) -> str:
@@ -130,7 +136,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
             name = path.as_py().rsplit("/", 1)[1]
-            run = sorted(({"archive": name} | r for r in parse(content.as_py())), key=_key)
+            run = sorted(({"archive": name} | r for r in parse(unpacked(content.as_py()))), key=_key)
             yield pa.RecordBatch.from_pylist(run, schema=_TYPES)
 
 

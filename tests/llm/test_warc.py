@@ -49,8 +49,9 @@ def test_archives_hold_the_payloads(spark):
     path = scratch(spark, "archives")
     w.write(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), path)
     files = spark.read.format("binaryFile").load(path).collect()
-    assert sum(bytes(f.content).count(b"WARC-Type: response") for f in files) == 4
-    assert all(len(list(w.parse(bytes(f.content)))) for f in files)
+    whole = [w.unpacked(bytes(f.content)) for f in files]
+    assert sum(x.count(b"WARC-Type: response") for x in whole) == 4 and sum(len(list(w.parse(x))) for x in whole) == 40
+    assert w.unpacked(whole[0]) == whole[0] and all(f.path.endswith(".gz") for f in files)
 
 
 def test_loser_tree():
