@@ -107,6 +107,17 @@ def isolated_mask(doc_ids: Column) -> Column:
     return F.transform(doc_ids, lambda d, i: F.transform(doc_ids, lambda e, j: F.when(((d >= 0) & (d == e) & (j <= i)) | ((d < 0) & (i == j)), 1).otherwise(0)))
 
 
+def visible_positions(doc_ids: Column) -> Column:
+    """Number of ones of `isolated_mask`, in one pass without the square; a document's positions stand together, as `pack_rows` puts them."""
+    start = F.struct(F.lit(-1).cast("long").alias("doc"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("seen"))
+
+    def step(acc: Column, d: Column) -> Column:
+        run = F.when((d >= 0) & (d == acc["doc"]), acc["run"] + 1).otherwise(F.lit(1).cast("long"))
+        return F.struct(d.cast("long").alias("doc"), run.alias("run"), (acc["seen"] + run).alias("seen"))
+
+    return F.aggregate(doc_ids, start, step, lambda acc: acc["seen"])
+
+
 def encode_side(prompt_ids: Column, response_ids: Column, max_len: int) -> Column:
     """struct(input_ids, attention_mask, labels, fault) of a prompt with one answer, cut to max_len."""
     ids = F.slice(F.concat(prompt_ids, response_ids), 1, max_len)

@@ -60,6 +60,12 @@ TURN_PACK = (
     " least(length(prompt), 40) AS p, least(length(prompt), 40) + least(length(response), 60) AS n FROM sft), " + PACK.format(max=256)
 )
 
+#: whole turns, cut only where they are longer than a row
+WHOLE_TURN_PACK = (
+    SFT + ", docs AS (SELECT conv_id AS batch, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, turn AS o,"
+    " least(length(prompt), 2048) AS p, least(length(prompt) + length(response), 2048) AS n FROM sft), " + PACK.format(max=2048)
+)
+
 LOGP = """logp AS (
   SELECT vec_id, label, x[label + 1] - (m + ln(list_sum(list_transform(x, lambda v: exp(v - m))))) AS logp
   FROM (SELECT *, list_max(x) AS m FROM (SELECT vec_id, label, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings)))"""
@@ -183,6 +189,10 @@ ORACLES: dict[str, str] = {
       SELECT batch AS conv_id, row_no, max(used) OVER (PARTITION BY batch) AS width, docs, labels::BIGINT AS labels, used, positions::BIGINT AS positions FROM r""",
     "isolated_attention": f"""WITH RECURSIVE {TURN_PACK}, r AS (SELECT x.batch, row_no, max("end") AS used, sum(n * (n + 1) // 2) AS seen, sum(n) AS real FROM packed x JOIN docs d ON x.batch = d.batch AND x.k = d.k GROUP BY x.batch, row_no)
       SELECT batch AS conv_id, row_no, (seen + max(used) OVER (PARTITION BY batch) - real)::BIGINT AS visible FROM r""",
+    "packed_turns": f"""WITH RECURSIVE {WHOLE_TURN_PACK}, r AS (SELECT x.batch, row_no, max("end") AS used, count(*) AS docs, sum(n - p) AS labels, sum(n * (n - 1) // 2) AS positions FROM packed x JOIN docs d ON x.batch = d.batch AND x.k = d.k GROUP BY x.batch, row_no)
+      SELECT batch AS conv_id, row_no, max(used) OVER (PARTITION BY batch) AS width, docs, labels::BIGINT AS labels, used, positions::BIGINT AS positions FROM r""",
+    "isolated_turns": f"""WITH RECURSIVE {WHOLE_TURN_PACK}, r AS (SELECT x.batch, row_no, max("end") AS used, sum(n * (n + 1) // 2) AS seen, sum(n) AS real FROM packed x JOIN docs d ON x.batch = d.batch AND x.k = d.k GROUP BY x.batch, row_no)
+      SELECT batch AS conv_id, row_no, (seen + max(used) OVER (PARTITION BY batch) - real)::BIGINT AS visible FROM r""",
     "pad_and_mask": f"WITH {SFT} SELECT conv_id, turn, length(prompt) + length(response) + 5 AS width, length(response) AS useful FROM sft",
     "sft_serialise": f"""WITH {SFT}, s AS (SELECT conv_id, turn, '<|im_start|>user' || chr(10) || prompt || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) AS p, response || '<|im_end|>' || chr(10) AS r FROM sft)
       SELECT conv_id, turn, length(p) AS prompt_chars, length(p) + length(r) AS total_chars, md5(p || r) AS digest FROM s""",

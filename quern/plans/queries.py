@@ -564,20 +564,42 @@ def _packed(spark, sf_dir):
 
 @query
 def packed_rows(spark, sf_dir):
-    """Packed rows of short turns: width, labels, positions and documents as sums."""
-    p = _packed(spark, sf_dir)
+    """Packed rows of short turns (prefixes of 40 and 60 characters, as in the SQL): width, labels, positions and documents as sums."""
+    return _row_sums(_packed(spark, sf_dir))
+
+
+def _row_sums(p: DataFrame) -> DataFrame:
     total = lambda c: F.aggregate(F.col(c), F.lit(0).cast("long"), lambda a, x: a + x)
     return p.select("conv_id", "row_no", F.size("input_ids").cast("long").alias("width"), F.size("boundaries").cast("long").alias("docs"), F.size(F.filter("labels", lambda x: x != kernels.IGNORED)).cast("long").alias("labels"), total("attention_mask").alias("used"), total("position_ids").alias("positions"))
 
 
 @query
 def isolated_attention(spark, sf_dir):
-    """Number of visible positions of each packed row."""
+    """Number of visible positions of each packed row of short turns (prefixes, as in the SQL)."""
     p = _packed(spark, sf_dir).select("conv_id", "row_no", token_rows.isolated_mask(F.col("doc_ids")).alias("mask"))
     ones = F.aggregate(F.flatten("mask"), F.lit(0).cast("long"), lambda a, x: a + x)
     return p.select("conv_id", "row_no", ones.alias("visible"))
 
 
+def _packed_whole(spark, sf_dir):
+    t = v.turns(spark, sf_dir)
+    ids = token_rows.char_ids(F.concat("prompt", "response"))
+    df = t.select("conv_id", "turn", ids.alias("ids"), F.length("prompt").alias("prompt_length"), F.lit("math").alias("source"), F.col("turn").cast("string").alias("example_id"))
+    return token_rows.pack_rows(df, "conv_id", "turn", 2048, separator=99)
+
+
+@query
+def packed_turns(spark, sf_dir):
+    """As `packed_rows`, over whole turns: only a turn longer than a row is cut, by the operator."""
+    return _row_sums(_packed_whole(spark, sf_dir))
+
+
+@query
+def isolated_turns(spark, sf_dir):
+    """As `isolated_attention`, over whole turns; counted without the square mask, which is 2048 x 2048 for a row."""
+    return _packed_whole(spark, sf_dir).select("conv_id", "row_no", token_rows.visible_positions(F.col("doc_ids")).alias("visible"))
+
+
 @query
 def pad_and_mask(spark, sf_dir):
     t = v.turns(spark, sf_dir)

@@ -8,6 +8,7 @@ from quern.functions import kernels, rates
 from quern.operators import grouping as g
 from quern.operators import joins, metrics, sampling, token_rows
 from quern.operators import validation as v
+from quern.plans import queries
 
 
 def frame(spark, rows, schema):
@@ -198,6 +199,21 @@ def test_isolation(spark):
     assert mask == [[1, 0, 0, 0, 0, 0], [1, 1, 0, 0, 0, 0], [0, 0, 1, 0, 0, 0], [0, 0, 0, 1, 0, 0], [0, 0, 0, 1, 1, 0], [0, 0, 0, 0, 0, 1]]
 
 
+def test_visible_positions_are_the_ones_of_the_mask(spark):
+    df = frame(spark, [([0, 0, -1, 1, 1, -2],), ([0] * 9,), ([],), ([0, -1, 1, -1, 2, 2, 2, -2, -2],)], "d array<long>")
+    out = df.select(token_rows.isolated_mask(F.col("d")).alias("m"), token_rows.visible_positions(F.col("d")).alias("n")).collect()
+    assert [r.n for r in out] == [sum(map(sum, r.m)) for r in out] == [8, 45, 0, 12]
+
+
+def test_packed_turns_are_whole(spark, tmp_path):
+    turns = [(0, 0, "user", "p" * 300), (0, 1, "assistant", "r" * 700), (0, 2, "user", "p" * 41), (0, 3, "assistant", "r" * 3000), (1, 0, "user", "p"), (1, 1, "assistant", "r" * 61)]
+    frame(spark, turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    rows = queries.queries()["packed_turns"](spark, str(tmp_path)).orderBy("conv_id", "row_no").collect()
+    assert [(r.conv_id, r.row_no, r.width, r.docs, r.labels, r.used) for r in rows] == [(0, 0, 2048, 1, 700, 1000), (0, 1, 2048, 1, 2007, 2048), (1, 0, 62, 1, 61, 62)]
+    seen = queries.queries()["isolated_turns"](spark, str(tmp_path)).orderBy("conv_id", "row_no").collect()
+    assert [r.visible for r in seen] == [1000 * 1001 // 2 + 1048, 2048 * 2049 // 2, 62 * 63 // 2]
+
+
 def test_packing_never_exceeds_and_keeps_order(spark):
     rnd = random.Random(2)
     df = frame(spark, [(k // 8, k, rnd.randrange(1, 70)) for k in range(200)], "b long, k long, n long")
