@@ -122,7 +122,8 @@ def encode_side(prompt_ids: Column, response_ids: Column, max_len: int) -> Colum
     """struct(input_ids, attention_mask, labels, fault) of a prompt with one answer, cut to max_len."""
     ids = F.slice(F.concat(prompt_ids, response_ids), 1, max_len)
     prompt = F.least(F.size(prompt_ids), F.size(ids))
-    labels = masked_labels(ids, prompt)
+    # as masked_labels(ids, prompt), but the sizes are found once and not for every position
+    labels = F.concat(F.array_repeat(F.lit(IGNORED).cast("long"), prompt), F.slice(ids, prompt + 1, F.size(ids) - prompt).cast("array<bigint>"))
     shifted = F.exists(F.slice(labels, F.lit(2), F.greatest(F.size(labels) - 1, F.lit(0))), lambda x: x != IGNORED)
     fault = F.when(F.size(ids) <= prompt, "no response tokens").when(~shifted, "no shifted response labels")
     return F.struct(ids.cast("array<bigint>").alias("input_ids"), F.transform(ids, lambda x: F.lit(1).cast("long")).alias("attention_mask"), labels.alias("labels"), fault.alias("fault"))

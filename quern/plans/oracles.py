@@ -199,6 +199,9 @@ ORACLES: dict[str, str] = {
     "encoded_pairs": f"""WITH {SFT}, s AS (SELECT conv_id, turn, least(length(prompt), 50) AS p, least(100, least(length(prompt), 50) + least(length(response), 80)) AS c, least(100, least(length(prompt), 50) + least(length(response), 20)) AS r FROM sft),
       k AS (SELECT * FROM s WHERE c > p AND r > p AND c > 1 AND r > 1)
       SELECT conv_id, turn, max(greatest(c, r)) OVER (PARTITION BY conv_id % 5) AS width, c - p AS chosen_useful, r - p AS rejected_useful, max(greatest(c, r)) OVER (PARTITION BY conv_id % 5) AS rejected_width FROM k""",
+    "encoded_turns": f"""WITH {SFT}, s AS (SELECT conv_id, turn, length(prompt) AS p, least(100, length(prompt) + length(response)) AS c, least(100, length(prompt) + length(prompt)) AS r FROM sft),
+      k AS (SELECT * FROM s WHERE c > p AND r > p AND c > 1 AND r > 1)
+      SELECT conv_id, turn, max(greatest(c, r)) OVER (PARTITION BY conv_id // 8) AS width, c - p AS chosen_useful, r - p AS rejected_useful, max(greatest(c, r)) OVER (PARTITION BY conv_id // 8) AS rejected_width FROM k""",
     "parameter_bands": "SELECT CASE WHEN p_size % 3 = 0 OR p_size % 4 <= 1 THEN 'no_decay' ELSE 'decay' END AS band, count(*) AS n FROM part GROUP BY 1",
     "token_logprob": f"WITH {LOGP} SELECT vec_id, round(logp, 6) AS logp FROM logp",
     "sequence_logprob": f"WITH {LOGP} SELECT vec_id // 5 AS seq, round(sum(logp), 6) AS logp, count(*) AS tokens FROM logp WHERE vec_id % 5 > 1 GROUP BY 1",

@@ -627,6 +627,16 @@ def encoded_pairs(spark, sf_dir):
     return df.select("conv_id", "turn", F.col("width").cast("long").alias("width"), metrics.useful_tokens(F.col("chosen_labels")).cast("long").alias("chosen_useful"), metrics.useful_tokens(F.col("rejected_labels")).cast("long").alias("rejected_useful"), F.size("rejected_input_ids").cast("long").alias("rejected_width"))
 
 
+@query
+def encoded_turns(spark, sf_dir):
+    """As `encoded_pairs`, over whole texts: the response against an answer that repeats the prompt; a prompt that fills the window is skipped."""
+    t = v.turns(spark, sf_dir)
+    prompt, chosen, rejected = token_rows.char_ids(F.col("prompt")), token_rows.char_ids(F.col("response")), token_rows.char_ids(F.col("prompt"))
+    df = token_rows.encode_pairs(t, prompt, chosen, rejected, 100, policy="skip").withColumn("batch", sampling.batch_number("conv_id", 8))
+    df = token_rows.collate_pairs(df, "batch")
+    return df.select("conv_id", "turn", F.col("width").cast("long").alias("width"), metrics.useful_tokens(F.col("chosen_labels")).cast("long").alias("chosen_useful"), metrics.useful_tokens(F.col("rejected_labels")).cast("long").alias("rejected_useful"), F.size("rejected_input_ids").cast("long").alias("rejected_width"))
+
+
 @query
 def parameter_bands(spark, sf_dir):
     p = v.table(spark, sf_dir, "part")
