@@ -116,6 +116,8 @@ ORACLES: dict[str, str] = {
     "latest_checkpoint": "SELECT 'step-' || max(o_orderkey) AS path FROM orders",
     "epoch_positions": """SELECT doc_id, epoch FROM (SELECT doc_id, 0::BIGINT AS epoch FROM documents ORDER BY md5('42:0:' || doc_id::VARCHAR), doc_id LIMIT 10)
       UNION ALL SELECT doc_id, epoch FROM (SELECT doc_id, 1::BIGINT AS epoch FROM documents ORDER BY md5('42:1:' || doc_id::VARCHAR), doc_id LIMIT 10)""",
+    "epoch_places": """SELECT doc_id, epoch, row_number() OVER (PARTITION BY epoch ORDER BY md5('42:' || epoch || ':' || doc_id), doc_id) - 1 AS place
+      FROM documents, (SELECT unnest([0, 1])::BIGINT AS epoch)""",
     "completion_group_census": f"""WITH {ROLL}, g AS (SELECT prompt_id, count(*) FILTER (correct) AS c, count(*) AS n FROM roll GROUP BY prompt_id)
       SELECT count(*) AS prompts, count(*) FILTER (c > 0 AND c < n) AS pairable, count(*) FILTER (c = n) AS all_correct, count(*) FILTER (c = 0) AS all_incorrect, 0::BIGINT AS empty FROM g""",
     "completion_totals": f"""WITH {ROLL}, g AS (SELECT prompt_id, count(*) FILTER (correct) AS c, count(*) FILTER (NOT correct) AS i FROM roll GROUP BY prompt_id)

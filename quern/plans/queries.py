@@ -255,6 +255,13 @@ def epoch_positions(spark, sf_dir):
     return parts[0].unionByName(parts[1])
 
 
+@query
+def epoch_places(spark, sf_dir):
+    """Two epochs over the documents: each document's place in the order of each epoch."""
+    df = sampling.epoch_places(v.sizes(spark, sf_dir).select("doc_id"), 2, "doc_id")
+    return df.select("doc_id", F.col("epoch").cast("long").alias("epoch"), "place")
+
+
 # -- groups and pairs -----------------------------------------------------------------------------
 
 

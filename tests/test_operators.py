@@ -73,6 +73,22 @@ def test_shards_and_batches(spark, pool):
     assert [r.id for r in sampling.epoch_order(pool, 0, "id").collect()] != [r.id for r in sampling.epoch_order(pool, 1, "id").collect()]
 
 
+def test_epoch_places_cover_every_row(spark, pool):
+    for parts in (1, 17):
+        out = sampling.epoch_places(pool.repartition(parts), 2, "id").orderBy("epoch", "place").collect()
+        assert [r.place for r in out] == [*range(200)] * 2
+        for k in (0, 1):
+            assert [r.id for r in out if r.epoch == k] == [r.id for r in sampling.epoch_order(pool, k, "id").collect()]
+    empty = sampling.epoch_places(pool.limit(0), 2, "id")
+    assert empty.count() == 0
+
+
+def test_epoch_places_query_drops_no_document(spark, sf_dir):
+    n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    out = queries.queries()["epoch_places"](spark, sf_dir).groupBy("epoch").agg(F.count("*").alias("n"), F.count_distinct("doc_id", "place").alias("d"), F.max("place").alias("last")).collect()
+    assert sorted(map(tuple, out)) == [(0, n, n, n - 1), (1, n, n, n - 1)] and n > 10
+
+
 # -- groups -------------------------------------------------------------------------------
 
 
