@@ -278,6 +278,18 @@ def test_losses(spark):
     assert got[0] == pytest.approx(3 - math.log(sum(map(math.exp, (1, 2, 3))))) and got[1] is None and got[2] == pytest.approx(0) and got[3] is None
 
 
+def test_sequence_logprob_shifts_masks_counts_and_raises(spark):
+    schema = "s long, p long, x array<double>, y int"
+    rows = [(0, 0, [1.0, 2.0], -100), (0, 1, [3.0, 1.0], -100), (0, 2, [0.0, 5.0], 1), (0, 3, [9.0, 9.0], 0), (1, 0, [0.0, 0.0], 1), (1, 1, [7.0, 0.0], 0)]
+    out = token_rows.sequence_logprob(frame(spark, rows, schema).repartition(3), "s", "p", "x", "y").orderBy("s").collect()
+    soft = lambda x, k: x[k] - math.log(sum(map(math.exp, x)))
+    assert [r.tokens for r in out] == [2, 1]
+    assert [r.logp for r in out] == pytest.approx([soft([3.0, 1.0], 1) + soft([0.0, 5.0], 0), soft([0.0, 0.0], 0)])
+    for bad, match in (([(2, 0, [1.0], 0)], "two positions"), ([(2, 0, [1.0], 0), (2, 1, [1.0], -100)], "no response labels")):
+        with pytest.raises(Exception, match=match):
+            token_rows.sequence_logprob(frame(spark, rows + bad, schema), "s", "p", "x", "y").collect()
+
+
 def test_schedule(spark):
     out = [r[0] for r in spark.range(101).select(rates.warmup_cosine(F.col("id"), 10, 100)).collect()]
     assert out[:11] == pytest.approx([k / 10 for k in range(11)]) and out[100] == pytest.approx(0) and all(a >= b for a, b in zip(out[10:], out[11:], strict=False))
