@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 
@@ -57,7 +58,74 @@ def test_best_region_is_the_best():
 
 def test_weights_have_the_signs_of_the_method():
     w = h.weights()
-    assert w["word"] > 0 and all(v <= 0 for k, v in w.items() if k != "word")
+    assert w["word"] > 0 and w["link"] < 0 and all(v < 0 for k, v in w.items() if k.startswith("tag:"))
+    assert all(w["mark:" + m] < 0 for m in ("ad", "sidebar", "cookie", "comment", "menu"))
+    assert all(w["mark:" + m] > 0 for m in ("post", "entry", "story"))
+
+
+def test_weights_hold_on_other_labelled_pages():
+    right = total = 0
+    for page in h.labelled_pages(40, seed=99):
+        got = " ".join(h.main_text("".join(x for x, _ in page)).split())
+        for piece, main in page:
+            for text in re.findall(r">([^<>&]{12,})<", piece):
+                total += 1
+                right += (" ".join(text.split()) in got) == main
+    assert total > 500 and right > 0.95 * total
+
+
+def without_names(html):
+    """The same page with plain divs and a mark that says nothing."""
+    html = re.sub(r"<(/?)(?:nav|article|main|footer|header|section)\b[^>]*>", r"<\1div>", html)
+    return re.sub(r"(class|id)=('[^']*'|\"[^\"]*\"|[^\s>]+)", r"\1=x9", html)
+
+
+def test_the_scan_decides_without_names(spark, sf_dir):
+    for r in table(spark, sf_dir, "pages").collect():
+        if r.html:
+            assert h.main_text(without_names(r.html)) == h.main_text(r.html)
+    for name in ("plain", "white space", "comment tags", "unclosed"):
+        assert h.main_text(without_names(CASES[name])).split("\n\n") == WANT
+
+
+def test_taking_the_scan_out_changes_the_result(spark, sf_dir):
+    """What is left after the skipped elements alone is more than the main text."""
+    for r in table(spark, sf_dir, "pages").collect():
+        if r.html:
+            made, _ = h.events(r.html)
+            assert sum(e.words for e in made) > len(h.main_text(r.html).split())
+
+
+def test_a_mark_alone_removes_nothing():
+    story = "<h1>A head line</h1><p>Some long text of a story, that goes on.</p><p>More.</p>"
+    want = "A head line\n\nSome long text of a story, that goes on.\n\nMore."
+    for mark in ("post tags-news", "page sidebar-left", "hidden-print entry"):
+        assert h.main_text(f"<body>{MENU}<div class='{mark}'>{story}</div></body>") == want
+    assert h.main_text("<div class='toc'><p>long text that stands here</p></div>") == "long text that stands here"
+    assert h.main_text("<div>Hi there.</div>") == "Hi there."
+
+
+def test_references_are_decoded_where_they_stand():
+    assert h.main_text("<p>&am<i>p;</i> x &lt;b&gt; caf&eacute;</p>") == "&amp; x <b> café"
+
+
+HOSTILE = {
+    "inline": lambda n: "<b>" * n + "</i>" * n, "open tags": lambda n: "<a " * n, "open quotes": lambda n: "<a '" * n, "open values": lambda n: "<a href='>" * n, "scopes": lambda n: "<i><article>" + "<b>" * n + "</i>" * n,
+    "rules": lambda n: "<b>" * n + "<hr>" * n, "articles": lambda n: "<div>" * n + "<article>" * n, "marks": lambda n: "<div class=ad>word " * n, "comments": lambda n: "<!-- <" * n, "scripts": lambda n: "<script> " * n,
+    "class": lambda n: '<p class="' * n, "blanks": lambda n: "<p " + " " * n + "='" * 2 + " " * n, "paragraphs": lambda n: "<p>some words " * n, "ends": lambda n: "<div><span></div>" * n,
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_time_grows_with_the_page(name):
+    def took(n):
+        began = time.perf_counter()
+        h.main_text(HOSTILE[name](n))
+        return time.perf_counter() - began
+
+    h.weights()
+    small = min(took(5000) for _ in range(3))
+    assert min(took(20_000) for _ in range(2)) < 6 * small + 0.05
 
 
 def test_table(spark, sf_dir):
@@ -75,3 +143,4 @@ def test_table(spark, sf_dir):
     rows = [(1, None, None, "x"), (1, "u", "<p>words in it</p>", "y"), (None, None, "", "z")]
     odd = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     assert sorted(h.extract(odd).collect(), key=str) == sorted([(1, None, "", 0), (1, "u", "words in it", 11), (None, None, "", 0)], key=str)
+    assert h.extract(odd.limit(0)).collect() == []
