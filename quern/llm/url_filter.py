@@ -3,9 +3,11 @@
 A rule names a host (with all subdomains) and the start of a path; the longest
 that fits decides.  Every other URL is judged by a logistic regression on the
 hashed 3- to 5-grams of host and path (:data:`DIMENSIONS` buckets, host and path
-apart), trained here on a small labelled table of URLs.  The table that is used
-by default is made of the word lists below by a fixed rule; another can be
-given.
+apart and each scaled to unit length), trained here on a small labelled table of
+URLs.  The table that is used by default (:func:`labelled_urls`) has some
+hundreds of hosts made by rule: of words of unwanted trades, alone, in pairs and
+beside plain words, against hosts of plain words, of words that only look like
+the others (:data:`ALIKE`) and of invented syllables.  Another table can be given.
 
 Defined results: a null URL, or one without ``://``, has empty host and path;
 no rule fits it and the method allows it.  Repeated rows each get a row.  An
@@ -14,6 +16,7 @@ empty table gives no rows.  Other columns are ignored.
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator, Sequence
 from functools import cache
 
@@ -34,20 +37,44 @@ RULES: Sequence[tuple[str, str, str]] = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-#: words of wanted and unwanted sites, for the default labelled table
-WANTED = "news wiki docs blog school library science recipes travel garden history museum weather health sports music books forum code maps".split()
-UNWANTED = "casino poker porn xxx viagra pills payday slots betting adserver tracker popunder torrent keygen escort jackpot warez clickbait lottery malware".split()
-SITES = ("www.{}.org/{}/12", "{}.example.net/en/{}", "m.{}-site.info/{}?id=3", "the{}.com/a/{}.html", "{}.co/{}/page/2")
-
-
-def labelled_urls() -> list[tuple[str, int]]:
-    """(url, 1 unwanted / 0 wanted): each word in each kind of address, with another word of its list as path."""
+#: words of unwanted trades, plain words, and plain hosts that hold pieces of the former
+UNWANTED = (
+    "casino bet bets betting poker slots jackpot lottery roulette bingo gambling win wager odds pills viagra cialis meds pharmacy cheap replica payday loans adult porn xxx sex escort cam nude dating hookup"
+    " ads adserver advert track tracker popunder click pixel spam scam phishing malware virus warez crack keygen torrent cracked clickbait doorway linkfarm farm free bonus prize rich forex"
+).split()
+PLAIN = (
+    "news wiki docs journal school library science recipes travel garden history museum weather health sports music books forum code maps university city river mountain kitchen studio art film theatre language"
+    " law court bank energy water forest animals birds farming family children photo design home house street market paper letter story green blue north south daily open world today center data tools project reading morning building spring learning evening sailing"
+).split()
+ALIKE = (
+    "alphabet better-homes betterworld pillow-talk essex-council middlesex sussex camera-club campus cambridge adult-education adult-learning free-software free-library freedom farm-shop organic-farm farmers track-record"
+    " race-track railtrack winter windows winchester click-chemistry oddity slot-machine-museum crackers cracked-pots virus-research virology prized-roses richmond medsci loads banana tracking-wildlife scampi spamalot-theatre"
+).split()
+BESIDE = "best online hot top club now hub my the go live 24 x zone express direct".split()
+ENDS = "com org net info co.uk de io".split()
+FRONTS = ("", "www.", "m.", "blog.", "shop.", "en.")
+PATHS = ("/", "", "/en/{}", "/de/{}.html", "/{}/page/2", "/a/{}/index.html?id=7", "/fr/{}/#top", "/{}")
+
+
+def labelled_urls(seed: int = 11) -> list[tuple[str, int]]:
+    """(url, 1 unwanted / 0 wanted), two of a host."""
+    rnd = random.Random(seed)
+    invented = lambda: "".join(rnd.choice("bcdfghjklmnprstvwz") + rnd.choice(("a", "e", "i", "o", "u", "ei", "ou", "an", "er", "on", "in", "es")) for _ in range(rnd.randint(2, 4)))
+    stems: dict[str, int] = {}
+    for k, word in enumerate(UNWANTED):
+        stems |= {word: 1, f"{word}-{UNWANTED[(7 * k + 3) % len(UNWANTED)]}": 1, f"{UNWANTED[(5 * k + 11) % len(UNWANTED)]}{word}": 1, f"{word}-{rnd.choice('xyz')}": 1, f"{word}-{invented()}": 1, f"{rnd.choice(PLAIN)}-{word}": 1}
+        stems |= {f"{word}-{rnd.choice(BESIDE)}": 1, f"{rnd.choice(BESIDE)}{word}": 1, f"{word}{rnd.choice(BESIDE)}": 1}
+    for k, word in enumerate(PLAIN):
+        stems |= {word: 0, f"{word}-{PLAIN[(9 * k + 4) % len(PLAIN)]}": 0, f"{PLAIN[(4 * k + 9) % len(PLAIN)]}{word}": 0, f"{word}-{invented()}": 0, f"{invented()}-{word}": 0}
+        stems |= {f"{word}-{rnd.choice(BESIDE)}": 0, f"{rnd.choice(BESIDE)}{word}": 0, f"{word}{rnd.choice(BESIDE)}": 0}
+    stems |= dict.fromkeys(ALIKE, 0) | {invented(): 0 for _ in range(400)}
     out = []
-    for label, words in ((0, WANTED), (1, UNWANTED)):
-        for k, word in enumerate(words):
-            out += [("https://" + site.format(word, words[(k + 3 * j + 1) % len(words)]), label) for j, site in enumerate(SITES)]
-    plain = [f"https://{h}/{p}" for h in ("example.org", "a.example.net", "m.example.info") for p in ("", "en/7", "de/41?page=2", "fr/9#top", "es/300", "about", "index.html")]
-    return out + [(u, 0) for u in plain]
+    for stem, label in stems.items():
+        for _ in range(2):
+            middle = rnd.choice(("", "", "", ".example", ".site"))
+            words = UNWANTED if label and rnd.random() < 0.3 else [*PLAIN, invented(), str(rnd.randrange(1000)), str(rnd.randrange(1000))]
+            out.append((rnd.choice(("http://", "https://")) + rnd.choice(FRONTS) + stem + middle + "." + rnd.choice(ENDS) + rnd.choice(PATHS).format(rnd.choice(words)), label))
+    return out
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -89,10 +116,11 @@ def _buckets(column: pa.Array, salt: int) -> tuple[np.ndarray, np.ndarray]:
     return both // DIMENSIONS, both % DIMENSIONS
 
 
-def features(hosts: pa.Array, paths: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket) over host and path."""
-    a, b = _buckets(hosts, 1), _buckets(paths, 2)
-    return np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+def features(hosts: pa.Array, paths: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, bucket, value) over host and path, each of unit length."""
+    found = [_buckets(hosts, 1), _buckets(paths, 2)]
+    value = [1 / np.sqrt(np.bincount(row, minlength=len(hosts)))[row] if len(row) else np.zeros(0) for row, _ in found]
+    return np.concatenate([r for r, _ in found]), np.concatenate([b for _, b in found]), np.concatenate(value)
 
 
 def _split(url: str) -> tuple[str, str]:
@@ -102,26 +130,23 @@ def _split(url: str) -> tuple[str, str]:
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:cut]), path
 
 
-def fit(rows: Sequence[tuple[str, int]], rounds: int = 300, rate: float = 0.5, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """(weights, bias) of the logistic regression, by full gradient steps on n-gram presence scaled to unit length."""
+def fit(rows: Sequence[tuple[str, int]], rounds: int = 400, rate: float = 20.0, decay: float = 2e-5) -> tuple[np.ndarray, float]:
+    """(weights, bias) of the logistic regression, by full gradient steps."""
     pieces = [_split(u) for u, _ in rows]
-    row, bucket = features(pa.array([h for h, _ in pieces], pa.string()), pa.array([p for _, p in pieces], pa.string()))
+    row, bucket, value = features(pa.array([h for h, _ in pieces], pa.string()), pa.array([p for _, p in pieces], pa.string()))
     y = np.array([float(label) for _, label in rows])
-    scale = 1 / np.sqrt(np.maximum(np.bincount(row, minlength=len(y)), 1))
     w, b = np.zeros(DIMENSIONS), 0.0
     for _ in range(rounds):
-        z = np.bincount(row, w[bucket] * scale[row], len(y)) + b
-        error = 1 / (1 + np.exp(-z)) - y
-        w -= rate * (np.bincount(bucket, (error * scale)[row], DIMENSIONS) / len(y) * 20 + decay * w)
-        b -= rate * error.mean()
+        error = 1 / (1 + np.exp(-(np.bincount(row, w[bucket] * value, len(y)) + b))) - y
+        w -= rate * (np.bincount(bucket, error[row] * value, DIMENSIONS) / len(y) + decay * w)
+        b -= error.mean()
     return w, b
 
 
 def score(hosts: pa.Array, paths: pa.Array, w: np.ndarray, b: float) -> np.ndarray:
     """Chance of being unwanted."""
-    row, bucket = features(hosts, paths)
-    scale = 1 / np.sqrt(np.maximum(np.bincount(row, minlength=len(hosts)), 1))
-    return 1 / (1 + np.exp(-(np.bincount(row, w[bucket] * scale[row], len(hosts)) + b)))
+    row, bucket, value = features(hosts, paths)
+    return 1 / (1 + np.exp(-(np.bincount(row, w[bucket] * value, len(hosts)) + b)))
 
 
 @cache
