@@ -130,7 +130,7 @@ def _split(url: str) -> tuple[str, str]:
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:cut]), path
 
 
-def fit(rows: Sequence[tuple[str, int]], rounds: int = 400, rate: float = 20.0, decay: float = 2e-5) -> tuple[np.ndarray, float]:
+def fit(rows: Sequence[tuple[str, int]], rounds: int = 600, rate: float = 30.0, decay: float = 5e-6) -> tuple[np.ndarray, float]:
     """(weights, bias) of the logistic regression, by full gradient steps."""
     pieces = [_split(u) for u, _ in rows]
     row, bucket, value = features(pa.array([h for h, _ in pieces], pa.string()), pa.array([p for _, p in pieces], pa.string()))

@@ -77,7 +77,7 @@ def test_the_method_decides_where_no_rule_does(spark):
 
 def test_fit_is_a_logistic_regression():
     rows = [("http://abc.org/x", 1), ("http://abd.org/y", 1), ("http://xyz.org/x", 0), ("http://xyw.org/q", 0)]
-    w, b = u.fit(rows, rounds=20_000, decay=0.01)
+    w, b = u.fit(rows, rounds=20_000, rate=2.0, decay=0.01)
     row, bucket, value = u.features(pa.array(["abc.org", "abd.org", "xyz.org", "xyw.org"]), pa.array(["/x", "/y", "/x", "/q"]))
     error = chances([x for x, _ in rows], (w, b)) - np.array([1, 1, 0, 0])
     slope = np.bincount(bucket, error[row] * value, u.DIMENSIONS) / 4 + 0.01 * w
