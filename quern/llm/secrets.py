@@ -1,28 +1,42 @@
 r"""Secret scans by corpus-wide ownership frequency (operator 4); DataFrame functions only.
 
 Candidates are the strings of the base kinds and others that look like
-credentials (:data:`CANDIDATE`).  All are hashed, and the corpus tells in how
-many repositories and under how many owners each hash occurs.  A string that
-many owners have is a copied example; one that few have is live-looking.  Spans
-of the base kinds are always reported, those of others if live-looking, under
-the kind `live`.  In the query the repository is the document and the owner its
-source.
+credentials: shapes of :data:`SHAPES` (key blocks, service prefixes, signed
+tokens, credentials in addresses), long runs of letters and digits that change
+between kinds of character as often as chance has it, and payment card numbers
+whose check digit fits.  All are hashed, and the corpus tells in how many
+repositories and under how many owners each hash occurs.  A string that
+:data:`EXAMPLE_OWNERS` owners or :data:`EXAMPLE_REPOSITORIES` repositories have,
+whoever owns these, is a copied example; any other is live-looking.  Spans of
+the base kinds are always reported, those of others if live-looking, under the
+kind `live`, unless an access or hex span has the string already (the value of
+an assignment is a span of its own).  In the query the repository is the
+document and the owner its source.
 
 Places come without any Python: the pieces between matches (`split`) and the
 matches (`regexp_extract_all`) of one pattern alternate, so running sums of
-their lengths are the spans, in code points.
+their lengths are the spans, in code points.  No pattern looks at a prefix only,
+and loops over unbounded parts are possessive, so time grows with the text.
 
 Counting owners of a hash groups twice, first by hash and owner, so a string
-that a third of all rows have is reduced before it is shuffled.  Only rows that
-have a candidate are joined with the counts.
+that a third of all rows have is reduced before it is shuffled.  Occurrences
+are then held against the copied examples alone, on hash and one of
+:data:`SALTS` salts, as other strings are rare by definition.
+
+A key block is one span from its BEGIN line to its END line; where the latter
+is missing, to the first character that can't stand in a key.
 
 Defined results: null text has no spans.  Repeated rows each get a row; copies
-under one owner are one owner.  A null source is an owner of its own.  An empty
-table gives no rows.  Extra columns are kept by `redact` and ignored by `scan`.
+under one owner are one owner, rows of one id one repository.  A null source is
+an owner of its own, a null id a repository of its own.  An empty table gives
+no rows.  Extra columns are kept by `redact` and ignored by `scan`.  `redact`
+masks all reported spans, copied examples of the base kinds among them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,20 +47,45 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 #: for these two, a run that is long enough is the run that the open pattern finds
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-#: other shapes: service prefixes, signed tokens, key blocks, credentials in addresses
-CANDIDATE = (
-    r"\b(?:gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk[-_][A-Za-z0-9_-]{20,}|AIza[A-Za-z0-9_-]{30,}"
-    r"|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|(?=[A-Za-z0-9+/]{0,60}[0-9])(?=[A-Za-z0-9+/]{0,60}[A-Z])(?=[A-Za-z0-9+/]{0,60}[a-z])[A-Za-z0-9+/]{32,}={0,2})"
-    r"|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
+_BEGIN, _END = (rf"-----{x} [A-Z0-9\x20]*?PRIVATE KEY(?:\x20BLOCK)?-----" for x in ("BEGIN", "END"))
+#: other shapes, which are candidates as they are
+SHAPES = (
+    _BEGIN + rf"(?:(?:[^-]|-(?!----))*+{_END}|[A-Za-z0-9+/=\\\s]*+)",
+    r"\b(?:gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|glpat-[A-Za-z0-9_-]{20,}|npm_[A-Za-z0-9]{30,}|xox[abeprs]-[A-Za-z0-9-]{10,}|sk[-_][A-Za-z0-9_-]{20,}|AIza[A-Za-z0-9_-]{30,}|ASIA[A-Z0-9]{16,})",
+    r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+    r"\b[Bb]earer\x20+[A-Za-z0-9._~+/-]{16,}=*",
+    r"://[^\s/@:]+:[^\s/@:]+@",
 )
-#: from this many owners on a candidate is a copied example
-EXAMPLE_OWNERS = 3
+#: and two that are judged by their characters
+CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[\x20-][0-9]{4}){3})(?![0-9])"
+RUN = r"[A-Za-z0-9+/]{24,}={0,2}"
+CANDIDATE = "|".join([*SHAPES, CARD, RUN])
+#: least share of places in a run of random characters where the kind of character changes
+CHANGES = 0.35
+#: from this many owners, or repositories, on a candidate is a copied example
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 50
+SALTS = 16
 KINDS = ("assign", "access", "hex", "live")
 _SPAN = "struct<start: bigint, rank: int, end: bigint, hash: string>"
 
 
-def _spans(text: Column, pattern: str, rank: int, group: int = 0, least: int = 0) -> Column:
-    """Sorted spans of a pattern's matches in `text`, of those whose `group` has `least` characters."""
+def _checked(digits: Column) -> Column:
+    """Whether a card number's check digit fits: from the right, every other digit counts twice, and its digits are added."""
+    places = F.transform(F.split(F.reverse(digits), ""), lambda c, i: c.cast("int") * (1 + i % 2))
+    return F.aggregate(places, F.lit(0), lambda total, x: total + x - F.when(x > 9, 9).otherwise(0)) % 10 == 0
+
+
+def looks_secret(value: Column) -> Column:
+    """Whether a match of CANDIDATE is a candidate."""
+    digits = F.regexp_replace(value, r"[\x20-]", "")
+    changes = F.length(F.regexp_replace(value, "[a-z]+|[A-Z]+|[0-9]+|[+/]+", "x"))
+    random = value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (changes >= CHANGES * F.length(value))
+    return F.when(digits.rlike("^[0-9]{13,19}$"), _checked(digits)).when(value.rlike(f"^{RUN}$"), random).otherwise(True)
+
+
+def _spans(text: Column, pattern: str, rank: int, group: int = 0, least: int = 0, accept: Callable[[Column], Column] | None = None) -> Column:
+    """Sorted spans of a pattern's matches in `text`, of those whose `group` has `least` characters and is accepted."""
+    wanted = accept or (lambda value: F.length(value) >= least)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else hits
     steps = F.zip_with(F.zip_with(F.split(text, pattern, -1), hits, lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit"))), value, lambda x, v: F.struct(x["gap"].alias("gap"), x["hit"].alias("hit"), v.alias("value")))
@@ -57,7 +96,7 @@ def _spans(text: Column, pattern: str, rank: int, group: int = 0, least: int = 0
         lambda acc, x: F.struct(
             (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("at"),
             F.when(
-                F.length(x["value"]) >= least,
+                wanted(x["value"]),
                 F.array_append(
                     acc["out"],
                     F.struct((acc["at"] + F.length(x["gap"])).alias("start"), F.lit(rank).alias("rank"), (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("end"), F.sha2(x["value"], 256).alias("hash")),
@@ -70,11 +109,11 @@ def _spans(text: Column, pattern: str, rank: int, group: int = 0, least: int = 0
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """`docs` (columns row, owner, repository, text) with `base` spans and `candidates`: these, and others that overlap none of them."""
+    """`docs` (columns row, owner, repository, text) with `base` spans and `candidates`: these, and others that are no access or hex span already."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     df = docs.withColumn("base", F.array_sort(F.concat(_spans(text, ASSIGN, 0, 2, 6), _spans(text, ACCESS, 1), _spans(text, HEX, 2))))
-    df = df.withColumn("other", _spans(text, CANDIDATE, 3))
-    apart = F.filter("other", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    df = df.withColumn("other", _spans(text, CANDIDATE, 3, accept=looks_secret))
+    apart = F.filter("other", lambda c: ~F.exists("base", lambda b: (b["rank"] > 0) & (b["start"] < c["end"]) & (c["start"] < b["end"])))
     return df.withColumn("candidates", F.when(F.size("other") > 0, F.array_sort(F.concat("base", apart))).otherwise(F.col("base"))).drop("other")
 
 
@@ -89,8 +128,10 @@ def _judged(docs: DataFrame, keep: list[str]) -> DataFrame:
     df = saved(found(docs).select(*keep, "owner", "repository", "base", "candidates", F.monotonically_increasing_id().alias("row")), "secrets")
     some = df.where(F.size("candidates") > 0)
     each = some.select("row", "owner", "repository", F.explode("candidates").alias("c")).select("row", "owner", "repository", "c", F.col("c.hash").alias("hash"))
-    spread = ownership(each).select("hash", (F.col("owners") < EXAMPLE_OWNERS).alias("live"))
-    told = each.join(spread, "hash").groupBy("row").agg(
+    spread = ownership(each).where((F.col("owners") >= EXAMPLE_OWNERS) | (F.col("repositories") >= EXAMPLE_REPOSITORIES))
+    spread = spread.select("hash", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(False).alias("live"))
+    judged = each.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(spread, ["hash", "salt"], "left").fillna(True, "live")
+    told = judged.groupBy("row").agg(
         F.collect_list(F.when((F.col("c.rank") < 3) | F.col("live"), F.col("c"))).alias("told"),
         F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_example"),
     )
