@@ -1,14 +1,17 @@
 """Benchmark decontamination (operator 9) by winnowing.
 
 Every run of :data:`GRAM` words is hashed, and of every :data:`WINDOW`
-neighbouring hashes the least (the rightmost of equals) is kept as a
-fingerprint, in documents as in benchmark items.  A span of
+neighbouring hashes the least is kept as a fingerprint, in documents as in
+benchmark items (of equals the one kept before, else the rightmost).  A span of
 ``GRAM + WINDOW - 1`` = 10 words that a document shares with an item holds one
-whole selection window, both sides keep the same fingerprint of it, and so the
-join of fingerprints cannot miss it.  Joined fingerprints are extended to every
-10-word window around them and compared word by word.  An item of fewer words
-is one window; for those, each run of that many words is its own fingerprint
-(winnowing with a window of one).
+whole selection window, both sides keep the same hash of it, and so the join of
+fingerprints cannot miss it.  Joined fingerprints are extended to every 10-word
+window around them; each such window of the document is looked up once among
+the distinct windows of the benchmark and compared word by word.  A distinct
+window knows the set of items that have it, and equal sets are kept once, so
+text that repeats in documents, in items or among items costs no more than
+other text.  An item of fewer words is one window; for those, each run of that
+many words is its own fingerprint (winnowing with a window of one).
 
 The benchmark is the small side.  Its size is measured first: up to
 :data:`BLOCK_CHARS` characters go to the executors as one broadcast index.  A
@@ -41,7 +44,10 @@ BLOCK_CHARS = 8_000_000
 
 
 def winnowed(hashes: np.ndarray) -> np.ndarray:
-    """Position that each window of WINDOW hashes keeps: its least, the rightmost of equals."""
+    """Positions that windows of WINDOW hashes keep, in order: of a window its least, of equals the rightmost.
+
+    Where one least hash lasts for more than WINDOW windows, which takes equals, a window keeps what the one before kept if it can.
+    """
     n = len(hashes) - WINDOW + 1
     if n <= 0:
         return np.zeros(0, np.int64)
@@ -51,11 +57,58 @@ def winnowed(hashes: np.ndarray) -> np.ndarray:
         better = other <= low
         low[better] = other[better]
         at[better] = np.flatnonzero(better) + j
-    return at
+    start = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
+    length = np.diff(np.append(start, n))
+    lasting = length > WINDOW
+    kept = [at[~np.repeat(lasting, length)]]
+    for a, b in zip(start[lasting].tolist(), (start + length)[lasting].tolist(), strict=True):
+        run, window = [], a
+        while window < b:
+            run.append(int(at[window]))
+            window = run[-1] + 1
+        kept.append(np.array(run))
+    return np.unique(np.concatenate(kept))
+
+
+class Windows:
+    """Distinct windows of one length and the sets of items that have them."""
+
+    def __init__(self, keys: np.ndarray, where: np.ndarray, item: np.ndarray):
+        """Of each window: its hash, its place in the words of the benchmark, its item."""
+        order = np.lexsort((item, keys))
+        keys, where, item = keys[order], where[order], item[order]
+        new = np.append(True, (keys[1:] != keys[:-1]) | (item[1:] != item[:-1])) if len(keys) else np.zeros(0, bool)
+        keys, where, item = keys[new], where[new], item[new]
+        self.first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+        self.keys, self.where = keys[self.first], where[self.first]
+        size = np.diff(np.append(self.first, len(keys)))
+        # a name for each set; equal sets have equal names
+        name = np.add.reduceat(ws.mix(item.astype(np.uint64) + np.uint64(1)), self.first) + size.astype(np.uint64) if len(keys) else keys
+        _, one, self.set = np.unique(name, return_index=True, return_inverse=True)
+        self.size = size[one]
+        self.at = np.cumsum(self.size) - self.size
+        self.items = item[np.repeat(self.first[one] - self.at, self.size) + np.arange(int(self.size.sum()))]
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of `hashes` are known, the window of each of these)."""
+        if not len(self.keys):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.searchsorted(self.keys, hashes)
+        at[at == len(self.keys)] = 0
+        known = np.flatnonzero(self.keys[at] == hashes)
+        return known, at[known]
+
+    def pairs(self, doc: np.ndarray, window: np.ndarray) -> np.ndarray:
+        """(document, item) for each distinct pair of a document and a set."""
+        both = np.unique(doc * (len(self.size) + 1) + self.set[window]) if len(doc) else np.zeros(0, np.int64)
+        doc, which = both // (len(self.size) + 1), both % (len(self.size) + 1)
+        times = self.size[which]
+        item = self.items[np.repeat(self.at[which] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))]
+        return np.stack([np.repeat(doc, times), item], 1)
 
 
 class Index:
-    """Fingerprints of some benchmark items."""
+    """Fingerprints and windows of some benchmark items."""
 
     def __init__(self, ids: list[str | None], texts: list[str | None]):
         column = pa.array(texts, pa.string())
@@ -65,27 +118,18 @@ class Index:
             w = ws.scan(offsets, data, ws.ALNUM)
             words.append(w.hash)
             first += (w.first[1:] + first[-1]).tolist()
-        self.words, self.first = np.concatenate(words), np.array(first, np.int64)
-        prints, where, item = [], [], []
-        short: dict[int, list[tuple[int, int]]] = {}
-        for i, (a, b) in enumerate(zip(self.first[:-1], self.first[1:], strict=True)):
-            if 0 < b - a < SPAN:
-                short.setdefault(int(b - a), []).append((int(ws.grams(self.words[a:b], int(b - a))[0]), i))
-            elif b > a:
-                g = ws.grams(self.words[a:b], GRAM)
-                at = np.unique(winnowed(g))
-                prints.append(g[at])
-                where.append(at + a)
-                item.append(np.full(len(at), i))
-        self.prints = np.concatenate([np.zeros(0, np.uint64), *prints])
-        order = np.argsort(self.prints, kind="stable")
-        self.prints = self.prints[order]
-        self.where = np.concatenate([np.zeros(0, np.int64), *where])[order]
-        self.item = np.concatenate([np.zeros(0, np.int64), *item])[order]
+        self.words, first = np.concatenate(words), np.array(first, np.int64)
+        size = np.diff(first)
+        long = np.flatnonzero(size >= SPAN)
+        number = size[long] - SPAN + 1
+        where = np.repeat(first[long] - (np.cumsum(number) - number), number) + np.arange(int(number.sum()))
+        self.long = Windows(ws.grams(self.words, SPAN)[where], where, np.repeat(long, number))
+        least = ws.grams(self.words, GRAM)
+        self.prints = np.unique(np.concatenate([np.zeros(0, np.uint64), *[(g := least[first[i] : first[i + 1] - GRAM + 1])[winnowed(g)] for i in long]]))
         self.short = {}
-        for m, found in short.items():
-            found.sort()
-            self.short[m] = (np.array([x[0] for x in found], np.uint64), np.array([x[1] for x in found]))
+        for m in np.unique(size[(size > 0) & (size < SPAN)]).tolist():
+            item = np.flatnonzero(size == m)
+            self.short[m] = Windows(ws.grams(self.words, m)[first[item]], first[item], item)
 
     def hits(self, words: ws.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(flags of hit words, documents, items): the last two are the distinct pairs that share a window."""
@@ -93,41 +137,33 @@ class Index:
         n = len(hashes)
         edge = np.zeros(n + 1, np.int64)
         pairs = [np.zeros((0, 2), np.int64)]
-        if n and len(self.prints):
-            end = np.repeat(first[1:], np.diff(first))
+        end = np.repeat(first[1:], np.diff(first))
+
+        def mark(known: Windows, start: np.ndarray, size: int) -> None:
+            """`start`: distinct places of windows that lie in one document."""
+            grams = ws.grams(hashes, size)
+            found, window = known.find(grams[start])
+            start = start[found]
+            for j in range(size):
+                same = hashes[start + j] == self.words[known.where[window] + j]
+                start, window = start[same], window[same]
+            edge[start] += 1
+            edge[start + size] -= 1
+            pairs.append(known.pairs(np.searchsorted(first, start, side="right") - 1, window))
+
+        if n >= SPAN and len(self.prints):
             grams = ws.grams(hashes, GRAM)
-            start = np.arange(max(n - SPAN + 1, 0))
-            kept = np.unique(winnowed(grams)[start + SPAN <= end[: len(start)]])
-            lo = np.searchsorted(self.prints, grams[kept])
-            lo[lo == len(self.prints)] = 0
-            kept, lo = kept[self.prints[lo] == grams[kept]], lo[self.prints[lo] == grams[kept]]
-            times = np.searchsorted(self.prints, grams[kept], side="right") - lo
-            at = np.repeat(kept, times)
-            entry = np.repeat(lo, times) + np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
-            doc = np.searchsorted(first, at, side="right") - 1
-            where, item = self.where[entry], self.item[entry]
-            for back in range(WINDOW):  # windows of SPAN words around the shared run
-                s, t = at - back, where - back
-                fits = np.flatnonzero((s >= first[doc]) & (s + SPAN <= first[doc + 1]) & (t >= self.first[item]) & (t + SPAN <= self.first[item + 1]))
-                for j in range(SPAN):
-                    fits = fits[hashes[s[fits] + j] == self.words[t[fits] + j]]
-                np.add.at(edge, s[fits], 1)
-                np.add.at(edge, s[fits] + SPAN, -1)
-                pairs.append(np.stack([doc[fits], item[fits]], 1))
-        for m, (prints, item) in self.short.items():
-            grams = ws.grams(hashes, m)
-            if not len(grams):
-                continue
-            lo = np.searchsorted(prints, grams)
-            lo[lo == len(prints)] = 0
-            end = np.repeat(first[1:], np.diff(first))[: len(grams)]
-            at = np.flatnonzero((prints[lo] == grams) & (np.arange(len(grams)) + m <= end))
-            np.add.at(edge, at, 1)
-            np.add.at(edge, at + m, -1)
-            lo, hi = lo[at], np.searchsorted(prints, grams[at], side="right")
-            times = hi - lo
-            doc = np.repeat(np.searchsorted(first, at, side="right") - 1, times)
-            pairs.append(np.stack([doc, item[np.repeat(lo, times) + np.arange(len(doc)) - np.repeat(np.cumsum(times) - times, times)]], 1))
+            kept = winnowed(grams)
+            at = np.searchsorted(self.prints, grams[kept])
+            at[at == len(self.prints)] = 0
+            kept = kept[self.prints[at] == grams[kept]]
+            start = np.unique((kept[:, None] - np.arange(WINDOW)[None, :]).ravel())
+            start = start[(start >= 0) & (start + SPAN <= n)]
+            mark(self.long, start[start + SPAN <= end[start]], SPAN)
+        for m, known in self.short.items():
+            if n >= m:
+                start = np.arange(n - m + 1)
+                mark(known, start[start + m <= end[start]], m)
         found = np.unique(np.concatenate(pairs), axis=0)
         return np.cumsum(edge[:-1]) > 0, found[:, 0], found[:, 1]
 

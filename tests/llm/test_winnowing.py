@@ -1,6 +1,9 @@
+import random
 import re
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quern.llm import winnowing as w
@@ -64,11 +67,53 @@ def test_empty(spark):
     assert w.contamination(documents(spark, []), none).collect() == []
 
 
-def test_each_window_keeps_its_rightmost_least():
-    x = np.array([5, 3, 3, 9, 1, 8, 8, 8, 8, 8, 8, 2], np.uint64)
-    want = []
-    for i in range(len(x) - w.WINDOW + 1):
-        part = x[i : i + w.WINDOW].tolist()
-        want.append(i + max(j for j, v in enumerate(part) if v == min(part)))
-    assert w.winnowed(x).tolist() == want
+def test_each_window_keeps_its_least():
+    rnd = np.random.default_rng(3)
+    for size, values in ((12, 4), (200, 3), (300, 1000), (50, 1)):
+        x = rnd.integers(0, values, size).astype(np.uint64)
+        kept = set(w.winnowed(x).tolist())
+        for i in range(len(x) - w.WINDOW + 1):
+            part = x[i : i + w.WINDOW]
+            assert any(x[j] == part.min() for j in kept if i <= j < i + w.WINDOW)
+    assert w.winnowed(np.array([5, 3, 9, 1, 8, 7, 6, 9, 9], np.uint64)).tolist() == [3]
+    assert len(w.winnowed(np.zeros(6000, np.uint64))) == 1000  # of equals the one kept before
     assert len(ws.grams(x, 5)) == len(x) - 4
+
+
+def hit_counts(index, texts):
+    column = pa.array(texts, pa.string())
+    out = []
+    for _, _, at, data in ws.slices(column):
+        found = ws.scan(at, data, ws.ALNUM)
+        hit, doc, item = index.hits(found)
+        out.append((np.diff(np.append(0, np.cumsum(hit))[found.first]).tolist(), sorted(zip(doc.tolist(), item.tolist(), strict=True))))
+    return out
+
+
+def test_repeated_text_is_linear():
+    began = time.perf_counter()
+    index = w.Index(["1", "2", "3"], ["und " * 5000, "oder " * 9, "und oder " * 3000])
+    assert hit_counts(index, ["und " * 20_000, "oder " * 20_000, "und oder " * 10_000]) == [([20_000, 20_000, 20_000], [(0, 0), (1, 1), (2, 2)])]
+    assert time.perf_counter() - began < 3
+
+
+def test_a_passage_of_many_items_is_linear():
+    passage = " ".join(f"p{k}" for k in range(2000))
+    began = time.perf_counter()
+    index = w.Index([str(k) for k in range(500)], [passage + f" own{k}" for k in range(500)])
+    (counts, pairs), = hit_counts(index, ["x " + passage + " y", passage, "none of it"])
+    assert counts == [2000, 2000, 0] and len(pairs) == 1000
+    assert time.perf_counter() - began < 8
+
+
+def test_against_brute_force_on_few_words():
+    """Texts of few different words, so that windows repeat in and across texts."""
+    rnd = random.Random(6)
+    make = lambda n: " ".join(rnd.choice("ab") for _ in range(n))
+    items = [(k, make(rnd.choice((3, 9, 10, 12, 25)))) for k in range(40)]
+    texts = [(k, make(rnd.randrange(60))) for k in range(200)]
+    index = w.Index([str(k) for k, _ in items], [t for _, t in items])
+    (counts, pairs), = hit_counts(index, [t for _, t in texts])
+    want = list(brute(texts, items))
+    assert counts == [x[2] for x in want]
+    assert [sum(d == k for d, _ in pairs) for k, _ in texts] == [x[3] for x in want]
