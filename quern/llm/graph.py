@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 from quern.llm.common import saved
 
 
+#: a node with more edges than this, and than one in MOST_HEAVY of all, is heavy: fewer than 2 * MOST_HEAVY nodes can be
+HEAVY, MOST_HEAVY = 1000, 100_000
+
+
+def _with_low(rows: DataFrame, low: DataFrame, edges: int) -> DataFrame:
+    """`rows` (a, b) with the `low` of a (low: a, low, degree). Heavy nodes, a bounded number, are broadcast, so that a hub's rows stay where they are."""
+    limit = max(HEAVY, edges // MOST_HEAVY)
+    heavy = F.broadcast(low.where(F.col("degree") > limit).select("a", "low"))
+    light = rows.join(heavy.select("a"), "a", "left_anti").join(low.where(F.col("degree") <= limit).select("a", "low"), "a")
+    return rows.join(heavy, "a").unionByName(light)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of `edges` (a long, b long); root is the least node of its component.
 
@@ -19,15 +31,15 @@ def components(edges: DataFrame) -> DataFrame:
     now = saved(edges.where("a != b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct(), "edges")
     state = None
     while True:
-        both = now.unionByName(now.selectExpr("b a", "a b"))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-        large = both.where("b > a").join(low, "a").selectExpr("b a", "low b")
-        down = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(down, "a").where("b != low").selectExpr("b a", "low b").unionByName(down.selectExpr("a", "low b"))
-        now = saved(small.where("a != b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct(), "edges")
         # a fixed point is a set of stars: no node is both a leaf and a centre, and no leaf has two centres
         sums = now.agg(F.count("*").alias("n"), F.countDistinct("a").alias("leaves"), F.sum(F.hash("a", "b").cast("long")).alias("sum")).first()
         if state == sums:
             break
         state = sums
+        both = now.unionByName(now.selectExpr("b a", "a b"))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"), F.count("*").alias("degree"))
+        large = _with_low(both.where("b > a"), low, 2 * sums["n"]).selectExpr("b a", "low b")
+        down = large.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("degree"))
+        small = _with_low(large, down, sums["n"]).where("b != low").selectExpr("b a", "low b").unionByName(down.selectExpr("a", "low b"))
+        now = saved(small.where("a != b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct(), "edges")
     return now.selectExpr("a node", "b root").unionByName(now.selectExpr("b node", "b root").distinct())

@@ -3,9 +3,10 @@
 Method: a blocked sparse matrix product of the document by shingle incidence.
 
 1. *Sets.*  One pass over whole texts makes each document's sorted set of
-   64-bit shingle hashes.  Documents with equal sets form a class (128 bits of
-   order-free sums, folded to 64, name it); everything later works on classes,
-   so exact copies cost one row each.
+   64-bit shingle hashes.  Documents with equal sets form a class, named by 128
+   bits of order-free sums; everything later works on classes, so exact copies
+   cost one row each.  Half of the name is the key that rows are dealt by;
+   where sets that differ share a key, the other half tells them apart.
 2. *Size-derived bound.*  Two sets with Jaccard >= 3/4 share at least n/4 of
    the ceil(n/2) least hashes of either.  Those halves are dealt out by hash
    range (the column blocks of the incidence matrix); a block tells which of
@@ -14,17 +15,23 @@ Method: a blocked sparse matrix product of the document by shingle incidence.
    Of the rest, the bound leaves `shared - need + 1` of the rarest shingles:
    linked classes have one of these in common.
 3. *Candidates.*  Each such shingle ties its classes to the least of them (a
-   star, never all pairs); the connected components are candidate clusters.
-4. *Product.*  A cluster's sets are cut into blocks of bounded weight; every
-   pair of blocks is multiplied, overlap counts accumulated over slabs of
-   shingles, and pairs with 100 * overlap < 75 * union dropped.  A task
+   star, never all pairs), first within a block of classes, then the least ones
+   of the blocks, so that a common shingle sends one row a block; the connected
+   components are candidate clusters.
+4. *Product.*  A cluster's sets are cut into blocks of bounded weight.  Each
+   block is multiplied with itself and with the cluster's hub, the class that
+   most stars have in their middle: overlap counts are accumulated over slabs
+   of shingles, and pairs with 100 * overlap < 75 * union dropped.  A task
    returns only a spanning forest of the links that it finds, so nothing that
-   is emitted grows with the square of a group.
+   is emitted grows with the square of a group.  Classes that reach the hub in
+   their block are one component already.  Only what is left over is multiplied
+   with the other blocks: a group of near copies shuffles its sets once.
 5. Components of those links give each document the least doc_id it reaches.
 
-A shingle held by more than :data:`HOT` classes of one map batch is hot: it
-goes last in the order of rarity, and its holders are sent by class instead of
-by shingle, so a passage that a third of all documents carry fills no block.
+A shingle held by more than a few classes of one map batch (:data:`HOT`, fewer
+in larger tables) is hot: it goes last in the order of rarity, and its holders
+are sent by class instead of by shingle, so a passage that a third of all
+documents carry fills no block.
 
 Defined results: a null text has no words; `n_shingles` is 0 and the document
 is its own component.  Repeated rows are kept, one result row each.  Rows that
@@ -39,15 +46,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm import wordscan as ws
-from quern.llm.common import partitions, saved
+from quern.llm.common import BLOCK_BYTES, partitions, saved
 from quern.llm.graph import components
 
 SHINGLE = 5
-HOT = 16
+#: most holders of a shingle that a map batch sends by shingle, and that all batches together may send of one
+HOT, HOLDERS = 16, 1_000_000
 FLUSH_BYTES = 12_000_000
 #: bounds of one block of a candidate cluster: shingles and documents
 BLOCK_TOKENS, BLOCK_DOCS = 1_000_000, 1_500
@@ -83,16 +91,17 @@ def shingle_sets(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.
     return hashes, np.bincount(owner, minlength=len(counts)).astype(np.int64)
 
 
-def class_keys(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """A key per set; equal sets have equal keys."""
+def class_keys(hashes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of the name of each set; equal sets have equal names."""
     full = n > 0
     at = (np.cumsum(n) - n)[full]
-    out = np.zeros(len(n), np.uint64)
+    key, other = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
     if len(at):
         a = np.add.reduceat(ws.mix(hashes), at)
         b = np.add.reduceat(ws.mix(hashes ^ np.uint64(0xA0761D6478BD642F)), at)
-        out[full] = ws.mix(a + ws.mix(b + n[full].astype(np.uint64)))
-    return out
+        size = n[full].astype(np.uint64)
+        key[full], other[full] = ws.mix(a + ws.mix(b + size)), ws.mix(b ^ ws.mix(a + size))
+    return key, other
 
 
 def _pack48(x: np.ndarray) -> bytes:
@@ -124,17 +133,21 @@ def _need(n: np.ndarray) -> np.ndarray:
 
 
 _MAPPED = "block int, kind int, tokens binary, classes binary, extra binary"
-#: kinds: token entries (tokens, classes, holders in the batch), hot holders (same), home rows (doc ids, classes, sizes)
+#: kinds: token entries (tokens, classes, holders in the batch), hot holders (same), home rows (classes; extra: rows of the columns of HOME)
 _ENTRY, _HELD, _HOME = 0, 1, 2
 
 
-def _mapped(blocks: int):
+#: what a home row has for each document: its id and whether there is one, its number of shingles, the other half of its class's name, a mark of its text
+HOME = ("doc_id", "known", "n", "other", "mark")
+
+
+def _mapped(blocks: int, hot_holders: int, flush_bytes: int):
     def flush(rows: list[tuple]) -> pa.RecordBatch:
-        ids, valid, key, n, tokens, owner = (np.concatenate(x) for x in zip(*rows, strict=True))
+        key, columns, tokens, owner = (np.concatenate(x) for x in zip(*rows, strict=True))
         out: list[tuple] = []
         home = (key % np.uint64(blocks)).astype(np.int64)
-        for b, i, v, k, m in _split(home, blocks, ids, valid, key, n):
-            out.append((b, _HOME, i.tobytes() + v.tobytes(), k.tobytes(), m.tobytes()))
+        for b, k, x in _split(home, blocks, key, columns):
+            out.append((b, _HOME, b"", k.tobytes(), x.tobytes()))
         classes = key[owner]
         order = np.lexsort((classes, tokens))
         tokens, classes = tokens[order], classes[order]
@@ -143,10 +156,10 @@ def _mapped(blocks: int):
             tokens, classes = tokens[new], classes[new]
             starts = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
             holders = np.diff(np.append(starts, len(tokens)))
-            hot = np.repeat(holders > HOT, holders)
+            hot = np.repeat(holders > hot_holders, holders)
             for b, t, c in _split((classes[hot] % np.uint64(blocks)).astype(np.int64), blocks, tokens[hot], classes[hot]):
                 out.append((b, _HELD, _pack48(t), c.tobytes(), b""))
-            marks = tokens[starts[holders > HOT]]
+            marks = tokens[starts[holders > hot_holders]]
             for b, t in _split(_block_of(marks, blocks), blocks, marks):
                 out.append((b, _ENTRY, _pack48(t), b"", b""))  # no classes: the shingle is hot
             tokens, classes = tokens[~hot], classes[~hot]
@@ -160,17 +173,19 @@ def _mapped(blocks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size, docs = [], 0, 0
         for batch in batches:
-            ids, text = batch.column(0), batch.column(1)
+            ids, text, mark = batch.column(0), batch.column(1), batch.column(2)
             for lo, hi, at, data in ws.slices(text, 1_000_000):
                 hashes, n = shingle_sets(at, data)
-                key = class_keys(hashes, n)
+                key, other = class_keys(hashes, n)
                 half = -(-n // 2)
                 rank = np.arange(len(hashes)) - np.repeat(np.cumsum(n) - n, n)
                 least = rank < np.repeat(half, n)
                 part = ids.slice(lo, hi - lo)
-                rows.append((part.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), part.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8), key, n, hashes[least] & _LOW48, np.repeat(np.arange(hi - lo), n)[least] + docs))
+                whole = lambda x: x.to_numpy(zero_copy_only=False).astype(np.int64)
+                columns = np.stack([whole(part.fill_null(0)), whole(part.is_valid()), n, other.view(np.int64), whole(mark.slice(lo, hi - lo))], axis=1)
+                rows.append((key, columns, hashes[least] & _LOW48, np.repeat(np.arange(hi - lo), n)[least] + docs))
                 size, docs = size + len(data), docs + hi - lo
-                if size >= FLUSH_BYTES:
+                if size >= flush_bytes:
                     yield flush(rows)
                     rows, size, docs = [], 0, 0
         if rows:
@@ -179,7 +194,7 @@ def _mapped(blocks: int):
     return run
 
 
-_REPLY = "block int, tokens binary, classes binary, ranks binary, ids binary"
+_REPLY = "block int, tokens binary, classes binary, ranks binary, home binary"
 
 
 def _counted(blocks: int):
@@ -188,7 +203,7 @@ def _counted(blocks: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         for r in pdf[pdf.kind == _HOME].itertuples():
-            out.append((key[0], r.extra, r.classes, None, r.tokens))
+            out.append((key[0], None, r.classes, None, r.extra))
         for r in pdf[pdf.kind == _HELD].itertuples():
             out.append((key[0], r.tokens, r.classes, b"", None))
         rows = pdf[pdf.kind == _ENTRY]
@@ -212,77 +227,94 @@ def _counted(blocks: int):
                 keep = (df > 1) | (rank == 255)
                 for b, t, c, k in _split((classes[keep] % np.uint64(blocks)).astype(np.int64), blocks, tokens[keep], classes[keep], rank[keep]):
                     out.append((b, _pack48(t), c.tobytes(), k.tobytes(), None))
-        return pd.DataFrame(out, columns=["block", "tokens", "classes", "ranks", "ids"])
+        return pd.DataFrame(out, columns=["block", "tokens", "classes", "ranks", "home"])
 
     return run
 
 
-_CANDIDATE = "doc_id long, class long, n long, block int, tokens binary, classes binary"
+_CANDIDATE = "doc_id long, class long, n long, other long, mark long, block int, tokens binary, classes binary, a long, b long"
+
+
+def _named(key: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The class of each row: its key, or for sets that differ but share a key, the key and the other half mixed (the least other half keeps it)."""
+    order = np.lexsort((other, key))
+    k, o = key[order], other[order]
+    first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
+    least = np.repeat(o[first], np.diff(np.append(first, len(k))))
+    out = key.copy()
+    out[order] = np.where(o == least, k, ws.mix(k ^ ws.mix(o)))
+    return out
+
+
+def _stars_of(tokens: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct pairs of the least holder of a shingle and another holder, shingles, the least holder of each)."""
+    order = np.lexsort((classes, tokens))
+    tokens, classes = tokens[order], classes[order]
+    starts = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1])) if len(tokens) else np.zeros(0, np.int64)
+    hub = np.repeat(classes[starts], np.diff(np.append(starts, len(tokens))))
+    pairs = np.unique(np.stack([hub, classes], 1)[hub != classes], axis=0)
+    return pairs, tokens[starts], classes[starts]
 
 
 def _bounded(blocks: int):
-    """A class block: applies the size-derived bound, returns the documents' rows and the shingles that remain."""
+    """A class block: applies the size-derived bound, returns the documents' rows, stars of the shingles that remain, and their middles."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        home = pdf[pdf.ids.notna()]
-        out = []
-        keys, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for r in home.itertuples():
-            m = len(r.classes) // 8
-            ids, valid = np.frombuffer(r.ids[: 8 * m], np.int64), np.frombuffer(r.ids[8 * m :], np.uint8)
-            keys.append(np.frombuffer(r.classes, np.uint64))
-            sizes.append(np.frombuffer(r.tokens, np.int64))
-            known = pd.arrays.IntegerArray(ids.copy(), valid == 0)
-            out.append(pd.DataFrame({"doc_id": known, "class": pd.array(keys[-1].view(np.int64), "Int64"), "n": pd.array(sizes[-1], "Int64")}))
-        key, first = np.unique(np.concatenate(keys), return_index=True)
-        size = np.concatenate(sizes)[first]
-        rows = pdf[pdf.ids.isna()]
+        home = pdf[pdf.home.notna()]
+        key = np.frombuffer(b"".join(home.classes), np.uint64)
+        columns = np.frombuffer(b"".join(home.home), np.int64).reshape(-1, len(HOME))
+        size, other = columns[:, 2], columns[:, 3]
+        name = _named(key, other.view(np.uint64)).view(np.int64)
+        out = [pd.DataFrame({"doc_id": pd.arrays.IntegerArray(columns[:, 0].copy(), columns[:, 1] == 0), "class": name, "n": size, "other": other, "mark": columns[:, 4]})]
+        rows = pdf[pdf.home.isna()]
         if len(rows):
+            # of each key its classes, and the least size among them: where a key has several, all get its shingles, which is more than they have
+            _, first = np.unique(name, return_index=True)
+            order = first[np.lexsort((name[first], key[first]))]
+            keys, begin = np.unique(key[order], return_index=True)
+            least = np.minimum.reduceat(size[order], begin)
+            several = np.diff(np.append(begin, len(order)))
             tokens = _unpack48(list(rows.tokens))
             classes = np.frombuffer(b"".join(rows.classes), np.uint64)
             rank = np.concatenate([np.frombuffer(k, np.uint8) if len(k) else np.full(len(t) // 6, 255, np.uint8) for k, t in zip(rows.ranks, rows.tokens, strict=True)])
-            order = np.lexsort((tokens, rank, classes))
-            tokens, classes = tokens[order], classes[order]
+            by = np.lexsort((tokens, rank, classes))
+            tokens, classes = tokens[by], classes[by]
             new = np.append(True, (tokens[1:] != tokens[:-1]) | (classes[1:] != classes[:-1]))
             tokens, classes = tokens[new], classes[new]
             starts = np.flatnonzero(np.append(True, classes[1:] != classes[:-1]))
             shared = np.diff(np.append(starts, len(classes)))
-            left = shared - _need(size[np.searchsorted(key, classes[starts])]) + 1
+            left = shared - _need(least[np.searchsorted(keys, classes[starts])]) + 1
             keep = np.arange(len(classes)) - np.repeat(starts, shared) < np.repeat(left, shared)
-            tokens, classes = tokens[keep], classes[keep]
-            for b, t, c in _split(_block_of(tokens, blocks), blocks, tokens, classes):
-                out.append(pd.DataFrame({"block": pd.array([b], "Int64"), "tokens": [_pack48(t)], "classes": [c.tobytes()]}))
+            tokens, at = tokens[keep], np.searchsorted(keys, classes[keep])
+            times = several[at]
+            owner = name[order][np.repeat(begin[at] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))]
+            pairs, tokens, middle = _stars_of(np.repeat(tokens, times), owner)
+            out.append(pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]}))
+            for b, t, c in _split(_block_of(tokens, blocks), blocks, tokens, middle):
+                out.append(pd.DataFrame({"block": [b], "tokens": [_pack48(t)], "classes": [c.tobytes()]}))
         # nullable integers throughout: keys have 64 bits, which a float column would round
-        columns = {"doc_id": "Int64", "class": "Int64", "n": "Int64", "block": "Int64", "tokens": object, "classes": object}
-        return pd.concat([x.reindex(columns=list(columns)).astype(columns) for x in out]) if out else pd.DataFrame(columns=list(columns)).astype(columns)
+        columns = {"doc_id": "Int64", "class": "Int64", "n": "Int64", "other": "Int64", "mark": "Int64", "block": "Int64", "tokens": object, "classes": object, "a": "Int64", "b": "Int64"}
+        return pd.concat([x.reindex(columns=list(columns)).astype(columns) for x in out])
 
     return run
 
 
 def _stars(pdf: pd.DataFrame) -> pd.DataFrame:
-    tokens = _unpack48(list(pdf.tokens))
-    classes = np.frombuffer(b"".join(pdf.classes), np.int64)
-    order = np.lexsort((classes, tokens))
-    tokens, classes = tokens[order], classes[order]
-    starts = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
-    hub = np.repeat(classes[starts], np.diff(np.append(starts, len(tokens))))
-    pairs = np.unique(np.stack([hub, classes], 1)[hub != classes], axis=0)
+    pairs, _, _ = _stars_of(_unpack48(list(pdf.tokens)), np.frombuffer(b"".join(pdf.classes), np.int64))
     return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
 def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cluster, class, chunks, text) -> its set, if the text has the class that is looked for (a doc_id may have others)."""
+    """(cluster, class, chunks, hub, other, text) -> its set, if the text has the set that is looked for."""
     for batch in batches:
         for lo, hi, at, data in ws.slices(batch.column("text"), 1_000_000):
             hashes, n = shingle_sets(at, data)
-            key = class_keys(hashes, n).view(np.int64)
+            _, other = class_keys(hashes, n)
             part = batch.slice(lo, hi - lo)
             ends = np.cumsum(n)
-            keep = np.flatnonzero(key == part.column("class").to_numpy())
-            yield pa.RecordBatch.from_arrays(
-                [part.column("cluster").take(pa.array(keep)), part.column("class").take(pa.array(keep)), part.column("chunks").take(pa.array(keep)), pa.array([hashes[ends[i] - n[i] : ends[i]].tobytes() for i in keep], pa.binary())],
-                names=["cluster", "class", "chunks", "tokens"],
-            )
+            keep = np.flatnonzero(other.view(np.int64) == part.column("other").to_numpy())
+            names = ["cluster", "class", "chunks", "hub"]
+            yield pa.RecordBatch.from_arrays([*[part.column(c).take(pa.array(keep)) for c in names], pa.array([hashes[ends[i] - n[i] : ends[i]].tobytes() for i in keep], pa.binary())], names=[*names, "tokens"])
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -341,34 +373,66 @@ def _product(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
+def _own(chunks: str = "chunks") -> Column:
+    return F.pmod(F.hash("class"), F.col(chunks))
+
+
+def _own_blocks(sets: DataFrame, blocks: int) -> DataFrame:
+    """`sets` (cluster, class, chunks, hub, tokens) as dealt out to the blocks of their clusters: each to its own, the hub to all."""
+    bin_ = F.when(F.col("chunks") == 1, F.pmod(F.hash("cluster"), F.lit(4 * blocks)).cast("long")).otherwise(F.col("cluster"))
+    every = F.sequence(F.lit(0), F.col("chunks") - 1)
+    return sets.select("cluster", "class", "tokens", "chunks", bin_.alias("bin"), F.explode(F.when(F.col("hub"), every).otherwise(F.array(_own()))).alias("i"))
+
+
+def _left_over(several: DataFrame, first: DataFrame) -> DataFrame:
+    """Of clusters of several blocks, what does not reach the hub by the links `first`, in parts, with all blocks of its cluster."""
+    by = several.select("cluster", F.col("class").alias("node"), "hub")
+    root = components(first.select("a", "b").join(by.selectExpr("node a"), "a", "left_semi")).withColumnRenamed("node", "n")
+    rooted = by.join(root, F.col("node") == F.col("n"), "left").select("cluster", "node", "hub", F.coalesce("root", "node").alias("root"))
+    top = rooted.where("hub").select("cluster", F.col("root").alias("top"))
+    left = saved(rooted.join(top, "cluster").where("root != top").select("cluster", F.col("node").alias("class")), "left")
+    parts = left.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("int").alias("parts"))
+    again = several.select("cluster", "class", "tokens", "chunks").join(parts, "cluster")
+    here = again.select("cluster", "class", "tokens", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), _own().alias("j"))
+    over = again.join(left, ["cluster", "class"], "left_semi")
+    part = F.pmod(F.hash("class", F.lit(1)), F.col("parts"))
+    return here.unionByName(over.select("cluster", "class", "tokens", part.alias("i"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j")))
+
+
+def _links(sets: DataFrame, blocks: int) -> DataFrame:
+    """a, b: spanning forests of the links among `sets`, one row a class."""
+    first = saved(_own_blocks(sets, blocks).groupBy("bin", "chunks", "i").applyInPandas(_product, "a long, b long"), "links")
+    several = sets.where("chunks > 1")
+    if several.isEmpty():
+        return first
+    return saved(first.unionByName(_left_over(several, first).groupBy("cluster", "i", "j").applyInPandas(_product, "a long, b long")), "links")
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of `docs` (doc_id long, text string; other columns are ignored).
 
     See the module for the method and for the cases.  An empty table gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("mark"))
     blocks = partitions(docs)
-    mapped = docs.mapInArrow(_mapped(blocks), _MAPPED)
+    batches = 1 + blocks * BLOCK_BYTES // FLUSH_BYTES
+    mapped = docs.mapInArrow(_mapped(blocks, min(HOT, max(1, HOLDERS // batches)), FLUSH_BYTES), _MAPPED)
     reply = mapped.groupBy("block").applyInPandas(_counted(blocks), _REPLY)
     bounded = saved(reply.groupBy("block").applyInPandas(_bounded(blocks), _CANDIDATE), "shingles")
-    member = bounded.where("class is not null").select("doc_id", "class", "n")
-    stars = bounded.where("block is not null").groupBy("block").applyInPandas(_stars, "a long, b long")
+    member = bounded.where("class is not null").select("doc_id", "class", "n", "other", "mark")
+    stars = saved(bounded.where("block is not null").groupBy("block").applyInPandas(_stars, "a long, b long").unionByName(bounded.where("a is not null").select("a", "b")), "stars")
     cluster = components(stars).selectExpr("node class", "root cluster")
-    rep = member.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
-    rep = rep.join(cluster, "class")
-    weight = rep.groupBy("cluster").agg(F.sum("n").alias("tokens"), F.count("*").alias("docs"))
-    weight = weight.select("cluster", F.ceil(F.greatest(F.col("tokens") / BLOCK_TOKENS, F.col("docs") / BLOCK_DOCS)).cast("int").alias("chunks"))
-    rep = rep.join(weight, "cluster").selectExpr("cluster", "class", "chunks", "doc_id wanted")
-    texts = docs.join(rep.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("wanted"))).select("cluster", "class", "chunks", "text")
-    sets = texts.mapInArrow(_sets_of, "cluster long, class long, chunks int, tokens binary")
-    own = F.pmod(F.hash("class"), F.col("chunks"))
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    pairs = sets.select("*", own.alias("own"), other.alias("other")).select(
-        "cluster", "class", "tokens", "chunks",
-        F.when(F.col("chunks") == 1, F.pmod(F.hash("cluster"), F.lit(4 * blocks)).cast("long")).otherwise(F.col("cluster")).alias("bin"),
-        F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-    )
-    links = saved(pairs.groupBy("bin", "chunks", "i", "j").applyInPandas(_product, "a long, b long"), "links")
+    # one text of each class: id and mark find it, as a null or repeated id has others
+    one = member.where("n > 0").groupBy("class").agg(F.min(F.struct("doc_id", "mark", "n", "other")).alias("x"))
+    rep = one.select("class", F.col("x.doc_id").alias("wanted"), F.col("x.mark").alias("marked"), "x.n", "x.other").join(cluster, "class")
+    middle = stars.groupBy(F.col("a").alias("class")).agg(F.count("*").alias("star"))
+    size = rep.join(middle, "class", "left").groupBy("cluster").agg(F.sum("n").alias("tokens"), F.count("*").alias("docs"), F.max(F.struct(F.coalesce("star", F.lit(0)), "class"))["class"].alias("top"))
+    size = size.select("cluster", "top", F.ceil(F.greatest(F.col("tokens") / BLOCK_TOKENS, F.col("docs") / BLOCK_DOCS)).cast("int").alias("chunks"))
+    rep = rep.join(size, "cluster").selectExpr("cluster", "class", "chunks", "class = top hub", "other", "wanted", "marked")
+    texts = docs.join(rep.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("wanted")) & (F.col("mark") == F.col("marked")))
+    sets = texts.select("cluster", "class", "chunks", "hub", "other", "text").mapInArrow(_sets_of, "cluster long, class long, chunks int, hub boolean, tokens binary")
+    links = _links(saved(sets.dropDuplicates(["class"]), "sets"), blocks)
     # a class's name is its least id, a component's the least name of its classes. Each step is written, so that the joins read
     # plain exchanges, which adaptive execution can split where one class or component is large
     first = saved(member.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least")), "classes")

@@ -3,8 +3,10 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from quern.llm import graph
 from quern.llm import ngram_join as j
 from quern.llm.common import table
 from quern.llm.graph import components
@@ -78,6 +80,66 @@ def test_odd_texts_and_chains(spark, monkeypatch, small):
     assert got(j.jaccard_components(documents(spark, texts, ids).repartition(3))) == brute(list(zip(ids, texts, strict=True)))
 
 
+def test_null_and_shared_ids(spark):
+    """Many different texts without an id, or with one id, and among them pairs that link."""
+    rnd = random.Random(8)
+    texts = [" ".join(f"w{rnd.randrange(10**6)}" for _ in range(40)) for _ in range(120)]
+    texts += [t + " more words" for t in texts[:60]] + texts[:10]
+    ids = [None if k % 3 == 0 else 7 if k % 3 == 1 else k for k in range(len(texts))]
+    assert got(j.jaccard_components(documents(spark, texts, ids).repartition(4))) == brute(list(zip(ids, texts, strict=True)))
+
+
+def near_copies(n):
+    rnd = random.Random(2)
+    base = [f"w{k}" for k in range(200)]
+    out = []
+    for k in range(n):
+        now = list(base)
+        now[rnd.randrange(200)] = f"v{k}"
+        out.append(" ".join(now))
+    return out
+
+
+def test_a_group_of_near_copies_sends_its_sets_once(spark, monkeypatch):
+    monkeypatch.setattr(j, "BLOCK_DOCS", 10)
+    sent = []
+    for name in ("_own_blocks", "_left_over"):
+
+        def counted(*given, part=getattr(j, name)):
+            out = part(*given)
+            sent.append(out.count())
+            return out
+
+        monkeypatch.setattr(j, name, counted)
+    out = j.jaccard_components(documents(spark, near_copies(200))).select("component_id").distinct().collect()
+    assert [r.component_id for r in out] == [0]
+    assert 200 <= sent[0] < 200 + 25 and sent[1] == 0  # its hub goes to every block, the others to one, and nothing is left over
+
+
+def test_sets_that_share_a_key(monkeypatch):
+    """Half a name may be the same by chance; here it nearly always is."""
+    whole = j.class_keys
+
+    def short(hashes, n):
+        key, other = whole(hashes, n)
+        return np.where(n > 0, key % np.uint64(3), key), other
+
+    monkeypatch.setattr(j, "class_keys", short)
+    texts = near_copies(12)[:6] + [" ".join(f"u{k}x{i}" for i in range(50)) for k in range(6)] + near_copies(1) * 2
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts), pa.array(range(len(texts)), pa.int64())], names=["doc_id", "text", "mark"])
+    mapped = pa.Table.from_batches(list(j._mapped(1, 16, 10**9)(iter([batch])))).to_pandas()
+    out = j._bounded(1)(j._counted(1)((0,), mapped))
+    member = out[out["class"].notna()]
+    name = dict(zip(member["doc_id"], member["class"], strict=True))
+    assert len(set(name.values())) == 12 and name[0] == name[12] == name[13]  # 6 near copies, 6 others; the last two repeat the first
+    reach = {frozenset((int(a), int(b))) for a, b in zip(out.a.dropna(), out.b.dropna(), strict=True)}
+    near = {int(name[k]) for k in range(6)}
+    front = {int(name[0])}
+    while more := {x for e in reach if e & front for x in e} - front:
+        front |= more
+    assert near <= front
+
+
 def test_empty(spark):
     assert j.jaccard_components(documents(spark, [])).collect() == []
     assert got(j.jaccard_components(documents(spark, [None, ""]))) == [(0, 0, 0), (1, 0, 1)]
@@ -94,3 +156,22 @@ def test_components(spark):
     edges = [(k, k + 1) for k in range(100, 180)] + [(5, k) for k in range(6, 30)] + [(1, 1), (300, 200)]
     out = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert out == {k: 100 for k in range(100, 181)} | {k: 5 for k in range(5, 30)} | {200: 200, 300: 200}
+
+
+def test_components_of_heavy_nodes(spark, monkeypatch):
+    monkeypatch.setattr(graph, "HEAVY", 5)
+    monkeypatch.setattr(graph, "MOST_HEAVY", 20)
+    rnd = random.Random(9)
+    edges = [(1000, k) for k in range(60)] + [(2000, 2000 + k) for k in range(1, 60)] + [(rnd.randrange(3000, 3100), rnd.randrange(3000, 3100)) for _ in range(90)] + [(59, 2001)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+    out = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert out == {x: find(x) for a, b in edges if a != b for x in (a, b)}
