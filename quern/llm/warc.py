@@ -3,18 +3,25 @@ r"""WARC archives and their index by external merge (operator 5).
 Writing: payloads of at least :data:`REVISIT_BYTES` bytes that are equal (by
 SHA-1 and length) are stored once, by the row with the largest page_id; the
 others become revisit records that refer to it.  Which digests repeat is found
-on (digest, length, page_id) alone, reduced before the shuffle.  A record is
-made with string functions and written by Spark's text writer, whose line
-separator is the two line breaks that end every WARC record, as gzip files; so
-archives are committed like any table, in the folder that all executors share, and a lost
-task leaves nothing behind.
-
-Reading: archives come back as whole files of at most :data:`RECORDS` records,
-are parsed by Content-Length, and every stored payload is hashed again.  The
+on (digest, length, page_id) alone, reduced before the shuffle; shorter pages
+and pages without an id never take part in the join.  Each record is a gzip
+member of its own, so that its offset in the index is a place to read from.
+Tasks gather members into archives of :data:`ARCHIVE_BYTES` bytes (a longer
+record is one alone) and Spark's text writer puts each into a file, followed by
+an empty member as its line separator; so archives are committed like any
+table, in the folder that all executors share, and a lost task leaves nothing
+behind.
+
+Reading: archives come back as whole files, are unpacked member by member,
+parsed by Content-Length, and every stored payload is hashed again.  The
 captures of an archive, sorted by URL key, timestamp and page, are one run.
 Runs are dealt out by ranges of that key, and in each range a loser tree merges
-the slices of all runs: the ranges in order are the capture histories of the
-whole corpus.  A hot URL spreads over ranges, as the page is part of the key.
+the slices of all runs (a slice that a fetch has mixed counts as several): the
+ranges in order are the capture histories of the whole corpus.  A hot URL
+spreads over ranges, as the page is part of the key.
+
+Pages have no capture times: page n counts as captured n seconds after
+:data:`EPOCH`, in UTC whatever the session's zone.
 
 Defined results: a null html is an empty payload, a null url an empty one.
 Control characters in a url become blanks in the header.  Repeated rows are
@@ -26,23 +33,23 @@ ignored.
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import re
+import zlib
 from collections.abc import Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.common import partitions, saved, scratch
 
 REVISIT_BYTES = 1000
-RECORDS = 1000
-#: without a column of capture times, page n counts as captured n seconds after this
+ARCHIVE_BYTES = 16_000_000
+#: the seconds since 1970 that page 0 counts as captured at
 EPOCH = 1704067200
-SEPARATOR = "\r\n\r\n"
+SEPARATOR = b"\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -52,23 +59,31 @@ def repeated(pages: DataFrame) -> DataFrame:
     return by.where("n > 1").select("digest", F.col("size").alias("same_size"), "keeper")
 
 
+def utc(seconds: Column) -> Column:
+    """Seconds since 1970 as `2024-01-01T00:00:00Z`; no time zone takes part."""
+    day, rest = F.floor(seconds / 86400), F.pmod(seconds, F.lit(86400))
+    two = lambda x: F.lpad(x.cast("long").cast("string"), 2, "0")
+    return F.concat(F.date_add(F.lit("1970-01-01").cast("date"), day.cast("int")).cast("string"), F.lit("T"), two(F.floor(rest / 3600)), F.lit(":"), two(F.floor(rest / 60) % 60), F.lit(":"), two(rest % 60), F.lit("Z"))
+
+
 def records(pages: DataFrame) -> DataFrame:
     """One column `value`: the WARC record of each row, without the line breaks that end it."""
     df = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     df = df.withColumn("digest", F.sha1("html")).withColumn("size", F.octet_length("html").cast("long"))
     same = repeated(df.select("page_id", "digest", "size")).withColumnRenamed("digest", "same_digest")
-    df = df.join(same, (F.col("digest") == F.col("same_digest")) & (F.col("size") == F.col("same_size")), "left")
+    may = (F.col("size") >= REVISIT_BYTES) & F.col("page_id").isNotNull()
+    once = df.where(~may).withColumn("keeper", F.lit(None).cast("long"))
+    df = df.where(may).join(same, (F.col("digest") == F.col("same_digest")) & (F.col("size") == F.col("same_size")), "left").select(*once.columns).unionByName(once)
     revisit = F.coalesce(F.col("keeper") != F.col("page_id"), F.lit(False))
     name = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit("\r\n\r\n"))
-    date = F.date_format(F.timestamp_seconds(F.lit(EPOCH) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     length = F.octet_length(http) + F.when(revisit, 0).otherwise(F.col("size"))
     line = lambda key, value: F.concat(F.lit(f"{key}: "), value, F.lit("\r\n"))
     value = F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
         line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), name, F.lit(">"))),
-        line("WARC-Date", date),
+        line("WARC-Date", utc(F.lit(EPOCH) + F.coalesce("page_id", F.lit(0)))),
         line("WARC-Target-URI", F.regexp_replace("url", r"[\x00-\x1F\x7F]", " ")),
         F.when(revisit, F.concat(line("WARC-Profile", F.lit(_PROFILE)), line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("keeper").cast("string"), F.lit(">"))))).otherwise(""),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
@@ -79,13 +94,52 @@ def records(pages: DataFrame) -> DataFrame:
     return df.select(value.alias("value"))
 
 
-def write(pages: DataFrame, path: str) -> None:
-    records(pages).write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", RECORDS).option("compression", "gzip").text(path)
+def member(data: bytes) -> bytes:
+    """`data` as one gzip member."""
+    pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return pack.compress(data) + pack.flush()
+
+
+#: a gzip member without content, which may follow any other
+EMPTY = member(b"")
+
+
+def _archives(limit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, size = [], 0
+        for batch in batches:
+            for value in batch.column("value"):
+                one = member(value.as_buffer().to_pybytes() + SEPARATOR)
+                if made and size + len(one) > limit:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(made)], pa.binary())], names=["value"])
+                    made, size = [], 0
+                made.append(one)
+                size += len(one)
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(made)], pa.binary())], names=["value"])
+
+    return run
+
+
+def write(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    packed = records(pages).mapInArrow(_archives(archive_bytes), "value binary").select(F.col("value").cast("string"))
+    # a file per row; the bytes of a string are written as they are, and Latin-1 gives those of the separator
+    packed.write.option("maxRecordsPerFile", 1).option("encoding", "ISO-8859-1").option("lineSep", EMPTY.decode("latin-1")).text(path)
 
 
-def unpacked(content: bytes) -> bytes:
-    """An archive's records, whether the file is compressed or not."""
-    return gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
+def members(archive: bytes, at: int = 0, piece: int = 1 << 16) -> Iterator[tuple[int, bytes]]:
+    """(offset, content) of the gzip members from `at` on that have content; each is fed in pieces, so reading one does not touch the rest."""
+    view = memoryview(archive)
+    while at < len(view):
+        start, unpack, out = at, zlib.decompressobj(31), []
+        while not unpack.eof:
+            fed = view[at : at + piece]
+            if not len(fed):
+                raise ValueError(f"the member at {start} has no end")
+            out.append(unpack.decompress(fed))
+            at += len(fed) - len(unpack.unused_data)
+        if any(out):
+            yield start, b"".join(out)
 
 
 def url_key(url: str) -> str:
@@ -98,19 +152,18 @@ def url_key(url: str) -> str:
 
 def parse(archive: bytes) -> Iterator[dict[str, Any]]:
     """The records of an archive; raises where lengths or digests don't fit."""
-    at = 0
-    while at < len(archive):
-        end = archive.index(b"\r\n\r\n", at)
-        lines = archive[at:end].decode("utf-8").split("\r\n")
+    for at, record in members(archive):
+        end = record.index(b"\r\n\r\n")
+        lines = record[:end].decode("utf-8").split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"no WARC record at {at}")
         head = dict(x.split(": ", 1) for x in lines[1:])
         start, stop = end + 4, end + 4 + int(head["Content-Length"])
-        if archive[stop : stop + 4] != b"\r\n\r\n":
+        if record[stop:] != SEPARATOR:
             raise ValueError(f"the record at {at} doesn't end where its length says")
-        split = archive.index(b"\r\n\r\n", start, stop)
-        http = dict(x.split(": ", 1) for x in archive[start:split].decode("utf-8").split("\r\n")[1:])
-        payload, digest = archive[split + 4 : stop], head["WARC-Payload-Digest"].removeprefix("sha1:")
+        split = record.index(b"\r\n\r\n", start, stop)
+        http = dict(x.split(": ", 1) for x in record[start:split].decode("utf-8").split("\r\n")[1:])
+        payload, digest = record[split + 4 : stop], head["WARC-Payload-Digest"].removeprefix("sha1:")
         revisit = head["WARC-Type"] == "revisit"
         if not revisit and (hashlib.sha1(payload).hexdigest() != digest or len(payload) != int(http["Content-Length"])):
             raise ValueError(f"the payload at {at} isn't what was written")
@@ -120,7 +173,6 @@ def parse(archive: bytes) -> Iterator[dict[str, Any]]:
             "payload_bytes": int(http["Content-Length"]), "payload_digest": digest, "record_type": head["WARC-Type"],
             "refers_to": number(head["WARC-Refers-To"]) if revisit else None,
         }
-        at = stop + 4
 
 
 _INDEX = "archive string, page_id long, url_key string, captured string, offset long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -136,7 +188,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
             name = path.as_py().rsplit("/", 1)[1]
-            run = sorted(({"archive": name} | r for r in parse(unpacked(content.as_py()))), key=_key)
+            run = sorted(({"archive": name} | r for r in parse(content.as_py())), key=_key)
             yield pa.RecordBatch.from_pylist(run, schema=_TYPES)
 
 
@@ -174,17 +226,21 @@ class LoserTree:
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    runs: dict[str, list[tuple]] = {}
+    rows: list[dict[str, Any]] = []
+    runs: list[list[tuple]] = []
+    now: dict[str, list[tuple]] = {}
     for batch in batches:
         for row in batch.to_pylist():
-            runs.setdefault(row["archive"], []).append((_key(row), row))
-    for run in runs.values():  # a run is in order already but for where a fetch mixed its parts
-        if any(a[0] > b[0] for a, b in zip(run, run[1:], strict=False)):
-            run.sort(key=lambda x: x[0])
+            key = _key(row)
+            run = now.get(row["archive"])
+            if run is None or run[-1][0] > key:  # a new archive, or a run that a fetch has mixed goes on as another
+                run = now[row["archive"]] = []
+                runs.append(run)
+            run.append((key, len(rows)))
+            rows.append(row)
     out = []
-    for key_row in LoserTree([[(k, i) for i, (k, _) in enumerate(run)] for run in runs.values()]):
-        (key, i) = key_row
-        out.append(runs[key[4]][i][1])
+    for _, i in LoserTree(runs):
+        out.append(rows[i])
         if len(out) == 5000:
             yield pa.RecordBatch.from_pylist(out, schema=_TYPES)
             out = []

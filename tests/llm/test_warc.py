@@ -1,6 +1,11 @@
+import datetime
+import gzip
 import hashlib
 import random
 
+import pyarrow as pa
+import pytest
+
 from quern.llm import warc as w
 from quern.llm.common import scratch, table
 
@@ -47,11 +52,43 @@ def test_table(spark, sf_dir):
 def test_archives_hold_the_payloads(spark):
     rows = [(k, f"http://h{k % 3}.org/{k}", f"<p>{'text ' * 300}{k % 4}</p>") for k in range(40)]
     path = scratch(spark, "archives")
-    w.write(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), path)
-    files = spark.read.format("binaryFile").load(path).collect()
-    whole = [w.unpacked(bytes(f.content)) for f in files]
-    assert sum(x.count(b"WARC-Type: response") for x in whole) == 4 and sum(len(list(w.parse(x))) for x in whole) == 40
-    assert w.unpacked(whole[0]) == whole[0] and all(f.path.endswith(".gz") for f in files)
+    w.write(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), path, 600)
+    files = {f.path.rsplit("/", 1)[1]: bytes(f.content) for f in spark.read.format("binaryFile").load(path).collect()}
+    assert len(files) > 10 and all(len(x) < 1500 for x in files.values())  # archives are bounded by bytes
+    whole = [gzip.decompress(x) for x in files.values()]  # and are gzip files
+    assert sum(x.count(b"WARC-Type: response") for x in whole) == 4 and sum(len(list(w.parse(x))) for x in files.values()) == 40
+    for r in w.index(spark, path).collect():  # an offset is a place to read from
+        at, record = next(w.members(files[r.archive], r.offset))
+        assert at == r.offset and f"<urn:page:{r.page_id}>".encode() in record and record.endswith(b"\r\n\r\n")
+
+
+def test_long_members_are_read_in_pieces():
+    data = [b"a" * 10, random.Random(1).randbytes(300_000), b"", b"b" * 1_000_000]
+    archive = b"".join(w.member(x) + w.EMPTY for x in data)
+    assert [x for _, x in w.members(archive, piece=1000)] == [x for x in data if x]
+    with pytest.raises(ValueError):
+        list(w.members(archive[:-30]))
+
+
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Kolkata"])
+def test_dates_are_utc_in_any_zone(spark, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        ids = [0, 1, 59, 3600, 86399, 86400, 60 * 86400 + 5, 70 * 86400 + 7200 + 1800, None]
+        out = w.archive(spark.createDataFrame([(k, "http://a.b/", "x") for k in ids], "page_id long, url string, html string")).collect()
+        assert {r.page_id: r.captured for r in out} == {k: datetime.datetime.fromtimestamp(w.EPOCH + (k or 0), datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ") for k in ids}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_mixed_runs_are_merged():
+    row = lambda archive, k: {"archive": archive, "page_id": k, "url_key": f"k{k:03}", "captured": "t", "offset": k, "payload_bytes": 0, "payload_digest": "", "record_type": "response", "refers_to": None}
+    rnd = random.Random(5)
+    rows = [row("a", k) for k in range(0, 40, 2)] + [row("b", k) for k in range(1, 40, 2)]
+    for mixed in (rows, rows[10:20] + rows[:10] + rows[20:], rnd.sample(rows, len(rows))):
+        out = [r for b in w._merged(iter([pa.RecordBatch.from_pylist(mixed, schema=w._TYPES)])) for r in b.to_pylist()]
+        assert [r["page_id"] for r in out] == list(range(40))
 
 
 def test_loser_tree():
