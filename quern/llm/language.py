@@ -9,8 +9,9 @@ before it, ASCII letters lower-cased; words of more than :data:`WORD_BYTES`
 bytes are scored in runs of that many.
 
 Piece probabilities come from expectation-maximisation on the word counts of
-at most :data:`SAMPLE` documents per language, those with the least hash of
-their id.  This bound is for fitting only; every text is scored whole.  A
+at most :data:`SAMPLE` documents per language with :data:`SAMPLE_BYTES` bytes
+together, those with the least hash of their id; rows that repeat id and text
+count once.  These bounds are for fitting only; every text is scored whole.  A
 language's counts are smoothed with those of all languages together.
 
 Scoring works on slices of a batch: each distinct word is scored once (a
@@ -37,7 +38,8 @@ from pyspark.sql import functions as F
 from quern.llm import tokens
 from quern.llm import wordscan as ws
 
-SAMPLE = 200
+#: per language, documents and bytes of text that are learned from; a text of more than TEXT_BYTES is not
+SAMPLE, SAMPLE_BYTES, TEXT_BYTES = 200, 8_000_000, 1_000_000
 ROUNDS = 4
 WORD_BYTES = 24
 PIECE_BYTES = 12
@@ -146,7 +148,7 @@ class Model:
     p: np.ndarray  # (pieces, languages)
 
 
-def fit(texts: list[str], langs: list[str], path: str) -> Model:
+def fit(texts: list[str], langs: list[str], path: str, rounds: int = ROUNDS) -> Model:
     languages = sorted(set(langs))
     pieces = vocabulary(path)
     size = np.array([len(x) for x in pieces])
@@ -183,7 +185,7 @@ def fit(texts: list[str], langs: list[str], path: str) -> Model:
     # a first guess that prefers long pieces, the same for every language
     guess = 256.0 ** -np.minimum(size, 4).astype(float) + 1e-3
     p = np.repeat((guess / guess.sum())[:, None], len(languages), axis=1)
-    for _ in range(ROUNDS):
+    for _ in range(rounds):
         made = lattice.expected(p, counts)
         shared = made.sum(axis=1, keepdims=True)
         shared = (shared + 1e-3) / (shared.sum() + 1e-3 * len(shared))
@@ -251,16 +253,20 @@ def _predicted(model):
     return run
 
 
-def training_rows(docs: DataFrame, sample: int = SAMPLE) -> list:
-    """(text, lang) of the sample; ids and languages alone are shuffled, and of those at most `sample` per language and task."""
+def training_rows(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> list:
+    """(lang, text) of the sample, in order; ids, sizes and hashes alone are shuffled, and of those at most `sample` per language and task."""
     can = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = can.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample).select("doc_id").distinct()
-    ids = [r.doc_id for r in chosen.collect()]
-    if not ids:
+    can = can.select("doc_id", "lang", "text", F.xxhash64("text").alias("mark"), F.octet_length("text").alias("size")).where(F.col("size") <= TEXT_BYTES)
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "mark")
+    first = can.select("doc_id", "lang", "mark", "size").withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample)
+    once = first.groupBy("lang", "doc_id", "mark").agg(F.min("place").alias("place"), F.first("size").alias("size"))
+    upto = Window.partitionBy("lang").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    chosen = once.withColumn("upto", F.sum("size").over(upto)).where(F.col("upto") <= sample_bytes).select("lang", "doc_id", "mark").collect()
+    if not chosen:
         return []
-    wanted = docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")
-    return sorted((r.lang, r.text) for r in can.join(F.broadcast(wanted), "doc_id", "left_semi").select("text", "lang").collect())
+    wanted = F.broadcast(docs.sparkSession.createDataFrame([tuple(r) for r in chosen], "lang string, doc_id long, mark long"))
+    texts = can.join(wanted, ["lang", "doc_id", "mark"], "left_semi").dropDuplicates(["lang", "doc_id", "mark"])
+    return sorted((r.lang, r.text) for r in texts.select("lang", "text").collect())
 
 
 def identify(docs: DataFrame, path: str | None = None, sample: int = SAMPLE) -> DataFrame:

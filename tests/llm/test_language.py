@@ -64,3 +64,34 @@ def test_nothing_to_learn_from(spark):
     docs = documents(spark, ["some text", None]).selectExpr("doc_id", "text", "cast(null as string) lang")
     assert {(r.lang_pred, r.score) for r in g.identify(docs).collect()} == {("und", 0.0)}
     assert g.identify(docs.limit(0)).collect() == []
+
+
+def test_the_sample_is_bounded_in_rows_and_bytes(spark):
+    """A third of all rows share an id and a text, others share an id only."""
+    rows = [(1, "same text", "en")] * 500 + [(4, f"text {k}", "en") for k in range(500)] + [(k, f"le texte {k}", "fr") for k in range(0, 800)] + [(3, "x" * (g.TEXT_BYTES + 1), "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    made = g.training_rows(docs, sample=20)
+    assert len(made) == len(set(made)) and {lang for lang, _ in made} == {"en", "fr"}
+    assert all(sum(x == lang for x, _ in made) <= 20 for lang in ("en", "fr"))
+    few = g.training_rows(docs, sample=20, sample_bytes=60)
+    assert 0 < len(few) and all(sum(len(t) for x, t in few if x == lang) <= 60 for lang in ("en", "fr"))
+    assert made == g.training_rows(docs.repartition(2), sample=20)
+    assert sorted({r.lang_pred for r in g.identify(docs, sample=20).collect()}) == ["en", "fr"]
+
+
+def test_of_equal_languages_the_first_by_name(spark):
+    rows = [(k, "one and the same text", lang) for k in (1, 3, 4, 5) for lang in ("zz", "aa", "mm")]
+    out = g.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert {r.lang_pred for r in out} == {"aa"} and all(abs(r.score - 1 / 3) < 1e-9 for r in out)
+
+
+def test_fit_raises_the_likelihood():
+    texts = ["the cat sat on the mat and the dog", "le chat est sur le tapis et le chien", "été en forêt avec les chats"]
+    langs = ["en", "fr", "fr"]
+    total = []
+    for rounds in (1, 2, 4, 8):
+        model = g.fit(texts, langs, tokens.default_path(), rounds)
+        at, data = ws.text_buffers(pa.array(texts))
+        log = g.Scorer(model).texts(at, data)
+        total.append(sum(log[k, model.languages.index(x)] for k, x in enumerate(langs)))
+    assert total == sorted(total)
