@@ -15,11 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name under spark.checkpoint.dir, which all executors share.
 
-    The setting belongs to the cluster; only where it is unset (local tests) a
-    temporary folder of this machine is put there.
+    The setting belongs to the cluster.  Only where it is unset and all runs in
+    one process (local tests) a temporary folder of this machine is put there;
+    elsewhere other executors could not read it, so that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quern-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -29,7 +32,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: a lost executor costs no recomputation of what lies before."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what `saved` wrote, once nothing reads it any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.saved_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: blocks that a table is dealt into: one for this many bytes, up to a number that keeps what one task sends to each worthwhile

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import saved
+from quern.llm.common import discard, saved
 
 
 #: a node with more edges than this, and than one in MOST_HEAVY of all, is heavy: fewer than 2 * MOST_HEAVY nodes can be
@@ -26,7 +26,7 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star rounds: every round links the
     neighbours of a node to the least of them, so depth falls geometrically
     and a hub's edges are only ever rewritten, never multiplied.  Each round is
-    written to the shared folder.  Null or empty input gives no rows.
+    written to the shared folder, and the one before it deleted.  Null or empty input gives no rows.
     """
     now = saved(edges.where("a != b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct(), "edges")
     state = None
@@ -41,5 +41,6 @@ def components(edges: DataFrame) -> DataFrame:
         large = _with_low(both.where("b > a"), low, 2 * sums["n"]).selectExpr("b a", "low b")
         down = large.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("degree"))
         small = _with_low(large, down, sums["n"]).where("b != low").selectExpr("b a", "low b").unionByName(down.selectExpr("a", "low b"))
-        now = saved(small.where("a != b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct(), "edges")
+        before, now = now, saved(small.where("a != b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct(), "edges")
+        discard(before)
     return now.selectExpr("a node", "b root").unionByName(now.selectExpr("b node", "b root").distinct())

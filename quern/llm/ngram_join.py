@@ -50,7 +50,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm import wordscan as ws
-from quern.llm.common import BLOCK_BYTES, partitions, saved
+from quern.llm.common import BLOCK_BYTES, discard, partitions, saved
 from quern.llm.graph import components
 
 SHINGLE = 5
@@ -432,14 +432,18 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     rep = rep.join(size, "cluster").selectExpr("cluster", "class", "chunks", "class = top hub", "other", "wanted", "marked")
     texts = docs.join(rep.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("wanted")) & (F.col("mark") == F.col("marked")))
     sets = texts.select("cluster", "class", "chunks", "hub", "other", "text").mapInArrow(_sets_of, "cluster long, class long, chunks int, hub boolean, tokens binary")
-    links = _links(saved(sets.dropDuplicates(["class"]), "sets"), blocks)
+    sets = saved(sets.dropDuplicates(["class"]), "sets")
+    links = _links(sets, blocks)
+    discard(sets, stars)
     # a class's name is its least id, a component's the least name of its classes. Each step is written, so that the joins read
     # plain exchanges, which adaptive execution can split where one class or component is large
     first = saved(member.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least")), "classes")
     several = saved(components(links).selectExpr("node class", "root").join(first, "class"), "members")
     top = saved(several.groupBy("root").agg(F.min("least").alias("top")), "tops")
     name = first.join(several.join(top, "root").select("class", "top"), "class", "left").select("class", F.coalesce("top", "least").alias("component_id"))
-    named = member.where("n > 0").join(saved(name, "names"), "class")
+    name = saved(name, "names")
+    discard(links, first, several, top)
+    named = member.where("n > 0").join(name, "class")
     alone = member.where("n = 0").withColumn("component_id", F.col("doc_id"))
     return named.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
