@@ -5,16 +5,31 @@ has no answer it gives null.  `strict` turns such nulls into an error.
 
 White space is Unicode white space, as in the corpora these rules come from;
 Spark's own `trim` only knows the blank.
+
+A Column that is used twice is computed twice, and a rule that is built of such
+rules many times over.  `let` gives a value a name instead.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MINUS = "\u2212"
 
 
+def let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(x)` with `x` computed once."""
+    return F.get(F.transform(F.array(x), lambda v: body(v)), F.lit(0))
+
+
+def filled(x: Column) -> Column:
+    """`x`, null where it is empty."""
+    return let(x, lambda v: F.when(v != "", v))
+
+
 def strip(x: Column) -> Column:
     """Unicode white space off both ends."""
     return F.regexp_replace(x, r"(?U)^\s+|\s+\z", "")
@@ -22,7 +37,7 @@ def strip(x: Column) -> Column:
 
 def first_token(x: Column) -> Column:
     """The first run of non-space characters, null if there is none."""
-    return F.nullif(F.regexp_extract(x, r"(?U)^\s*(\S+)", 1), F.lit(""))
+    return filled(F.regexp_extract(x, r"(?U)^\s*(\S+)", 1))
 
 
 def strict(x: Column, what: str) -> Column:
@@ -41,14 +56,14 @@ def after_last(x: Column, mark: str) -> Column:
 def hash_gold(x: Column) -> Column:
     """Reference answer after the last `####`: first token, no commas, no final stops. Keeps `$` and the Unicode minus."""
     token = F.replace(first_token(after_last(x, "####")), F.lit(","), F.lit(""))
-    return F.nullif(F.regexp_replace(token, r"[.,]+\z", ""), F.lit(""))
+    return filled(F.regexp_replace(token, r"[.,]+\z", ""))
 
 
 def hash_generated(x: Column) -> Column:
     """Generated answer after the last `####`: Unicode minus read as `-`, leading `$` and final stops dropped, then commas."""
     token = first_token(after_last(F.replace(x, F.lit(MINUS), F.lit("-")), "####"))
     token = F.regexp_replace(F.regexp_replace(token, r"^[$]+", ""), r"[.,]+\z", "")
-    return F.nullif(F.replace(token, F.lit(","), F.lit("")), F.lit(""))
+    return filled(F.replace(token, F.lit(","), F.lit("")))
 
 
 # -- boxed answers --------------------------------------------------------------
@@ -57,51 +72,55 @@ def hash_generated(x: Column) -> Column:
 def last_box(x: Column) -> Column:
     r"""The last `\boxed` (else the last `\fbox`) up to the brace that balances its first one; null if none does.
 
-    Only the tail from that marker is walked, one character at a time, and only up to the balancing brace counts.
+    Only the braces of the tail from that marker are walked, and only the brace that balances counts.
     """
-    tail = F.coalesce(
-        F.when(x.contains("\\boxed"), F.concat(F.lit("\\boxed"), F.substring_index(x, "\\boxed", -1))),
-        F.when(x.contains("\\fbox"), F.concat(F.lit("\\fbox"), F.substring_index(x, "\\fbox", -1))),
-    )
     zero = F.lit(0)
-    walk = F.aggregate(
-        F.split(tail, ""),
-        F.struct(zero.alias("at"), zero.alias("depth"), zero.alias("end")),
-        lambda s, c: F.struct(
-            (s["at"] + 1).alias("at"),
-            (s["depth"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)).alias("depth"),
-            F.when((s["end"] == 0) & (c == "}") & (s["depth"] == 1), s["at"] + 1).otherwise(s["end"]).alias("end"),
-        ),
-    )
-    end = walk["end"]
-    return F.when(end > 0, F.substr(tail, F.lit(1), end))
+
+    def balanced(tail: Column) -> Column:
+        walk = F.aggregate(
+            F.split(tail, "(?<=[{}])", -1),
+            F.struct(zero.alias("at"), zero.alias("depth"), zero.alias("end")),
+            lambda s, piece: F.struct(
+                (s["at"] + F.length(piece)).alias("at"),
+                (s["depth"] + F.when(piece.endswith("{"), 1).when(piece.endswith("}"), -1).otherwise(0)).alias("depth"),
+                F.when((s["end"] == 0) & piece.endswith("}") & (s["depth"] == 1), s["at"] + F.length(piece)).otherwise(s["end"]).alias("end"),
+            ),
+            lambda s: s["end"],
+        )
+        return let(walk, lambda end: F.when(end > 0, F.substr(tail, F.lit(1), end)))
+
+    def tail(text: Column) -> Column:
+        found = lambda mark: F.when(text.contains(mark), F.concat(F.lit(mark), F.substring_index(text, mark, -1)))
+        return let(F.coalesce(found("\\boxed"), found("\\fbox")), balanced)
+
+    return let(x, tail)
 
 
 def unwrap_box(x: Column) -> Column:
     r"""Content of `\boxed{...}` or `\fbox{...}`; null for anything else."""
-    inside = lambda left: F.when(x.startswith(left) & x.endswith("}"), F.substr(x, F.lit(len(left) + 1), F.length(x) - len(left) - 1))
-    return F.coalesce(inside("\\boxed{"), inside("\\fbox{"))
+    inside = lambda v, left: F.when(v.startswith(left) & v.endswith("}"), F.substr(v, F.lit(len(left) + 1), F.length(v) - len(left) - 1))
+    return let(x, lambda v: F.coalesce(inside(v, "\\boxed{"), inside(v, "\\fbox{")))
 
 
 def bare_box(x: Column) -> Column:
     r"""`\boxed 42$`: what follows the last `\boxed ` up to the next `$`, trimmed; null if empty."""
-    return F.nullif(strip(F.substring_index(after_last(x, "\\boxed "), "$", 1)), F.lit(""))
+    return filled(strip(F.substring_index(after_last(x, "\\boxed "), "$", 1)))
 
 
 def boxed_gold(x: Column) -> Column:
     r"""Content of the last box, in braces or bare. `\boxed{}` gives the empty string."""
-    return F.coalesce(unwrap_box(last_box(x)), bare_box(x))
+    return let(x, lambda v: F.coalesce(unwrap_box(last_box(v)), bare_box(v)))
 
 
 def boxed_generated(x: Column) -> Column:
     """As `boxed_gold`, Unicode minus read as `-`, trimmed, one pair of outer `$` dropped; null if empty."""
-    inner = strip(boxed_gold(F.replace(x, F.lit(MINUS), F.lit("-"))))
-    bare = F.when((F.length(inner) >= 2) & inner.startswith("$") & inner.endswith("$"), F.substr(inner, F.lit(2), F.length(inner) - 2)).otherwise(inner)
-    return F.nullif(strip(bare), F.lit(""))
+    undollared = lambda v: F.when((F.length(v) >= 2) & v.startswith("$") & v.endswith("$"), F.substr(v, F.lit(2), F.length(v) - 2)).otherwise(v)
+    return filled(strip(let(strip(boxed_gold(F.replace(x, F.lit(MINUS), F.lit("-")))), undollared)))
 
 
 # -- answers after a marker word ---------------------------------------------------
 
+#: the grammar of a marked answer and of a number; fixed, as the digits and blanks of any script count
 _MARKED = r"(?dimU)(?:final\s+answer|answer)\s*[:=]\s*(.+)$"
 _NUMBER = r"(?i)-?(?:\$)?[\p{Nd}][\p{Nd},]*(?:\.[\p{Nd}]+)?(?:e[+-]?[\p{Nd}]+)?%?"
 
@@ -118,10 +137,13 @@ def marked(x: Column) -> Column:
 
     A marker that only blanks follow counts as none.
     """
-    lines = F.regexp_extract_all(x, F.lit(_MARKED), F.lit(1))
-    token = F.nullif(normal(first_token(F.try_element_at(lines, F.lit(-1)))), F.lit(""))
-    number = F.try_element_at(F.regexp_extract_all(x, F.lit(_NUMBER), F.lit(0)), F.lit(-1))
-    return F.coalesce(token, F.nullif(normal(number), F.lit("")))
+
+    def found(text: Column) -> Column:
+        lines = F.regexp_extract_all(text, F.lit(_MARKED), F.lit(1))
+        number = F.try_element_at(F.regexp_extract_all(text, F.lit(_NUMBER), F.lit(0)), F.lit(-1))
+        return F.coalesce(filled(normal(first_token(F.try_element_at(lines, F.lit(-1))))), filled(normal(number)))
+
+    return let(x, found)
 
 
 # -- difficulty and category ---------------------------------------------------------

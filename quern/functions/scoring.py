@@ -1,44 +1,55 @@
 r"""Columns that compare answers.
 
-Decimal equality is exact. Answers of ordinary length are compared as
-decimal(38, 18) in the JVM; `needs_exact` marks the few pairs that this type
-can't hold (exponents, many digits, underscores), which `scored` sends through
-one Arrow UDF on that residue alone.
+Decimal equality is exact for numbers of any length and exponent: both sides
+are brought to one spelling (sign, digits without outer zeros, exponent), which
+equal numbers share.  All of it stays in the JVM.
 """
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from decimal import Decimal, InvalidOperation
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.answers import normal
+from quern.functions.answers import filled, let, normal
 
-_PLAIN = r"^[+-]?(?:\d{1,20}(?:\.\d{0,18})?|\.\d{1,18})\z"
+#: sign, whole part, fraction, exponent (of 18 digits at most) of a number without underscores, lower case
+_NUMBER = r"^([+-]?)(?=\.?\d)(\d*)(?:\.(\d*))?(?:e([+-]?\d{1,18}))?\z"
+#: the digits of other scripts, and the ASCII digits that they stand for
+_DIGITS = [c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd"]
+_ASCII = "".join(str(unicodedata.decimal(c)) for c in _DIGITS)
 
 
-def _trimmed(x: Column) -> Column:
-    return F.regexp_replace(x, r"(?U)^\s+|\s+\z", "")
+def canonical(x: Column) -> Column:
+    """One spelling of each finite decimal number, null for anything else.
 
+    Outer white space and underscores don't count; digits of any script do.
+    """
 
-def decimal_equal(a: Column, b: Column) -> Column:
-    """Whether both are plain decimals of the same value; false where either isn't plain."""
-    a, b = _trimmed(a), _trimmed(b)
-    plain = a.rlike(_PLAIN) & b.rlike(_PLAIN)
-    return F.coalesce(F.when(plain, a.try_cast("decimal(38,18)") == b.try_cast("decimal(38,18)")), F.lit(False))
+    def spelled(y: Column) -> Column:
+        part = lambda k: F.regexp_extract(y, _NUMBER, k)
+
+        def joined(left: Column, fraction: Column) -> Column:
+            power = F.coalesce(filled(part(4)).cast("long"), F.lit(0)) - F.length(fraction)
+            by = lambda digits: F.when(digits == "", "0").otherwise(F.concat(F.replace(part(1), F.lit("+"), F.lit("")), F.rtrim(digits, F.lit("0")), F.lit("e"), (power + F.length(digits) - F.length(F.rtrim(digits, F.lit("0")))).cast("string")))
+            return let(F.ltrim(F.concat(left, fraction), F.lit("0")), by)
 
+        return F.when(y.rlike(_NUMBER), let(part(3), lambda fraction: joined(part(2), fraction)))
 
-def needs_exact(a: Column, b: Column) -> Column:
-    """Pairs that may be equal decimals beyond the plain form."""
-    may = lambda x: F.coalesce(_trimmed(x).rlike(r"(?i)^[+-]?[\p{Nd}_]*\.?[\p{Nd}_]*(?:e[+-]?[\p{Nd}_]+)?\z"), F.lit(False))
-    plain = lambda x: F.coalesce(_trimmed(x).rlike(_PLAIN), F.lit(False))
-    return may(a) & may(b) & ~(plain(a) & plain(b))
+    plain = F.lower(F.replace(F.regexp_replace(x, r"(?U)^\s+|\s+\z", ""), F.lit("_"), F.lit("")))
+    return let(let(plain, lambda v: F.when(v.rlike(r"[^\x00-\x7F]"), F.translate(v, "".join(_DIGITS), _ASCII)).otherwise(v)), spelled)
+
+
+def decimal_equal(a: Column, b: Column) -> Column:
+    """Whether both are finite decimals of the same value; false where either isn't one."""
+    return F.coalesce(canonical(a) == canonical(b), F.lit(False))
 
 
 def equal_decimals(a: str | None, b: str | None) -> bool:
-    """Exact rule for one pair: both parse as finite decimals of the same value."""
+    """The same rule for one pair outside of Spark."""
     if a is None or b is None:
         return False
     try:
@@ -48,17 +59,14 @@ def equal_decimals(a: str | None, b: str | None) -> bool:
     return x.is_finite() and y.is_finite() and x == y
 
 
-def _exact(a: Column, b: Column) -> Column:
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([equal_decimals(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
-
-    run.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}  # resolved: pandas_udf reads them
-    return F.pandas_udf(run, "boolean")(a, b)
+def _pair(a: Column, b: Column, body) -> Column:
+    """`body(a, b)`, each computed once; false where it is null."""
+    return F.coalesce(let(a, lambda x: let(b, lambda y: body(x, y))), F.lit(False))
 
 
 def score_hash(predicted: Column, gold: Column) -> Column:
     """Same string, or equal decimals."""
-    return F.coalesce((predicted == gold) | decimal_equal(predicted, gold), F.lit(False))
+    return _pair(predicted, gold, lambda x, y: F.when(x == y, True).otherwise(decimal_equal(x, y)))
 
 
 def score_marked(predicted: Column, gold: Column) -> Column:
@@ -87,10 +95,13 @@ def brace_roots(x: Column) -> Column:
 
 def brace_fractions(x: Column) -> Column:
     r"""`\frac12` -> `\frac{1}{2}`, `\frac1{2}` -> `\frac{1}{2}`. A lone character after a `\frac` leaves the whole text alone."""
-    short = F.exists(F.slice(F.split(x, r"\\frac", -1), F.lit(2), F.greatest(F.size(F.split(x, r"\\frac", -1)) - 1, F.lit(0))), lambda p: (F.length(p) == 1) & (p != "{"))
-    done = F.regexp_replace(x, r"(?s)\\frac((?!\\frac)[^{])((?!\\frac)[^{])", r"\\frac{$1}{$2}")
-    done = F.regexp_replace(done, r"(?s)\\frac((?!\\frac)[^{])(?=\{)", r"\\frac{$1}")
-    return F.when(short, x).otherwise(done)
+
+    def braced(y: Column) -> Column:
+        short = let(F.split(y, r"\\frac", -1), lambda parts: F.exists(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: (F.length(p) == 1) & (p != "{")))
+        done = F.regexp_replace(y, r"(?s)\\frac((?!\\frac)[^{])((?!\\frac)[^{])", r"\\frac{$1}{$2}")
+        return F.when(short, y).otherwise(F.regexp_replace(done, r"(?s)\\frac((?!\\frac)[^{])(?=\{)", r"\\frac{$1}"))
+
+    return let(x, braced)
 
 
 def slash_fraction(x: Column) -> Column:
@@ -100,32 +111,33 @@ def slash_fraction(x: Column) -> Column:
 
 def latex_normal(x: Column) -> Column:
     r"""A LaTeX answer in normal form; null where the rules don't apply (`latex_fault`)."""
+    return let(x, lambda v: F.when(~latex_fault(v), _latex_rules(v)))
+
+
+def _latex_rules(x: Column) -> Column:
     y = _rewrite(x, _BEFORE_UNITS)
     y = F.substring_index(y, _UNITS, 1)
     y = _rewrite(y, _AFTER_UNITS)
-    y = F.when(y.startswith("."), F.concat(F.lit("0"), y)).otherwise(y)
-    sides = F.split(y, "=", -1)
-    y = F.when((F.size(sides) == 2) & (F.length(F.get(sides, F.lit(0))) <= 2), F.get(sides, F.lit(1))).otherwise(y)
-    y = F.replace(brace_roots(y), F.lit(" "), F.lit(""))
-    y = brace_fractions(y)
-    y = F.when(y == "0.5", F.lit("\\frac{1}{2}")).otherwise(y)
-    return F.when(~latex_fault(x), slash_fraction(y))
+    y = let(y, lambda v: F.when(v.startswith("."), F.concat(F.lit("0"), v)).otherwise(v))
+    right = lambda v, sides: F.when((F.size(sides) == 2) & (F.length(F.get(sides, F.lit(0))) <= 2), F.get(sides, F.lit(1))).otherwise(v)
+    y = let(y, lambda v: let(F.split(v, "=", -1), lambda sides: right(v, sides)))
+    y = brace_fractions(F.replace(brace_roots(y), F.lit(" "), F.lit("")))
+    return let(y, lambda v: F.when(v == "0.5", F.lit("\\frac{1}{2}")).otherwise(slash_fraction(v)))
 
 
 def latex_fault(x: Column) -> Column:
     r"""Texts that the rules can't handle: two units, or a `\sqrt` or `\frac` that nothing follows."""
-    y = _rewrite(x, _BEFORE_UNITS)
-    units = F.size(F.split(y, r"\\text\{ ", -1)) > 2
-    y = _rewrite(F.substring_index(y, _UNITS, 1), _AFTER_UNITS)
-    root = y.rlike(r"\\sqrt\z|\\sqrt\\sqrt")
-    bare = F.replace(y, F.lit(" "), F.lit(""))
-    return F.coalesce(units | root | bare.rlike(r"\\frac\z|\\frac\\frac"), F.lit(False))
+
+    def faulty(y: Column) -> Column:
+        rest = lambda z: z.rlike(r"\\sqrt\z|\\sqrt\\sqrt") | F.replace(z, F.lit(" "), F.lit("")).rlike(r"\\frac\z|\\frac\\frac")
+        return (F.size(F.split(y, r"\\text\{ ", -1)) > 2) | let(_rewrite(F.substring_index(y, _UNITS, 1), _AFTER_UNITS), rest)
+
+    return F.coalesce(let(_rewrite(x, _BEFORE_UNITS), faulty), F.lit(False))
 
 
 def score_boxed(predicted: Column, gold: Column) -> Column:
     """Same string, same LaTeX normal form, or equal decimals. Texts that can't be normalised fall through."""
-    same = (predicted == gold) | F.coalesce(latex_normal(predicted) == latex_normal(gold), F.lit(False)) | decimal_equal(predicted, gold)
-    return F.coalesce(same, F.lit(False))
+    return _pair(predicted, gold, lambda x, y: F.when(x == y, True).when(latex_normal(x) == latex_normal(y), True).otherwise(decimal_equal(x, y)))
 
 
 def normalise_failed(predicted: Column, gold: Column) -> Column:
@@ -137,25 +149,17 @@ SCORERS = {"hash": score_hash, "marked": score_marked, "boxed": score_boxed}
 
 
 def scored(df: DataFrame, kind: str, predicted: str, gold: str, out: str = "correct") -> DataFrame:
-    """`df` with the verdict `out`, exact for every decimal.
-
-    The JVM rules decide all rows but those whose decimals don't fit its type; these alone go through Python.
-    """
-    a, b = F.col(predicted), F.col(gold)
-    if kind == "marked":
-        a, b = normal(a), normal(b)
-    ask = needs_exact(a, b)
-    easy = df.where(~ask).withColumn(out, SCORERS[kind](F.col(predicted), F.col(gold)))
-    hard = df.where(ask).withColumn(out, SCORERS[kind](F.col(predicted), F.col(gold)) | _exact(a, b))
-    return easy.unionByName(hard)
+    """`df` with the verdict `out` of a kind of SCORERS."""
+    return df.withColumn(out, SCORERS[kind](F.col(predicted), F.col(gold)))
 
 
 def graded(predicted: Column, gold: Column) -> Column:
     """struct(parsed_answer, parse_success, final_answer_correct, reason)."""
-    right = score_marked(predicted, gold)
-    return F.struct(
-        predicted.alias("parsed_answer"),
-        predicted.isNotNull().alias("parse_success"),
-        right.alias("final_answer_correct"),
-        F.when(predicted.isNull(), "parse_failure").when(right, "correct").otherwise("answer_mismatch").alias("reason"),
-    )
+
+    def told(given: Column, right: Column) -> Column:
+        return F.struct(
+            given.alias("parsed_answer"), given.isNotNull().alias("parse_success"), right.alias("final_answer_correct"),
+            F.when(given.isNull(), "parse_failure").when(right, "correct").otherwise("answer_mismatch").alias("reason"),
+        )
+
+    return let(predicted, lambda given: let(score_marked(given, gold), lambda right: told(given, right)))

@@ -12,13 +12,14 @@ ROLL = """roll AS (
     (row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y-%m-%d') ORDER BY event_id) - 1)::BIGINT AS sample_index
   FROM events)"""
 
-#: graded texts: `parsed` is what stands in the text, `gold` what it is held against
+#: graded texts: `parsed` is what stands in the text, `gold_answer` what it is held against in its spelling, `gold_value` what that says
 COMP = """comp AS (
   SELECT event_id AS example_id, event_type AS checkpoint, ['gsm8k', 'math', 'finchain'][(user_id % 3 + 1)::INT] AS source, value, user_id,
     CASE WHEN event_id % 7 = 0 THEN NULL ELSE printf('%.2f', value) END AS parsed,
-    printf('%.3f', CASE WHEN event_type IN ('purchase', 'signup') THEN value ELSE value + 1 END) AS gold_answer
+    printf('%.3f', CASE WHEN event_type IN ('purchase', 'signup') THEN value ELSE value + 1 END) AS gold_value,
+    [gold_value, replace(gold_value, '.', '') || 'e-3', gold_value || repeat('0', 40), '0_0' || gold_value, '+' || gold_value][(event_id % 5 + 1)::INT] AS gold_answer
   FROM events),
-graded AS (SELECT *, parsed AS predicted, coalesce(parsed::DECIMAL(18, 3) = gold_answer::DECIMAL(18, 3), false) AS correct FROM comp),
+graded AS (SELECT *, parsed AS predicted, coalesce(parsed::DECIMAL(18, 3) = gold_value::DECIMAL(18, 3), false) AS correct FROM comp),
 texts AS (
   SELECT *, CASE WHEN parsed IS NULL THEN 'no result'
     WHEN source = 'gsm8k' THEN 'first #### 1' || chr(10) || 'then' || chr(10) || '#### $' || parsed || '. done'
@@ -26,7 +27,7 @@ texts AS (
     ELSE 'Answer: 1' || chr(10) || 'Final Answer: $' || parsed || '% of all' END AS completion FROM graded),
 chain AS (
   SELECT *, CASE WHEN parsed IS NULL THEN NULL WHEN source = 'math' OR source = 'finchain' OR source = 'gsm8k' THEN parsed END AS marked,
-  coalesce(parsed::DECIMAL(18, 3) = gold_answer::DECIMAL(18, 3), false) AS marked_ok FROM texts)"""
+  coalesce(parsed::DECIMAL(18, 3) = gold_value::DECIMAL(18, 3), false) AS marked_ok FROM texts)"""
 
 BUCKETS = """buckets AS (
   SELECT *, CASE WHEN success_rate >= 0.8 THEN 'easy' WHEN success_rate <= 0.2 THEN 'hard' ELSE 'ambiguous' END AS bucket

@@ -29,7 +29,10 @@ def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as graded texts: each source's answer form, one event in seven without an answer, gold off by one where incorrect."""
+    """Events as graded texts: each source's answer form, one event in seven without an answer, gold off by one where incorrect.
+
+    Gold answers are spelled plainly, with an exponent, with forty more digits, with an underscore and with a sign.
+    """
     e = table(spark, sf_dir, "events")
     v = money(F.col("value"))
     source = F.element_at(F.array(F.lit("gsm8k"), F.lit("math"), F.lit("finchain")), (F.pmod("user_id", F.lit(3)) + 1).cast("int"))
@@ -39,7 +42,9 @@ def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(source == "math", F.concat(F.lit("so $\\boxed{1}$ or \\boxed{"), v, F.lit("}$")))
         .otherwise(F.concat(F.lit("Answer: 1\nFinal Answer: $"), v, F.lit("% of all")))
     )
-    gold = money(F.when(F.col("event_type").isin("purchase", "signup"), F.col("value")).otherwise(F.col("value") + 1), 3)
+    plain = money(F.when(F.col("event_type").isin("purchase", "signup"), F.col("value")).otherwise(F.col("value") + 1), 3)
+    form = F.pmod("event_id", F.lit(5))
+    gold = F.when(form == 0, plain).when(form == 1, F.concat(F.replace(plain, F.lit("."), F.lit("")), F.lit("e-3"))).when(form == 2, F.concat(plain, F.repeat(F.lit("0"), 40))).when(form == 3, F.concat(F.lit("0_0"), plain)).otherwise(F.concat(F.lit("+"), plain))
     return e.select(F.col("event_id").alias("example_id"), F.col("event_type").alias("checkpoint"), source.alias("source"), text.alias("completion"), gold.alias("gold_answer"), "value", "user_id")
 
 

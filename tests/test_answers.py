@@ -1,8 +1,11 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import answers as a
 from quern.functions import scoring as s
+from quern.sources import readers
 
 M = "−"
 
@@ -76,6 +79,36 @@ def test_exact_residue(spark):
     assert all(s.equal_decimals(x, y) for (x, y), v in cases.items() if v and x != y)
 
 
+def test_decimals_as_python_has_them(spark):
+    rnd = random.Random(12)
+    piece = lambda: "".join(rnd.choice("0001234567890_") for _ in range(rnd.randrange(6)))
+    texts = [rnd.choice(("", "", "-", "+", " ", "\u00a0-")) + piece() + rnd.choice(("", ".", ".")) + piece() + rnd.choice(("", "", "e3", "E-2", "e+05", "e", "e-0")) + rnd.choice(("", " ", "\n")) for _ in range(400)]
+    texts += ["0", "-0", "0e9", "00.00", ".", "-.5", "5.", "٣٤", "𝟛.5", "1e999999", "1" * 60, "1" * 60 + ".0", "nan", "-inf", "Infinity", "sNaN", "0x10", "1,000", "½", "", "1e-40", "0." + "0" * 39 + "1"]
+    pairs = [(x, y) for x in texts for y in rnd.sample(texts, 8)] + [(x, x) for x in texts]
+    df = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "i int, a string, b string").select("i", s.decimal_equal(F.col("a"), F.col("b")).alias("same"))
+    got = [r.same for r in df.orderBy("i").collect()]
+    assert [p for p, g in zip(pairs, got, strict=True) if g != s.equal_decimals(*p)] == []
+    assert sum(got) > len(texts) // 2
+
+
+def test_long_runs_of_zeros_are_linear(spark):
+    zeros = "1" + "0" * 200_000 + "1"
+    df = spark.createDataFrame([(zeros, zeros + ".0"), (zeros, zeros + "1")], "a string, b string")
+    assert [r[0] for r in df.select(s.decimal_equal(F.col("a"), F.col("b"))).collect()] == [True, False]
+
+
+def test_grades_use_exact_decimals(spark):
+    rows = [("gsm8k", "#### 1e3", "1000"), ("gsm8k", "#### 4.2e3", "4200"), ("math", "\\boxed{1e3}", "1000"), ("math", "\\boxed{42.0}", "42"), ("finchain", "Answer: 1e3", "1000"), ("finchain", "Answer: 1234567890123456789.50", "1234567890123456789.5"), ("gsm8k", "#### 42.5", "42")]
+    out = readers.grade(spark.createDataFrame(rows, "source string, completion string, gold_answer string"))
+    assert [r.correct for r in out.collect()] == [True] * 6 + [False]
+
+
+def test_an_answer_is_extracted_once(spark):
+    rows = spark.createDataFrame([("math", "\\boxed{1}", "1")], "source string, completion string, gold_answer string")
+    plan = readers.grade(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1 and len(plan) < 30_000
+
+
 def test_strict(spark):
     df = spark.createDataFrame([("#### 1",), ("none",)], "x string")
     with pytest.raises(Exception, match="no answer"):
