@@ -12,9 +12,10 @@ from quern.llm.common import discard, saved
 HEAVY, MOST_HEAVY = 1000, 100_000
 
 
-def _with_low(rows: DataFrame, low: DataFrame, edges: int) -> DataFrame:
+def _with_low(rows: DataFrame, low: DataFrame, limit: int, most: int) -> DataFrame:
     """`rows` (a, b) with the `low` of a (low: a, low, degree). Heavy nodes, a bounded number, are broadcast, so that a hub's rows stay where they are."""
-    limit = max(HEAVY, edges // MOST_HEAVY)
+    if most <= limit:
+        return rows.join(low.select("a", "low"), "a")
     heavy = F.broadcast(low.where(F.col("degree") > limit).select("a", "low"))
     light = rows.join(heavy.select("a"), "a", "left_anti").join(low.where(F.col("degree") <= limit).select("a", "low"), "a")
     return rows.join(heavy, "a").unionByName(light)
@@ -25,22 +26,22 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star rounds: every round links the
     neighbours of a node to the least of them, so depth falls geometrically
-    and a hub's edges are only ever rewritten, never multiplied.  Each round is
-    written to the shared folder, and the one before it deleted.  Null or empty input gives no rows.
+    and a hub's edges are only ever rewritten, never multiplied.  It ends when
+    all edges are stars.  Each round is written to the shared folder, and the
+    one before it deleted.  Null or empty input gives no rows.
     """
     now = saved(edges.where("a != b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct(), "edges")
-    state = None
     while True:
-        # a fixed point is a set of stars: no node is both a leaf and a centre, and no leaf has two centres
-        sums = now.agg(F.count("*").alias("n"), F.countDistinct("a").alias("leaves"), F.sum(F.hash("a", "b").cast("long")).alias("sum")).first()
-        if state == sums:
+        both = now.selectExpr("a", "b", "1 leaf").unionByName(now.selectExpr("b a", "a b", "0 leaf"))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"), F.count("*").alias("degree"), F.sum("leaf").alias("centres"))
+        # stars: each leaf has one centre and is none itself
+        seen = low.agg(F.count_if((F.col("centres") > 1) | (F.col("centres") > 0) & (F.col("centres") < F.col("degree"))).alias("mixed"), F.max("degree").alias("most"), F.sum("degree").alias("ends")).first()
+        if not seen["mixed"]:
             break
-        state = sums
-        both = now.unionByName(now.selectExpr("b a", "a b"))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"), F.count("*").alias("degree"))
-        large = _with_low(both.where("b > a"), low, 2 * sums["n"]).selectExpr("b a", "low b")
+        limit = max(HEAVY, seen["ends"] // MOST_HEAVY)
+        large = _with_low(both.where("b > a").select("a", "b"), low, limit, seen["most"]).selectExpr("b a", "low b")
         down = large.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("degree"))
-        small = _with_low(large, down, sums["n"]).where("b != low").selectExpr("b a", "low b").unionByName(down.selectExpr("a", "low b"))
+        small = _with_low(large, down, limit, seen["most"]).where("b != low").selectExpr("b a", "low b").unionByName(down.selectExpr("a", "low b"))
         before, now = now, saved(small.where("a != b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct(), "edges")
         discard(before)
     return now.selectExpr("a node", "b root").unionByName(now.selectExpr("b node", "b root").distinct())

@@ -347,8 +347,8 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return counts
 
 
-def _forest(classes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """(class, least class it reaches) by links among these sets."""
+def _forest(classes: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """The place of the least class that each class reaches by links among these sets."""
     n = np.array([len(s) for s in sets], np.float64)
     hit = linked(overlaps(sets).astype(np.float64), n[:, None], n[None, :])
     root = np.arange(len(sets))
@@ -361,16 +361,26 @@ def _forest(classes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]
                 seen |= front
                 root[front] = i
                 front = hit[front].any(axis=0) & ~seen
-    return [(int(classes[i]), int(classes[root[i]])) for i in range(len(sets)) if root[i] != i]
+    return root
+
+
+_LINK = "cluster long, a long, b long"
 
 
 def _product(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links within each cluster of a block; a class that does not reach the block's hub, if that is there, also comes without a partner."""
     out = []
-    for _, group in pdf.groupby("cluster"):
+    for cluster, group in pdf.groupby("cluster"):
         group = group.drop_duplicates("class")
         if len(group) > 1:
-            out += _forest(group["class"].to_numpy(), [np.frombuffer(t, np.uint64) for t in group.tokens])
-    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+            classes, hub = group["class"].to_numpy(), np.flatnonzero(group["hub"].to_numpy())
+            root = _forest(classes, [np.frombuffer(t, np.uint64) for t in group.tokens])
+            tied = np.flatnonzero(root != np.arange(len(root)))
+            out.append(pd.DataFrame({"cluster": cluster, "a": classes[tied], "b": classes[root[tied]]}))
+            if len(hub):
+                out.append(pd.DataFrame({"cluster": cluster, "a": classes[root != root[hub[0]]]}))
+    columns = {"cluster": "Int64", "a": "Int64", "b": "Int64"}
+    return pd.concat([x.reindex(columns=list(columns)).astype(columns) for x in out]) if out else pd.DataFrame(columns=list(columns)).astype(columns)
 
 
 def _own(chunks: str = "chunks") -> Column:
@@ -381,31 +391,27 @@ def _own_blocks(sets: DataFrame, blocks: int) -> DataFrame:
     """`sets` (cluster, class, chunks, hub, tokens) as dealt out to the blocks of their clusters: each to its own, the hub to all."""
     bin_ = F.when(F.col("chunks") == 1, F.pmod(F.hash("cluster"), F.lit(4 * blocks)).cast("long")).otherwise(F.col("cluster"))
     every = F.sequence(F.lit(0), F.col("chunks") - 1)
-    return sets.select("cluster", "class", "tokens", "chunks", bin_.alias("bin"), F.explode(F.when(F.col("hub"), every).otherwise(F.array(_own()))).alias("i"))
-
-
-def _left_over(several: DataFrame, first: DataFrame) -> DataFrame:
-    """Of clusters of several blocks, what does not reach the hub by the links `first`, in parts, with all blocks of its cluster."""
-    by = several.select("cluster", F.col("class").alias("node"), "hub")
-    root = components(first.select("a", "b").join(by.selectExpr("node a"), "a", "left_semi")).withColumnRenamed("node", "n")
-    rooted = by.join(root, F.col("node") == F.col("n"), "left").select("cluster", "node", "hub", F.coalesce("root", "node").alias("root"))
-    top = rooted.where("hub").select("cluster", F.col("root").alias("top"))
-    left = saved(rooted.join(top, "cluster").where("root != top").select("cluster", F.col("node").alias("class")), "left")
-    parts = left.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("int").alias("parts"))
-    again = several.select("cluster", "class", "tokens", "chunks").join(parts, "cluster")
-    here = again.select("cluster", "class", "tokens", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), _own().alias("j"))
-    over = again.join(left, ["cluster", "class"], "left_semi")
+    hub = (F.col("hub") & (F.col("chunks") > 1)).alias("hub")
+    return sets.select("cluster", "class", "tokens", "chunks", hub, bin_.alias("bin"), F.explode(F.when(F.col("hub"), every).otherwise(F.array(_own()))).alias("i"))
+
+
+def _left_over(sets: DataFrame, left: DataFrame) -> DataFrame:
+    """Clusters of several blocks that have classes `left` (cluster, class), which did not reach the hub: these in parts, with all blocks of their cluster."""
+    parts = saved(left.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("int").alias("parts")), "parts")
+    again = sets.where("chunks > 1").select("cluster", "class", "tokens", "chunks", F.lit(False).alias("hub")).join(parts, "cluster")
+    here = again.select("cluster", "class", "tokens", "hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), _own().alias("j"))
+    over = again.join(left.select("class"), "class", "left_semi")
     part = F.pmod(F.hash("class", F.lit(1)), F.col("parts"))
-    return here.unionByName(over.select("cluster", "class", "tokens", part.alias("i"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j")))
+    return here.unionByName(over.select("cluster", "class", "tokens", "hub", part.alias("i"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j")))
 
 
 def _links(sets: DataFrame, blocks: int) -> DataFrame:
     """a, b: spanning forests of the links among `sets`, one row a class."""
-    first = saved(_own_blocks(sets, blocks).groupBy("bin", "chunks", "i").applyInPandas(_product, "a long, b long"), "links")
-    several = sets.where("chunks > 1")
-    if several.isEmpty():
-        return first
-    return saved(first.unionByName(_left_over(several, first).groupBy("cluster", "i", "j").applyInPandas(_product, "a long, b long")), "links")
+    first = saved(_own_blocks(sets, blocks).groupBy("bin", "chunks", "i").applyInPandas(_product, _LINK), "links")
+    links, left = first.where("b is not null").select("a", "b"), first.where("b is null").select("cluster", F.col("a").alias("class"))
+    if left.isEmpty():
+        return links
+    return links.unionByName(_left_over(sets, left).groupBy("cluster", "i", "j").applyInPandas(_product, _LINK).select("a", "b"))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -428,13 +434,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     rep = one.select("class", F.col("x.doc_id").alias("wanted"), F.col("x.mark").alias("marked"), "x.n", "x.other").join(cluster, "class")
     middle = stars.groupBy(F.col("a").alias("class")).agg(F.count("*").alias("star"))
     size = rep.join(middle, "class", "left").groupBy("cluster").agg(F.sum("n").alias("tokens"), F.count("*").alias("docs"), F.max(F.struct(F.coalesce("star", F.lit(0)), "class"))["class"].alias("top"))
-    size = size.select("cluster", "top", F.ceil(F.greatest(F.col("tokens") / BLOCK_TOKENS, F.col("docs") / BLOCK_DOCS)).cast("int").alias("chunks"))
+    size = saved(size.select("cluster", "top", F.ceil(F.greatest(F.col("tokens") / BLOCK_TOKENS, F.col("docs") / BLOCK_DOCS)).cast("int").alias("chunks")), "clusters")
     rep = rep.join(size, "cluster").selectExpr("cluster", "class", "chunks", "class = top hub", "other", "wanted", "marked")
     texts = docs.join(rep.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("wanted")) & (F.col("mark") == F.col("marked")))
     sets = texts.select("cluster", "class", "chunks", "hub", "other", "text").mapInArrow(_sets_of, "cluster long, class long, chunks int, hub boolean, tokens binary")
     sets = saved(sets.dropDuplicates(["class"]), "sets")
-    links = _links(sets, blocks)
-    discard(sets, stars)
+    links = saved(_links(sets, blocks), "links")
+    discard(sets, stars, size)
     # a class's name is its least id, a component's the least name of its classes. Each step is written, so that the joins read
     # plain exchanges, which adaptive execution can split where one class or component is large
     first = saved(member.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least")), "classes")
