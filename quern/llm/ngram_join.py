@@ -290,8 +290,8 @@ def _bounded(blocks: int):
             owner = name[order][np.repeat(begin[at] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))]
             pairs, tokens, middle = _stars_of(np.repeat(tokens, times), owner)
             out.append(pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]}))
-            for b, t, c in _split(_block_of(tokens, blocks), blocks, tokens, middle):
-                out.append(pd.DataFrame({"block": [b], "tokens": [_pack48(t)], "classes": [c.tobytes()]}))
+            sent = [(b, _pack48(t), c.tobytes()) for b, t, c in _split(_block_of(tokens, blocks), blocks, tokens, middle)]
+            out.append(pd.DataFrame(sent, columns=["block", "tokens", "classes"]))
         # nullable integers throughout: keys have 64 bits, which a float column would round
         columns = {"doc_id": "Int64", "class": "Int64", "n": "Int64", "other": "Int64", "mark": "Int64", "block": "Int64", "tokens": object, "classes": object, "a": "Int64", "b": "Int64"}
         return pd.concat([x.reindex(columns=list(columns)).astype(columns) for x in out])

@@ -6,7 +6,6 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quern.llm import graph
 from quern.llm import ngram_join as j
 from quern.llm.common import table
 from quern.llm.graph import components
@@ -158,9 +157,7 @@ def test_components(spark):
     assert out == {k: 100 for k in range(100, 181)} | {k: 5 for k in range(5, 30)} | {200: 200, 300: 200}
 
 
-def test_components_of_heavy_nodes(spark, monkeypatch):
-    monkeypatch.setattr(graph, "HEAVY", 5)
-    monkeypatch.setattr(graph, "MOST_HEAVY", 20)
+def test_components_of_heavy_nodes(spark):
     rnd = random.Random(9)
     edges = [(1000, k) for k in range(60)] + [(2000, 2000 + k) for k in range(1, 60)] + [(rnd.randrange(3000, 3100), rnd.randrange(3000, 3100)) for _ in range(90)] + [(59, 2001)]
     parent = {}
