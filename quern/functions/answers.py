@@ -32,7 +32,7 @@ def filled(x: Column) -> Column:
 
 def strip(x: Column) -> Column:
     """Unicode white space off both ends."""
-    return F.regexp_replace(x, r"(?U)^\s+|\s+\z", "")
+    return F.regexp_extract(x, r"(?Us)^\s*+(\S(?:.*\S)?)?", 1)
 
 
 def first_token(x: Column) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 IGNORED = -100
@@ -55,3 +57,17 @@ def grpo_term(policy: Column, old: Column, reference: Column, advantage: Column,
     if beta < 0:
         raise ValueError("beta is not negative")
     return -(clipped_objective(policy, old, advantage, clip) - beta * kl_estimate(policy, reference))
+
+
+def masked_loss(df: DataFrame, columns: Sequence[str], mask: str, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, the mean of each column over tokens whose `mask` is 1, and `tokens`. A mask without tokens, or of other values, is an error."""
+    m = F.col(mask).cast("double")
+    by = df.groupBy(*keys).agg(*[(F.sum(F.col(c) * m) / F.sum(m)).alias(c) for c in columns], F.sum(m).alias("tokens"), F.count_if(m.isNull() | ~m.isin(0.0, 1.0)).alias("__odd"))
+    fault = F.when(F.col("__odd") > 0, "a mask is 0 or 1").when(F.coalesce("tokens", F.lit(0.0)) == 0, "the mask has no tokens")
+    return by.where(F.when(fault.isNull(), F.lit(True)).otherwise(F.raise_error(fault).cast("boolean"))).drop("__odd")
+
+
+def require_same_length(*arrays: Column) -> Column:
+    """True, or an error where arrays of a row differ in length."""
+    same = [F.size(a) == F.size(arrays[0]) for a in arrays[1:]]
+    return F.when(F.array_min(F.array(*same)), F.lit(True)).otherwise(F.raise_error(F.lit("arrays differ in length")).cast("boolean"))

@@ -14,7 +14,7 @@ from decimal import Decimal, InvalidOperation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.answers import filled, let, normal
+from quern.functions.answers import filled, let, normal, strip
 
 #: sign, whole part, fraction, exponent (of 18 digits at most) of a number without underscores, lower case
 _NUMBER = r"^([+-]?)(?=\.?\d)(\d*)(?:\.(\d*))?(?:e([+-]?\d{1,18}))?\z"
@@ -29,23 +29,33 @@ def canonical(x: Column) -> Column:
     Outer white space and underscores don't count; digits of any script do.
     """
 
-    def spelled(y: Column) -> Column:
-        part = lambda k: F.regexp_extract(y, _NUMBER, k)
+    def spelled(parts: Column) -> Column:
+        part = lambda k: F.get(parts, F.lit(k))
+        power = F.coalesce(filled(part(3)).cast("long"), F.lit(0)) - F.length(part(2))
+        by = lambda digits, short: F.when(digits == "", "0").otherwise(F.concat(F.replace(part(0), F.lit("+"), F.lit("")), short, F.lit("e"), (power + F.length(digits) - F.length(short)).cast("string")))
+        return F.when(F.size(parts) == 4, let(F.ltrim(F.concat(part(1), part(2)), F.lit("0")), lambda digits: let(F.rtrim(digits, F.lit("0")), lambda short: by(digits, short))))
 
-        def joined(left: Column, fraction: Column) -> Column:
-            power = F.coalesce(filled(part(4)).cast("long"), F.lit(0)) - F.length(fraction)
-            by = lambda digits: F.when(digits == "", "0").otherwise(F.concat(F.replace(part(1), F.lit("+"), F.lit("")), F.rtrim(digits, F.lit("0")), F.lit("e"), (power + F.length(digits) - F.length(F.rtrim(digits, F.lit("0")))).cast("string")))
-            return let(F.ltrim(F.concat(left, fraction), F.lit("0")), by)
+    parted = lambda y: F.when(~y.contains("|"), F.split(F.regexp_replace(y, _NUMBER, "$1|$2|$3|$4"), "[|]", -1))
+    plain = F.lower(F.replace(strip(x), F.lit("_"), F.lit("")))
+    ascii_ = lambda v: F.when(F.length(v) < F.octet_length(v), F.translate(v, "".join(_DIGITS), _ASCII)).otherwise(v)
+    return let(parted(let(plain, ascii_)), spelled)
 
-        return F.when(y.rlike(_NUMBER), let(part(3), lambda fraction: joined(part(2), fraction)))
 
-    plain = F.lower(F.replace(F.regexp_replace(x, r"(?U)^\s+|\s+\z", ""), F.lit("_"), F.lit("")))
-    return let(let(plain, lambda v: F.when(v.rlike(r"[^\x00-\x7F]"), F.translate(v, "".join(_DIGITS), _ASCII)).otherwise(v)), spelled)
+#: numbers that Spark's own decimals hold; of two of these every rule below says what their values say
+_PLAIN = r"^[+-]?(?:\d{1,20}(?:\.\d{0,18})?|\.\d{1,18})\z"
+
+
+def _both_plain(x: Column, y: Column) -> Column:
+    return x.rlike(_PLAIN) & y.rlike(_PLAIN)
+
+
+def _plain_equal(x: Column, y: Column) -> Column:
+    return x.try_cast("decimal(38,18)") == y.try_cast("decimal(38,18)")
 
 
 def decimal_equal(a: Column, b: Column) -> Column:
     """Whether both are finite decimals of the same value; false where either isn't one."""
-    return F.coalesce(canonical(a) == canonical(b), F.lit(False))
+    return _pair(a, b, lambda x, y: F.when(_both_plain(x, y), _plain_equal(x, y)).otherwise(canonical(x) == canonical(y)))
 
 
 def equal_decimals(a: str | None, b: str | None) -> bool:
@@ -90,7 +100,7 @@ def _rewrite(x: Column, pairs: tuple[tuple[str, str], ...]) -> Column:
 
 def brace_roots(x: Column) -> Column:
     r"""`\sqrt3` -> `\sqrt{3}`; only the character after the command moves into braces."""
-    return F.regexp_replace(x, r"(?s)\\sqrt([^{])", r"\\sqrt{$1}")
+    return let(x, lambda v: F.when(v.contains("\\sqrt"), F.regexp_replace(v, r"(?s)\\sqrt([^{])", r"\\sqrt{$1}")).otherwise(v))
 
 
 def brace_fractions(x: Column) -> Column:
@@ -101,7 +111,7 @@ def brace_fractions(x: Column) -> Column:
         done = F.regexp_replace(y, r"(?s)\\frac((?!\\frac)[^{])((?!\\frac)[^{])", r"\\frac{$1}{$2}")
         return F.when(short, y).otherwise(F.regexp_replace(done, r"(?s)\\frac((?!\\frac)[^{])(?=\{)", r"\\frac{$1}"))
 
-    return let(x, braced)
+    return let(x, lambda v: F.when(v.contains("\\frac"), braced(v)).otherwise(v))
 
 
 def slash_fraction(x: Column) -> Column:
@@ -132,12 +142,12 @@ def latex_fault(x: Column) -> Column:
         rest = lambda z: z.rlike(r"\\sqrt\z|\\sqrt\\sqrt") | F.replace(z, F.lit(" "), F.lit("")).rlike(r"\\frac\z|\\frac\\frac")
         return (F.size(F.split(y, r"\\text\{ ", -1)) > 2) | let(_rewrite(F.substring_index(y, _UNITS, 1), _AFTER_UNITS), rest)
 
-    return F.coalesce(let(_rewrite(x, _BEFORE_UNITS), faulty), F.lit(False))
+    return F.coalesce(let(x, lambda v: v.contains("\\") & let(_rewrite(v, _BEFORE_UNITS), faulty)), F.lit(False))
 
 
 def score_boxed(predicted: Column, gold: Column) -> Column:
     """Same string, same LaTeX normal form, or equal decimals. Texts that can't be normalised fall through."""
-    return _pair(predicted, gold, lambda x, y: F.when(x == y, True).when(latex_normal(x) == latex_normal(y), True).otherwise(decimal_equal(x, y)))
+    return _pair(predicted, gold, lambda x, y: F.when(x == y, True).when(_both_plain(x, y), _plain_equal(x, y)).when(latex_normal(x) == latex_normal(y), True).otherwise(canonical(x) == canonical(y)))
 
 
 def normalise_failed(predicted: Column, gold: Column) -> Column:

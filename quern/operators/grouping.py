@@ -108,8 +108,10 @@ def advantage(prompt: str = "prompt_id", reward: str = "reward", normalize: bool
     return F.when(sd > eps, centred / F.greatest(sd, F.lit(eps))).otherwise(0.0)
 
 
-def with_advantages(df: DataFrame, prompt: str = "prompt_id", reward: str = "reward", normalize: bool = True, single: str = "drop") -> DataFrame:
-    """`df` with `advantage`. A group of one has none: such rows are dropped, or under `fail` raise."""
+def with_advantages(df: DataFrame, prompt: str = "prompt_id", reward: str = "reward", normalize: bool = True, single: str = "fail") -> DataFrame:
+    """`df` with `advantage`. A group of one has none and raises; under `drop` such rows go."""
+    if single not in ("fail", "drop"):
+        raise ValueError(f"no such policy: {single}")
     size = F.count("*").over(Window.partitionBy(prompt))
     df = df.withColumn("__n", size)
     if single == "fail":

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+GRID_ROWS = 10_000
+
+
 def zip_strict(left: DataFrame, right: DataFrame, on: str = "ordinal") -> DataFrame:
     """Rows of equal place side by side; a place that only one side has is an error."""
     a, b = left.withColumn("__l", F.lit(1)), right.withColumn("__r", F.lit(1))
@@ -25,7 +28,9 @@ def attach(df: DataFrame, cache: DataFrame, on: str, columns: Sequence[str]) ->
 
 
 def grid(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Every row of `a` with every row of `b`: for lists of checkpoints and sources, which a caller writes by hand."""
+    """Every row of `a` with every row of `b`: for lists of checkpoints and sources; `b` has GRID_ROWS rows at most."""
+    if b.limit(GRID_ROWS + 1).count() > GRID_ROWS:
+        raise ValueError(f"a grid has {GRID_ROWS} rows on its right side at most")
     return a.crossJoin(F.broadcast(b))
 
 

@@ -178,7 +178,8 @@ def bootstrap_ci(df: DataFrame, value: str, key: str, rounds: int = 200, seed: i
     steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
 
     def weight(r: int) -> Column:
-        u = F.pmod(F.xxhash64(F.lit(seed), F.lit(r), F.col(key)), F.lit(1 << 40)) / float(1 << 40)
+        digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(r)), F.col(key).cast("string")))
+        u = F.conv(F.substr(digest, F.lit(1), F.lit(8)), 16, 10).cast("double") / float(1 << 32)
         return sum(((u >= s).cast("int") for s in steps[1:]), (u >= steps[0]).cast("int"))
 
     x = F.col(value).cast("double")

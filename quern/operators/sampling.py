@@ -51,14 +51,34 @@ def balanced_sample(df: DataFrame, n: int, sources: Sequence[str], key: str, sou
 
 
 def stratified_split(df: DataFrame, pct: float, key: str, source: str = "source", seed: int = 42) -> DataFrame:
-    """`df` with `is_val`: per source round(n * pct / 100) rows, half to even, but at least one; none if pct is 0."""
+    """`df` with `is_val`: per source round(n * pct / 100) rows, half to even, but at least one; none if pct is 0. Keys are unique in a source."""
     if not 0 <= pct <= 100:
         raise ValueError("pct lies between 0 and 100")
     if pct == 0:
         return df.withColumn("is_val", F.lit(False))
-    group = Window.partitionBy(source)
-    size = F.greatest(F.bround(F.count("*").over(group) * F.lit(pct / 100.0)), F.lit(1.0))
-    return df.withColumn("is_val", F.row_number().over(group.orderBy(hash_order(seed, source, key), key)) <= size)
+    # rows are counted by source and first digits of their hash; the digits where a source's share ends, and among the rows that
+    # have these the last one that belongs to it, are found on these counts and few rows, and no source is sorted as a whole
+    df = df.withColumns({"__hash": hash_order(seed, source, key)}).withColumn("__range", F.substring("__hash", 1, 4))
+    group = Window.partitionBy(source).orderBy("__range")
+    counts = df.groupBy(source, "__range").agg(F.count("*").alias("__n")).withColumn("__upto", F.sum("__n").over(group))
+    size = F.greatest(F.bround(F.sum("__n").over(Window.partitionBy(source)) * F.lit(pct / 100.0)), F.lit(1.0)).cast("long")
+    ends = counts.withColumn("__size", size).where((F.col("__upto") >= F.col("__size")) & (F.col("__upto") - F.col("__n") < F.col("__size")))
+    ends = ends.select(F.col(source).alias("__source"), F.col("__range").alias("__end"), (F.col("__size") - F.col("__upto") + F.col("__n")).alias("__left"))
+    ends = _broadcast_if_few(ends)
+    last = df.select(source, "__hash", "__range", key).join(ends, F.col(source).eqNullSafe(F.col("__source")) & (F.col("__range") == F.col("__end")))
+    place = F.row_number().over(Window.partitionBy("__source").orderBy("__hash", key))
+    last = last.withColumn("__place", place).where(F.col("__place") == F.col("__left")).select("__source", F.col("__hash").alias("__last"), F.col(key).alias("__key"))
+    out = df.join(_broadcast_if_few(last), F.col(source).eqNullSafe(F.col("__source")))
+    within = (F.col("__hash") < F.col("__last")) | (F.col("__hash") == F.col("__last")) & (F.col(key) <= F.col("__key"))
+    return out.withColumn("is_val", within).drop("__hash", "__range", "__source", "__last", "__key")
+
+
+#: sources whose ends are broadcast; of more, rows are joined with them
+MOST_SOURCES = 100_000
+
+
+def _broadcast_if_few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(MOST_SOURCES + 1).count() <= MOST_SOURCES else df
 
 
 def shard(df: DataFrame, rank: int, world: int, ordinal: str) -> DataFrame:

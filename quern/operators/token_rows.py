@@ -42,15 +42,22 @@ def sft_examples(turns: DataFrame, conv: str = "conv_id", turn: str = "turn") ->
     return df.where((F.col("role") == "user") & (F.col("__role") == "assistant")).select(conv, turn, F.col("text").alias("prompt"), F.col("__text").alias("response"))
 
 
+#: most documents of a batch that is packed together
+PACK_DOCS = 4096
+
+
 def pack_lengths(df: DataFrame, batch: str, order: str, length: str, max_len: int) -> DataFrame:
     """batch, order, row_no, start, end: where next-fit packing puts each document of a batch.
 
     A document joins the open row if it fits with one separator, else opens the next; a longer one than a row is cut and
-    alone unless a short one follows in the space left by none.
+    alone unless a short one follows in the space left by none.  A batch is folded in one row, which takes the square of its
+    documents: more than PACK_DOCS are an error.
     """
     if max_len <= 0:
         raise ValueError("the row length is positive")
     docs = df.groupBy(batch).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.least(F.col(length), F.lit(max_len)).cast("long").alias("n")))).alias("docs"))
+    fault = F.raise_error(F.concat(F.lit(f"more than {PACK_DOCS} documents in batch "), F.col(batch).cast("string"))).cast("boolean")
+    docs = docs.where(F.when(F.size("docs") <= PACK_DOCS, F.lit(True)).otherwise(fault))
     zero = F.lit(0).cast("long")
     empty = F.array().cast("array<struct<o:bigint,row_no:bigint,start:bigint,end:bigint>>")
 
@@ -166,5 +173,5 @@ def sequence_logprob(df: DataFrame, seq: str, position: str, logits: str, label:
 
 
 def parameter_band(name: Column, rank: Column) -> Column:
-    """Weight decay spares biases and vectors."""
-    return F.when(name.endswith("bias") | (rank <= 1), "no_decay").otherwise("decay")
+    """Weight decay spares parameters named `*.bias` and those of one dimension."""
+    return F.when(name.endswith(".bias") | (rank == 1), "no_decay").otherwise("decay")

@@ -56,13 +56,8 @@ PACK = """packed AS (
   FROM docs d JOIN packed p ON d.batch = p.batch AND d.k = p.k + 1)"""
 
 DOC_PACK = "docs AS (SELECT doc_id // 8 AS batch, row_number() OVER (PARTITION BY doc_id // 8 ORDER BY doc_id) AS k, doc_id AS o, least(n_chars, 2048) AS n FROM documents), " + PACK.format(max=2048)
-TURN_PACK = (
-    SFT + ", docs AS (SELECT conv_id AS batch, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, turn AS o,"
-    " least(length(prompt), 40) AS p, least(length(prompt), 40) + least(length(response), 60) AS n FROM sft), " + PACK.format(max=256)
-)
-
 #: whole turns, cut only where they are longer than a row
-WHOLE_TURN_PACK = (
+TURN_PACK = (
     SFT + ", docs AS (SELECT conv_id AS batch, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, turn AS o,"
     " least(length(prompt), 2048) AS p, least(length(prompt) + length(response), 2048) AS n FROM sft), " + PACK.format(max=2048)
 )
@@ -107,17 +102,15 @@ ORACLES: dict[str, str] = {
     "listed_counts": f"""WITH {ROLL} SELECT s.source, count(r.source) AS n FROM (SELECT unnest(['gsm8k', 'math', 'finchain', 'other']) AS source) s
       LEFT JOIN (SELECT * FROM roll WHERE event_type = 'signup') r ON r.source = s.source GROUP BY s.source""",
     "sample_exact_n": "SELECT doc_id, lang, n_chars AS n_tokens FROM documents ORDER BY md5('42:' || doc_id::VARCHAR), doc_id LIMIT 50",
-    "balanced_prompts": """SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || lang || ':' || doc_id::VARCHAR), doc_id) AS k FROM documents WHERE lang IN ('en', 'de', 'fr'))
-      WHERE k <= CASE lang WHEN 'fr' THEN 16 ELSE 17 END""",
+    "balanced_prompts": """SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || lang || ':' || doc_id::VARCHAR), doc_id) AS k FROM documents WHERE lang IN ('en', 'de', 'fr', 'es'))
+      WHERE k <= CASE WHEN lang IN ('en', 'de') THEN 13 ELSE 12 END""",
     "stratified_split": f"WITH {SPLIT} SELECT doc_id, source, is_val FROM split",
     "strided_shards": "SELECT doc_id % 4 AS rank, count(*) AS n, sum(n_chars)::BIGINT AS tokens FROM documents GROUP BY 1",
     "document_batches": "SELECT doc_id // 8 AS batch, (count(*) * max(n_chars))::BIGINT AS rectangular, sum(n_chars)::BIGINT AS tokens FROM documents GROUP BY 1",
     "retention_top_n": """SELECT CASE WHEN o_orderkey % 10 = 0 THEN 'note-' ELSE 'step-' END || o_orderkey AS path, o_totalprice FROM orders WHERE o_orderkey % 10 = 0 OR o_orderkey = 7
       OR o_orderkey IN (SELECT DISTINCT o_orderkey FROM orders WHERE o_orderkey % 10 <> 0 ORDER BY o_orderkey DESC LIMIT 3)""",
     "latest_checkpoint": "SELECT 'step-' || max(o_orderkey) AS path FROM orders",
-    "epoch_positions": """SELECT doc_id, epoch FROM (SELECT doc_id, 0::BIGINT AS epoch FROM documents ORDER BY md5('42:0:' || doc_id::VARCHAR), doc_id LIMIT 10)
-      UNION ALL SELECT doc_id, epoch FROM (SELECT doc_id, 1::BIGINT AS epoch FROM documents ORDER BY md5('42:1:' || doc_id::VARCHAR), doc_id LIMIT 10)""",
-    "epoch_places": """SELECT doc_id, epoch, row_number() OVER (PARTITION BY epoch ORDER BY md5('42:' || epoch || ':' || doc_id), doc_id) - 1 AS place
+    "epoch_positions": """SELECT doc_id, epoch, row_number() OVER (PARTITION BY epoch ORDER BY md5('42:' || epoch || ':' || doc_id), doc_id) - 1 AS place
       FROM documents, (SELECT unnest([0, 1])::BIGINT AS epoch)""",
     "completion_group_census": f"""WITH {ROLL}, g AS (SELECT prompt_id, count(*) FILTER (correct) AS c, count(*) AS n FROM roll GROUP BY prompt_id)
       SELECT count(*) AS prompts, count(*) FILTER (c > 0 AND c < n) AS pairable, count(*) FILTER (c = n) AS all_correct, count(*) FILTER (c = 0) AS all_incorrect, 0::BIGINT AS empty FROM g""",
@@ -162,7 +155,7 @@ ORACLES: dict[str, str] = {
     "generated_completions": f"WITH {SFT} SELECT conv_id, turn, unnest([0, 1, 2, 3])::BIGINT AS sample_index, length(prompt)::VARCHAR AS answer FROM sft",
     "custom_tokenizer": f"WITH {SFT} SELECT conv_id, turn, len(string_split(prompt, ' ')) AS n, length(replace(prompt, ' ', '')) AS total FROM sft",
     "method_comparison": f"""WITH {COMP} SELECT checkpoint, count(*) AS n, round(avg(correct::INT), 6) AS accuracy, round(avg((parsed IS NOT NULL)::INT), 6) AS parse_success_rate, sum(length(completion))::BIGINT AS tokens,
-      round(sum(value / 100), 6) AS sec, round(sum(value / 100) / 3600 * 0.44, 6) AS cost FROM texts WHERE checkpoint <> 'error' GROUP BY checkpoint""",
+      round(sum(value / 100), 6) AS sec, round(sum(value / 100) / 3600 * 0.44, 6) AS cost FROM texts GROUP BY checkpoint""",
     "length_stats_by_lang": """SELECT lang, count(*) AS count, round(avg(n_chars), 6) AS mean, list_sort(list(n_chars))[(count(*) // 2 + 1)::INT] AS p50, list_sort(list(n_chars))[(floor(count(*) * 0.95::DOUBLE) + 1)::INT] AS p95, max(n_chars) AS max
       FROM documents GROUP BY lang""",
     "sft_length_stats": f"""WITH {SFT}, l AS (SELECT unnest(['prompt', 'response', 'total']) AS name, unnest([length(prompt), length(response), length(prompt) + length(response)]) AS v FROM sft)
@@ -184,6 +177,11 @@ ORACLES: dict[str, str] = {
     "gold_self_check": f"WITH {COMP} SELECT source, count(*) AS n, count(*) AS verified, 0::BIGINT AS corrupt_verified FROM comp GROUP BY source",
     "pass_at_k": f"""WITH {ROLL}, g AS (SELECT count(*) AS n, count(*) FILTER (correct) AS c FROM roll GROUP BY prompt_id HAVING count(*) >= 3)
       SELECT count(*) AS prompts, round(avg(1 - greatest(n - c, 0) / n::DOUBLE * greatest(n - c - 1, 0) / (n - 1)::DOUBLE * greatest(n - c - 2, 0) / (n - 2)::DOUBLE), 6) AS pass_at_k FROM g""",
+    "bootstrap_ci": f"""WITH {ROLL}, w AS (SELECT source, reward, r, ('0x' || substr(md5('42:' || r || ':' || ordinal), 1, 8))::BIGINT / 4294967296::DOUBLE AS u FROM roll, range(200) t(r)),
+      k AS (SELECT source, r, sum(reward * c) / sum(c) AS m FROM (SELECT *, (u >= 0.36787944117144233)::INT + (u >= 0.7357588823428847)::INT + (u >= 0.9196986029286058)::INT + (u >= 0.9810118431238462)::INT
+        + (u >= 0.9963401531726563)::INT + (u >= 0.9994058151824183)::INT AS c FROM w) GROUP BY source, r),
+      q AS (SELECT source, list_sort(list(m)) AS ms FROM k GROUP BY source) SELECT q.source, round(a.mean, 6) AS mean, round(ms[6], 6) AS lo, round(ms[196], 6) AS hi
+      FROM q JOIN (SELECT source, avg(reward) AS mean FROM roll GROUP BY source) a ON q.source = a.source""",
     "cost_per_accuracy_point": f"WITH {COMP}, a AS (SELECT checkpoint, avg(correct::INT) AS x FROM graded GROUP BY checkpoint) SELECT checkpoint, round(CASE WHEN x > 0.1 THEN 3.5 / ((x - 0.1) * 100) END, 6) AS per_point FROM a",
     "pack_documents": f'WITH RECURSIVE {DOC_PACK} SELECT batch, o AS doc_id, row_no, start, "end" FROM packed',
     "packed_row_stats": f"""WITH RECURSIVE {DOC_PACK}, r AS (SELECT batch, row_no, max("end") AS used, count(*) AS docs FROM packed GROUP BY batch, row_no)
@@ -192,22 +190,17 @@ ORACLES: dict[str, str] = {
       SELECT batch AS conv_id, row_no, max(used) OVER (PARTITION BY batch) AS width, docs, labels::BIGINT AS labels, used, positions::BIGINT AS positions FROM r""",
     "isolated_attention": f"""WITH RECURSIVE {TURN_PACK}, r AS (SELECT x.batch, row_no, max("end") AS used, sum(n * (n + 1) // 2) AS seen, sum(n) AS real FROM packed x JOIN docs d ON x.batch = d.batch AND x.k = d.k GROUP BY x.batch, row_no)
       SELECT batch AS conv_id, row_no, (seen + max(used) OVER (PARTITION BY batch) - real)::BIGINT AS visible FROM r""",
-    "packed_turns": f"""WITH RECURSIVE {WHOLE_TURN_PACK}, r AS (SELECT x.batch, row_no, max("end") AS used, count(*) AS docs, sum(n - p) AS labels, sum(n * (n - 1) // 2) AS positions FROM packed x JOIN docs d ON x.batch = d.batch AND x.k = d.k GROUP BY x.batch, row_no)
-      SELECT batch AS conv_id, row_no, max(used) OVER (PARTITION BY batch) AS width, docs, labels::BIGINT AS labels, used, positions::BIGINT AS positions FROM r""",
-    "isolated_turns": f"""WITH RECURSIVE {WHOLE_TURN_PACK}, r AS (SELECT x.batch, row_no, max("end") AS used, sum(n * (n + 1) // 2) AS seen, sum(n) AS real FROM packed x JOIN docs d ON x.batch = d.batch AND x.k = d.k GROUP BY x.batch, row_no)
-      SELECT batch AS conv_id, row_no, (seen + max(used) OVER (PARTITION BY batch) - real)::BIGINT AS visible FROM r""",
     "pad_and_mask": f"WITH {SFT} SELECT conv_id, turn, length(prompt) + length(response) + 5 AS width, length(response) AS useful FROM sft",
     "sft_serialise": f"""WITH {SFT}, s AS (SELECT conv_id, turn, '<|im_start|>user' || chr(10) || prompt || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) AS p, response || '<|im_end|>' || chr(10) AS r FROM sft)
       SELECT conv_id, turn, length(p) AS prompt_chars, length(p) + length(r) AS total_chars, md5(p || r) AS digest FROM s""",
-    "encoded_pairs": f"""WITH {SFT}, s AS (SELECT conv_id, turn, least(length(prompt), 50) AS p, least(100, least(length(prompt), 50) + least(length(response), 80)) AS c, least(100, least(length(prompt), 50) + least(length(response), 20)) AS r FROM sft),
-      k AS (SELECT * FROM s WHERE c > p AND r > p AND c > 1 AND r > 1)
-      SELECT conv_id, turn, max(greatest(c, r)) OVER (PARTITION BY conv_id % 5) AS width, c - p AS chosen_useful, r - p AS rejected_useful, max(greatest(c, r)) OVER (PARTITION BY conv_id % 5) AS rejected_width FROM k""",
-    "encoded_turns": f"""WITH {SFT}, s AS (SELECT conv_id, turn, length(prompt) AS p, least(100, length(prompt) + length(response)) AS c, least(100, length(prompt) + length(prompt)) AS r FROM sft),
+    "encoded_pairs": f"""WITH {SFT}, s AS (SELECT conv_id, turn, length(prompt) AS p, least(100, length(prompt) + length(response)) AS c, least(100, length(prompt) + length(prompt)) AS r FROM sft),
       k AS (SELECT * FROM s WHERE c > p AND r > p AND c > 1 AND r > 1)
       SELECT conv_id, turn, max(greatest(c, r)) OVER (PARTITION BY conv_id // 8) AS width, c - p AS chosen_useful, r - p AS rejected_useful, max(greatest(c, r)) OVER (PARTITION BY conv_id // 8) AS rejected_width FROM k""",
-    "parameter_bands": "SELECT CASE WHEN p_size % 3 = 0 OR p_size % 4 <= 1 THEN 'no_decay' ELSE 'decay' END AS band, count(*) AS n FROM part GROUP BY 1",
+    "parameter_bands": "SELECT CASE WHEN p_size % 3 = 0 OR p_size % 4 = 1 THEN 'no_decay' ELSE 'decay' END AS band, count(*) AS n FROM part GROUP BY 1",
     "token_logprob": f"WITH {LOGP} SELECT vec_id, round(logp, 6) AS logp FROM logp",
-    "sequence_logprob": f"WITH {LOGP} SELECT vec_id // 5 AS seq, round(sum(logp), 6) AS logp, count(*) AS tokens FROM logp WHERE vec_id % 5 > 1 GROUP BY 1",
+    "sequence_logprob": """WITH x AS (SELECT vec_id // 5 AS seq, list_transform(embedding, lambda v: v::DOUBLE) AS e,
+        lead(CASE WHEN vec_id % 5 < 2 THEN NULL ELSE label END) OVER (PARTITION BY vec_id // 5 ORDER BY vec_id) AS next FROM embeddings), y AS (SELECT *, list_max(e) AS m FROM x WHERE next IS NOT NULL)
+      SELECT seq, round(sum(e[next + 1] - (m + ln(list_sum(list_transform(e, lambda v: exp(v - m)))))), 6) AS logp, count(*) AS tokens FROM y GROUP BY seq""",
     "masked_ce": f"WITH {LOGP} SELECT vec_id % 6 AS part, round(coalesce(-avg(logp) FILTER (vec_id % 3 <> 0), 0), 6) AS loss, count(*) FILTER (vec_id % 3 <> 0) AS tokens FROM logp GROUP BY 1",
     "perplexity": f"WITH {LOGP} SELECT label::BIGINT AS label, round(avg(-logp), 6) AS loss, round(exp(avg(-logp)), 6) AS perplexity, count(*) AS tokens FROM logp GROUP BY label",
     "val_loss_two_ways": f"WITH {LOGP} SELECT round((SELECT avg(m) FROM (SELECT avg(-logp) AS m FROM logp GROUP BY vec_id // 7)), 6) AS batch_mean, round((SELECT avg(-logp) FROM logp), 6) AS token_mean",
@@ -221,6 +214,32 @@ ORACLES: dict[str, str] = {
     "ledger_daily_window": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL",
 }
 
+#: queries that write, read back and report; the SQL says what was to be written
+ORACLES |= {
+    "ordinal_examples": """SELECT 'gsm8k-train-' || (row_number() OVER (ORDER BY value, event_id) - 1) AS id, printf('%.2f', value) AS final_answer, row_number() OVER (ORDER BY value, event_id) - 1 AS ordinal FROM events""",
+    "split_paths": "SELECT unnest(['train', 'validation', 'test']) AS split, 'data/finchain/' || split || '.jsonl' AS path",
+    "pairs_jsonl": f"""WITH {ROLL}, p AS (SELECT c.prompt_id, c.source, c.sample_index AS chosen_index, r.sample_index AS rejected_index, printf('%.2f', c.value) AS chosen, printf('%.2f', r.value) AS rejected
+        FROM roll c JOIN roll r ON c.prompt_id = r.prompt_id AND c.correct AND NOT r.correct)
+      SELECT prompt_id, source, 'größer ' || chosen || ' 🙂' AS chosen, rejected, 0::BIGINT AS n_metadata FROM (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY md5('42:' || prompt_id || ':' || chosen_index || ':' || rejected_index), chosen_index, rejected_index) AS k FROM p) WHERE k <= 2""",
+    "jsonl_lines": "SELECT event_id AS line, event_type FROM events",
+    "config_round_trip": "SELECT unnest(['data.sources', 'training.max_steps', 'training.warmup_steps']) AS key, unnest(['[\"math\"]', '3', '2']) AS value",
+    "summary_round_trip": f"""WITH {COMP} SELECT form, checkpoint, source, count(*) AS n, round(avg(correct::INT), 6) AS accuracy FROM texts, (SELECT unnest(['csv', 'json']) AS form) GROUP BY form, checkpoint, source""",
+    "details_round_trip": f"""WITH {COMP} SELECT checkpoint, source, count(*) AS n, sum(length(completion))::BIGINT AS chars, count(parsed) AS predicted, count(*) FILTER (correct) AS n_correct FROM texts GROUP BY checkpoint, source""",
+    "schema_drift": "SELECT unnest(['extra', 'missing']) AS drift, unnest(['props', 'reward']) AS name",
+    "metric_history": "SELECT event_id AS _step, value AS loss FROM events WHERE event_type = 'click'",
+    "metric_log": "SELECT event_type AS run, 'loss' AS name, 2 * count(*) AS n, round(2 * sum(value), 4) AS total FROM events GROUP BY event_type",
+    "record_round_trip": "SELECT unnest(['a', 'b', 'n']) AS key, unnest(['{\"x\": null}', '1', '\"é\"']) AS value",
+    "ledger_append": "SELECT event_type, 2 * count(*) AS n FROM events GROUP BY event_type",
+    "safe_names": "SELECT name, regexp_full_match(name, '[A-Za-z0-9_.-]+') AS safe FROM (SELECT DISTINCT replace(p_name, ' ', CASE WHEN p_size % 2 = 0 THEN '-' ELSE '/' END) AS name FROM part)",
+    "cached_table": "SELECT lang, count(*) AS n, true AS hit FROM documents GROUP BY lang",
+    "length_report": "SELECT lang, printf('%s: n=%d mean=%.1f p50=%d p95=%d max=%d', lang, count(*), avg(n_chars), list_sort(list(n_chars))[(count(*) // 2 + 1)::INT], list_sort(list(n_chars))[(floor(count(*) * 0.95::DOUBLE) + 1)::INT], max(n_chars)) AS line FROM documents GROUP BY lang",
+    "verified_only": f"WITH {COMP} SELECT source, count(*) AS n, sum(example_id)::BIGINT AS ids FROM graded WHERE correct GROUP BY source",
+    "finite_losses": "SELECT event_type, round(sum(value), 4) AS total FROM events GROUP BY event_type",
+    "required_rows": "SELECT count(*) AS n FROM events WHERE event_type = 'click'",
+    "transfer_accuracy": f"WITH {COMP} SELECT 'transfer' AS source, count(*) AS n, round(avg(correct::INT), 6) AS accuracy, round(avg((parsed IS NOT NULL)::INT), 6) AS parse_success_rate FROM graded WHERE source = 'gsm8k'",
+    "overwritten_table": "SELECT count(*) AS n, sum(doc_id)::BIGINT AS ids FROM documents",
+}
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from quern.functions import answers, kernels, rates, scoring
 from quern.operators import grouping, joins, metrics, sampling, seams, token_rows, validation
 from quern.plans import views as v
-from quern.sources import cache, readers
+from quern.sources import cache, readers, shared
 from quern.streaming import ledger
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -210,7 +209,7 @@ def sample_exact_n(spark, sf_dir):
 
 @query
 def balanced_prompts(spark, sf_dir):
-    return sampling.balanced_sample(v.sizes(spark, sf_dir), 50, ["en", "de", "fr"], "doc_id", source="lang").select("doc_id", "lang")
+    return sampling.balanced_sample(v.sizes(spark, sf_dir), 50, ["en", "de", "fr", "es"], "doc_id", source="lang").select("doc_id", "lang")
 
 
 @query
@@ -249,14 +248,6 @@ def latest_checkpoint(spark, sf_dir):
 
 @query
 def epoch_positions(spark, sf_dir):
-    """Two epochs over the documents, each in an order of its own: the first ten places (a report)."""
-    df = v.sizes(spark, sf_dir).select("doc_id")
-    parts = [sampling.epoch_order(df, k, "doc_id").limit(10).withColumn("epoch", F.lit(k).cast("long")) for k in (0, 1)]
-    return parts[0].unionByName(parts[1])
-
-
-@query
-def epoch_places(spark, sf_dir):
     """Two epochs over the documents: each document's place in the order of each epoch."""
     df = sampling.epoch_places(v.sizes(spark, sf_dir).select("doc_id"), 2, "doc_id")
     return df.select("doc_id", F.col("epoch").cast("long").alias("epoch"), "place")
@@ -334,12 +325,12 @@ def resample_plan(spark, sf_dir):
 
 @query
 def grpo_advantages(spark, sf_dir):
-    return rounded(grouping.with_advantages(v.rollouts(spark, sf_dir)).select("ordinal", "prompt_id", "advantage"), "advantage")
+    return rounded(grouping.with_advantages(v.rollouts(spark, sf_dir), single="drop").select("ordinal", "prompt_id", "advantage"), "advantage")
 
 
 @query
 def grpo_centred(spark, sf_dir):
-    return rounded(grouping.with_advantages(v.rollouts(spark, sf_dir), normalize=False).select("ordinal", "advantage"), "advantage")
+    return rounded(grouping.with_advantages(v.rollouts(spark, sf_dir), normalize=False, single="drop").select("ordinal", "advantage"), "advantage")
 
 
 @query
@@ -434,7 +425,7 @@ def custom_tokenizer(spark, sf_dir):
 def method_comparison(spark, sf_dir):
     c = readers.grade(v.completions(spark, sf_dir))
     summary = metrics.accuracy(c, ["checkpoint"])
-    totals = c.where("checkpoint <> 'error'").groupBy("checkpoint").agg(F.sum(F.length("completion")).cast("long").alias("tokens"), F.sum(F.col("value") / 100).alias("sec"))
+    totals = c.groupBy("checkpoint").agg(F.sum(F.length("completion")).cast("long").alias("tokens"), F.sum(F.col("value") / 100).alias("sec"))
     out = metrics.known(metrics.comparison(summary, totals, ["checkpoint"]), "tokens")
     return rounded(out.withColumn("cost", rates.dollars(F.col("sec"), F.lit(0.44))), "accuracy", "parse_success_rate", "sec", "cost")
 
@@ -562,49 +553,25 @@ def packed_row_stats(spark, sf_dir):
 
 
 def _packed(spark, sf_dir):
+    """Whole turns, packed by conversation: only a turn longer than a row is cut, by the operator."""
     t = v.turns(spark, sf_dir)
-    prompt = F.substr("prompt", F.lit(1), F.lit(40))
-    ids = token_rows.char_ids(F.concat(prompt, F.substr("response", F.lit(1), F.lit(60))))
-    df = t.select("conv_id", "turn", ids.alias("ids"), F.length(prompt).alias("prompt_length"), F.lit("math").alias("source"), F.col("turn").cast("string").alias("example_id"))
-    return token_rows.pack_rows(df, "conv_id", "turn", 256, separator=99)
+    ids = token_rows.char_ids(F.concat("prompt", "response"))
+    df = t.select("conv_id", "turn", ids.alias("ids"), F.length("prompt").alias("prompt_length"), F.lit("math").alias("source"), F.col("turn").cast("string").alias("example_id"))
+    return token_rows.pack_rows(df, "conv_id", "turn", 2048, separator=99)
 
 
 @query
 def packed_rows(spark, sf_dir):
-    """Packed rows of short turns (prefixes of 40 and 60 characters, as in the SQL): width, labels, positions and documents as sums."""
-    return _row_sums(_packed(spark, sf_dir))
-
-
-def _row_sums(p: DataFrame) -> DataFrame:
+    """Packed rows: width, labels, positions and documents as sums."""
+    p = _packed(spark, sf_dir)
     total = lambda c: F.aggregate(F.col(c), F.lit(0).cast("long"), lambda a, x: a + x)
     return p.select("conv_id", "row_no", F.size("input_ids").cast("long").alias("width"), F.size("boundaries").cast("long").alias("docs"), F.size(F.filter("labels", lambda x: x != kernels.IGNORED)).cast("long").alias("labels"), total("attention_mask").alias("used"), total("position_ids").alias("positions"))
 
 
 @query
 def isolated_attention(spark, sf_dir):
-    """Number of visible positions of each packed row of short turns (prefixes, as in the SQL)."""
-    p = _packed(spark, sf_dir).select("conv_id", "row_no", token_rows.isolated_mask(F.col("doc_ids")).alias("mask"))
-    ones = F.aggregate(F.flatten("mask"), F.lit(0).cast("long"), lambda a, x: a + x)
-    return p.select("conv_id", "row_no", ones.alias("visible"))
-
-
-def _packed_whole(spark, sf_dir):
-    t = v.turns(spark, sf_dir)
-    ids = token_rows.char_ids(F.concat("prompt", "response"))
-    df = t.select("conv_id", "turn", ids.alias("ids"), F.length("prompt").alias("prompt_length"), F.lit("math").alias("source"), F.col("turn").cast("string").alias("example_id"))
-    return token_rows.pack_rows(df, "conv_id", "turn", 2048, separator=99)
-
-
-@query
-def packed_turns(spark, sf_dir):
-    """As `packed_rows`, over whole turns: only a turn longer than a row is cut, by the operator."""
-    return _row_sums(_packed_whole(spark, sf_dir))
-
-
-@query
-def isolated_turns(spark, sf_dir):
-    """As `isolated_attention`, over whole turns; counted without the square mask, which is 2048 x 2048 for a row."""
-    return _packed_whole(spark, sf_dir).select("conv_id", "row_no", token_rows.visible_positions(F.col("doc_ids")).alias("visible"))
+    """Number of visible positions of each packed row; counted without the square mask, which is 2048 x 2048 for a row."""
+    return _packed(spark, sf_dir).select("conv_id", "row_no", token_rows.visible_positions(F.col("doc_ids")).alias("visible"))
 
 
 @query
@@ -625,18 +592,9 @@ def sft_serialise(spark, sf_dir):
 
 @query
 def encoded_pairs(spark, sf_dir):
-    """Two answers to a prompt encoded, cut, masked and padded to one width a batch."""
-    t = v.turns(spark, sf_dir)
-    prompt, chosen = token_rows.char_ids(F.substr("prompt", F.lit(1), F.lit(50))), token_rows.char_ids(F.substr("response", F.lit(1), F.lit(80)))
-    rejected = token_rows.char_ids(F.substr("response", F.lit(1), F.lit(20)))
-    df = token_rows.encode_pairs(t, prompt, chosen, rejected, 100, policy="skip").withColumn("batch", F.pmod("conv_id", F.lit(5)))
-    df = token_rows.collate_pairs(df, "batch")
-    return df.select("conv_id", "turn", F.col("width").cast("long").alias("width"), metrics.useful_tokens(F.col("chosen_labels")).cast("long").alias("chosen_useful"), metrics.useful_tokens(F.col("rejected_labels")).cast("long").alias("rejected_useful"), F.size("rejected_input_ids").cast("long").alias("rejected_width"))
-
-
-@query
-def encoded_turns(spark, sf_dir):
-    """As `encoded_pairs`, over whole texts: the response against an answer that repeats the prompt; a prompt that fills the window is skipped."""
+    """Two answers to a prompt encoded, cut to a window, masked and padded to one width a batch: the response against an answer that
+    repeats the prompt; a prompt that fills the window is skipped.
+    """
     t = v.turns(spark, sf_dir)
     prompt, chosen, rejected = token_rows.char_ids(F.col("prompt")), token_rows.char_ids(F.col("response")), token_rows.char_ids(F.col("prompt"))
     df = token_rows.encode_pairs(t, prompt, chosen, rejected, 100, policy="skip").withColumn("batch", sampling.batch_number("conv_id", 8))
@@ -647,7 +605,7 @@ def encoded_turns(spark, sf_dir):
 @query
 def parameter_bands(spark, sf_dir):
     p = v.table(spark, sf_dir, "part")
-    name = F.concat(F.replace("p_name", F.lit(" "), F.lit(".")), F.when(F.pmod("p_size", F.lit(3)) == 0, ".bias").otherwise(".weight"))
+    name = F.concat(F.replace("p_name", F.lit(" "), F.lit(".")), F.when(F.pmod("p_size", F.lit(3)) == 0, ".bias").when(F.pmod("p_size", F.lit(3)) == 1, ".qbias").otherwise(".weight"))
     return p.select(token_rows.parameter_band(name, F.pmod("p_size", F.lit(4))).alias("band")).groupBy("band").agg(F.count("*").alias("n"))
 
 
@@ -662,8 +620,10 @@ def token_logprob(spark, sf_dir):
 
 @query
 def sequence_logprob(spark, sf_dir):
-    df = _logprobs(spark, sf_dir).withColumn("seq", F.floor(F.col("vec_id") / 5).cast("long")).where(F.pmod("vec_id", F.lit(5)) > 1)
-    return rounded(df.groupBy("seq").agg(F.sum("logp").alias("logp"), F.count("logp").alias("tokens")), "logp")
+    """Sequences of five positions; the labels of the first two are the prompt's."""
+    label = F.when(F.pmod("vec_id", F.lit(5)) < 2, kernels.IGNORED).otherwise(F.col("label"))
+    df = v.logits(spark, sf_dir).withColumns({"seq": F.floor(F.col("vec_id") / 5).cast("long"), "label": label})
+    return rounded(token_rows.sequence_logprob(df, "seq", "vec_id", "embedding", "label"), "logp")
 
 
 @query
@@ -697,12 +657,11 @@ def dpo_loss(spark, sf_dir):
 
 @query
 def grpo_token_loss(spark, sf_dir):
-    df = grouping.with_advantages(v.rollouts(spark, sf_dir))
+    df = grouping.with_advantages(v.rollouts(spark, sf_dir), single="drop")
     p, old, ref = -F.col("value") / 300, -F.pmod(F.col("value") * 3, F.lit(500.0)) / 400, -F.pmod(F.col("value") * 5, F.lit(500.0)) / 350
     mask = (F.col("event_type") != "error").cast("double")
     df = df.select("source", mask.alias("m"), kernels.grpo_term(p, old, ref, F.col("advantage"), 0.2, 0.05).alias("loss"), kernels.kl_estimate(p, ref).alias("kl"), kernels.ratio(p, old).alias("ratio"))
-    mean = lambda c: (F.sum(F.col(c) * F.col("m")) / F.sum("m")).alias(c)
-    return rounded(df.groupBy("source").agg(mean("loss"), mean("kl"), mean("ratio"), F.sum("m").alias("tokens")), "loss", "kl", "ratio")
+    return rounded(kernels.masked_loss(df, ["loss", "kl", "ratio"], "m", ["source"]), "loss", "kl", "ratio")
 
 
 # -- streaming (extensions) -------------------------------------------------------------------------------
@@ -712,8 +671,7 @@ def grpo_token_loss(spark, sf_dir):
 def ledger_daily_window(spark, sf_dir):
     """The event table as a stream, by day and type; read back from the sink when all that is there has been worked off."""
     events = v.table(spark, sf_dir, "events")
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quern-")
-    root = f"{root}/ledger-{spark.sparkContext.applicationId}-{abs(hash((sf_dir, id(events))))}"
+    root = shared.folder(spark, "ledger")
     source = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events*.parquet")
     totals = ledger.windowed(source)
     ledger.run_upsert(totals, f"{root}/state", lambda df, n: df.write.mode("overwrite").parquet(f"{root}/out"), mode="complete")
@@ -722,4 +680,6 @@ def ledger_daily_window(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
+    from quern.plans import round_trips  # noqa: F401  registers its own
+
     return dict(_QUERIES)

@@ -11,38 +11,46 @@ from dataclasses import dataclass
 from typing import Any
 
 import yaml
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.functions import answers, scoring
 from quern.operators import validation as v
+from quern.sources import shared
 
 
-def _ordinals(df: DataFrame, order: str) -> DataFrame:
-    """`df` with `ordinal` 0, 1, ... in the order of a growing column, without bringing all rows into one task.
+def with_ordinal(df: DataFrame, order: str) -> DataFrame:
+    """`df` with `ordinal` 0, 1, ... in the order of a column, without bringing all rows into one task.
 
-    Rows are range-partitioned; each partition's count shifts the next one's numbers.
+    Rows are dealt out by ranges and written once, a file a range.  A row's number is its place in its file and the rows of
+    the files before, so it does not depend on a second reading that deals out alike.  Only a count for each file is brought together.
     """
-    ranged = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id()).withColumn("__in", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
-    sizes = {r["__part"]: r["n"] for r in ranged.groupBy("__part").agg(F.count("*").alias("n")).collect()}
-    at, shift = 0, []
-    for p in sorted(sizes):
-        shift += [F.lit(p), F.lit(at).cast("long")]
-        at += sizes[p]
-    base = F.create_map(*shift)[F.col("__part")] if shift else F.lit(0).cast("long")
-    return ranged.withColumn("ordinal", F.col("__in") + base).drop("__part", "__in")
+    spark = df.sparkSession
+    path = shared.folder(spark, "ordered")
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartitionByRange(ranges, F.col(order)).sortWithinPartitions(order).write.option("maxRecordsPerFile", 0).parquet(path)
+    part = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("int")
+    rows = spark.read.schema(df.schema).parquet(path).select("*", part.alias("__part"), F.col("_metadata.row_index").alias("__in"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = rows.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0).cast("long")).alias("__before"))
+    return rows.join(F.broadcast(shift), "__part").withColumn("ordinal", F.col("__in") + F.col("__before")).drop("__part", "__in", "__before")
 
 
-def with_ordinal(df: DataFrame, order: str) -> DataFrame:
-    return _ordinals(df, order)
+#: blocks of files whose line counts are broadcast; of more, lines are joined with them
+MOST_BLOCKS = 200_000
 
 
 def read_text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line (0-based, of the file, blank ones counted), value."""
-    whole = spark.read.text(path, wholetext=True)
-    each = whole.select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")).alias("line", "value"))
-    return each.select(F.col("line").cast("long").alias("line"), "value")
+    """line (0-based, of the file, blank ones counted), value. A large file is read in blocks, by as many tasks."""
+    lines = spark.read.option("lineSep", "\n").text(path)
+    lines = lines.select("value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__from"), F.monotonically_increasing_id().alias("__id"))
+    before = Window.partitionBy("__file").orderBy("__from").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = lines.groupBy("__file", "__from").agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
+    blocks = blocks.select("__file", "__from", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0).cast("long")).alias("__before"))
+    blocks = F.broadcast(blocks) if blocks.limit(MOST_BLOCKS + 1).count() <= MOST_BLOCKS else blocks
+    each = lines.join(blocks, ["__file", "__from"])
+    return each.select((F.col("__id") - F.col("__first") + F.col("__before")).alias("line"), F.regexp_replace("value", r"\r\z", "").alias("value"))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
@@ -168,6 +176,14 @@ def load_selected(names: Sequence[str], frames: dict[str, Callable[[], DataFrame
     return out
 
 
+def with_max_steps(config: dict[str, Any], max_steps: int) -> dict[str, Any]:
+    """`config` with another number of steps; a warm-up that would not end before the last step is shortened to end there."""
+    training = dict(config.get("training") or {}, max_steps=max_steps)
+    if training.get("warmup_steps", 0) >= max_steps:
+        training["warmup_steps"] = max(max_steps - 1, 0)
+    return dict(config, training=training)
+
+
 def read_config(path: str, overrides: dict[str, Any] | None = None, known: Iterable[str] = ("model", "data", "training", "packing", "logging", "checkpointing")) -> dict[str, Any]:
     """A YAML mapping with dotted overrides merged in before it is checked."""
     with open(path, encoding="utf-8") as f:

@@ -8,14 +8,17 @@ from collections.abc import Sequence
 from typing import Any
 
 import yaml
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 log = logging.getLogger(__name__)
 
+#: fixed columns of the two reports
 SUMMARY = ("checkpoint", "source", "n", "accuracy", "parse_success_rate", "generated_tokens", "generated_tokens_decoded", "elapsed_sec")
 DETAILS = ("example_id", "prompt", "generated", "gold_answer", "predicted_answer", "parse_success", "is_correct")
-_NAME = re.compile(r"[A-Za-z0-9_][A-Za-z0-9_.-]*\Z")
+#: fixed set of characters of names; `.` and `..` would be other folders
+SAFE = r"^(?!\.{1,2}\z)[A-Za-z0-9_.-]+\z"
+_NAME = re.compile(SAFE.replace(r"\z", r"\Z"))
 
 
 def safe_name(name: str) -> str:
@@ -59,7 +62,7 @@ def write_summary(df: DataFrame, path: str) -> None:
 
 def write_details(df: DataFrame, path: str) -> None:
     """Detail rows by checkpoint and source; line breaks and commas in texts survive, a missing prediction is empty."""
-    ok = F.col("checkpoint").rlike(r"^[A-Za-z0-9_][A-Za-z0-9_.-]*\z") & F.col("source").rlike(r"^[A-Za-z0-9_][A-Za-z0-9_.-]*\z")
+    ok = F.col("checkpoint").rlike(SAFE) & F.col("source").rlike(SAFE)
     df = df.where(F.when(ok, F.lit(True)).otherwise(F.raise_error(F.lit("not a safe name")).cast("boolean")))
     df = df.select("checkpoint", "source", *DETAILS).withColumn("predicted_answer", F.coalesce("predicted_answer", F.lit("")))
     _warn_if_there(df.sparkSession, path)
@@ -72,7 +75,17 @@ def read_details(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    """A JSON object a line, nulls written, characters beyond ASCII as escapes (of UTF-16 units, as JSON has them)."""
+
+    def escaped(c: Column) -> Column:
+        high = F.lpad(F.lower(F.hex(F.lit(0xD800) + F.floor((F.ascii(c) - 0x10000) / 1024))), 4, "0")
+        low = F.lpad(F.lower(F.hex(F.lit(0xDC00) + F.pmod(F.ascii(c) - 0x10000, F.lit(1024)))), 4, "0")
+        unit = F.lpad(F.lower(F.hex(F.ascii(c))), 4, "0")
+        return F.when(F.octet_length(c) == 1, c).when(F.ascii(c) < 0x10000, F.concat(F.lit("\\u"), unit)).otherwise(F.concat(F.lit("\\u"), high, F.lit("\\u"), low))
+
+    line = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
+    plain = F.when(F.octet_length(line) == F.length(line), line).otherwise(F.array_join(F.transform(F.split(line, ""), escaped), ""))
+    df.select(plain.alias("value")).write.mode("overwrite").text(path)
 
 
 def write_record(spark: SparkSession, path: str, record: dict[str, Any]) -> None:

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 
@@ -85,7 +86,7 @@ def test_epoch_places_cover_every_row(spark, pool):
 
 def test_epoch_places_query_drops_no_document(spark, sf_dir):
     n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
-    out = queries.queries()["epoch_places"](spark, sf_dir).groupBy("epoch").agg(F.count("*").alias("n"), F.count_distinct("doc_id", "place").alias("d"), F.max("place").alias("last")).collect()
+    out = queries.queries()["epoch_positions"](spark, sf_dir).groupBy("epoch").agg(F.count("*").alias("n"), F.count_distinct("doc_id", "place").alias("d"), F.max("place").alias("last")).collect()
     assert sorted(map(tuple, out)) == [(0, n, n, n - 1), (1, n, n, n - 1)] and n > 10
 
 
@@ -141,13 +142,61 @@ def test_buckets(spark):
 def test_advantages(spark):
     df = rewards(spark, {"a": [1, 2, 3], "b": [5, 5, 5], "c": [1]})
     out = {}
-    for r in g.with_advantages(df).collect():
+    for r in g.with_advantages(df, single="drop").collect():
         out.setdefault(r.prompt_id, []).append(r.advantage)
     assert out.keys() == {"a", "b"} and out["b"] == [0, 0, 0]
     assert sum(out["a"]) == pytest.approx(0) and sum(x * x for x in out["a"]) / 3 == pytest.approx(1)
-    assert sorted(r.advantage for r in g.with_advantages(df, normalize=False).where("prompt_id = 'a'").collect()) == [-1, 0, 1]
+    assert sorted(r.advantage for r in g.with_advantages(df, normalize=False, single="drop").where("prompt_id = 'a'").collect()) == [-1, 0, 1]
     with pytest.raises(Exception, match="group of one"):
-        g.with_advantages(df, single="fail").collect()
+        g.with_advantages(df).collect()
+    with pytest.raises(ValueError, match="policy"):
+        g.with_advantages(df, single="keep")
+
+
+def test_parameter_bands(spark):
+    cases = {("h.bias", 2): "no_decay", ("h.qbias", 2): "decay", ("bias", 2): "decay", ("h.weight", 1): "no_decay", ("h.weight", 2): "decay", ("h.scale", 0): "decay"}
+    df = frame(spark, list(cases), "name string, rank int")
+    assert {(r.name, r.rank): r.band for r in df.select("*", token_rows.parameter_band(F.col("name"), F.col("rank")).alias("band")).collect()} == cases
+
+
+def test_masked_loss_guards(spark):
+    df = frame(spark, [("a", 1.0, 1), ("a", 3.0, 1), ("a", 9.0, 0), ("b", 2.0, 0)], "k string, loss double, m int")
+    assert kernels.masked_loss(df.where("k = 'a'"), ["loss"], "m").first()[:] == (2.0, 2.0)
+    with pytest.raises(Exception, match="no tokens"):
+        kernels.masked_loss(df, ["loss"], "m", ["k"]).collect()
+    with pytest.raises(Exception, match="0 or 1"):
+        kernels.masked_loss(df.withColumn("m", F.lit(0.5)), ["loss"], "m").collect()
+    pairs = frame(spark, [([1], [2]), ([1], [2, 3])], "a array<int>, b array<int>")
+    assert pairs.limit(1).where(kernels.require_same_length(F.col("a"), F.col("b"))).count() == 1
+    with pytest.raises(Exception, match="differ in length"):
+        pairs.where(kernels.require_same_length(F.col("a"), F.col("b"))).collect()
+
+
+def test_a_grid_is_small(spark, monkeypatch):
+    monkeypatch.setattr(joins, "GRID_ROWS", 3)
+    assert joins.grid(spark.range(2), spark.range(3).toDF("x")).count() == 6
+    with pytest.raises(ValueError, match="right side"):
+        joins.grid(spark.range(2), spark.range(4).toDF("x"))
+
+
+def test_a_batch_to_pack_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(token_rows, "PACK_DOCS", 4)
+    df = spark.range(10).selectExpr("id", "id % 2 batch", "cast(3 as long) n")
+    with pytest.raises(Exception, match="more than 4 documents"):
+        token_rows.pack_lengths(df, "batch", "id", "n", 8).collect()
+
+
+def test_split_by_counts_is_the_split_by_rank(spark):
+    """Null sources, one row, sources of every size: as a window over whole sources has it."""
+    rows = [(k, None if k % 7 == 0 else f"s{k % 3}") for k in range(500)] + [(1000, "one")]
+    df = frame(spark, rows, "id long, source string").repartition(3)
+    for pct in (0.1, 5, 50, 100):
+        got = {(r.id, r.is_val) for r in sampling.stratified_split(df, pct, "id").collect()}
+        by = {}
+        for k, source in rows:
+            by.setdefault(source, []).append((hashlib.md5(":".join(x for x in ("42", source, str(k)) if x is not None).encode()).hexdigest(), k))
+        want = {(k, place < sampling.split_sizes(len(x), pct)) for x in by.values() for place, (_, k) in enumerate(sorted(x))}
+        assert got == want
 
 
 def test_budget_and_metadata(spark):
@@ -224,9 +273,9 @@ def test_visible_positions_are_the_ones_of_the_mask(spark):
 def test_packed_turns_are_whole(spark, tmp_path):
     turns = [(0, 0, "user", "p" * 300), (0, 1, "assistant", "r" * 700), (0, 2, "user", "p" * 41), (0, 3, "assistant", "r" * 3000), (1, 0, "user", "p"), (1, 1, "assistant", "r" * 61)]
     frame(spark, turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    rows = queries.queries()["packed_turns"](spark, str(tmp_path)).orderBy("conv_id", "row_no").collect()
+    rows = queries.queries()["packed_rows"](spark, str(tmp_path)).orderBy("conv_id", "row_no").collect()
     assert [(r.conv_id, r.row_no, r.width, r.docs, r.labels, r.used) for r in rows] == [(0, 0, 2048, 1, 700, 1000), (0, 1, 2048, 1, 2007, 2048), (1, 0, 62, 1, 61, 62)]
-    seen = queries.queries()["isolated_turns"](spark, str(tmp_path)).orderBy("conv_id", "row_no").collect()
+    seen = queries.queries()["isolated_attention"](spark, str(tmp_path)).orderBy("conv_id", "row_no").collect()
     assert [r.visible for r in seen] == [1000 * 1001 // 2 + 1048, 2048 * 2049 // 2, 62 * 63 // 2]
 
 
@@ -256,7 +305,7 @@ def test_encoded_turns_skip_prompts_that_fill_the_window(spark, tmp_path):
     sides = [("p" * 100, "r" * 500), ("p" * 99, "r" * 500), ("p" * 60, "r" * 500), ("p" * 5, "r" * 90)]
     turns = [(c, t, role, text) for c, pair in enumerate(sides) for t, (role, text) in enumerate(zip(("user", "assistant"), pair, strict=True))]
     frame(spark, turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    rows = queries.queries()["encoded_turns"](spark, str(tmp_path)).orderBy("conv_id").collect()
+    rows = queries.queries()["encoded_pairs"](spark, str(tmp_path)).orderBy("conv_id").collect()
     assert [(r.conv_id, r.width, r.chosen_useful, r.rejected_useful) for r in rows] == [(1, 100, 1, 1), (2, 100, 40, 40), (3, 100, 90, 5)]
 
 

@@ -26,6 +26,38 @@ def test_chain_jsonl(spark, tmp_path):
         readers.read_jsonl(spark, f"file://{path}", "prompt string")
 
 
+def test_lines_of_files_in_blocks(spark, tmp_path):
+    """Files that tasks read in parts, with blank lines, carriage returns and no last line break."""
+    (tmp_path / "in").mkdir()
+    lines = {f"f{k}": ["" if i % 5 == 4 else f"{k}-{i}" for i in range(2001 + k)] for k in range(3)}
+    for name, x in lines.items():
+        (tmp_path / "in" / name).write_bytes(("\r\n" if name == "f1" else "\n").join(x).encode() + (b"\n" if name == "f2" else b""))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000b")
+    try:
+        out = readers.read_text_lines(spark, f"file://{tmp_path}/in")
+        assert out.rdd.getNumPartitions() > 6
+        got = sorted((r.line, r.value) for r in out.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = sorted((i, x) for name, rows in lines.items() for i, x in enumerate(rows))
+    assert got == want
+
+
+def test_jsonl_is_ascii(spark, tmp_path):
+    rows = [("é世🙂\n\"\\", None), ("plain", "x")]
+    writers.write_jsonl(spark.createDataFrame(rows, "a string, b string"), f"{tmp_path}/out")
+    text = "".join(p.read_text("ascii") for p in sorted((tmp_path / "out").glob("part-*")))
+    assert sorted(text.splitlines()) == sorted(json.dumps({"a": a, "b": b}, separators=(",", ":")) for a, b in rows)
+
+
+def test_fewer_steps_shorten_the_warm_up():
+    config = {"training": {"max_steps": 100, "warmup_steps": 10}, "data": {"sources": ["math"]}}
+    assert readers.with_max_steps(config, 5)["training"] == {"max_steps": 5, "warmup_steps": 4}
+    assert readers.with_max_steps(config, 0)["training"]["warmup_steps"] == 0
+    assert readers.with_max_steps(config, 50)["training"] == {"max_steps": 50, "warmup_steps": 10} and config["training"]["max_steps"] == 100
+
+
 def test_pairs_jsonl(spark, tmp_path):
     path = tmp_path / "x.jsonl"
     row = {"prompt": "p", "chosen": "c", "rejected": "r", "source": "math"}
@@ -63,8 +95,12 @@ def test_registry(spark):
 
 def test_ordinals(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("x")).repartition(9)
-    out = readers.with_ordinal(df, "x").collect()
-    assert all(r.ordinal == r.x for r in out) and len(out) == 1000
+    numbered = readers.with_ordinal(df, "x")
+    for out in (numbered.collect(), numbered.repartition(3).collect()):
+        assert all(r.ordinal == r.x for r in out) and len(out) == 1000
+    names = spark.createDataFrame([(f"n{k:03}",) for k in range(50)], "name string")
+    assert sorted(r.ordinal for r in readers.with_ordinal(names, "name").collect()) == list(range(50))
+    assert readers.with_ordinal(df.limit(0), "x").collect() == []
 
 
 def test_config(tmp_path, monkeypatch):
