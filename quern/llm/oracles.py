@@ -30,5 +30,35 @@ OP5 = """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS size, sha1(coa
   SELECT page_id, size AS payload_bytes, digest AS payload_digest, CASE WHEN keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type, nullif(keeper, page_id) AS refers_to FROM p LEFT JOIN k USING (digest, size)"""
 
 
+#: words, characters, lines and windows of three words that a text has twice
+OP2_COUNTS = r"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+  l AS (SELECT r, count(*) - count(DISTINCT x) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY r),
+  g AS (SELECT r, i, array_to_string(w[i:i + 2], ' ') AS x FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2)),
+  p AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, x) AS n FROM g) WHERE n > 1),
+  c AS (SELECT r, count(DISTINCT k) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS k FROM p) GROUP BY r)
+  SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    coalesce(l.n, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(w) < 50 OR 100 * coalesce(c.n, 0) > 50 * len(w) AS base_failed
+  FROM d LEFT JOIN l ON l.r = d.r LEFT JOIN c ON c.r = d.r"""
+
+#: matches of a pattern and the pieces between them alternate: lengths before a match are its start
+_MATCHES = """SELECT r, {rank} AS rank, '{kind}' AS kind, unnest(range(1, len(m) + 1)) AS i, s, m, v FROM (
+    SELECT r, string_split_regex(t, '{pattern}') AS s, regexp_extract_all(t, '{pattern}', 0) AS m, regexp_extract_all(t, '{pattern}', {group}) AS v FROM d)"""
+_KINDS = (
+    (0, "assign", r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
+    (1, "access", "AKIA[A-Z0-9]+", 0, 20), (2, "hex", "[0-9a-f]+", 0, 24),
+)
+OP4_BASE = f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+  x AS ({" UNION ALL ".join(_MATCHES.format(rank=rank, kind=kind, pattern=pattern, group=group) for rank, kind, pattern, group, _ in _KINDS)}),
+  y AS (SELECT r, rank, kind, (list_sum(list_transform(s[1:i], lambda z: length(z))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda z: length(z))), 0))::BIGINT AS start, length(m[i]) AS n, length(v[i]) AS k FROM x),
+  z AS (SELECT *, start + n AS stop FROM y WHERE k >= [{", ".join(str(k[4]) for k in _KINDS)}][rank + 1]),
+  a AS (SELECT r, count(*) FILTER (rank = 0) AS n0, count(*) FILTER (rank = 1) AS n1, count(*) FILTER (rank = 2) AS n2, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans FROM z GROUP BY r)
+  SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256 FROM d LEFT JOIN a ON a.r = d.r"""
+
+OP6_RULES = """WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS x FROM pages),
+  p AS (SELECT page_id, translate(coalesce(regexp_extract(x, '^[^/?#]*'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(x, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
+  k AS (SELECT unnest(['com', 'example.com', 'www.example.com', 'net', 'net']) AS h, unnest(['/', '/en/', '/en/', '/es/', '/fr/']) AS s, unnest(['allow', 'block', 'allow', 'block', 'block']) AS what)
+  SELECT page_id, host, path, arg_max(h || s, length(h || s)) AS rule, arg_max(what, length(h || s)) AS verdict FROM p LEFT JOIN k ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s) GROUP BY page_id, host, path"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_jaccard_join": OP3, "op5_warc": OP5, "op9_benchmark_decontamination": OP9}
+    return {"quality_counts": OP2_COUNTS, "secret_base_spans": OP4_BASE, "url_rules": OP6_RULES, "op3_ngram_jaccard_join": OP3, "op5_warc": OP5, "op9_benchmark_decontamination": OP9}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quern.llm import oracles
 from quern.llm.common import table
@@ -66,10 +67,26 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of operator 2 that SQL can express."""
+    return op2_quality_rules(spark, sf_dir).drop("n_bad_votes", "posterior", "kept")
+
+
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of operator 4 that SQL can express."""
+    return op4_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of operator 6 that SQL can express: verdicts of rules, null where the method decides."""
+    return op6_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("verdict"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_html_extraction, op2_quality_rules, op3_ngram_jaccard_join, op4_secret_scan, op5_warc, op6_url_filter, op7_token_counts,
         op8_packing, op9_benchmark_decontamination, op10_language_id, pipeline,
+        quality_counts, secret_base_spans, url_rules,
     )
     return {f.__name__: f for f in every}
 
