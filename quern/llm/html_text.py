@@ -278,7 +278,7 @@ MENU = "menu menubar nav navbar navigation breadcrumb breadcrumbs toc tags toolb
 BOTTOM = "footer foot copyright contentinfo masthead hidden".split()
 
 
-def labelled_pages(pages: int = 200, seed: int = 7) -> list[list[tuple[str, bool]]]:
+def labelled_pages(pages: int = 300, seed: int = 7) -> list[list[tuple[str, bool]]]:
     """Pages as pieces of markup in order, each with whether its words are main text."""
     rnd = random.Random(seed)
     word = lambda: "".join(rnd.choice(SYLLABLES) for _ in range(rnd.randint(1, 4)))
@@ -328,7 +328,7 @@ def labelled_pages(pages: int = 200, seed: int = 7) -> list[list[tuple[str, bool
         style = rnd.choice(("p", "p", "p", "br", "div"))
         for _ in range(rnd.choice((2, 4, 8, 14))):
             kind = rnd.random()
-            text = prose() if rnd.random() < 0.85 else sentence(1, 3)
+            text = prose() if rnd.random() < 0.8 else rnd.choice((sentence, phrase))(1, 3)
             if rnd.random() < 0.25:
                 text = text.replace(" ", f" <a href='/{word()}'>{phrase(1, 3)}</a> ", 1)
             if kind < 0.08:
@@ -355,8 +355,8 @@ def labelled_pages(pages: int = 200, seed: int = 7) -> list[list[tuple[str, bool
     return out
 
 
-#: bounds of a word's and of a tag's score
-MOST, LEAST_TAG = 3.0, -2.0
+#: bounds of a word's score, of what all marks around it add to it, and of a tag's score
+MOST, MOST_MARKS, LEAST_TAG = 3.0, 20.0, -2.0
 DECAY = 2e-5
 
 
@@ -421,7 +421,7 @@ def scored(made: list[Event], elements: list[Element], weight: dict[str, float])
         if x.head and 2 * (plain[x.last] - plain[x.first]) >= plain[-1]:
             held = max(0.0, held)
         own.append(held)
-        around.append(min(2 * MOST, max(-2 * MOST, around[x.parent] + held)))
+        around.append(min(MOST_MARKS, max(-MOST_MARKS, around[x.parent] + held)))
     scores = []
     for e in made:
         if e.words:

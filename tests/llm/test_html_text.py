@@ -21,6 +21,8 @@ CASES = {
     "divs": page(f"<div class='content'>{STORY}</div>", "<div class='top-menu'><a href=/>Home</a> <a href=/n>News</a></div>", "<div id='sidebar'><p>Ten best walks of the year and other things to read next week</p></div>"),
     "advert inside": page(f"<main>{STORY.replace('<p>Second', '<div class=ad-box>Buy now, the best things in town for less money today only</div><p>Second')}</main>", MENU),
     "form and comments": page(f"<article>{STORY}<form><p>Your name please</p><input></form></article>", "<header><p>Site of the year, all about everything</p></header>", "<section id='comments'><div class='comment'><p>I liked this very much indeed, thank you for it</p></div></section>"),
+    "long comments": page(f"<article>{STORY}</article>", MENU, "<div id='comments'>" + "<div class='comment'><p>I liked this very much indeed and thank you for it. It is seldom that one reads so long a piece to its very end, and then would like to begin again at once.</p></div>" * 40 + "</div>"),
+    "long sidebar": page(f"<div class='content'>{STORY}</div>", "<div class='sidebar'><h3>More</h3><p>Ten best walks of the year, and other things to read next week when there is time for it. We have chosen them for you with some care, and you will find them below.</p></div>", "<div class='newsletter'><p>Every week we write a letter to all who want to hear from us, and we would be glad to send it to you as well. Leave your address here and nothing else.</p></div>"),
     "aside inside": page(f"<article>{STORY.replace('<p>Short', '<aside><p>Related: something that was written before on the matter</p></aside><p>Short')}</article>"),
     "notice": page(f"<div class='cookie-notice'><p>We use cookies to make this site better for you and us.</p></div><article>{STORY}</article>"),
     "unclosed": page("<article>" + STORY.replace("</p>", "<br>").replace("</h1>", "</h1>") + "</article>", MENU.replace("</nav>", "")),
