@@ -310,11 +310,11 @@ def labelled_pages(pages: int = 300, seed: int = 7) -> list[list[tuple[str, bool
         return wrapped(open_div(ADVERT, 0), rnd.choice((sentence(3, 12), f"<p>{sentence(3, 14)}</p>", f"<p>{prose()}</p>", f"<h3>{phrase(2, 4)}</h3><p>{sentence(4, 9)}</p>{link()}", f"<a href='/x'>{phrase(2, 8)}</a>")))
 
     def side() -> str:
-        body = rnd.choice(("<ul>" + "".join(f"<li>{link(2, 7)}</li>" for _ in range(rnd.randint(2, 6))) + "</ul>", f"<p>{sentence(4, 16)}</p>", f"<p>{sentence(4, 12)}</p><p>{link(2, 6)}</p>"))
+        body = rnd.choice((f"<p>{prose()}</p>", f"<p>{prose()}</p><p>{prose()}</p>", "<ul>" + "".join(f"<li>{link(2, 7)}</li>" for _ in range(rnd.randint(2, 6))) + "</ul>", f"<p>{sentence(4, 16)}</p>", f"<p>{sentence(4, 12)}</p><p>{link(2, 6)}</p>"))
         return wrapped(open_div(SIDE, 0), f"<h3>{phrase(1, 4)}</h3>" + body)
 
     def notice() -> str:
-        return wrapped(open_div(NOTICE, 0), rnd.choice(("<p>{}</p>", "{}", "<span>{}</span>", "<div>{}</div>")).format(sentence(6, 24)) + rnd.choice(("", link())))
+        return wrapped(open_div(NOTICE, 0), rnd.choice(("<p>{}</p>", "{}", "<span>{}</span>", "<div>{}</div>")).format(rnd.choice((sentence(6, 24), prose(), prose()))) + rnd.choice(("", link())))
 
     def comments() -> str:
         each = "".join(wrapped(open_div(COMMENT, 0.2, "div div li"), f"<span>{word()}</span><p>{prose()}</p>") for _ in range(rnd.randint(1, 6)))
@@ -357,7 +357,7 @@ def labelled_pages(pages: int = 300, seed: int = 7) -> list[list[tuple[str, bool
 
 #: bounds of a word's score, of what all marks around it add to it, and of a tag's score
 MOST, MOST_MARKS, LEAST_TAG = 3.0, 20.0, -2.0
-DECAY = 2e-5
+DECAY = 4e-6
 
 
 @cache
@@ -387,7 +387,7 @@ def weights() -> dict[str, float]:
     y, c = np.array([float(main) for _, main in seen]), np.array(list(seen.values()), float)
     c = np.where(y > 0, c / c[y > 0].sum(), c / c[y == 0].sum())
     w = np.zeros(len(names))
-    for _ in range(12):  # Newton steps
+    for _ in range(15):  # Newton steps
         p = 1 / (1 + np.exp(-x @ w))
         w -= np.linalg.solve((x * (c * p * (1 - p))[:, None]).T @ x + DECAY * np.eye(len(w)), x.T @ (c * (p - y)) + DECAY * w)
     size = [sum(t.values()) for t in tag]
