@@ -99,6 +99,22 @@ def cost_summary(totals: DataFrame, elapsed_sec: float, per_hour: float | None)
     return totals.withColumns({"elapsed_sec": F.lit(float(elapsed_sec)), "hours": hours, "rate": F.lit(per_hour).cast("double"), "cost": hours * F.lit(per_hour).cast("double")})
 
 
+def cost_ledger(df: DataFrame, keys: Sequence[str], tokens: str, seconds: str, predicted: str, correct: str, per_hour: float) -> DataFrame:
+    """keys, tokens, verifier_calls, gpu_hours, dollars, parse_rate, accuracy, and parsed and correct answers for a dollar (null where nothing was spent).
+
+    A verifier call is a row that is graded.
+    """
+    parsed, right = F.count(predicted), F.count_if(F.coalesce(F.col(correct), F.lit(False)))
+    hours = F.coalesce(F.sum(seconds).cast("double"), F.lit(0.0)) / 3600
+    by = df.groupBy(*keys).agg(F.sum(tokens).cast("long").alias("tokens"), F.count("*").alias("verifier_calls"), hours.alias("gpu_hours"), parsed.alias("__parsed"), right.alias("__right"))
+    by = by.withColumn("dollars", F.col("gpu_hours") * per_hour)
+    ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
+    return by.select(
+        *keys, "tokens", "verifier_calls", "gpu_hours", "dollars", ratio("__parsed", "verifier_calls").alias("parse_rate"), ratio("__right", "verifier_calls").alias("accuracy"),
+        ratio("__parsed", "dollars").alias("parsed_per_dollar"), ratio("__right", "dollars").alias("correct_per_dollar"),
+    )
+
+
 def mean_of_batch_means(df: DataFrame, batch: str, loss: str) -> DataFrame:
     return df.groupBy(batch).agg(F.avg(loss).alias("m")).agg(F.avg("m").alias("loss"))
 

@@ -237,6 +237,9 @@ ORACLES |= {
     "finite_losses": "SELECT event_type, round(sum(value), 4) AS total FROM events GROUP BY event_type",
     "required_rows": "SELECT count(*) AS n FROM events WHERE event_type = 'click'",
     "transfer_accuracy": f"WITH {COMP} SELECT 'transfer' AS source, count(*) AS n, round(avg(correct::INT), 6) AS accuracy, round(avg((parsed IS NOT NULL)::INT), 6) AS parse_success_rate FROM graded WHERE source = 'gsm8k'",
+    "cost_ledger": f"""WITH {COMP}, t AS (SELECT checkpoint, sum(length(completion))::BIGINT AS tokens, count(*) AS verifier_calls, sum(value / 100) / 3600 AS h, count(parsed) AS p, count(*) FILTER (correct) AS c FROM texts GROUP BY checkpoint)
+      SELECT checkpoint, tokens, verifier_calls, round(h, 6) AS gpu_hours, round(h * 0.44, 6) AS dollars, round(p / verifier_calls, 6) AS parse_rate, round(c / verifier_calls, 6) AS accuracy,
+        round(p / (h * 0.44), 6) AS parsed_per_dollar, round(c / (h * 0.44), 6) AS correct_per_dollar FROM t""",
     "overwritten_table": "SELECT count(*) AS n, sum(doc_id)::BIGINT AS ids FROM documents",
 }
 

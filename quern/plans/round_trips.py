@@ -1,4 +1,4 @@
-"""Registered queries of sources and sinks: each writes to the shared folder, reads back, and reports what came."""
+"""Registered queries of sources, sinks and reports: sinks write to the shared folder, and what is read back is reported."""
 
 from __future__ import annotations
 
@@ -187,6 +187,14 @@ def transfer_accuracy(spark, sf_dir):
         readers.REGISTRY.pop("transfer")
 
 
+@query
+def cost_ledger(spark, sf_dir):
+    """What each run cost, and what was got for it."""
+    g = readers.grade(v.completions(spark, sf_dir)).withColumns({"tokens": F.length("completion"), "sec": F.col("value") / 100})
+    out = metrics.cost_ledger(g, ["checkpoint"], "tokens", "sec", "predicted", "correct", 0.44)
+    return rounded(out, "gpu_hours", "dollars", "parse_rate", "accuracy", "parsed_per_dollar", "correct_per_dollar")
+
+
 @query
 def python_shuffle_places(spark, sf_dir):
     """Places that Python's own generator deals out in each language (no SQL has it; tested against Python)."""
