@@ -57,8 +57,8 @@ SHINGLE = 5
 #: most holders of a shingle that a map batch sends by shingle, and that all batches together may send of one
 HOT, HOLDERS = 16, 1_000_000
 FLUSH_BYTES = 12_000_000
-#: bounds of one block of a candidate cluster: shingles and documents
-BLOCK_TOKENS, BLOCK_DOCS = 1_000_000, 1_500
+#: bounds of one block of a candidate cluster: shingles and documents; and documents of a part of what is left over
+BLOCK_TOKENS, BLOCK_DOCS, PART_DOCS = 1_000_000, 400, 1_500
 _LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -397,7 +397,7 @@ def _own_blocks(sets: DataFrame, blocks: int) -> DataFrame:
 
 def _left_over(sets: DataFrame, left: DataFrame) -> DataFrame:
     """Clusters of several blocks that have classes `left` (cluster, class), which did not reach the hub: these in parts, with all blocks of their cluster."""
-    parts = saved(left.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("int").alias("parts")), "parts")
+    parts = saved(left.groupBy("cluster").agg(F.ceil(F.count("*") / PART_DOCS).cast("int").alias("parts")), "parts")
     again = sets.where("chunks > 1").select("cluster", "class", "tokens", "chunks", F.lit(False).alias("hub")).join(parts, "cluster")
     here = again.select("cluster", "class", "tokens", "hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), _own().alias("j"))
     over = again.join(left.select("class"), "class", "left_semi")

@@ -71,6 +71,7 @@ def chain():
 def test_odd_texts_and_chains(spark, monkeypatch, small):
     if small:  # blocks of a few sets, few holders: every path of the large groups
         monkeypatch.setattr(j, "BLOCK_DOCS", 7)
+        monkeypatch.setattr(j, "PART_DOCS", 9)
         monkeypatch.setattr(j, "FLUSH_BYTES", 3000)
         monkeypatch.setattr(j, "HOT", 2)
     texts = odd_texts() + chain()
