@@ -60,5 +60,40 @@ OP6_RULES = """WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN
   SELECT page_id, host, path, arg_max(h || s, length(h || s)) AS rule, arg_max(what, length(h || s)) AS verdict FROM p LEFT JOIN k ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s) GROUP BY page_id, host, path"""
 
 
+#: equal texts, and which of them stays
+OP11 = r"""WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS bare FROM documents),
+  r AS (SELECT doc_id, bare, row_number() OVER (PARTITION BY bare ORDER BY chars DESC, doc_id) AS place FROM d)
+  SELECT doc_id, first_value(doc_id) OVER (PARTITION BY bare ORDER BY place) AS keep_id, count(*) OVER (PARTITION BY bare) AS group_size, place = 1 AS kept, sha256(bare) AS text_sha256 FROM r"""
+
+#: units, the two cuts, and the three forms
+OP12 = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w, sha256('42:' || doc_id) AS h FROM documents),
+  k AS (SELECT doc_id, t, w, len(w) AS n, list_transform([0, 1, 2, 3], lambda i: ('0x' || substr(h, 1 + 8 * i, 8))::UBIGINT::BIGINT) AS x FROM d),
+  c AS (SELECT *, least(x[1] % (n + 1), x[2] % (n + 1)) AS a, greatest(x[1] % (n + 1), x[2] % (n + 1)) AS b,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR x[3] % 100 >= 50 THEN 'plain' WHEN x[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM k),
+  p AS (SELECT *, array_to_string(w[1:a], '') AS pre, array_to_string(w[a + 1:b], '') AS mid, array_to_string(w[b + 1:], '') AS suf FROM c)
+  SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+    sha256(CASE form WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE t END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+
+def _clustering(k: int, rounds: int, dims: int, seed: int) -> str:
+    """Each round two steps: the nearest centroid of each vector, then floored means."""
+    near = "SELECT r, x, arg_min(c, d * {k} + c) AS c, min(d) AS d FROM (SELECT v.r, v.x, m.c, list_sum(list_transform(list_zip(v.x, m.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v, m{i} m) GROUP BY r, x"
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS MATERIALIZED ({near.format(i=i, k=k)})")
+        if i < rounds:
+            mean = f"SELECT c, list(floor_of ORDER BY p) AS x FROM (SELECT c, p, (s - ((s % n) + n) % n) // n AS floor_of FROM (SELECT c, p, sum(y)::BIGINT AS s, count(*) AS n FROM (SELECT c, unnest(x) AS y, unnest(range({dims})) AS p FROM a{i}) GROUP BY c, p)) GROUP BY c"
+            steps.append(f"m{i + 1} AS MATERIALIZED (SELECT o.c, coalesce(n.x, o.x) AS x FROM m{i} o LEFT JOIN ({mean}) n ON n.c = o.c)")
+    return f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda y: floor(1024 * y::DOUBLE)::BIGINT) AS x FROM embeddings
+    WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda y: y IS NOT NULL AND isfinite(y))) = {dims}),
+  m0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY h, x) - 1)::INTEGER AS c, x FROM (SELECT sha256('{seed}:' || vec_id) AS h, x FROM v ORDER BY h, x LIMIT {k})),
+  {", ".join(steps)}
+  SELECT v.vec_id, a.c::INTEGER AS cluster, a.d AS distance, sum(a.d) OVER (PARTITION BY a.c)::BIGINT AS cluster_inertia, sum(a.d) OVER ()::BIGINT AS inertia, sha256(array_to_string(m.x, ',')) AS centroid_sha256
+  FROM a{rounds} a JOIN v ON v.r = a.r JOIN m{rounds} m ON m.c = a.c"""
+
+
+OP13 = _clustering(8, 10, 64, 3)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"quality_counts": OP2_COUNTS, "secret_base_spans": OP4_BASE, "url_rules": OP6_RULES, "op3_ngram_jaccard_join": OP3, "op5_warc": OP5, "op9_benchmark_decontamination": OP9}
+    return {"quality_counts": OP2_COUNTS, "secret_base_spans": OP4_BASE, "url_rules": OP6_RULES, "op3_ngram_jaccard_join": OP3, "op5_warc": OP5, "op9_benchmark_decontamination": OP9, "op11_exact_dedup": OP11, "op12_fill_in_middle": OP12, "op13_centroid_clustering": OP13}

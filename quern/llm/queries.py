@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import oracles
+from quern.llm import centroids, fill_in_middle, oracles
 from quern.llm.common import table
+from quern.llm.exact_dedup import exact_groups
 from quern.llm.html_text import extract
 from quern.llm.language import identify
 from quern.llm.ngram_join import jaccard_components
@@ -61,6 +62,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_groups(table(spark, sf_dir, "documents"), ["doc_id"], digests=True)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.digests(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -85,7 +98,7 @@ def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_html_extraction, op2_quality_rules, op3_ngram_jaccard_join, op4_secret_scan, op5_warc, op6_url_filter, op7_token_counts,
-        op8_packing, op9_benchmark_decontamination, op10_language_id, pipeline,
+        op8_packing, op9_benchmark_decontamination, op10_language_id, op11_exact_dedup, op12_fill_in_middle, op13_centroid_clustering, pipeline,
         quality_counts, secret_base_spans, url_rules,
     )
     return {f.__name__: f for f in every}
