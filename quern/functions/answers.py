@@ -190,16 +190,17 @@ def loose(x: Column) -> Column:
     return y
 
 
-def _last_number(x: Column) -> Column:
+def last_number(x: Column) -> Column:
+    """The last number in a text, commas aside."""
     return F.try_element_at(F.regexp_extract_all(F.replace(x, F.lit(","), F.lit("")), F.lit(r"-?\d+(?:\.\d+)?"), F.lit(0)), F.lit(-1))
 
 
 def hash_or_number(x: Column) -> Column:
     """Answer after `####`, else the last number."""
-    return F.coalesce(hash_gold(x), _last_number(x))
+    return F.coalesce(hash_gold(x), last_number(x))
 
 
 def box_or_number(x: Column) -> Column:
     """Boxed answer, else the last flat box, else the last number."""
     flat = F.try_element_at(F.regexp_extract_all(x, F.lit(r"\\boxed\{([^{}]+)\}"), F.lit(1)), F.lit(-1))
-    return F.coalesce(boxed_gold(x), flat, _last_number(x))
+    return F.coalesce(boxed_gold(x), flat, last_number(x))

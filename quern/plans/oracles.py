@@ -66,7 +66,22 @@ LOGP = """logp AS (
   SELECT vec_id, label, x[label + 1] - (m + ln(list_sum(list_transform(x, lambda v: exp(v - m))))) AS logp
   FROM (SELECT *, list_max(x) AS m FROM (SELECT vec_id, label, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings)))"""
 
+#: chains as lists of (key, words), and the least cost of aligning them, a row of the whole table for each reference step
+CHAINS = r"""line AS (SELECT l_orderkey AS id, l_partkey AS p, l_suppkey AS s, l_extendedprice AS x, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS k FROM lineitem),
+  said AS (SELECT id, k, CASE WHEN id % 4 = 0 THEN -k ELSE k END AS turn, 2 AS side, 0 AS sub, CASE WHEN p % 7 = 1 THEN printf('%.2f', x) WHEN p % 11 = 2 THEN printf('%.1f', x + 1) ELSE printf('%.2f', x) END::DECIMAL(18, 2)::VARCHAR AS key,
+      CASE WHEN p % 7 = 1 THEN 'so we get ' || printf('%.2f', x) || '0.' WHEN p % 11 = 2 THEN 'part ' || p || ' comes to ' || printf('%.1f', x + 1) ELSE 'part ' || p || ' comes to ' || printf('%.2f', x) END AS words, s FROM line WHERE p % 5 <> 0),
+  chain AS (SELECT id, list([key, words] ORDER BY turn, sub) AS b FROM (SELECT id, turn, sub, key, words FROM said UNION ALL SELECT id, turn, 1, 'let us check that', 'let us check that' FROM said WHERE s % 6 = 0) GROUP BY id),
+  gold AS (SELECT id, list([printf('%.2f', x)::DECIMAL(18, 2)::VARCHAR, 'part ' || p || ' comes to ' || printf('%.2f', x)] ORDER BY k) AS a FROM line GROUP BY id),
+  two AS (SELECT id, a, coalesce(b, []) AS b, least(len(a), len(coalesce(b, []))) + 1 AS far FROM gold LEFT JOIN chain USING (id)),
+  dp AS (SELECT id, a, b, far, 0 AS i, list_transform(range(len(b) + 1), lambda j: j * far) AS cost FROM two
+    UNION ALL SELECT id, a, b, far, i + 1, list_reduce(list_transform(range(1, len(b) + 1), lambda j: [j]), lambda acc, j: list_append(acc, least(acc[j[1]] + far, cost[j[1] + 1] + far,
+      CASE WHEN a[i + 1][1] = b[j[1]][1] THEN cost[j[1]] + (a[i + 1][2] <> b[j[1]][2])::INT ELSE 1000000 END)), [(i + 1) * far]) FROM dp WHERE i < len(a)),
+  aligned AS (SELECT id AS chain_id, len(a) AS n_gold, len(b) AS n_response, (len(a) + len(b) - cost[-1] // far) // 2 AS matched, cost[-1] % far AS reworded FROM dp WHERE i = len(a))"""
+
 ORACLES: dict[str, str] = {
+    "chain_alignment": f"WITH RECURSIVE {CHAINS} SELECT chain_id, n_gold, n_response, matched, reworded, n_gold - matched AS missing, n_response - matched AS extra FROM aligned",
+    "chain_step_report": f"""WITH RECURSIVE {CHAINS} SELECT chain_id % 4 = 0 AS reversed, count(*) AS chains, count(*) FILTER (n_gold = matched AND n_response = matched) AS complete, round(sum(matched) / sum(n_gold), 6) AS step_recall,
+      round(sum(matched) / sum(n_response), 6) AS step_precision, sum(reworded)::BIGINT AS reworded, sum(n_gold - matched)::BIGINT AS missing, sum(n_response - matched)::BIGINT AS extra FROM aligned GROUP BY 1""",
     "grade_accuracy_by_source": f"""WITH {COMP} SELECT checkpoint, source, count(*) AS n, round(avg(correct::INT), 6) AS accuracy,
       round(avg((predicted IS NOT NULL)::INT), 6) AS parse_success_rate FROM graded GROUP BY checkpoint, source""",
     "grade_accuracy_rollup": f"""WITH {COMP} SELECT checkpoint, source, count(*) AS n, round(avg(correct::INT), 6) AS accuracy,

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import answers, kernels, rates, scoring
-from quern.operators import grouping, joins, metrics, sampling, seams, token_rows, validation
+from quern.operators import chains, grouping, joins, metrics, sampling, seams, token_rows, validation
 from quern.plans import views as v
 from quern.sources import cache, readers, shared
 from quern.streaming import ledger
@@ -30,6 +30,21 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: r6(F.col(c)) for c in columns})
 
 
+# -- chains of steps ---------------------------------------------------------------------
+
+
+@query
+def chain_alignment(spark, sf_dir):
+    out = chains.align(v.chain_pairs(spark, sf_dir))
+    return out.select("chain_id", *[F.col(c).cast("long").alias(c) for c in ("n_gold", "n_response", "matched", "reworded", "missing", "extra")])
+
+
+@query
+def chain_step_report(spark, sf_dir):
+    out = chains.align(v.chain_pairs(spark, sf_dir)).withColumn("reversed", F.col("chain_id") % 4 == 0)
+    return rounded(chains.chain_report(out, ["reversed"]), "step_recall", "step_precision")
+
+
 # -- answers and scores ------------------------------------------------------------------
 
 

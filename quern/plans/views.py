@@ -61,3 +61,19 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+
+
+def chain_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as chains of steps, a reference and a response that drops, rewords, changes, adds and reverses steps by rule."""
+    line = table(spark, sf_dir, "lineitem")
+    price, more = money(F.col("l_extendedprice")), money(F.col("l_extendedprice") + 1, 1)
+    at = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
+    lead = F.concat(F.lit("part "), F.col("l_partkey").cast("string"), F.lit(" comes to "))
+    gold = F.concat(F.lit("Step "), at.cast("string"), F.lit(": "), lead, price)
+    part = F.col("l_partkey")
+    said = F.when(part % 7 == 1, F.concat(F.lit("- so we get "), price, F.lit("0."))).when(part % 11 == 2, F.concat(lead, more)).otherwise(F.concat(at.cast("string"), F.lit(") "), lead, price))
+    said = F.when(F.col("l_suppkey") % 6 == 0, F.concat(said, F.lit("\nlet us check that"))).otherwise(said)
+    turn = F.when(F.col("l_orderkey") % 4 == 0, -at).otherwise(at)
+    steps = line.select("l_orderkey", at.alias("at"), turn.alias("turn"), gold.alias("gold"), F.when(part % 5 != 0, said).alias("said"))
+    told = lambda c, order: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct(order, c)))), lambda x: x[c]), "\n")
+    return steps.groupBy(F.col("l_orderkey").alias("chain_id")).agg(told("gold", "at").alias("gold_chain"), told("said", "turn").alias("response_chain"))
