@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.answers import let
 from quern.functions.rates import adaptive_weight, success_bucket
-from quern.operators.sampling import hash_order
+from quern.sources import readers
 
 EPSILON = 1e-8
 
@@ -39,17 +40,66 @@ def completion_totals(df: DataFrame, prompt: str = "prompt_id", correct: str = "
 def all_pairs(df: DataFrame, prompt: str = "prompt_id", sample: str = "sample_index", correct: str = "correct", cap: int | None = None, seed: int = 42) -> DataFrame:
     """prompt, chosen_index, rejected_index: each correct with each incorrect completion of a prompt, `cap` of a prompt at most.
 
-    A prompt within the cap keeps all; beyond it the first in hash order stay.
+    A prompt within the cap keeps all; beyond it that many are drawn (`drawn_pairs`), and no others are formed.
     """
+    if cap is not None:
+        return drawn_pairs(df, cap, prompt, sample, correct, seed)
     good = df.where(F.col(correct)).select(F.col(prompt), F.col(sample).alias("chosen_index"))
     bad = df.where(~F.col(correct)).select(F.col(prompt), F.col(sample).alias("rejected_index"))
-    pairs = good.join(bad, prompt)
-    if cap is None:
-        return pairs
+    return good.join(bad, prompt)
+
+
+#: rounds of the permutation, and steps back into its range; see `permuted`
+ROUNDS, WALK = 4, 64
+
+
+def permuted(x: Column, size: Column, key: Column) -> Column:
+    """Where a permutation of 0 .. size - 1, chosen by the string `key`, takes x.
+
+    A Feistel network on two digits of x, whose bases are about the root of `size`: each round adds a hash of one digit to the
+    other.  Their product may exceed `size` by less than a base, so a result that is beyond is permuted again.  That ends within as
+    many steps as there are numbers beyond, and each step fails with a chance of a base in `size`: past WALK steps raises.
+    """
+    base = F.ceil(F.sqrt(size.cast("double"))).cast("long")
+    other = F.ceil(size / base).cast("long")
+    hashed = lambda k, digit: F.conv(F.substr(F.md5(F.concat_ws(":", key, F.lit(str(k)), digit.cast("string"))), F.lit(1), F.lit(12)), 16, 10).cast("long")
+
+    def once(y: Column) -> Column:
+        def turned(k: int, digits: Column) -> Column:
+            high, low = digits["high"], digits["low"]
+            if k == ROUNDS:
+                return high * other + low
+            high, low = ((high + hashed(k, low)) % base, low) if k % 2 == 0 else (high, (low + hashed(k, high)) % other)
+            return let(F.struct(high.alias("high"), low.alias("low")), lambda d: turned(k + 1, d))
+
+        return let(F.struct(F.floor(y / other).cast("long").alias("high"), (y % other).alias("low")), lambda d: turned(0, d))
+
+    def walked(first: Column) -> Column:
+        last = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), first, lambda y, _: F.when(y < size, y).otherwise(once(y)))
+        return F.when(first < size, first).otherwise(let(last, lambda y: F.when(y < size, y).otherwise(F.raise_error(F.lit("the permutation did not return into its range")))))
+
+    return let(once(x), walked)
+
+
+def drawn_pairs(df: DataFrame, cap: int, prompt: str = "prompt_id", sample: str = "sample_index", correct: str = "correct", seed: int = 42) -> DataFrame:
+    """prompt, chosen_index, rejected_index: min(cap, c * i) different pairs of a prompt with c correct and i incorrect completions.
+
+    The pairs of a prompt are numbered 0 .. c * i - 1 and a permutation chosen by seed and prompt says which numbers come
+    first, so the work is the pairs that are drawn. Completions are numbered in order of prompt and sample without sorting a
+    prompt in one task; a number leads to its completion, so a prompt of any size is spread over all tasks.
+    """
     if cap < 1:
         raise ValueError("a cap is at least 1")
-    order = Window.partitionBy(prompt).orderBy(hash_order(seed, prompt, "chosen_index", "rejected_index"), "chosen_index", "rejected_index")
-    return pairs.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= cap).drop("__rank")
+    rows = readers.with_ordinal(df.where(F.col(correct).isNotNull() & F.col(prompt).isNotNull()).select(F.col(prompt).alias("p"), F.col(correct).alias("right"), F.col(sample).alias("s")), "p", "right", "s")
+    side = lambda flag: (F.count_if(flag), F.min(F.when(flag, F.col("ordinal"))))
+    (c, good), (i, bad) = side(F.col("right")), side(~F.col("right"))
+    by = rows.groupBy("p").agg(c.alias("c"), good.alias("good"), i.alias("i"), bad.alias("bad")).where("c > 0 AND i > 0").withColumn("pairs", F.col("c") * F.col("i"))
+    drawn = by.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(cap).cast("long"), "pairs") - 1)).alias("x"))
+    drawn = drawn.withColumn("y", permuted(F.col("x"), F.col("pairs"), F.concat_ws(":", F.lit(str(seed)), F.col("p").cast("string"))))
+    drawn = drawn.select("p", (F.col("good") + F.floor(F.col("y") / F.col("i"))).cast("long").alias("chosen"), (F.col("bad") + F.col("y") % F.col("i")).alias("rejected"))
+    at = lambda number, name: rows.select(F.col("ordinal").alias(number), F.col("s").alias(name))
+    out = drawn.join(at("chosen", "chosen_index"), "chosen").join(at("rejected", "rejected_index"), "rejected")
+    return out.select(F.col("p").alias(prompt), "chosen_index", "rejected_index")
 
 
 def with_texts(pairs: DataFrame, df: DataFrame, prompt: str = "prompt_id", sample: str = "sample_index", text: str = "completion") -> DataFrame:

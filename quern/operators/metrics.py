@@ -186,24 +186,6 @@ def pass_at_k(df: DataFrame, k: int, prompt: str = "prompt_id", correct: str = "
     return by.agg(F.count("*").alias("prompts"), F.coalesce(F.avg(1.0 - miss), F.lit(0.0)).alias("pass_at_k"))
 
 
-def bootstrap_ci(df: DataFrame, value: str, key: str, rounds: int = 200, seed: int = 42, keys: Sequence[str] = ()) -> DataFrame:
-    """keys, mean, lo, hi: 95 % interval by Poisson resampling, weights from a hash of key and round, so it is reproducible.
-
-    Each row carries its weights through one map-side combine; rows are never copied.
-    """
-    steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
-
-    def weight(r: int) -> Column:
-        digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(r)), F.col(key).cast("string")))
-        u = F.conv(F.substr(digest, F.lit(1), F.lit(8)), 16, 10).cast("double") / float(1 << 32)
-        return sum(((u >= s).cast("int") for s in steps[1:]), (u >= steps[0]).cast("int"))
-
-    x = F.col(value).cast("double")
-    sums = F.array(*[F.sum(x * weight(r)) / F.sum(weight(r)) for r in range(rounds)])
-    by = df.groupBy(*keys).agg(F.avg(x).alias("mean"), F.array_sort(sums).alias("means"))
-    return by.select(*keys, "mean", F.get("means", F.lit(int(rounds * 0.025))).alias("lo"), F.get("means", F.lit(int(rounds * 0.975))).alias("hi"))
-
-
 def per_group_accuracy(df: DataFrame, keys: Sequence[str], correct: str = "correct") -> DataFrame:
     """keys, n, failures, accuracy (failure tables by topic or template)."""
     return df.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(~F.coalesce(F.col(correct), F.lit(False))).alias("failures"), share(F.col(correct)).alias("accuracy"))

@@ -1,7 +1,6 @@
-"""Token arrays: masks, next-fit packing, padding, attention, preference sides.
+"""Token arrays: masks, packed rows, padding, attention, preference sides.
 
-Packing works inside a batch of documents, whose size the caller sets; a batch
-is one array, so that is the bound on memory.
+A packed row and its documents are one array each; a batch of documents is not.
 """
 
 from __future__ import annotations
@@ -10,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.kernels import IGNORED, token_logprob
+from quern.operators import next_fit
 
 #: fixed chat form
 PROMPT_FORM = ("<|im_start|>user\n", "<|im_end|>\n<|im_start|>assistant\n")
@@ -42,34 +42,13 @@ def sft_examples(turns: DataFrame, conv: str = "conv_id", turn: str = "turn") ->
     return df.where((F.col("role") == "user") & (F.col("__role") == "assistant")).select(conv, turn, F.col("text").alias("prompt"), F.col("__text").alias("response"))
 
 
-#: most documents of a batch that is packed together
-PACK_DOCS = 4096
-
-
 def pack_lengths(df: DataFrame, batch: str, order: str, length: str, max_len: int) -> DataFrame:
-    """batch, order, row_no, start, end: where next-fit packing puts each document of a batch.
+    """batch, order, row_no, start, end: where next-fit packing puts each document of a batch, whatever the batch's size.
 
     A document joins the open row if it fits with one separator, else opens the next; a longer one than a row is cut and
-    alone unless a short one follows in the space left by none.  A batch is folded in one row, which takes the square of its
-    documents: more than PACK_DOCS are an error.
+    alone unless a short one follows in the space left by none.
     """
-    if max_len <= 0:
-        raise ValueError("the row length is positive")
-    docs = df.groupBy(batch).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.least(F.col(length), F.lit(max_len)).cast("long").alias("n")))).alias("docs"))
-    fault = F.raise_error(F.concat(F.lit(f"more than {PACK_DOCS} documents in batch "), F.col(batch).cast("string"))).cast("boolean")
-    docs = docs.where(F.when(F.size("docs") <= PACK_DOCS, F.lit(True)).otherwise(fault))
-    zero = F.lit(0).cast("long")
-    empty = F.array().cast("array<struct<o:bigint,row_no:bigint,start:bigint,end:bigint>>")
-
-    def step(acc: Column, d: Column) -> Column:
-        opens = (acc["used"] > 0) & (acc["used"] + d["n"] + 1 > max_len)
-        row = acc["row_no"] + opens.cast("long")
-        start = F.when(opens | (acc["used"] == 0), zero).otherwise(acc["used"] + 1)
-        put = F.struct(d["o"].cast("long").alias("o"), row.alias("row_no"), start.alias("start"), (start + d["n"]).alias("end"))
-        return F.struct(row.alias("row_no"), (start + d["n"]).alias("used"), F.array_append(acc["out"], put).alias("out"))
-
-    packed = F.aggregate("docs", F.struct(zero.alias("row_no"), zero.alias("used"), empty.alias("out")), step, lambda acc: acc["out"])
-    return docs.select(batch, F.explode(packed).alias("x")).select(batch, F.col("x.o").alias(order), "x.row_no", "x.start", "x.end")
+    return next_fit.pack(df, batch, order, length, max_len)
 
 
 def pack_rows(df: DataFrame, batch: str, order: str, max_len: int, separator: int, pad: int = 0) -> DataFrame:

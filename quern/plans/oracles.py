@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from quern.operators import bootstrap
+
 #: events as sampled completions
 ROLL = """roll AS (
   SELECT event_id AS ordinal, event_id, user_id, event_type, value, props, ts,
@@ -56,6 +58,8 @@ PACK = """packed AS (
   FROM docs d JOIN packed p ON d.batch = p.batch AND d.k = p.k + 1)"""
 
 DOC_PACK = "docs AS (SELECT doc_id // 8 AS batch, row_number() OVER (PARTITION BY doc_id // 8 ORDER BY doc_id) AS k, doc_id AS o, least(n_chars, 2048) AS n FROM documents), " + PACK.format(max=2048)
+#: all documents of a language as one batch
+LANG_PACK = "docs AS (SELECT coalesce(lang, '') AS batch, row_number() OVER (PARTITION BY coalesce(lang, '') ORDER BY doc_id) AS k, doc_id AS o, least(n_chars, 2048) AS n FROM documents), " + PACK.format(max=2048)
 #: whole turns, cut only where they are longer than a row
 TURN_PACK = (
     SFT + ", docs AS (SELECT conv_id AS batch, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, turn AS o,"
@@ -66,6 +70,37 @@ LOGP = """logp AS (
   SELECT vec_id, label, x[label + 1] - (m + ln(list_sum(list_transform(x, lambda v: exp(v - m))))) AS logp
   FROM (SELECT *, list_max(x) AS m FROM (SELECT vec_id, label, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings)))"""
 
+
+
+def _bootstrap(table: str, by: str, value: str, row: str, rounds: int, seed: int) -> str:
+    """Weights from two halves of a row's hash and the round, then quantiles of the rounds' means."""
+    half = "('0x' || substr(md5('{seed}:' || {row}), {at}, 8))::UBIGINT"
+    mix = "SELECT * EXCLUDE (x), xor(x, x >> 16) AS x FROM (SELECT * EXCLUDE (x), (xor(x, x >> 15) * {b}) % 4294967296 AS x FROM (SELECT * EXCLUDE (x), (xor(x, x >> 16) * {a}) % 4294967296 AS x FROM ({of})))"
+    mixed = lambda of: mix.format(a=bootstrap.MIX[0], b=bootstrap.MIX[1], of=of)
+    low = mixed(f"SELECT k, v, high, (low + r * {bootstrap.STEP}) % 4294967296 AS x FROM h, (SELECT unnest(range({rounds}))::UBIGINT AS r) WHERE v IS NOT NULL").replace("SELECT k, v, high,", "SELECT k, v, high, r,")
+    both = mixed(f"SELECT k, v, r, xor(x, high) AS x FROM ({low})")
+    drawn = " + ".join(f"(x >= {s})::INT" for s in bootstrap.steps())
+    return f"""h AS (SELECT {by} AS k, {value}::DOUBLE AS v, {half.format(seed=seed, row=row, at=1)} AS high, {half.format(seed=seed, row=row, at=9)} AS low FROM {table}),
+      w AS (SELECT k, v, r, {drawn} AS c FROM ({both})),
+      m AS (SELECT k, r, sum(v * c) / sum(c) AS m FROM w GROUP BY k, r HAVING sum(c) > 0),
+      q AS (SELECT k, list_sort(list(m)) AS ms FROM m GROUP BY k)
+      SELECT a.k AS {by}, n, round(mean, 6) AS mean, round(ms[floor(len(ms) * 0.025)::INT + 1], 6) AS lo, round(ms[floor(len(ms) * 0.975)::INT + 1], 6) AS hi
+      FROM (SELECT k, count(v) AS n, avg(v) AS mean FROM h GROUP BY k HAVING count(v) > 0) a LEFT JOIN q ON q.k IS NOT DISTINCT FROM a.k"""
+
+
+#: the first pair numbers of each prompt that a Feistel network on two digits puts in front, those beyond the range permuted again
+_TURN = "('0x' || substr(md5('42:' || prompt_id || ':{k}:' || {digit}), 1, 12))::BIGINT"
+DRAWN = f"""side AS (SELECT *, row_number() OVER (PARTITION BY prompt_id, correct ORDER BY sample_index) - 1 AS rank FROM roll),
+  size AS (SELECT *, ceil(pairs / base)::BIGINT AS other FROM (SELECT *, ceil(sqrt(pairs))::BIGINT AS base FROM (SELECT prompt_id, i, c * i AS pairs FROM (SELECT prompt_id, count(*) FILTER (correct) AS c, count(*) FILTER (NOT correct) AS i FROM roll GROUP BY prompt_id) WHERE c > 0 AND i > 0))),
+  walk AS (SELECT prompt_id, x, x AS y, 0 AS step FROM (SELECT prompt_id, unnest(range(least({{cap}}, pairs))) AS x FROM size)
+    UNION ALL SELECT prompt_id, x, high * other + (low + {_TURN.format(k=3, digit="high")}) % other, step + 1 FROM (
+      SELECT * EXCLUDE (high), (high + {_TURN.format(k=2, digit="low")}) % base AS high FROM (
+      SELECT * EXCLUDE (low), (low + {_TURN.format(k=1, digit="high")}) % other AS low FROM (
+      SELECT * EXCLUDE (high), (high + {_TURN.format(k=0, digit="low")}) % base AS high FROM (
+      SELECT prompt_id, x, step, pairs, base, other, y // other AS high, y % other AS low FROM walk JOIN size USING (prompt_id) WHERE step = 0 OR y >= pairs))))),
+  drawn AS (SELECT w.prompt_id, g.sample_index AS chosen_index, b.sample_index AS rejected_index FROM walk w JOIN size s ON s.prompt_id = w.prompt_id AND step > 0 AND y < pairs
+    JOIN side g ON g.prompt_id = w.prompt_id AND g.correct AND g.rank = y // s.i JOIN side b ON b.prompt_id = w.prompt_id AND NOT b.correct AND b.rank = y % s.i)"""
+
 #: chains as lists of (key, words), and the least cost of aligning them, a row of the whole table for each reference step
 CHAINS = r"""line AS (SELECT l_orderkey AS id, l_partkey AS p, l_suppkey AS s, l_extendedprice AS x, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS k FROM lineitem),
   said AS (SELECT id, k, CASE WHEN id % 4 = 0 THEN -k ELSE k END AS turn, 2 AS side, 0 AS sub, CASE WHEN p % 7 = 1 THEN printf('%.2f', x) WHEN p % 11 = 2 THEN printf('%.1f', x + 1) ELSE printf('%.2f', x) END::DECIMAL(18, 2)::VARCHAR AS key,
@@ -135,11 +170,11 @@ ORACLES: dict[str, str] = {
       t AS (SELECT count(*) AS prompts, count(*) FILTER (c > 0 AND c < n) AS pairable, count(*) FILTER (c = n) AS all_correct, count(*) FILTER (c = 0) AS all_incorrect FROM g)
       SELECT *, 0::BIGINT AS empty, round(pairable / prompts, 6) AS pair_yield, pairable / prompts >= 0.3 AS passes FROM t""",
     "preference_pairs_all": f"WITH {ROLL} SELECT c.prompt_id, c.sample_index AS chosen_index, r.sample_index AS rejected_index FROM roll c JOIN roll r ON c.prompt_id = r.prompt_id AND c.correct AND NOT r.correct",
-    "preference_pairs_capped": f"""WITH {ROLL}, p AS (SELECT c.prompt_id, c.sample_index AS chosen_index, r.sample_index AS rejected_index FROM roll c JOIN roll r ON c.prompt_id = r.prompt_id AND c.correct AND NOT r.correct)
-      SELECT prompt_id, chosen_index, rejected_index FROM (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY md5('42:' || prompt_id || ':' || chosen_index || ':' || rejected_index), chosen_index, rejected_index) AS k FROM p) WHERE k <= 2""",
-    "preference_pair_texts": f"""WITH {ROLL}, p AS (SELECT c.prompt_id, c.sample_index AS chosen_index, r.sample_index AS rejected_index, '#### ' || printf('%.2f', c.value) AS chosen, '#### ' || printf('%.2f', r.value) AS rejected
-        FROM roll c JOIN roll r ON c.prompt_id = r.prompt_id AND c.correct AND NOT r.correct)
-      SELECT prompt_id, chosen_index, rejected_index, chosen, rejected FROM (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY md5('42:' || prompt_id || ':' || chosen_index || ':' || rejected_index), chosen_index, rejected_index) AS k FROM p) WHERE k <= 2""",
+    "preference_pairs_capped": f"WITH RECURSIVE {ROLL}, {DRAWN.format(cap=2)} SELECT prompt_id, chosen_index, rejected_index FROM drawn",
+    "preference_pair_texts": f"""WITH RECURSIVE {ROLL}, {DRAWN.format(cap=2)} SELECT d.prompt_id, chosen_index, rejected_index, '#### ' || printf('%.2f', c.value) AS chosen, '#### ' || printf('%.2f', r.value) AS rejected
+      FROM drawn d JOIN roll c ON c.prompt_id = d.prompt_id AND c.sample_index = chosen_index JOIN roll r ON r.prompt_id = d.prompt_id AND r.sample_index = rejected_index""",
+    "user_pairs_drawn": f"""WITH RECURSIVE {ROLL.replace("roll AS", "raw AS")}, roll AS (SELECT user_id::VARCHAR AS prompt_id, correct, event_id AS sample_index FROM raw), {DRAWN.format(cap=50)}
+      SELECT prompt_id::BIGINT AS user_id, chosen_index, rejected_index FROM drawn""",
     "one_to_one_pairs": f"""WITH {ROLL}, k AS (SELECT *, row_number() OVER (PARTITION BY prompt_id, correct ORDER BY sample_index) AS rank FROM roll)
       SELECT c.prompt_id, c.rank, c.sample_index AS chosen_index, r.sample_index AS rejected_index FROM k c JOIN k r ON c.prompt_id = r.prompt_id AND c.rank = r.rank AND c.correct AND NOT r.correct""",
     "opd_best_worst": f"""WITH {ROLL}, g AS (SELECT prompt_id, arg_max(ordinal, row(reward, ordinal)) AS chosen_order, arg_min(ordinal, row(reward, ordinal)) AS rejected_order, max(reward) AS chosen_reward,
@@ -192,12 +227,10 @@ ORACLES: dict[str, str] = {
     "gold_self_check": f"WITH {COMP} SELECT source, count(*) AS n, count(*) AS verified, 0::BIGINT AS corrupt_verified FROM comp GROUP BY source",
     "pass_at_k": f"""WITH {ROLL}, g AS (SELECT count(*) AS n, count(*) FILTER (correct) AS c FROM roll GROUP BY prompt_id HAVING count(*) >= 3)
       SELECT count(*) AS prompts, round(avg(1 - greatest(n - c, 0) / n::DOUBLE * greatest(n - c - 1, 0) / (n - 1)::DOUBLE * greatest(n - c - 2, 0) / (n - 2)::DOUBLE), 6) AS pass_at_k FROM g""",
-    "bootstrap_ci": f"""WITH {ROLL}, w AS (SELECT source, reward, r, ('0x' || substr(md5('42:' || r || ':' || ordinal), 1, 8))::BIGINT / 4294967296::DOUBLE AS u FROM roll, range(200) t(r)),
-      k AS (SELECT source, r, sum(reward * c) / sum(c) AS m FROM (SELECT *, (u >= 0.36787944117144233)::INT + (u >= 0.7357588823428847)::INT + (u >= 0.9196986029286058)::INT + (u >= 0.9810118431238462)::INT
-        + (u >= 0.9963401531726563)::INT + (u >= 0.9994058151824183)::INT AS c FROM w) GROUP BY source, r),
-      q AS (SELECT source, list_sort(list(m)) AS ms FROM k GROUP BY source) SELECT q.source, round(a.mean, 6) AS mean, round(ms[6], 6) AS lo, round(ms[196], 6) AS hi
-      FROM q JOIN (SELECT source, avg(reward) AS mean FROM roll GROUP BY source) a ON q.source = a.source""",
+    "bootstrap_ci": f"WITH {ROLL}, {_bootstrap('roll', 'source', 'reward', 'ordinal', 200, 42)}",
+    "bootstrap_user_values": f"WITH {_bootstrap('events', 'user_id', 'value / 7', 'event_id', 40, 7)}",
     "cost_per_accuracy_point": f"WITH {COMP}, a AS (SELECT checkpoint, avg(correct::INT) AS x FROM graded GROUP BY checkpoint) SELECT checkpoint, round(CASE WHEN x > 0.1 THEN 3.5 / ((x - 0.1) * 100) END, 6) AS per_point FROM a",
+    "pack_languages": f'WITH RECURSIVE {LANG_PACK} SELECT batch, o AS doc_id, row_no, start, "end" FROM packed',
     "pack_documents": f'WITH RECURSIVE {DOC_PACK} SELECT batch, o AS doc_id, row_no, start, "end" FROM packed',
     "packed_row_stats": f"""WITH RECURSIVE {DOC_PACK}, r AS (SELECT batch, row_no, max("end") AS used, count(*) AS docs FROM packed GROUP BY batch, row_no)
       SELECT batch, count(*) AS rows, (count(*) * max(used))::BIGINT AS rectangular, sum(used)::BIGINT AS tokens, max(docs) AS most_docs FROM r GROUP BY batch""",

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import answers, kernels, rates, scoring
-from quern.operators import chains, grouping, joins, metrics, sampling, seams, token_rows, validation
+from quern.operators import bootstrap, chains, grouping, joins, metrics, sampling, seams, token_rows, validation
 from quern.plans import views as v
 from quern.sources import cache, readers, shared
 from quern.streaming import ledger
@@ -302,6 +302,13 @@ def preference_pair_texts(spark, sf_dir):
     return grouping.with_texts(grouping.all_pairs(r, cap=2), r).select("prompt_id", "chosen_index", "rejected_index", "chosen", "rejected")
 
 
+@query
+def user_pairs_drawn(spark, sf_dir):
+    """A user's events as one prompt: far more pairs than are drawn."""
+    df = v.rollouts(spark, sf_dir).select("user_id", "event_id", "correct")
+    return grouping.drawn_pairs(df, 50, "user_id", "event_id").select("user_id", "chosen_index", "rejected_index")
+
+
 @query
 def one_to_one_pairs(spark, sf_dir):
     return grouping.one_to_one_pairs(v.rollouts(spark, sf_dir)).withColumn("rank", F.col("rank").cast("long"))
@@ -540,7 +547,13 @@ def pass_at_k(spark, sf_dir):
 
 @query
 def bootstrap_ci(spark, sf_dir):
-    return rounded(metrics.bootstrap_ci(v.rollouts(spark, sf_dir), "reward", "ordinal", keys=["source"]), "mean", "lo", "hi")
+    return rounded(bootstrap.bootstrap_ci(v.rollouts(spark, sf_dir), "reward", "ordinal", keys=["source"]), "mean", "lo", "hi")
+
+
+@query
+def bootstrap_user_values(spark, sf_dir):
+    """Many keys, and a value that is no share."""
+    return rounded(bootstrap.bootstrap_ci(v.table(spark, sf_dir, "events").withColumn("share", F.col("value") / 7), "share", "event_id", rounds=40, seed=7, keys=["user_id"]), "mean", "lo", "hi")
 
 
 @query
@@ -561,6 +574,13 @@ def pack_documents(spark, sf_dir):
     return token_rows.pack_lengths(_batched(spark, sf_dir), "batch", "doc_id", "n_tokens", 2048)
 
 
+@query
+def pack_languages(spark, sf_dir):
+    """Batches that grow with the table."""
+    df = v.sizes(spark, sf_dir).withColumn("batch", F.coalesce("lang", F.lit("")))
+    return token_rows.pack_lengths(df, "batch", "doc_id", "n_tokens", 2048)
+
+
 @query
 def packed_row_stats(spark, sf_dir):
     rows = token_rows.pack_lengths(_batched(spark, sf_dir), "batch", "doc_id", "n_tokens", 2048).groupBy("batch", "row_no").agg(F.max("end").alias("used"), F.count("*").alias("docs"))

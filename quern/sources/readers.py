@@ -20,8 +20,8 @@ from quern.operators import validation as v
 from quern.sources import shared
 
 
-def with_ordinal(df: DataFrame, order: str) -> DataFrame:
-    """`df` with `ordinal` 0, 1, ... in the order of a column, without bringing all rows into one task.
+def with_ordinal(df: DataFrame, *order: str) -> DataFrame:
+    """`df` with `ordinal` 0, 1, ... in the order of columns, without bringing all rows into one task.
 
     Rows are dealt out by ranges and written once, a file a range.  A row's number is its place in its file and the rows of
     the files before, so it does not depend on a second reading that deals out alike.  Only a count for each file is brought together.
@@ -29,7 +29,7 @@ def with_ordinal(df: DataFrame, order: str) -> DataFrame:
     spark = df.sparkSession
     path = shared.folder(spark, "ordered")
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.repartitionByRange(ranges, F.col(order)).sortWithinPartitions(order).write.option("maxRecordsPerFile", 0).parquet(path)
+    df.repartitionByRange(ranges, *order).sortWithinPartitions(*order).write.option("maxRecordsPerFile", 0).parquet(path)
     part = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("int")
     rows = spark.read.schema(df.schema).parquet(path).select("*", part.alias("__part"), F.col("_metadata.row_index").alias("__in"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
