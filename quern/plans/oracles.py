@@ -228,7 +228,7 @@ ORACLES: dict[str, str] = {
     "pass_at_k": f"""WITH {ROLL}, g AS (SELECT count(*) AS n, count(*) FILTER (correct) AS c FROM roll GROUP BY prompt_id HAVING count(*) >= 3)
       SELECT count(*) AS prompts, round(avg(1 - greatest(n - c, 0) / n::DOUBLE * greatest(n - c - 1, 0) / (n - 1)::DOUBLE * greatest(n - c - 2, 0) / (n - 2)::DOUBLE), 6) AS pass_at_k FROM g""",
     "bootstrap_ci": f"WITH {ROLL}, {_bootstrap('roll', 'source', 'reward', 'ordinal', 200, 42)}",
-    "bootstrap_user_values": f"WITH {_bootstrap('events', 'user_id', 'value / 7', 'event_id', 40, 7)}",
+    "bootstrap_user_values": f"WITH {_bootstrap('events', 'user_id', 'sqrt(abs(value))', 'event_id', 40, 7)}",
     "cost_per_accuracy_point": f"WITH {COMP}, a AS (SELECT checkpoint, avg(correct::INT) AS x FROM graded GROUP BY checkpoint) SELECT checkpoint, round(CASE WHEN x > 0.1 THEN 3.5 / ((x - 0.1) * 100) END, 6) AS per_point FROM a",
     "pack_languages": f'WITH RECURSIVE {LANG_PACK} SELECT batch, o AS doc_id, row_no, start, "end" FROM packed',
     "pack_documents": f'WITH RECURSIVE {DOC_PACK} SELECT batch, o AS doc_id, row_no, start, "end" FROM packed',

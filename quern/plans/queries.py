@@ -553,7 +553,7 @@ def bootstrap_ci(spark, sf_dir):
 @query
 def bootstrap_user_values(spark, sf_dir):
     """Many keys, and a value that is no share."""
-    return rounded(bootstrap.bootstrap_ci(v.table(spark, sf_dir, "events").withColumn("share", F.col("value") / 7), "share", "event_id", rounds=40, seed=7, keys=["user_id"]), "mean", "lo", "hi")
+    return rounded(bootstrap.bootstrap_ci(v.table(spark, sf_dir, "events").withColumn("root", F.sqrt(F.abs("value"))), "root", "event_id", rounds=40, seed=7, keys=["user_id"]), "mean", "lo", "hi")
 
 
 @query
