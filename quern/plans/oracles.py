@@ -269,7 +269,7 @@ ORACLES |= {
     "pairs_jsonl": f"""WITH {ROLL}, p AS (SELECT c.prompt_id, c.source, c.sample_index AS chosen_index, r.sample_index AS rejected_index, printf('%.2f', c.value) AS chosen, printf('%.2f', r.value) AS rejected
         FROM roll c JOIN roll r ON c.prompt_id = r.prompt_id AND c.correct AND NOT r.correct)
       SELECT prompt_id, source, 'größer ' || chosen || ' 🙂' AS chosen, rejected, 0::BIGINT AS n_metadata FROM (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY md5('42:' || prompt_id || ':' || chosen_index || ':' || rejected_index), chosen_index, rejected_index) AS k FROM p) WHERE k <= 2""",
-    "jsonl_lines": "SELECT event_id AS line, event_type FROM events",
+    "jsonl_lines": "SELECT row_number() OVER (PARTITION BY event_id % 16 ORDER BY event_id) - 1 AS line, event_type FROM events",
     "config_round_trip": "SELECT unnest(['data.sources', 'training.max_steps', 'training.warmup_steps']) AS key, unnest(['[\"math\"]', '3', '2']) AS value",
     "summary_round_trip": f"""WITH {COMP} SELECT form, checkpoint, source, count(*) AS n, round(avg(correct::INT), 6) AS accuracy FROM texts, (SELECT unnest(['csv', 'json']) AS form) GROUP BY form, checkpoint, source""",
     "details_round_trip": f"""WITH {COMP} SELECT checkpoint, source, count(*) AS n, sum(length(completion))::BIGINT AS chars, count(parsed) AS predicted, count(*) FILTER (correct) AS n_correct FROM texts GROUP BY checkpoint, source""",

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from quern.functions import answers, scoring
 from quern.operators import validation as v
-from quern.sources import shared
+from quern.sources import lines, shared
 
 
 def with_ordinal(df: DataFrame, *order: str) -> DataFrame:
@@ -37,30 +37,10 @@ def with_ordinal(df: DataFrame, *order: str) -> DataFrame:
     return rows.join(F.broadcast(shift), "__part").withColumn("ordinal", F.col("__in") + F.col("__before")).drop("__part", "__in", "__before")
 
 
-#: blocks of files whose line counts are broadcast; of more, lines are joined with them
-MOST_BLOCKS = 200_000
-
-
-def read_text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line (0-based, of the file, blank ones counted), value. A large file is read in blocks, by as many tasks."""
-    lines = spark.read.option("lineSep", "\n").text(path)
-    lines = lines.select("value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__from"), F.monotonically_increasing_id().alias("__id"))
-    before = Window.partitionBy("__file").orderBy("__from").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = lines.groupBy("__file", "__from").agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
-    blocks = blocks.select("__file", "__from", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0).cast("long")).alias("__before"))
-    blocks = F.broadcast(blocks) if blocks.limit(MOST_BLOCKS + 1).count() <= MOST_BLOCKS else blocks
-    each = lines.join(blocks, ["__file", "__from"])
-    return each.select((F.col("__id") - F.col("__first") + F.col("__before")).alias("line"), F.regexp_replace("value", r"\r\z", "").alias("value"))
-
-
 def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """line and the fields of each line that isn't blank; a line that is no object is an error that names its number (from 1)."""
-    lines = read_text_lines(spark, path).where(F.length(answers.strip(F.col("value"))) > 0)
-    if lines.isEmpty():
-        raise ValueError(f"{path} has no rows")
-    is_object = answers.strip(F.col("value")).startswith("{") & F.expr("try_parse_json(value)").isNotNull()
-    fault = F.raise_error(F.concat(F.lit("no JSON object in line "), (F.col("line") + 1).cast("string"))).cast("boolean")
-    return lines.where(F.when(is_object, F.lit(True)).otherwise(fault)).select("line", "value", F.from_json("value", schema).alias("x")).select("line", "value", "x.*")
+    rows = lines.read_filled(spark, path)
+    return rows.where(lines.objects(rows)).select("line", "value", F.from_json("value", schema).alias("x")).select("line", "value", "x.*")
 
 
 CHAIN_FIELDS = ("id", "problem", "question", "prompt", "solution", "reasoning", "response", "trace", "answer", "final_answer", "gold_answer", "level", "difficulty", "topic", "domain", "subtopic")

@@ -26,24 +26,6 @@ def test_chain_jsonl(spark, tmp_path):
         readers.read_jsonl(spark, f"file://{path}", "prompt string")
 
 
-def test_lines_of_files_in_blocks(spark, tmp_path):
-    """Files that tasks read in parts, with blank lines, carriage returns and no last line break."""
-    (tmp_path / "in").mkdir()
-    lines = {f"f{k}": ["" if i % 5 == 4 else f"{k}-{i}" for i in range(2001 + k)] for k in range(3)}
-    for name, x in lines.items():
-        (tmp_path / "in" / name).write_bytes(("\r\n" if name == "f1" else "\n").join(x).encode() + (b"\n" if name == "f2" else b""))
-    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000b")
-    try:
-        out = readers.read_text_lines(spark, f"file://{tmp_path}/in")
-        assert out.rdd.getNumPartitions() > 6
-        got = sorted((r.line, r.value) for r in out.collect())
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
-    want = sorted((i, x) for name, rows in lines.items() for i, x in enumerate(rows))
-    assert got == want
-
-
 def test_jsonl_is_ascii(spark, tmp_path):
     rows = [("é世🙂\n\"\\", None), ("plain", "x")]
     writers.write_jsonl(spark.createDataFrame(rows, "a string, b string"), f"{tmp_path}/out")
