@@ -259,6 +259,13 @@ ORACLES: dict[str, str] = {
       t AS (SELECT source, (event_type <> 'error')::INT AS k, CASE WHEN sd > 1e-8 THEN (reward - m) / sd ELSE 0 END AS a, -value / 300 AS p, -((value * 3) % 500.0::DOUBLE) / 400 AS o, -((value * 5) % 500.0::DOUBLE) / 350 AS f FROM s WHERE n >= 2),
       u AS (SELECT *, exp(p - o) AS r, exp(f - p) - (f - p) - 1 AS kl FROM t), l AS (SELECT *, -(least(r * a, greatest(least(r, 1.2), 0.8) * a) - 0.05 * kl) AS loss FROM u)
       SELECT source, round(sum(loss * k) / sum(k), 6) AS loss, round(sum(kl * k) / sum(k), 6) AS kl, round(sum(r * k) / sum(k), 6) AS ratio, sum(k)::DOUBLE AS tokens FROM l GROUP BY source""",
+    "stream_count_windows": """WITH k AS (SELECT *, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // 64 AS w FROM events)
+      SELECT event_type, w::BIGINT AS "window", count(*) AS n, round(sum(value), 6) AS total FROM k GROUP BY event_type, w HAVING count(*) = 64""",
+    "stream_first_requests": "SELECT min(event_id) AS event_id, user_id, event_type FROM events GROUP BY user_id, event_type",
+    "stream_sessions": """WITH e AS (SELECT user_id::VARCHAR AS name, epoch_us(ts) // 1000 AS t, value FROM events),
+      b AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY name ORDER BY t) < 21600000 THEN 0 ELSE 1 END AS new FROM e),
+      s AS (SELECT *, sum(new) OVER (PARTITION BY name ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM b)
+      SELECT name, min(t) AS start, max(t) AS "end", count(*) AS n, round(sum(value), 6) AS total FROM s GROUP BY name, k HAVING max(t) + 21600000 <= (SELECT max(t) FROM e) - 3600000""",
     "ledger_daily_window": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL",
 }
 
@@ -266,9 +273,8 @@ ORACLES: dict[str, str] = {
 ORACLES |= {
     "ordinal_examples": """SELECT 'gsm8k-train-' || (row_number() OVER (ORDER BY value, event_id) - 1) AS id, printf('%.2f', value) AS final_answer, row_number() OVER (ORDER BY value, event_id) - 1 AS ordinal FROM events""",
     "split_paths": "SELECT unnest(['train', 'validation', 'test']) AS split, 'data/finchain/' || split || '.jsonl' AS path",
-    "pairs_jsonl": f"""WITH {ROLL}, p AS (SELECT c.prompt_id, c.source, c.sample_index AS chosen_index, r.sample_index AS rejected_index, printf('%.2f', c.value) AS chosen, printf('%.2f', r.value) AS rejected
-        FROM roll c JOIN roll r ON c.prompt_id = r.prompt_id AND c.correct AND NOT r.correct)
-      SELECT prompt_id, source, 'größer ' || chosen || ' 🙂' AS chosen, rejected, 0::BIGINT AS n_metadata FROM (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY md5('42:' || prompt_id || ':' || chosen_index || ':' || rejected_index), chosen_index, rejected_index) AS k FROM p) WHERE k <= 2""",
+    "pairs_jsonl": f"""WITH RECURSIVE {ROLL}, {DRAWN.format(cap=2)} SELECT d.prompt_id, c.source, 'größer ' || printf('%.2f', c.value) || ' 🙂' AS chosen, printf('%.2f', r.value) AS rejected, 0::BIGINT AS n_metadata
+      FROM drawn d JOIN roll c ON c.prompt_id = d.prompt_id AND c.sample_index = chosen_index JOIN roll r ON r.prompt_id = d.prompt_id AND r.sample_index = rejected_index""",
     "jsonl_lines": "SELECT row_number() OVER (PARTITION BY event_id % 16 ORDER BY event_id) - 1 AS line, event_type FROM events",
     "config_round_trip": "SELECT unnest(['data.sources', 'training.max_steps', 'training.warmup_steps']) AS key, unnest(['[\"math\"]', '3', '2']) AS value",
     "summary_round_trip": f"""WITH {COMP} SELECT form, checkpoint, source, count(*) AS n, round(avg(correct::INT), 6) AS accuracy FROM texts, (SELECT unnest(['csv', 'json']) AS form) GROUP BY form, checkpoint, source""",

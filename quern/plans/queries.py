@@ -11,7 +11,7 @@ from quern.functions import answers, kernels, rates, scoring
 from quern.operators import bootstrap, chains, grouping, joins, metrics, sampling, seams, token_rows, validation
 from quern.plans import views as v
 from quern.sources import cache, readers, shared
-from quern.streaming import ledger
+from quern.streaming import commits, ledger, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -702,18 +702,47 @@ def grpo_token_loss(spark, sf_dir):
 # -- streaming (extensions) -------------------------------------------------------------------------------
 
 
+def _event_stream(spark, sf_dir):
+    return spark.readStream.schema(v.table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events*.parquet")
+
+
 @query
 def ledger_daily_window(spark, sf_dir):
-    """The event table as a stream, by day and type; read back from the sink when all that is there has been worked off."""
-    events = v.table(spark, sf_dir, "events")
+    """The event table as a stream, by day and type, into a ledger that takes each batch once; of each window the last version."""
     root = shared.folder(spark, "ledger")
-    source = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events*.parquet")
-    totals = ledger.windowed(source)
-    ledger.run_upsert(totals, f"{root}/state", lambda df, n: df.write.mode("overwrite").parquet(f"{root}/out"), mode="complete")
-    out = spark.read.parquet(f"{root}/out")
+    ledger.run_upsert(ledger.windowed(_event_stream(spark, sf_dir)), f"{root}/state", commits.sink(f"{root}/out"))
+    versions = commits.read(spark, f"{root}/out", spark.createDataFrame([], "start timestamp, event_type string, n long, total double").schema)
+    out = commits.latest(versions, ["start", "event_type"])
     return rounded(out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", "total"), "total")
 
 
+def _streamed(spark, name, df):
+    """What a stateful stream gives for all that is there; a second run from the checkpoint adds nothing."""
+    stateful.use_rocks(spark)
+    root = shared.folder(spark, name)
+    for _ in range(2):
+        ledger.run_available(df, f"{root}/out", f"{root}/state")
+    return spark.read.schema(df.schema).parquet(f"{root}/out")
+
+
+@query
+def stream_count_windows(spark, sf_dir):
+    return rounded(_streamed(spark, "windows", stateful.count_windows(_event_stream(spark, sf_dir), "event_type", "value", "event_id", 64)), "total")
+
+
+@query
+def stream_first_requests(spark, sf_dir):
+    return _streamed(spark, "requests", stateful.first_of_each(_event_stream(spark, sf_dir), ["user_id", "event_type"], "event_id")).select("event_id", "user_id", "event_type")
+
+
+@query
+def stream_sessions(spark, sf_dir):
+    """Sessions of users that are over by the last event's time."""
+    out = _streamed(spark, "sessions", stateful.sessions(_event_stream(spark, sf_dir).withColumn("name", F.col("user_id").cast("string")), "name", "ts", "value", 6 * 3_600_000))
+    ms = lambda c: F.unix_millis(c)
+    return rounded(out.select("name", ms("start").alias("start"), ms("end").alias("end"), "n", "total"), "total")
+
+
 def queries() -> dict[str, Query]:
     from quern.plans import round_trips  # noqa: F401  registers its own
 

@@ -1,14 +1,13 @@
-"""Structured Streaming over ledgers of events (extensions: the rules are those of the batch reports)."""
+"""Event-time windows over a ledger as a stream, and ways to run a stream over all that is there (extensions: the rules are those of the batch reports)."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
 
 
 def stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 100) -> DataFrame:
@@ -22,35 +21,17 @@ def windowed(events: DataFrame, ts: str = "ts", value: str = "value", window: st
     return by.select(F.col("w.start").alias("start"), *keys, "n", "total")
 
 
-def deduplicated(events: DataFrame, keys: list[str], ts: str = "ts", late: str = "1 hour") -> DataFrame:
-    """The first event of each key; keys are forgotten when `late` has passed."""
-    return events.withColumn("__ts", F.col(ts).cast("timestamp")).withWatermark("__ts", late).dropDuplicatesWithinWatermark(keys)
+def _finish(query: StreamingQuery) -> int:
+    """Waits for all that is there; rows that were dropped as too late."""
+    query.awaitTermination()
+    return sum(int(op.numRowsDroppedByWatermark) for p in query.recentProgress for op in p.stateOperators)
 
 
-def count_windows(events: DataFrame, key: str, value: str, size: int) -> DataFrame:
-    """key, window, n, total: every `size` events of a key in order of arrival; state is the open window alone."""
+def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> int:
+    """Works off all that is there and stops; a restart goes on from the checkpoint. Returns how many rows were too late."""
+    return _finish(df.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
-    def step(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        number, n, total = state.get if state.exists else (0, 0, 0.0)
-        out = []
-        for pdf in frames:
-            for x in pdf[value]:
-                n, total = n + 1, total + float(x)
-                if n == size:
-                    out.append((name[0], number, n, total))
-                    number, n, total = number + 1, 0, 0.0
-        state.update((number, n, total))
-        yield pd.DataFrame(out, columns=[key, "window", "n", "total"])
 
-    kind = events.schema[key].dataType.simpleString()
-    return events.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, window long, n long, total double", "number long, n long, total double", "append", GroupStateTimeout.NoTimeout)
-
-
-def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Works off all that is there and stops; a restart goes on from the checkpoint."""
-    df.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-
-
-def run_upsert(df: DataFrame, checkpoint: str, sink, mode: str = "update") -> None:
+def run_upsert(df: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], mode: str = "update") -> int:
     """Hands each batch to `sink(frame, batch number)`; a batch that is repeated has the same number."""
-    df.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return _finish(df.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

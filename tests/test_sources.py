@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from quern.plans.views import table
 from quern.sources import cache, readers, writers
-from quern.streaming import ledger
 
 
 def test_chain_jsonl(spark, tmp_path):
@@ -137,15 +136,3 @@ def test_cache(spark, tmp_path):
     assert len(made) == 2 and cache.fingerprint(spark, root)
     df = spark.createDataFrame([("a", None), ("a", ""), ("a", None)], "p string, q string").withColumn("key", cache.row_key("p", "q"))
     assert df.select("key").distinct().count() == 2 and cache.missing(df, df.limit(1), ["key"]).count() == 1
-
-
-def test_streams(spark, sf_dir, tmp_path):
-    events = table(spark, sf_dir, "events")
-    events.repartition(4, "event_id").write.parquet(f"{tmp_path}/in")
-    source = lambda: ledger.stream(spark, f"{tmp_path}/in", events.schema, 1)
-    ledger.run_available(ledger.deduplicated(source(), ["event_id"], late="90 days"), f"{tmp_path}/dedup", f"{tmp_path}/c1")
-    assert spark.read.parquet(f"{tmp_path}/dedup").count() == events.count()
-    ledger.run_available(ledger.count_windows(source(), "event_type", "value", 7), f"{tmp_path}/windows", f"{tmp_path}/c2")
-    out = spark.read.parquet(f"{tmp_path}/windows")
-    want = {r.event_type: r.n // 7 for r in events.groupBy("event_type").agg(F.count("*").alias("n")).collect()}
-    assert {r.event_type: r.n for r in out.groupBy("event_type").agg(F.count("*").alias("n")).collect()} == want
