@@ -4,15 +4,22 @@ The pieces of a fixed public byte-level vocabulary have a probability in each
 language.  A word's probability is the sum over all its segmentations into
 pieces, found by the forward algorithm over its bytes; a text's is the product
 over its words.  The posterior under equal priors gives the language and the
-score.  A word is a run of ASCII letters and non-ASCII characters, with a blank
-before it, ASCII letters lower-cased; words of more than :data:`WORD_BYTES`
-bytes are scored in runs of that many.
+score.  A word is a run of ASCII letters and non-ASCII characters, of any
+length, with a blank before it, ASCII letters lower-cased.  All pieces of the
+vocabulary take part.
+
+The forward algorithm adds logarithms and looks back as far as the longest piece
+that can stand in a word, so words of any length neither underflow nor are cut:
+its state is a window of that many positions.  Words of similar length are worked
+off together; one of more than :data:`STRETCH` bytes in stretches that hand the
+window on.
 
 Piece probabilities come from expectation-maximisation on the word counts of
 at most :data:`SAMPLE` documents per language with :data:`SAMPLE_BYTES` bytes
 together, those with the least hash of their id; rows that repeat id and text
-count once.  These bounds are for fitting only; every text is scored whole.  A
-language's counts are smoothed with those of all languages together.
+count once, and words of more than :data:`FIT_WORD_BYTES` bytes don't.  These
+bounds are for fitting only; every text and word is scored whole.  A language's
+counts are smoothed with those of all languages together.
 
 Scoring works on slices of a batch: each distinct word is scored once (a
 bounded cache keeps scores), texts sum the scores of their words.
@@ -27,8 +34,9 @@ each get a row.  Only text, and for learning doc_id and lang, are looked at.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +49,9 @@ from quern.llm import wordscan as ws
 #: per language, documents and bytes of text that are learned from; a text of more than TEXT_BYTES is not
 SAMPLE, SAMPLE_BYTES, TEXT_BYTES = 200, 8_000_000, 1_000_000
 ROUNDS = 4
-WORD_BYTES = 24
-PIECE_BYTES = 12
+FIT_WORD_BYTES = 4096
+#: bytes of padded words that are worked off together, and of a stretch of a longer word
+CELLS, STRETCH = 1 << 19, 1 << 16
 CACHE = 400_000
 SLICE = 1_000_000
 _WORD = ws.byte_table([b for b in range(128) if not chr(b).isalpha()])
@@ -54,13 +63,13 @@ def held_out(doc_id: Column) -> Column:
 
 
 def vocabulary(path: str) -> list[bytes]:
-    """Pieces of a byte-level BPE file of at most PIECE_BYTES bytes, all single bytes included."""
+    """Pieces of a byte-level BPE file, all single bytes included."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     alphabet = tokens._byte_alphabet()
     special = {t["content"] for t in spec["added_tokens"]}
     pieces = {bytes(alphabet[c] for c in p) for p in spec["model"]["vocab"] if p not in special}
-    return sorted({p for p in pieces if len(p) <= PIECE_BYTES} | {bytes([b]) for b in range(256)})
+    return sorted(pieces | {bytes([b]) for b in range(256)})
 
 
 def _hash_rows(matrix: np.ndarray) -> np.ndarray:
@@ -71,48 +80,86 @@ def _hash_rows(matrix: np.ndarray) -> np.ndarray:
     return out
 
 
+class Pieces:
+    """Numbers of the pieces that can stand in a word, found by length and hash. Others keep their number, as they have a probability too."""
+
+    def __init__(self, pieces: list[bytes]):
+        self.count = len(pieces)
+        self.size = np.array([len(x) for x in pieces])
+        by: dict[int, list[int]] = {}
+        for i, x in enumerate(pieces):
+            if all(b >= 128 or 97 <= b <= 122 for b in (x[1:] if x[:1] == b" " else x)):
+                by.setdefault(len(x), []).append(i)
+        self.of: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for size, numbers in sorted(by.items()):
+            matrix = np.frombuffer(b"".join(pieces[i] for i in numbers), np.uint8).reshape(-1, size)
+            keys = ws.mix(_hash_rows(matrix)[:, size])
+            order = np.argsort(keys)
+            self.of[size] = keys[order], np.array(numbers)[order]
+        #: the longest of them
+        self.reach = max(self.of)
+
+
 class Lattice:
-    """All pieces in some words: for each end and length, the piece's number (or that of no piece)."""
+    """All pieces in some words: for each end and length, the words that have one there and its number."""
 
-    def __init__(self, keys: np.ndarray, matrix: np.ndarray, length: np.ndarray):
-        self.length = length
+    def __init__(self, pieces: Pieces, matrix: np.ndarray, length: np.ndarray):
+        self.length, self.width, self.reach = length, matrix.shape[1], pieces.reach
         total = _hash_rows(matrix)
-        back = ws._power("inv", ws._INV, matrix.shape[1] + 1)
-        none = len(keys)
-        self.steps: list[tuple[int, int, np.ndarray, np.ndarray]] = []
-        for end in range(1, matrix.shape[1] + 1):
-            rows = np.flatnonzero(length >= end)
-            for size in range(1, min(end, PIECE_BYTES) + 1):
-                h = ws.mix((total[rows, end] - total[rows, end - size]) * back[end - size])
-                at = np.searchsorted(keys, h)
-                at[at == none] = 0
-                known = keys[at] == h
-                if known.any():
-                    self.steps.append((end, size, rows[known], at[known]))
-
-    def forward(self, p: np.ndarray) -> np.ndarray:
-        """(words, positions, languages): probability of the bytes before each position."""
-        alpha = np.zeros((len(self.length), int(self.length.max(initial=0)) + 1, p.shape[1]))
-        alpha[:, 0] = 1
-        for end, size, rows, piece in self.steps:
-            alpha[rows, end] += alpha[rows, end - size] * p[piece]
+        back = ws._power("inv", ws._INV, self.width + 1)
+        found: list[tuple[np.ndarray, ...]] = []
+        for size, (keys, number) in pieces.of.items():
+            if size > self.width:
+                break
+            h = ws.mix((total[:, size:] - total[:, :-size]) * back[: self.width - size + 1])
+            at = np.searchsorted(keys, h)
+            at[at == len(keys)] = 0
+            row, begin = np.nonzero((keys[at] == h) & (np.arange(self.width - size + 1) <= (length - size)[:, None]))
+            found.append((begin + size, np.full(len(row), size), row, number[at[row, begin]]))
+        end, size, row, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((size, end))
+        end, size, row, piece = end[order], size[order], row[order], piece[order]
+        cut = np.flatnonzero(np.append(True, (end[1:] != end[:-1]) | (size[1:] != size[:-1]))) if len(end) else np.zeros(0, np.int64)
+        #: by end: (length, words, pieces)
+        self.steps: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in range(self.width + 1)]
+        for a, b in zip(cut.tolist(), np.append(cut[1:], len(end)).tolist(), strict=True):
+            self.steps[int(end[a])].append((int(size[a]), row[a:b], piece[a:b]))
+
+    def forward(self, log_p: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
+        """(words, positions, languages): log probability of the bytes before each position.
+
+        known: that of the first positions, where a stretch goes on with what another has left.
+        """
+        alpha = np.full((len(self.length), self.width + 1, log_p.shape[1]), -np.inf)
+        first = 0
+        if known is None:
+            alpha[:, 0] = 0
+        else:
+            first = known.shape[1] - 1
+            alpha[:, : first + 1] = known
+        for end in range(first + 1, self.width + 1):
+            for size, row, piece in self.steps[end]:
+                alpha[row, end] = np.logaddexp(alpha[row, end], alpha[row, end - size] + log_p[piece])
         return alpha
 
-    def expected(self, p: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    def total(self, alpha: np.ndarray) -> np.ndarray:
+        """Log probability of each word."""
+        return alpha[np.arange(len(self.length)), self.length]
+
+    def expected(self, log_p: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Expected number of each piece over all segmentations, words counted `counts` (words, languages) times."""
-        alpha = self.forward(p)
-        words = np.arange(len(self.length))
-        whole = np.maximum(alpha[words, self.length], 1e-300)
-        beta = np.zeros_like(alpha)
-        beta[words, self.length] = counts / whole
-        out = np.zeros_like(p)
-        for end, size, rows, piece in reversed(self.steps):
-            flow = beta[rows, end] * p[piece]
-            beta[rows, end - size] += flow
-            part = alpha[rows, end - size] * flow
-            for k in range(p.shape[1]):
-                out[:, k] += np.bincount(piece, part[:, k], len(p))
-        return out
+        alpha = self.forward(log_p)
+        beta = np.full_like(alpha, -np.inf)
+        beta[np.arange(len(self.length)), self.length] = -self.total(alpha)
+        pieces, parts = [np.zeros(0, np.int64)], [np.zeros((0, log_p.shape[1]))]
+        for end in range(self.width, 0, -1):
+            for size, row, piece in self.steps[end]:
+                flow = beta[row, end] + log_p[piece]
+                beta[row, end - size] = np.logaddexp(beta[row, end - size], flow)
+                pieces.append(piece)
+                parts.append(np.exp(alpha[row, end - size] + flow) * counts[row])
+        every, part = np.concatenate(pieces), np.concatenate(parts)
+        return np.stack([np.bincount(every, part[:, k], len(log_p)) for k in range(log_p.shape[1])], axis=1)
 
 
 def _matrix(starts: np.ndarray, ends: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,72 +173,62 @@ def _matrix(starts: np.ndarray, ends: np.ndarray, data: np.ndarray) -> tuple[np.
     return np.where(inside, low, 32).astype(np.uint8), length
 
 
-def words_of(offsets: np.ndarray, data: np.ndarray) -> ws.Words:
-    """Words of a slice, long ones cut into runs of WORD_BYTES bytes."""
-    found = ws.scan(offsets, data, _WORD)
-    size = found.end - found.start
-    if not (size > WORD_BYTES).any():
-        return found
-    parts = -(-size // WORD_BYTES)
-    start = np.repeat(found.start, parts) + WORD_BYTES * (np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts))
-    end = np.minimum(start + WORD_BYTES, np.repeat(found.end, parts))
-    value = _WORD[data].astype(np.uint64)
-    total = np.append(np.uint64(0), np.cumsum(value * ws._power("base", ws._BASE, len(data)), dtype=np.uint64))
-    hashed = ws.mix((total[end] - total[start]) * ws._power("inv", ws._INV, len(data) + 1)[start])
-    return ws.Words(hashed, np.append(0, np.cumsum(parts))[found.first], start, end)
+def alike(size: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows in groups of similar size, at most CELLS bytes when padded, or one row."""
+    order = np.argsort(size, kind="stable")
+    lo = 0
+    while lo < len(order):
+        # the last row is the longest: as many rows before it as fit, none of less than half its size but short ones
+        hi = lo + 1
+        least = max(16, 2 * int(size[order[lo]]))
+        top = int(np.searchsorted(size[order], least, side="right"))
+        width = np.maximum(size[order[lo:top]], 1)
+        hi = max(hi, lo + int(np.searchsorted(np.arange(1, len(width) + 1) * width, CELLS, side="right")))
+        yield order[lo:hi]
+        lo = hi
 
 
 @dataclass
 class Model:
     languages: list[str]
-    keys: np.ndarray  # sorted hashes of pieces
+    pieces: Pieces
     p: np.ndarray  # (pieces, languages)
+    mark: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
 def fit(texts: list[str], langs: list[str], path: str, rounds: int = ROUNDS) -> Model:
     languages = sorted(set(langs))
-    pieces = vocabulary(path)
-    size = np.array([len(x) for x in pieces])
-    matrix = np.zeros((len(pieces), PIECE_BYTES), np.uint8)
-    for i, x in enumerate(pieces):
-        matrix[i, : len(x)] = list(x)
-    keys = ws.mix(_hash_rows(matrix)[np.arange(len(pieces)), size])
-    order = np.argsort(keys)
-    keys, size = keys[order], size[order]
+    pieces = Pieces(vocabulary(path))
     number = {x: i for i, x in enumerate(languages)}
     lang = np.array([number[x] for x in langs], np.int64)
-    rows: dict[int, tuple[int, np.ndarray]] = {}
-    shapes: list[tuple[np.ndarray, np.ndarray]] = []
-    hashes, owners = [], []
+    counts: dict[int, np.ndarray] = {}
+    lattices: list[tuple[Lattice, np.ndarray]] = []
+    slices = []
     for lo, hi, at, data in ws.slices(pa.array(texts, pa.string()), SLICE):
-        words = words_of(at, data)
-        which, first = np.unique(words.hash, return_index=True)
-        new = [(i, f) for i, f in zip(which.tolist(), first.tolist(), strict=True) if i not in rows]
-        rows.update({i: (len(shapes), np.int64(k)) for k, (i, _) in enumerate(new)})
-        pick = np.array([f for _, f in new], np.int64)
-        shapes.append(_matrix(words.start[pick], words.end[pick], data))
-        hashes.append(words.hash)
-        owners.append(lang[lo:hi][words.owner()])
-    width = max([m.shape[1] for m, _ in shapes], default=1)
-    matrix = np.concatenate([np.pad(m, ((0, 0), (0, width - m.shape[1])), constant_values=32) for m, _ in shapes] or [np.zeros((0, 1), np.uint8)])
-    length = np.concatenate([n for _, n in shapes] or [np.zeros(0, np.int64)])
-    base = np.append(0, np.cumsum([len(n) for _, n in shapes]))
-    counts = np.zeros((len(length), len(languages)))
-    if hashes:
-        place = {h: int(base[s] + k) for h, (s, k) in rows.items()}
-        which, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
-        np.add.at(counts, (np.array([place[h] for h in which.tolist()], np.int64)[inverse], np.concatenate(owners)), 1)
-    lattice = Lattice(keys, matrix, length)
+        words = ws.scan(at, data, _WORD)
+        which, first, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
+        made = np.zeros((len(which), len(languages)))
+        np.add.at(made, (inverse, lang[lo:hi][words.owner()]), 1)
+        new = [k for k, h in enumerate(which.tolist()) if h not in counts]
+        for h, row in zip(which.tolist(), made, strict=True):
+            counts[h] = counts[h] + row if h in counts else row
+        pick = first[new]
+        short = words.end[pick] - words.start[pick] <= FIT_WORD_BYTES
+        slices.append((words.start[pick][short], words.end[pick][short], data, which[new][short].tolist()))
+    for start, end, data, names in slices:
+        for rows in alike(end - start + 1):
+            each = np.array([counts[names[r]] for r in rows.tolist()])
+            lattices.append((Lattice(pieces, *_matrix(start[rows], end[rows], data)), each))
     # a first guess that prefers long pieces, the same for every language
-    guess = 256.0 ** -np.minimum(size, 4).astype(float) + 1e-3
+    guess = 256.0 ** -np.minimum(pieces.size, 4).astype(float) + 1e-3
     p = np.repeat((guess / guess.sum())[:, None], len(languages), axis=1)
     for _ in range(rounds):
-        made = lattice.expected(p, counts)
+        made = sum((lattice.expected(np.log(p), each) for lattice, each in lattices), np.zeros_like(p))
         shared = made.sum(axis=1, keepdims=True)
         shared = (shared + 1e-3) / (shared.sum() + 1e-3 * len(shared))
         p = (made + _SHARED * shared) / (made.sum(axis=0, keepdims=True) + _SHARED)
         p = p * (1 - _FLOOR * len(p)) + _FLOOR
-    return Model(languages, keys, p)
+    return Model(languages, pieces, p)
 
 
 class Scorer:
@@ -200,12 +237,38 @@ class Scorer:
         self._forget()
 
     def _forget(self) -> None:
+        self.log_p = np.log(self.model.p)
         self.known = np.zeros(0, np.uint64)
         self.score = np.zeros((0, len(self.model.languages)))
 
+    def words(self, start: np.ndarray, end: np.ndarray, data: np.ndarray) -> np.ndarray:
+        """Log probability of each word in each language."""
+        out = np.empty((len(start), len(self.model.languages)))
+        long = end - start + 1 > STRETCH
+        for k in np.flatnonzero(long).tolist():
+            out[k] = self.long_word(_matrix(start[k : k + 1], end[k : k + 1], data)[0])
+        short = np.flatnonzero(~long)
+        for rows in alike((end - start)[short] + 1):
+            rows = short[rows]
+            lattice = Lattice(self.model.pieces, *_matrix(start[rows], end[rows], data))
+            out[rows] = lattice.total(lattice.forward(self.log_p))
+        return out
+
+    def long_word(self, matrix: np.ndarray) -> np.ndarray:
+        """The same for one word, a stretch at a time; a stretch begins with the bytes that pieces across the border need."""
+        known, begin, reach = None, 0, self.model.pieces.reach
+        while True:
+            end = min(begin + STRETCH, matrix.shape[1])
+            part = matrix[:, max(0, begin - reach) : end]
+            lattice = Lattice(self.model.pieces, part, np.array([part.shape[1]]))
+            alpha = lattice.forward(self.log_p, known)
+            if end == matrix.shape[1]:
+                return lattice.total(alpha)[0]
+            known, begin = alpha[:, -reach - 1 :], end
+
     def texts(self, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
         """Log probability of each text in each language."""
-        words = words_of(offsets, data)
+        words = ws.scan(offsets, data, _WORD)
         if len(self.known) > CACHE:
             self._forget()
         which, first, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
@@ -216,9 +279,7 @@ class Scorer:
         else:
             new = np.arange(len(which))
         if len(new):
-            matrix, length = _matrix(words.start[first[new]], words.end[first[new]], data)
-            alpha = Lattice(self.model.keys, matrix, length).forward(self.model.p)
-            made = np.log(np.maximum(alpha[np.arange(len(new)), length], 1e-300))
+            made = self.words(words.start[first[new]], words.end[first[new]], data)
             at = np.searchsorted(self.known, which[new])
             self.known, self.score = np.insert(self.known, at, which[new]), np.insert(self.score, at, made, axis=0)
         score = self.score[np.searchsorted(self.known, which)][inverse]
@@ -226,13 +287,20 @@ class Scorer:
         return np.stack([np.bincount(owner, score[:, k], len(offsets) - 1) for k in range(score.shape[1])], axis=1)
 
 
-_scorers: dict[int, Scorer] = {}
+#: the scorer of the model that this worker met last, with its cache
+_last: list[Scorer] = []
+
+
+def _scorer(model: Model) -> Scorer:
+    if not _last or _last[0].model.mark != model.mark:
+        _last[:] = [Scorer(model)]
+    return _last[0]
 
 
 def _predicted(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Model = model.value
-        scorer = _scorers.get(id(known)) or _scorers.setdefault(id(known), Scorer(known))
+        scorer = _scorer(known)
         for batch in batches:
             for lo, hi, at, data in ws.slices(batch.column("text"), SLICE):
                 log = scorer.texts(at, data)

@@ -1,8 +1,10 @@
 import math
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from quern.llm import language as g
 from quern.llm import tokens
@@ -22,30 +24,74 @@ def test_held_out_accuracy(spark, sf_dir):
     assert sum(r.lang_pred == known[r.doc_id].lang for r in held) >= 0.97 * len(held)
 
 
-def test_forward_is_the_sum_over_all_segmentations():
-    texts = ["the cat sat on the mat", "le chat est sur le tapis", "été en forêt"]
-    model = g.fit(texts, ["en", "fr", "fr"], tokens.default_path())
-    pieces = g.vocabulary(tokens.default_path())
-    size = {x: i for i, x in enumerate(pieces)}
-    matrix = np.zeros((len(pieces), g.PIECE_BYTES), np.uint8)
-    for x, i in size.items():
-        matrix[i, : len(x)] = list(x)
-    keys = ws.mix(g._hash_rows(matrix)[np.arange(len(pieces)), [len(x) for x in pieces]])
-    number = {x: int(np.searchsorted(model.keys, keys[i])) for x, i in size.items()}
-
-    def total(word, lang):
-        if not word:
-            return 1.0
-        return sum(total(word[: len(word) - k], lang) * model.p[number[word[-k:]], lang] for k in range(1, min(len(word), g.PIECE_BYTES) + 1) if word[-k:] in number)
-
-    for text in ("The mat", "chat été", "q"):
-        at, data = ws.text_buffers(pa.array([text]))
-        got = g.Scorer(model).texts(at, data)[0]
-        words = [b" " + w.encode() for w in text.replace("T", "t").split()]
-        assert np.allclose(got, [sum(math.log(total(w, k)) for w in words) for k in range(2)])
+def word_logs(text, model, pieces):
+    """By a table over all positions of each word, with logarithms."""
+    out = np.zeros(len(model.languages))
+    number = {x: i for i, x in enumerate(pieces)}
+    most = max(map(len, pieces))
+    for word in re.findall(rb"[A-Za-z\x80-\xff]+", text.encode()):
+        word = b" " + word.translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123))))
+        for k in range(len(out)):
+            log = [0.0]
+            for end in range(1, len(word) + 1):
+                parts = [log[end - n] + math.log(model.p[number[word[end - n : end]], k]) for n in range(1, min(end, most) + 1) if word[end - n : end] in number]
+                top = max(parts)
+                log.append(top + math.log(sum(math.exp(x - top) for x in parts)))
+            out[k] += log[-1]
+    return out
+
+
+@pytest.fixture(scope="module")
+def pieces():
+    return g.vocabulary(tokens.default_path())
+
+
+@pytest.fixture(scope="module")
+def model():
+    texts = ["the cat sat on the mat telecommunications responsibilities", "le chat est sur le tapis", "été en forêt internationalement", "x" * 300]
+    return g.fit(texts, ["en", "fr", "fr", "en"], tokens.default_path())
+
+
+LONG = ["responsibilities", "telecommunicationsresponsibilitiesinternationalization" * 2, "été" * 200, "a" * 3000, "世界は広い" * 90, "q"]
+
+
+def test_forward_is_the_sum_over_all_segmentations_of_whole_words(model, pieces):
+    assert len(pieces) > 50_000 and model.pieces.reach >= 13 and model.pieces.count == len(pieces)
+    assert any(len(x) >= 13 and x.isalpha() for x in pieces)
+    texts = ["The mat", "chat été", "q", "", *LONG, " ".join(LONG)]
+    at, data = ws.text_buffers(pa.array(texts))
+    got = g.Scorer(model).texts(at, data)
+    assert np.allclose(got, [word_logs(t, model, pieces) for t in texts])
     assert np.allclose(model.p.sum(axis=0), 1)
 
 
+@pytest.mark.parametrize("name, value", [("STRETCH", 50), ("STRETCH", 20), ("CELLS", 64), ("CACHE", 1), ("SLICE", 100)])
+def test_stretches_groups_and_cache_change_nothing(model, pieces, monkeypatch, name, value):
+    at, data = ws.text_buffers(pa.array(LONG))
+    want = g.Scorer(model).texts(at, data)
+    monkeypatch.setattr(g, name, max(value, model.pieces.reach + 1) if name == "STRETCH" else value)
+    assert np.allclose(g.Scorer(model).texts(at, data), want)
+
+
+def test_expected_counts_are_those_of_all_segmentations(model, pieces):
+    """Against the slope of the log probability: a piece's expected count is its probability times that."""
+    word = np.frombuffer(b" responsibilitieschatchat", np.uint8)[None]
+    lattice = g.Lattice(model.pieces, word, np.array([word.shape[1]]))
+    made = lattice.expected(np.log(model.p), np.ones((1, 2)))
+    whole = lattice.total(lattice.forward(np.log(model.p)))
+    for piece in (b"ch", b"at", b"chat", b" respons", b"e", b"s"):
+        i = pieces.index(piece)
+        p = model.p.copy()
+        p[i] *= 1 + 1e-6
+        assert np.allclose((lattice.total(lattice.forward(np.log(p))) - whole)[0] / 1e-6, made[i], atol=1e-4)
+
+
+def test_a_worker_keeps_one_scorer(model):
+    one = g._scorer(model)
+    other = g.Model(model.languages, model.pieces, model.p)
+    assert g._scorer(model) is one and g._scorer(other) is not one and len(g._last) == 1
+
+
 def test_odd_texts(spark, sf_dir):
     texts = odd_texts() + ["12345 !!!", "— … “”", "世界", "éé", "a" * 100_000]
     train = table(spark, sf_dir, "documents").limit(60).select("doc_id", "text", "lang", "source", "n_chars")
