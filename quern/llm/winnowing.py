@@ -17,7 +17,8 @@ The benchmark is the small side.  Its size is measured first: up to
 :data:`BLOCK_CHARS` characters go to the executors as one broadcast index.  A
 larger benchmark is cut into blocks of that size by hash, documents are written
 once with a row number, each block makes one pass over them, and the hits of a
-row are united; nothing is left out and nothing broadcast grows.
+row are united; nothing is left out and nothing broadcast grows.  Items that
+repeat are one before they are dealt out.
 
 Defined results: null text or text without words has no words, no hits and no
 items.  Items without words are ignored.  Items that share an id count once.
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import wordscan as ws
-from quern.llm.common import saved
+from quern.llm.common import discard, saved
 
 GRAM, WINDOW = 5, 6
 SPAN = GRAM + WINDOW - 1
@@ -213,26 +214,34 @@ def _search(index):
 _FOUND = "row long, doc_id long, n_words long, n_hit long, items array<string>, runs array<struct<a: bigint, b: bigint>>"
 
 
+def benchmark_blocks(benchmark: DataFrame, block_chars: int) -> Iterator[DataFrame]:
+    """The different items of the benchmark in parts of about `block_chars` characters, dealt by hash; one part at least."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
+    chars = items.agg(F.sum(F.length("text") + 64)).first()[0] or 0
+    blocks = max(1, -(-chars // block_chars))
+    if blocks == 1:
+        return iter([items])
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+    items = saved(items.withColumn("part", part).repartition(blocks, "part"), "items")
+    return (items.where(F.col("part") == b).drop("part") for b in range(blocks))
+
+
+def _broadcast(block: DataFrame):
+    rows = block.collect()
+    return block.sparkSession.sparkContext.broadcast(Index([r.item_id for r in rows], [r.text for r in rows]))
+
+
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """row, doc_id, n_words, n_hit, items (sorted ids), runs (word ranges that are hit) for every row of `docs`.
 
     `docs` needs doc_id and text, `benchmark` item_id and text; other columns are ignored.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    chars = items.agg(F.sum(F.length("text") + 64)).first()[0] or 0
-    blocks = max(1, -(-chars // block_chars))
-
-    def one(docs: DataFrame, part: DataFrame) -> DataFrame:
-        rows = part.collect()
-        return docs.mapInArrow(_search(spark.sparkContext.broadcast(Index([r.item_id for r in rows], [r.text for r in rows]))), _FOUND)
-
-    if blocks == 1:
-        return one(docs.select(F.lit(0).cast("long").alias("row"), "doc_id", "text"), items)
+    blocks = list(benchmark_blocks(benchmark, block_chars))
+    if len(blocks) == 1:
+        return docs.select(F.lit(0).cast("long").alias("row"), "doc_id", "text").mapInArrow(_search(_broadcast(blocks[0])), _FOUND)
     docs = saved(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "documents")
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    found = [saved(one(docs, items.where(part == b)), "hits") for b in range(blocks)]
+    found = [saved(docs.mapInArrow(_search(_broadcast(b)), _FOUND), "hits") for b in blocks]
     every = found[0]
     for x in found[1:]:
         every = every.unionByName(x)
@@ -273,13 +282,18 @@ def _clean(index):
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of `docs` that share no window with the benchmark, all columns kept.  One pass over `docs` per benchmark block."""
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    chars = items.agg(F.sum(F.length("text") + 64)).first()[0] or 0
-    blocks = max(1, -(-chars // block_chars))
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    for b in range(blocks):
-        rows = items.where(part == b).collect()
-        docs = docs.mapInArrow(_clean(spark.sparkContext.broadcast(Index([r.item_id for r in rows], [r.text for r in rows]))), docs.schema)
+    """The rows of `docs` that share no window with the benchmark, all columns kept.
+
+    Of several benchmark blocks each makes a pass over what the ones before have left, which is written in between: a stage
+    runs one Python worker and holds one block.
+    """
+    blocks = list(benchmark_blocks(benchmark, block_chars))
+    schema, before = docs.schema, None
+    for place, block in enumerate(blocks):
+        docs = docs.mapInArrow(_clean(_broadcast(block)), schema)
+        if place < len(blocks) - 1:
+            docs = saved(docs, "clean")
+            if before is not None:
+                discard(before)
+            before = docs
     return docs

@@ -61,6 +61,40 @@ def test_odd_texts(spark, block):
     assert clean.schema == docs.schema and clean.count() == sum(not x[5] for x in want)
 
 
+def test_eight_blocks_are_eight_passes(spark, monkeypatch):
+    """Written in between, columns of any name, and the same rows as one block leaves."""
+    rnd = random.Random(11)
+    word = lambda: f"w{rnd.randrange(400)}"
+    items = [(k, " ".join(word() for _ in range(30))) for k in range(40)]
+    texts = [" ".join(word() for _ in range(50)) + (" " + items[k % 40][1][5:] if k % 3 == 0 else "") for k in range(120)] + [None, ""]
+    docs = documents(spark, texts).withColumnRenamed("f", "part").withColumnRenamed("count", "items").withColumnRenamed("spans", "doc")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    size = sum(len(t) + 64 for _, t in items)
+    assert len(list(w.benchmark_blocks(bench, size // 8 + 1))) == 8
+    stages, save = [], w.saved
+
+    def noted(df, name):
+        stages.append(df._jdf.queryExecution().executedPlan().toString().count("MapInArrow"))
+        return save(df, name)
+
+    monkeypatch.setattr(w, "saved", noted)
+    clean = w.without_contaminated(docs, bench, size // 8 + 1)
+    assert stages == [0] + [1] * 7 and clean._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert clean.schema == docs.schema
+    want = sorted(map(str, w.without_contaminated(docs, bench).collect()))
+    assert sorted(map(str, clean.collect())) == want and 0 < len(want) < len(texts)
+
+
+def test_an_item_that_repeats_is_one(spark):
+    text = " ".join(f"p{k}" for k in range(12))
+    bench = spark.range(100_000).selectExpr("7L item_id", f"'{text}' text").unionByName(spark.createDataFrame([(8, text), (None, text)], "item_id long, text string"))
+    blocks = list(w.benchmark_blocks(bench, 8_000_000))
+    assert len(blocks) == 1 and blocks[0].count() == 3
+    docs = documents(spark, ["x " + text, "nothing of it"])
+    assert sorted((r.doc_id, r.n_hit, r.n_items) for r in w.contamination(docs, bench).collect()) == [(0, 12, 2), (1, 0, 0)]
+    assert [r.doc_id for r in w.without_contaminated(docs, bench).collect()] == [1]
+
+
 def test_empty(spark):
     docs, none = documents(spark, odd_texts()), spark.createDataFrame([], "item_id long, text string")
     assert {r.n_hit for r in w.contamination(docs, none).collect()} == {0}
