@@ -1,17 +1,21 @@
 r"""Secret scans by corpus-wide ownership frequency (operator 4); DataFrame functions only.
 
-Candidates are the strings of the base kinds and others that look like
-credentials: shapes of :data:`SHAPES` (key blocks, service prefixes, signed
-tokens, credentials in addresses), long runs of letters and digits that change
-between kinds of character as often as chance has it, and payment card numbers
-whose check digit fits.  All are hashed, and the corpus tells in how many
-repositories and under how many owners each hash occurs.  A string that
-:data:`EXAMPLE_OWNERS` owners or :data:`EXAMPLE_REPOSITORIES` repositories have,
-whoever owns these, is a copied example; any other is live-looking.  Spans of
-the base kinds are always reported, those of others if live-looking, under the
-kind `live`, unless an access or hex span has the string already (the value of
-an assignment is a span of its own).  In the query the repository is the
-document and the owner its source.
+Candidates are the strings of the base kinds (of an assignment its value) and
+others that look like credentials: shapes of :data:`SHAPES` (key blocks, service
+prefixes, signed tokens, credentials in addresses) and long runs of letters and
+digits that change between kinds of character as often as chance has it, unless
+they stand in an address or are an integrity digest.  All are hashed, and the
+corpus tells in how many repositories and under how many owners each hash
+occurs.  A string that :data:`EXAMPLE_OWNERS` owners or
+:data:`EXAMPLE_REPOSITORIES` repositories have, whoever owns these, is a copied
+example; any other is live-looking.
+
+Spans of the base kinds are always reported.  Every live-looking candidate, of a
+base kind or not, is reported as kind `live` too, at the place of its string; a
+copied example is not.  So what the corpus says of a string is in the spans: a
+password of one owner has a base and a live span, `changeme` a base span alone,
+and a sample key of a vendor's manual that is of no base kind has none.  In the
+query the repository is the document and the owner its source.
 
 Places come without any Python: the pieces between matches (`split`) and the
 matches (`regexp_extract_all`) of one pattern alternate, so running sums of
@@ -24,7 +28,7 @@ are then held against the copied examples alone, on hash and one of
 :data:`SALTS` salts, as other strings are rare by definition.
 
 A key block is one span from its BEGIN line to its END line; where the latter
-is missing, to the first character that can't stand in a key.
+is missing, as far as runs of :data:`KEY_RUN` and more key characters follow.
 
 Defined results: null text has no spans.  Repeated rows each get a row; copies
 under one owner are one owner, rows of one id one repository.  A null source is
@@ -48,43 +52,39 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 _BEGIN, _END = (rf"-----{x} [A-Z0-9\x20]*?PRIVATE KEY(?:\x20BLOCK)?-----" for x in ("BEGIN", "END"))
+KEY_RUN = 20
 #: other shapes, which are candidates as they are
 SHAPES = (
-    _BEGIN + rf"(?:(?:[^-]|-(?!----))*+{_END}|[A-Za-z0-9+/=\\\s]*+)",
+    _BEGIN + rf"(?:(?:[^-]|-(?!----))*+{_END}|(?:(?:\s|\\[rn])*+[A-Za-z0-9+/=]{{{KEY_RUN},}}+)*+)",
     r"\b(?:gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|glpat-[A-Za-z0-9_-]{20,}|npm_[A-Za-z0-9]{30,}|xox[abeprs]-[A-Za-z0-9-]{10,}|sk[-_][A-Za-z0-9_-]{20,}|AIza[A-Za-z0-9_-]{30,}|ASIA[A-Z0-9]{16,})",
     r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
     r"\b[Bb]earer\x20+[A-Za-z0-9._~+/-]{16,}=*",
     r"://[^\s/@:]+:[^\s/@:]+@",
 )
-#: and two that are judged by their characters
-CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[\x20-][0-9]{4}){3})(?![0-9])"
-RUN = r"[A-Za-z0-9+/]{24,}={0,2}"
-CANDIDATE = "|".join([*SHAPES, CARD, RUN])
-#: least share of places in a run of random characters where the kind of character changes
-CHANGES = 0.35
+#: and runs, which are judged by their characters; none within 256 characters of an address's start, none behind a digest's name
+_RUN = r"[A-Za-z0-9+/]{24,}={0,2}"
+RUN = r"(?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/]{24})(?<!sha(?:256|384|512)-)(?<!://[^\s\"'<>]{0,256})" + _RUN
+CANDIDATE = "|".join([*SHAPES, RUN])
+#: least share of places in a run of random characters where the kind of character changes, and least digits: with letters of both cases, of one
+CHANGES, DIGITS = (0.45, 0.25), (2, 3)
 #: from this many owners, or repositories, on a candidate is a copied example
 EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 50
 SALTS = 16
 KINDS = ("assign", "access", "hex", "live")
-_SPAN = "struct<start: bigint, rank: int, end: bigint, hash: string>"
-
-
-def _checked(digits: Column) -> Column:
-    """Whether a card number's check digit fits: from the right, every other digit counts twice, and its digits are added."""
-    places = F.transform(F.split(F.reverse(digits), ""), lambda c, i: c.cast("int") * (1 + i % 2))
-    return F.aggregate(places, F.lit(0), lambda total, x: total + x - F.when(x > 9, 9).otherwise(0)) % 10 == 0
+_SPAN = "struct<start: bigint, rank: int, end: bigint, value: bigint, hash: string>"
 
 
 def looks_secret(value: Column) -> Column:
     """Whether a match of CANDIDATE is a candidate."""
-    digits = F.regexp_replace(value, r"[\x20-]", "")
     changes = F.length(F.regexp_replace(value, "[a-z]+|[A-Z]+|[0-9]+|[+/]+", "x"))
-    random = value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (changes >= CHANGES * F.length(value))
-    return F.when(digits.rlike("^[0-9]{13,19}$"), _checked(digits)).when(value.rlike(f"^{RUN}$"), random).otherwise(True)
+    digits = F.length(F.regexp_replace(value, "[^0-9]", ""))
+    enough = lambda k: (digits >= DIGITS[k]) & (changes >= CHANGES[k] * F.length(value))
+    random = value.rlike("[A-Za-z]") & F.when(value.rlike("[A-Z]") & value.rlike("[a-z]"), enough(0)).otherwise(enough(1))
+    return F.when(value.rlike(f"^{_RUN}$"), random).otherwise(True)
 
 
 def _spans(text: Column, pattern: str, rank: int, group: int = 0, least: int = 0, accept: Callable[[Column], Column] | None = None) -> Column:
-    """Sorted spans of a pattern's matches in `text`, of those whose `group` has `least` characters and is accepted."""
+    """Sorted spans of a pattern's matches in `text`, of those whose `group`, which ends the match, has `least` characters and is accepted; `value` is where it starts."""
     wanted = accept or (lambda value: F.length(value) >= least)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else hits
@@ -99,7 +99,8 @@ def _spans(text: Column, pattern: str, rank: int, group: int = 0, least: int = 0
                 wanted(x["value"]),
                 F.array_append(
                     acc["out"],
-                    F.struct((acc["at"] + F.length(x["gap"])).alias("start"), F.lit(rank).alias("rank"), (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("end"), F.sha2(x["value"], 256).alias("hash")),
+                    F.struct((acc["at"] + F.length(x["gap"])).alias("start"), F.lit(rank).alias("rank"), (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("end"),
+                        (acc["at"] + F.length(x["gap"]) + F.length(x["hit"]) - F.length(x["value"])).alias("value"), F.sha2(x["value"], 256).alias("hash")),
                 ),
             ).otherwise(acc["out"]).alias("out"),
         ),
@@ -109,12 +110,13 @@ def _spans(text: Column, pattern: str, rank: int, group: int = 0, least: int = 0
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """`docs` (columns row, owner, repository, text) with `base` spans and `candidates`: these, and others that are no access or hex span already."""
+    """`docs` (columns row, owner, repository, text) with `base` spans and `candidates`: places of the strings of these, and of others that touch no access or hex span."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     df = docs.withColumn("base", F.array_sort(F.concat(_spans(text, ASSIGN, 0, 2, 6), _spans(text, ACCESS, 1), _spans(text, HEX, 2))))
     df = df.withColumn("other", _spans(text, CANDIDATE, 3, accept=looks_secret))
     apart = F.filter("other", lambda c: ~F.exists("base", lambda b: (b["rank"] > 0) & (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return df.withColumn("candidates", F.when(F.size("other") > 0, F.array_sort(F.concat("base", apart))).otherwise(F.col("base"))).drop("other")
+    places = F.transform(F.concat("base", apart), lambda c: F.struct(c["value"].alias("start"), F.lit(3).alias("rank"), c["end"].alias("end"), c["value"].alias("value"), c["hash"].alias("hash")))
+    return df.withColumn("candidates", F.array_sort(F.array_distinct(places))).drop("other")
 
 
 def ownership(spans: DataFrame) -> DataFrame:
@@ -132,10 +134,10 @@ def _judged(docs: DataFrame, keep: list[str]) -> DataFrame:
     spread = spread.select("hash", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(False).alias("live"))
     judged = each.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(spread, ["hash", "salt"], "left").fillna(True, "live")
     told = judged.groupBy("row").agg(
-        F.collect_list(F.when((F.col("c.rank") < 3) | F.col("live"), F.col("c"))).alias("told"),
+        F.collect_list(F.when(F.col("live"), F.col("c"))).alias("told"),
         F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_example"),
     )
-    some = some.join(told, "row").withColumn("spans", F.array_sort("told"))
+    some = some.join(told, "row").withColumn("spans", F.array_sort(F.concat("base", "told")))
     zero = F.lit(0).cast("long")
     none = df.where(F.size("candidates") == 0).withColumns({"spans": F.col("base"), "n_live": zero, "n_example": zero})
     wanted = [*keep, "base", "spans", "n_live", "n_example"]
