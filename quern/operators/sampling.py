@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.sources import shared
+
 
 def hash_order(seed: int | str, *keys: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
@@ -64,11 +66,11 @@ def stratified_split(df: DataFrame, pct: float, key: str, source: str = "source"
     size = F.greatest(F.bround(F.sum("__n").over(Window.partitionBy(source)) * F.lit(pct / 100.0)), F.lit(1.0)).cast("long")
     ends = counts.withColumn("__size", size).where((F.col("__upto") >= F.col("__size")) & (F.col("__upto") - F.col("__n") < F.col("__size")))
     ends = ends.select(F.col(source).alias("__source"), F.col("__range").alias("__end"), (F.col("__size") - F.col("__upto") + F.col("__n")).alias("__left"))
-    ends = _broadcast_if_few(ends)
+    ends = _few(shared.written(ends, "ends"))
     last = df.select(source, "__hash", "__range", key).join(ends, F.col(source).eqNullSafe(F.col("__source")) & (F.col("__range") == F.col("__end")))
     place = F.row_number().over(Window.partitionBy("__source").orderBy("__hash", key))
     last = last.withColumn("__place", place).where(F.col("__place") == F.col("__left")).select("__source", F.col("__hash").alias("__last"), F.col(key).alias("__key"))
-    out = df.join(_broadcast_if_few(last), F.col(source).eqNullSafe(F.col("__source")))
+    out = df.join(_few(shared.written(last, "last")), F.col(source).eqNullSafe(F.col("__source")))
     within = (F.col("__hash") < F.col("__last")) | (F.col("__hash") == F.col("__last")) & (F.col(key) <= F.col("__key"))
     return out.withColumn("is_val", within).drop("__hash", "__range", "__source", "__last", "__key")
 
@@ -77,8 +79,9 @@ def stratified_split(df: DataFrame, pct: float, key: str, source: str = "source"
 MOST_SOURCES = 100_000
 
 
-def _broadcast_if_few(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(MOST_SOURCES + 1).count() <= MOST_SOURCES else df
+def _few(written: DataFrame) -> DataFrame:
+    """A written table, broadcast if it is small; its count is in its files' footers."""
+    return F.broadcast(written) if written.count() <= MOST_SOURCES else written
 
 
 def shard(df: DataFrame, rank: int, world: int, ordinal: str) -> DataFrame:

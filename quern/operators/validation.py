@@ -6,9 +6,10 @@ Policies: `skip` counts rejects by reason, `fail` raises on the first.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,6 +68,24 @@ def reject_counts(df: DataFrame) -> DataFrame:
     return by.join(F.broadcast(total)).select("reason", "n", (F.col("n") * 100.0 / F.col("total")).alias("pct"))
 
 
+def write_accepted(df: DataFrame, path: str, reasons: Sequence[str], what: str = "rows") -> dict[str, int]:
+    """Writes the rows of `df` without a reject_reason, and counts in the same pass: `accepted`, and each of `reasons`.
+
+    The counts are observed metrics of the write, which Spark takes from the task attempts that succeed, so retries count
+    once. A reason that is not listed is counted as `other`. No accepted row is an error, and what was written goes again.
+    """
+    seen = Observation(f"accepted-{uuid.uuid4().hex}")
+    why = F.col("reject_reason")
+    counts = [F.count_if(why.isNull()).alias("accepted"), *[F.count_if(why == r).alias(f"r{i}") for i, r in enumerate(reasons)], F.count_if(why.isNotNull() & ~why.isin(*reasons)).alias("other")]
+    df.observe(seen, *counts).where(why.isNull()).drop("reject_reason").write.mode("overwrite").parquet(path)
+    got = seen.get
+    if not got["accepted"]:
+        target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+        raise ValueError(f"no {what}")
+    return {"accepted": got["accepted"], **{r: got[f"r{i}"] for i, r in enumerate(reasons)}, "other": got["other"]}
+
+
 def extra_columns(df: DataFrame, expected: Sequence[str]) -> set[str]:
     """Unknown columns; a closed schema has none."""
     return set(df.columns) - set(expected)

@@ -133,8 +133,9 @@ def lookup(name: str) -> SourceSpec:
 
 
 def grade(df: DataFrame, text: str = "completion", gold: str = "gold_answer", source: str = "source") -> DataFrame:
-    """`df` with `predicted` and `correct`, each row by the rules of its source."""
-    predicted, correct = F.lit(None).cast("string"), F.lit(False)
+    """`df` with `predicted` and `correct`, each row by the rules of its source; a source that isn't registered, or null, is an error."""
+    unknown = F.raise_error(F.concat(F.lit("no such source: "), F.coalesce(F.col(source).cast("string"), F.lit("null"))))
+    predicted, correct = unknown.cast("string"), unknown.cast("boolean")
     for name, spec in REGISTRY.items():
         predicted = F.when(F.col(source) == name, spec.extract(F.col(text))).otherwise(predicted)
     df = df.withColumn("predicted", predicted)
