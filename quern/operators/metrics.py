@@ -173,9 +173,9 @@ def known(df: DataFrame, *columns: str) -> DataFrame:
     return df.dropna(subset=list(columns))
 
 
-def format_lengths(name: str, count: int, mean: float, p50: int, p95: int, most: int) -> str:
-    """One line of `length_stats` for people."""
-    return f"{name}: n={count} mean={mean:.1f} p50={p50} p95={p95} max={most}"
+def length_line(name: Column) -> Column:
+    """A row of `length_stats` as a line for people."""
+    return F.format_string("%s: n=%d mean=%.1f p50=%d p95=%d max=%d", name, "count", "mean", "p50", "p95", "max")
 
 
 # -- extensions: planned in the field's practice, not in the parity list -------------------

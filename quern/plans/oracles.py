@@ -127,7 +127,7 @@ ORACLES: dict[str, str] = {
     "grade_summary": f"""WITH {COMP} SELECT count(*)::DOUBLE AS n, round(avg((parsed IS NOT NULL)::INT), 6) AS parse_success_rate, round(avg(marked_ok::INT), 6) AS final_answer_accuracy FROM chain""",
     "answer_normalise": """SELECT event_id, form, CASE WHEN form < 2 THEN small WHEN form = 2 THEN '-' || big ELSE big || '%' END AS answer
       FROM (SELECT event_id, unnest([0, 1, 2, 3])::BIGINT AS form, printf('%.2f', value) AS small, printf('%.2f', value * 100) AS big FROM events)""",
-    "hash_answers": f"""WITH {COMP} SELECT example_id, '$' || parsed AS gold, parsed AS generated, '$' || parsed AS loose FROM texts WHERE source = 'gsm8k'""",
+    "hash_answers": f"""WITH {COMP} SELECT example_id, CASE WHEN source = 'gsm8k' THEN '$' || parsed END AS gold, CASE WHEN source = 'gsm8k' THEN parsed END AS generated, CASE WHEN source = 'gsm8k' THEN '$' || parsed ELSE parsed END AS loose FROM texts""",
     "math_boxed_extract": r"""SELECT event_id,
       CASE event_id % 5 WHEN 0 THEN '\frac{' || event_id || '}{' || user_id || '}' WHEN 1 THEN event_id::VARCHAR WHEN 3 THEN user_id::VARCHAR WHEN 4 THEN ' $' || event_id || '$ ' END AS gold,
       CASE event_id % 5 WHEN 0 THEN '\frac{' || event_id || '}{' || user_id || '}' WHEN 1 THEN event_id::VARCHAR WHEN 3 THEN user_id::VARCHAR WHEN 4 THEN event_id::VARCHAR END AS generated
@@ -140,6 +140,8 @@ ORACLES: dict[str, str] = {
     "difficulty_category": """SELECT CASE WHEN p_size < 10 THEN CASE WHEN p_size % 8 BETWEEN 1 AND 5 THEN p_size % 8 END WHEN p_size < 20 THEN 3 WHEN p_size < 30 THEN 5 WHEN p_size < 40 THEN NULL
       ELSE CASE WHEN p_size % 7 BETWEEN 1 AND 5 THEN p_size % 7 END END::INT AS difficulty, replace(replace(lower(p_type || ' & ' || p_name), ' & ', '_and_'), ' ', '_') AS category, count(*) AS n FROM part GROUP BY ALL""",
     "difficulty_levels": """SELECT CASE WHEN p_partkey % 9 <> 0 AND p_size % 8 BETWEEN 1 AND 5 THEN p_size % 8 END::INT AS difficulty, p_partkey % 9 <> 0 AND NOT p_size % 8 BETWEEN 1 AND 5 AS fault, count(*) AS n FROM part GROUP BY ALL""",
+    "accepted_examples": """WITH r AS (SELECT CASE WHEN doc_id % 11 = 2 OR coalesce(text, '') = '' THEN 'prompt_empty' WHEN doc_id % 11 IN (1, 3) THEN 'response_empty' WHEN doc_id % 11 = 4 THEN 'difficulty_range' ELSE 'accepted' END AS state FROM documents)
+      SELECT state, count(*) AS n FROM r GROUP BY state UNION ALL SELECT 'written', count(*) FROM r WHERE state = 'accepted'""",
     "reject_reasons": """WITH r AS (SELECT CASE WHEN doc_id % 11 = 2 OR coalesce(text, '') = '' THEN 'prompt_empty' WHEN doc_id % 11 IN (1, 3) THEN 'response_empty' WHEN doc_id % 11 = 4 THEN 'difficulty_range' END AS reason FROM documents)
       SELECT reason, count(*) AS n, round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM r), 6) AS pct FROM r WHERE reason IS NOT NULL GROUP BY reason""",
     "math_skip_reasons": """WITH r AS (SELECT CASE event_id % 9 WHEN 0 THEN 'parse_failure' WHEN 1 THEN 'empty_answer' WHEN 2 THEN 'difficulty_failure' WHEN 3 THEN 'validation_failure' END AS reason FROM events)
@@ -149,9 +151,10 @@ ORACLES: dict[str, str] = {
       CASE WHEN source <> 'gsm8k' AND parsed IS NULL THEN 'final_answer_empty' END AS reject_reason FROM chain""",
     "selected_sources": f"""WITH {COMP} SELECT CASE source WHEN 'math' THEN 0 ELSE 1 END::INT AS source_place, source, count(*) AS n, max(example_id) AS last_id FROM comp WHERE source <> 'finchain' GROUP BY ALL""",
     "source_budgets": f"WITH {ROLL} SELECT source, CASE source WHEN 'math' THEN 768 ELSE 256 END::BIGINT AS budget, count(*) AS n FROM roll GROUP BY ALL",
-    "listed_counts": f"""WITH {ROLL} SELECT s.source, count(r.source) AS n FROM (SELECT unnest(['gsm8k', 'math', 'finchain', 'other']) AS source) s
-      LEFT JOIN (SELECT * FROM roll WHERE event_type = 'signup') r ON r.source = s.source GROUP BY s.source""",
+    "listed_counts": f"WITH {ROLL} SELECT s.source, count(r.source) AS n FROM (SELECT unnest(['gsm8k', 'math', 'finchain', 'other']) AS source) s LEFT JOIN roll r ON r.source = s.source GROUP BY s.source",
     "sample_exact_n": "SELECT doc_id, lang, n_chars AS n_tokens FROM documents ORDER BY md5('42:' || doc_id::VARCHAR), doc_id LIMIT 50",
+    "first_documents": "SELECT doc_id, lang, n_chars AS n_tokens FROM documents ORDER BY doc_id LIMIT 10",
+    "document_at_place": "SELECT doc_id, n_chars AS n_tokens, 100::BIGINT AS ordinal FROM documents ORDER BY n_chars, doc_id LIMIT 1 OFFSET 100",
     "balanced_prompts": """SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || lang || ':' || doc_id::VARCHAR), doc_id) AS k FROM documents WHERE lang IN ('en', 'de', 'fr', 'es'))
       WHERE k <= CASE WHEN lang IN ('en', 'de') THEN 13 ELSE 12 END""",
     "stratified_split": f"WITH {SPLIT} SELECT doc_id, source, is_val FROM split",
@@ -200,6 +203,7 @@ ORACLES: dict[str, str] = {
     "train_without_benchmark": """SELECT count(*) AS n, sum(doc_id)::BIGINT AS ids FROM documents WHERE doc_id % 50 <> 0 AND text IS NOT NULL AND lower(trim(text, ' ')) NOT IN (SELECT lower(trim(text, ' ')) FROM benchmark WHERE text IS NOT NULL)""",
     "split_membership": f"WITH {LANG_SPLIT} SELECT lang, count(*) AS n, CASE WHEN is_val THEN 'val' ELSE 'train' END AS part FROM split GROUP BY ALL",
     "cache_misses": f"WITH {ROLL} SELECT DISTINCT prompt_id, event_type FROM roll WHERE length(prompt_id) % 2 <> 0",
+    "bucketed_cache_misses": f"WITH {ROLL} SELECT DISTINCT prompt_id, event_type, 1::BIGINT AS round FROM roll WHERE length(prompt_id) % 2 <> 0",
     "reused_summary": f"WITH {COMP} SELECT DISTINCT checkpoint, source, CASE WHEN source = 'math' THEN 'missing' ELSE 'reused' END AS state FROM comp",
     "split_coverage": "SELECT 0::BIGINT AS in_both, 0::BIGINT AS in_none, 0::BIGINT AS from_elsewhere",
     "generated_completions": f"WITH {SFT} SELECT conv_id, turn, unnest([0, 1, 2, 3])::BIGINT AS sample_index, length(prompt)::VARCHAR AS answer FROM sft",
@@ -219,7 +223,7 @@ ORACLES: dict[str, str] = {
     "loss_pivot": f"""WITH {ROLL} SELECT event_type AS arm, round(avg(value) FILTER (source = 'gsm8k'), 6) AS gsm8k, round(avg(value) FILTER (source = 'math'), 6) AS math, round(avg(value) FILTER (source = 'finchain'), 6) AS finchain FROM roll GROUP BY event_type""",
     "trajectory_with_base": f"""WITH {COMP} SELECT checkpoint || '-only' AS arm, user_id % 4 * 500 AS step, source, round(avg(value), 6) AS loss FROM comp GROUP BY ALL
       UNION ALL SELECT 'base', 0, source, round(avg(value), 6) FROM comp GROUP BY source""",
-    "lr_schedule": "SELECT range AS step, round(CASE WHEN range < 200 THEN range / 200.0::DOUBLE ELSE 0.5 * (1 + cos(pi() * (range - 200) / 1800)) END, 6) AS scale FROM range(2001)",
+    "lr_schedule": "SELECT event_id, step, round(CASE WHEN step < 200 THEN step / 200.0::DOUBLE ELSE 0.5 * (1 + cos(pi() * (step - 200) / 1800)) END, 6) AS scale FROM (SELECT event_id, event_id % 2001 AS step FROM events)",
     "count_window_throughput": """SELECT event_id // 10 AS "window", sum(CASE WHEN event_type <> 'error' THEN length(props) ELSE 0 END)::BIGINT AS tokens, round(sum(value / 100), 6) AS seconds,
       round(sum(CASE WHEN event_type <> 'error' THEN length(props) ELSE 0 END) / sum(value / 100), 6) AS per_sec FROM events GROUP BY 1 HAVING count(*) = 10""",
     "metadata_json": "SELECT event_id, props->>'$.k' AS k, props->>'$.none' AS \"none\" FROM events",
@@ -238,10 +242,13 @@ ORACLES: dict[str, str] = {
       SELECT batch AS conv_id, row_no, max(used) OVER (PARTITION BY batch) AS width, docs, labels::BIGINT AS labels, used, positions::BIGINT AS positions FROM r""",
     "isolated_attention": f"""WITH RECURSIVE {TURN_PACK}, r AS (SELECT x.batch, row_no, max("end") AS used, sum(n * (n + 1) // 2) AS seen, sum(n) AS real FROM packed x JOIN docs d ON x.batch = d.batch AND x.k = d.k GROUP BY x.batch, row_no)
       SELECT batch AS conv_id, row_no, (seen + max(used) OVER (PARTITION BY batch) - real)::BIGINT AS visible FROM r""",
+    "attention_intervals": f"""WITH RECURSIVE {TURN_PACK}, w AS (SELECT batch, max("end") AS width FROM packed GROUP BY batch),
+      q AS (SELECT r.batch, row_no, unnest(range(width)) AS query FROM (SELECT DISTINCT batch, row_no FROM packed) r JOIN w ON w.batch = r.batch)
+      SELECT q.batch AS conv_id, q.row_no, q.query, coalesce(p.start, q.query) AS first_key FROM q LEFT JOIN packed p ON p.batch = q.batch AND p.row_no = q.row_no AND p.start <= q.query AND p."end" > q.query""",
     "pad_and_mask": f"WITH {SFT} SELECT conv_id, turn, length(prompt) + length(response) + 5 AS width, length(response) AS useful FROM sft",
     "sft_serialise": f"""WITH {SFT}, s AS (SELECT conv_id, turn, '<|im_start|>user' || chr(10) || prompt || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) AS p, response || '<|im_end|>' || chr(10) AS r FROM sft)
       SELECT conv_id, turn, length(p) AS prompt_chars, length(p) + length(r) AS total_chars, md5(p || r) AS digest FROM s""",
-    "encoded_pairs": f"""WITH {SFT}, s AS (SELECT conv_id, turn, length(prompt) AS p, least(100, length(prompt) + length(response)) AS c, least(100, length(prompt) + length(prompt)) AS r FROM sft),
+    "encoded_pairs": f"""WITH {SFT}, s AS (SELECT conv_id, turn, length(prompt) AS p, least(2048, length(prompt) + length(response)) AS c, least(2048, length(prompt) + length(prompt)) AS r FROM sft),
       k AS (SELECT * FROM s WHERE c > p AND r > p AND c > 1 AND r > 1)
       SELECT conv_id, turn, max(greatest(c, r)) OVER (PARTITION BY conv_id // 8) AS width, c - p AS chosen_useful, r - p AS rejected_useful, max(greatest(c, r)) OVER (PARTITION BY conv_id // 8) AS rejected_width FROM k""",
     "parameter_bands": "SELECT CASE WHEN p_size % 3 = 0 OR p_size % 4 = 1 THEN 'no_decay' ELSE 'decay' END AS band, count(*) AS n FROM part GROUP BY 1",
@@ -272,25 +279,27 @@ ORACLES: dict[str, str] = {
 #: queries that write, read back and report; the SQL says what was to be written
 ORACLES |= {
     "ordinal_examples": """SELECT 'gsm8k-train-' || (row_number() OVER (ORDER BY value, event_id) - 1) AS id, printf('%.2f', value) AS final_answer, row_number() OVER (ORDER BY value, event_id) - 1 AS ordinal FROM events""",
-    "split_paths": "SELECT unnest(['train', 'validation', 'test']) AS split, 'data/finchain/' || split || '.jsonl' AS path",
+    "split_paths": "SELECT split, 'data/finchain/' || split || '.jsonl' AS path, count(*) AS n FROM (SELECT ['train', 'validation', 'test'][(doc_id % 3 + 1)::INT] AS split FROM documents) GROUP BY split",
     "pairs_jsonl": f"""WITH RECURSIVE {ROLL}, {DRAWN.format(cap=2)} SELECT d.prompt_id, c.source, 'größer ' || printf('%.2f', c.value) || ' 🙂' AS chosen, printf('%.2f', r.value) AS rejected, 0::BIGINT AS n_metadata
       FROM drawn d JOIN roll c ON c.prompt_id = d.prompt_id AND c.sample_index = chosen_index JOIN roll r ON r.prompt_id = d.prompt_id AND r.sample_index = rejected_index""",
     "jsonl_lines": "SELECT row_number() OVER (PARTITION BY event_id % 16 ORDER BY event_id) - 1 AS line, event_type FROM events",
-    "config_round_trip": "SELECT unnest(['data.sources', 'training.max_steps', 'training.warmup_steps']) AS key, unnest(['[\"math\"]', '3', '2']) AS value",
+    "config_round_trip": """SELECT unnest(['data.sources: ["' || string_agg(DISTINCT lang, '", "' ORDER BY lang) || '"]', 'training.max_steps: ' || count(*) // 8, 'training.warmup_steps: 9']) AS line FROM documents""",
     "summary_round_trip": f"""WITH {COMP} SELECT form, checkpoint, source, count(*) AS n, round(avg(correct::INT), 6) AS accuracy FROM texts, (SELECT unnest(['csv', 'json']) AS form) GROUP BY form, checkpoint, source""",
     "details_round_trip": f"""WITH {COMP} SELECT checkpoint, source, count(*) AS n, sum(length(completion))::BIGINT AS chars, count(parsed) AS predicted, count(*) FILTER (correct) AS n_correct FROM texts GROUP BY checkpoint, source""",
-    "schema_drift": "SELECT unnest(['extra', 'missing']) AS drift, unnest(['props', 'reward']) AS name",
+    "schema_drift": """SELECT part, name, drift, n FROM (SELECT event_id % 3 AS part, count(*) AS n FROM events GROUP BY 1)
+      JOIN (SELECT unnest([1, 2, 2]) AS part, unnest(['value', 'user_id', 'reward']) AS name, unnest(['missing', 'retyped', 'extra']) AS drift) USING (part)""",
     "metric_history": "SELECT event_id AS _step, value AS loss FROM events WHERE event_type = 'click'",
     "metric_log": "SELECT event_type AS run, 'loss' AS name, 2 * count(*) AS n, round(2 * sum(value), 4) AS total FROM events GROUP BY event_type",
-    "record_round_trip": "SELECT unnest(['a', 'b', 'n']) AS key, unnest(['{\"x\": null}', '1', '\"é\"']) AS value",
+    "record_round_trip": """WITH c AS (SELECT event_type, count(*) AS n FROM events GROUP BY event_type)
+      SELECT unnest(['counts', 'note', 'rows']) AS key, unnest(['{' || string_agg('"' || event_type || '": ' || n, ', ' ORDER BY event_type) || '}', '{"é": null}', sum(n)::VARCHAR]) AS value FROM c""",
     "ledger_append": "SELECT event_type, 2 * count(*) AS n FROM events GROUP BY event_type",
     "safe_names": "SELECT name, regexp_full_match(name, '[A-Za-z0-9_.-]+') AS safe FROM (SELECT DISTINCT replace(p_name, ' ', CASE WHEN p_size % 2 = 0 THEN '-' ELSE '/' END) AS name FROM part)",
     "cached_table": "SELECT lang, count(*) AS n, true AS hit FROM documents GROUP BY lang",
     "length_report": "SELECT lang, printf('%s: n=%d mean=%.1f p50=%d p95=%d max=%d', lang, count(*), avg(n_chars), list_sort(list(n_chars))[(count(*) // 2 + 1)::INT], list_sort(list(n_chars))[(floor(count(*) * 0.95::DOUBLE) + 1)::INT], max(n_chars)) AS line FROM documents GROUP BY lang",
     "verified_only": f"WITH {COMP} SELECT source, count(*) AS n, sum(example_id)::BIGINT AS ids FROM graded WHERE correct GROUP BY source",
     "finite_losses": "SELECT event_type, round(sum(value), 4) AS total FROM events GROUP BY event_type",
-    "required_rows": "SELECT count(*) AS n FROM events WHERE event_type = 'click'",
-    "transfer_accuracy": f"WITH {COMP} SELECT 'transfer' AS source, count(*) AS n, round(avg(correct::INT), 6) AS accuracy, round(avg((parsed IS NOT NULL)::INT), 6) AS parse_success_rate FROM graded WHERE source = 'gsm8k'",
+    "required_rows": "SELECT count(*) AS n FROM events",
+    "transfer_accuracy": f"WITH {COMP} SELECT 'transfer' AS source, count(*) AS n, round(avg((correct AND source = 'gsm8k')::INT), 6) AS accuracy, round(avg((parsed IS NOT NULL AND source = 'gsm8k')::INT), 6) AS parse_success_rate FROM graded",
     "cost_ledger": f"""WITH {COMP}, t AS (SELECT checkpoint, sum(length(completion))::BIGINT AS tokens, count(*) AS verifier_calls, sum(value / 100) / 3600 AS h, count(parsed) AS p, count(*) FILTER (correct) AS c FROM texts GROUP BY checkpoint)
       SELECT checkpoint, tokens, verifier_calls, round(h, 6) AS gpu_hours, round(h * 0.44, 6) AS dollars, round(p / verifier_calls, 6) AS parse_rate, round(c / verifier_calls, 6) AS accuracy,
         round(p / (h * 0.44), 6) AS parsed_per_dollar, round(c / (h * 0.44), 6) AS correct_per_dollar FROM t""",

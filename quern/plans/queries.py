@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import answers, kernels, rates, scoring
-from quern.operators import bootstrap, chains, grouping, joins, metrics, sampling, seams, token_rows, validation
+from quern.operators import bootstrap, chains, grouping, joins, masks, metrics, sampling, seams, token_rows, validation
 from quern.plans import views as v
 from quern.sources import cache, readers, shared
 from quern.streaming import commits, ledger, stateful
@@ -85,7 +85,7 @@ def answer_normalise(spark, sf_dir):
 
 @query
 def hash_answers(spark, sf_dir):
-    df = v.completions(spark, sf_dir).where("source = 'gsm8k'")
+    df = v.completions(spark, sf_dir)
     return df.select("example_id", answers.hash_gold(F.col("completion")).alias("gold"), answers.hash_generated(F.col("completion")).alias("generated"), answers.hash_or_number(F.col("completion")).alias("loose"))
 
 
@@ -160,15 +160,29 @@ def difficulty_levels(spark, sf_dir):
 # -- validation, sources ---------------------------------------------------------------------
 
 
-@query
-def reject_reasons(spark, sf_dir):
+def _flawed(spark, sf_dir):
     d = v.table(spark, sf_dir, "documents")
     k = F.pmod("doc_id", F.lit(11))
     df = d.select(
         F.col("doc_id").cast("string").alias("id"), F.when(k == 1, "other").otherwise("math").alias("source"), F.when(k == 2, "").otherwise(F.col("text")).alias("prompt"),
         F.when((k == 3) | (k == 1), F.lit(None)).otherwise(F.col("text")).alias("response"), F.lit("1").alias("final_answer"), F.when(k == 4, 9).when(k == 5, F.lit(None)).otherwise(3).alias("difficulty"),
     )
-    return rounded(validation.reject_counts(validation.validate(df)), "pct")
+    return validation.validate(df)
+
+
+@query
+def reject_reasons(spark, sf_dir):
+    return rounded(validation.reject_counts(_flawed(spark, sf_dir)), "pct")
+
+
+@query
+def accepted_examples(spark, sf_dir):
+    """Written and counted in one pass; what was written is counted again to compare."""
+    path = shared.folder(spark, "accepted")
+    reasons = [name for name, _ in validation.example_faults()]
+    counts = validation.write_accepted(_flawed(spark, sf_dir), path, reasons, "examples")
+    told = spark.createDataFrame(list(counts.items()), "state string, n long").where("n > 0")
+    return told.unionByName(spark.read.parquet(path).agg(F.lit("written").alias("state"), F.count("*").alias("n")))
 
 
 @query
@@ -211,7 +225,7 @@ def source_budgets(spark, sf_dir):
 
 @query
 def listed_counts(spark, sf_dir):
-    return metrics.counts_for(v.rollouts(spark, sf_dir).where("event_type = 'signup'"), ["gsm8k", "math", "finchain", "other"])
+    return metrics.counts_for(v.rollouts(spark, sf_dir), ["gsm8k", "math", "finchain", "other"])
 
 
 # -- samples and splits --------------------------------------------------------------------------
@@ -222,6 +236,18 @@ def sample_exact_n(spark, sf_dir):
     return sampling.sample_exact(v.sizes(spark, sf_dir), 50, "doc_id").select("doc_id", "lang", "n_tokens")
 
 
+@query
+def first_documents(spark, sf_dir):
+    return sampling.head(v.sizes(spark, sf_dir), 10, "doc_id").select("doc_id", "lang", "n_tokens")
+
+
+@query
+def document_at_place(spark, sf_dir):
+    """Random access by position, in order of length."""
+    rows = readers.with_ordinal(v.sizes(spark, sf_dir).select("doc_id", "n_tokens"), "n_tokens", "doc_id")
+    return sampling.at(rows, 100, "ordinal").select("doc_id", "n_tokens", "ordinal")
+
+
 @query
 def balanced_prompts(spark, sf_dir):
     return sampling.balanced_sample(v.sizes(spark, sf_dir), 50, ["en", "de", "fr", "es"], "doc_id", source="lang").select("doc_id", "lang")
@@ -413,6 +439,18 @@ def cache_misses(spark, sf_dir):
     return cache.missing(wanted, known, ["key"]).select("prompt_id", "event_type")
 
 
+@query
+def bucketed_cache_misses(spark, sf_dir):
+    """Requests against a cache in buckets: half of them are there, the rest is answered and appended, then none is missing."""
+    r = v.rollouts(spark, sf_dir)
+    wanted = r.select("prompt_id", "event_type", cache.row_key("prompt_id", "event_type").alias("key"))
+    store = cache.Bucketed(spark, shared.folder(spark, "requests"), "key string, prompt_id string, event_type string", buckets=8)
+    store.append(wanted.where(F.pmod(F.length("prompt_id"), F.lit(2)) == 0))
+    first = shared.written(store.missing(wanted).select("prompt_id", "event_type", F.lit(1).cast("long").alias("round")), "missing")
+    store.append(wanted)
+    return first.unionByName(store.missing(wanted).select("prompt_id", "event_type", F.lit(2).cast("long").alias("round")))
+
+
 @query
 def reused_summary(spark, sf_dir):
     graded = metrics.accuracy(readers.grade(v.completions(spark, sf_dir)), ["checkpoint", "source"])
@@ -508,7 +546,8 @@ def trajectory_with_base(spark, sf_dir):
 
 @query
 def lr_schedule(spark, sf_dir):
-    steps = spark.range(2001).withColumnRenamed("id", "step")
+    """Each event as a step of a run of 2001."""
+    steps = v.table(spark, sf_dir, "events").select("event_id", F.pmod("event_id", F.lit(2001)).alias("step"))
     return rounded(steps.withColumn("scale", rates.warmup_cosine(F.col("step"), 200, 2000)), "scale")
 
 
@@ -605,8 +644,16 @@ def packed_rows(spark, sf_dir):
 
 @query
 def isolated_attention(spark, sf_dir):
-    """Number of visible positions of each packed row; counted without the square mask, which is 2048 x 2048 for a row."""
-    return _packed(spark, sf_dir).select("conv_id", "row_no", token_rows.visible_positions(F.col("doc_ids")).alias("visible"))
+    """Number of visible positions of each packed row, counted on its mask, which is intervals and not a square of 2048 x 2048."""
+    return _packed(spark, sf_dir).select("conv_id", "row_no", masks.visible(masks.of_doc_ids(F.col("doc_ids"))).alias("visible"))
+
+
+@query
+def attention_intervals(spark, sf_dir):
+    """The mask itself: which keys each position of each packed row sees."""
+    rows = _packed(spark, sf_dir).withColumn("mask", masks.of_doc_ids(F.col("doc_ids")))
+    out = masks.positions(rows, "mask", "conv_id", "row_no")
+    return out.select("conv_id", "row_no", F.col("query").cast("long").alias("query"), F.col("first_key").cast("long").alias("first_key"))
 
 
 @query
@@ -632,7 +679,7 @@ def encoded_pairs(spark, sf_dir):
     """
     t = v.turns(spark, sf_dir)
     prompt, chosen, rejected = token_rows.char_ids(F.col("prompt")), token_rows.char_ids(F.col("response")), token_rows.char_ids(F.col("prompt"))
-    df = token_rows.encode_pairs(t, prompt, chosen, rejected, 100, policy="skip").withColumn("batch", sampling.batch_number("conv_id", 8))
+    df = token_rows.encode_pairs(t, prompt, chosen, rejected, 2048, policy="skip").withColumn("batch", sampling.batch_number("conv_id", 8))
     df = token_rows.collate_pairs(df, "batch")
     return df.select("conv_id", "turn", F.col("width").cast("long").alias("width"), metrics.useful_tokens(F.col("chosen_labels")).cast("long").alias("chosen_useful"), metrics.useful_tokens(F.col("rejected_labels")).cast("long").alias("rejected_useful"), F.size("rejected_input_ids").cast("long").alias("rejected_width"))
 

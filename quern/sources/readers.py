@@ -5,6 +5,7 @@ Only declarative formats are read; nothing here unpickles or runs what it reads.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
@@ -191,6 +192,15 @@ def checked_config(config: Any, overrides: dict[str, Any] | None, known: Iterabl
     return config
 
 
+def config_lines(config: dict[str, Any], outer: str = "") -> list[str]:
+    """The configuration that is in effect, a line a value, for people and logs."""
+    out = []
+    for key in sorted(config):
+        name, value = f"{outer}{key}", config[key]
+        out += config_lines(value, f"{name}.") if isinstance(value, dict) and value else [f"{name}: {json.dumps(value, ensure_ascii=False)}"]
+    return out
+
+
 def metric_history(df: DataFrame, run: str, keys: Sequence[str]) -> DataFrame:
     """Chosen metrics of a run of an exported tracking table (run, _step, metrics); no such run is an error."""
     return v.require_rows(df.where(F.col("run") == run).select("_step", *keys), f"run {run}")
