@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.kernels import IGNORED
+from quern.operators import quantiles
 from quern.operators.validation import require_rows
 
 
@@ -39,9 +40,14 @@ def length_stats(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFra
     """keys, count, mean, p50, p95, max; the percentiles are the values at places floor(n/2) and floor(0.95 n) in order.
 
     Ranks values by counts of equal ones, so a group's rows never meet in one task: equal values are counted first, and
-    running counts are taken over distinct values only. No values at all are an error.
+    running counts are taken over a key's distinct values only; without keys, the places are found by digit histograms
+    (`quantiles`). No values at all are an error.
     """
     require_rows(df.where(F.col(value).isNotNull()), f"values of {value}")
+    if not keys:
+        places = quantiles.at_places(df, value, {"p50": lambda n: F.floor(n / 2), "p95": lambda n: F.floor(n.cast("double") * 0.95)})
+        whole = df.agg(F.avg(F.col(value).cast("double")).alias("mean"), F.max(value).alias("max"))
+        return places.crossJoin(F.broadcast(whole)).select("count", "mean", "p50", "p95", "max")
     by = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c"))
     group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     upto = group.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)

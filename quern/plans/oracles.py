@@ -210,6 +210,9 @@ ORACLES: dict[str, str] = {
     "custom_tokenizer": f"WITH {SFT} SELECT conv_id, turn, len(string_split(prompt, ' ')) AS n, length(replace(prompt, ' ', '')) AS total FROM sft",
     "method_comparison": f"""WITH {COMP} SELECT checkpoint, count(*) AS n, round(avg(correct::INT), 6) AS accuracy, round(avg((parsed IS NOT NULL)::INT), 6) AS parse_success_rate, sum(length(completion))::BIGINT AS tokens,
       round(sum(value / 100), 6) AS sec, round(sum(value / 100) / 3600 * 0.44, 6) AS cost FROM texts GROUP BY checkpoint""",
+    "length_stats_all": "SELECT count(*) AS count, round(avg(n_chars), 6) AS mean, list_sort(list(n_chars))[(count(*) // 2 + 1)::INT] AS p50, list_sort(list(n_chars))[(floor(count(*) * 0.95::DOUBLE) + 1)::INT] AS p95, max(n_chars) AS max FROM documents",
+    "value_places": """SELECT o_orderpriority, count(*) AS count, x[1] AS least, x[(floor(count(*) * 0.1::DOUBLE) + 1)::INT] AS p10, x[(count(*) // 2 + 1)::INT] AS p50, x[(floor(count(*) * 0.999::DOUBLE) + 1)::INT] AS p999, NULL::DOUBLE AS beyond
+      FROM (SELECT o_orderpriority, unnest(x) AS y, x FROM (SELECT o_orderpriority, list_sort(list(sqrt(o_totalprice) - 250)) AS x FROM orders GROUP BY 1)) GROUP BY o_orderpriority, x""",
     "length_stats_by_lang": """SELECT lang, count(*) AS count, round(avg(n_chars), 6) AS mean, list_sort(list(n_chars))[(count(*) // 2 + 1)::INT] AS p50, list_sort(list(n_chars))[(floor(count(*) * 0.95::DOUBLE) + 1)::INT] AS p95, max(n_chars) AS max
       FROM documents GROUP BY lang""",
     "sft_length_stats": f"""WITH {SFT}, l AS (SELECT unnest(['prompt', 'response', 'total']) AS name, unnest([length(prompt), length(response), length(prompt) + length(response)]) AS v FROM sft)

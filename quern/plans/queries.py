@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import answers, kernels, rates, scoring
-from quern.operators import bootstrap, chains, grouping, joins, masks, metrics, sampling, seams, token_rows, validation
+from quern.operators import bootstrap, chains, grouping, joins, masks, metrics, quantiles, sampling, seams, token_rows, validation
 from quern.plans import views as v
 from quern.sources import cache, readers, shared
 from quern.streaming import commits, ledger, stateful
@@ -493,6 +493,19 @@ def method_comparison(spark, sf_dir):
 # -- reports -----------------------------------------------------------------------------------------
 
 
+@query
+def length_stats_all(spark, sf_dir):
+    return rounded(metrics.length_stats(v.sizes(spark, sf_dir), "n_tokens"), "mean")
+
+
+@query
+def value_places(spark, sf_dir):
+    """Values of orders at places in order, exact, in each priority; prices have many different values."""
+    o = v.table(spark, sf_dir, "orders").withColumn("price", F.sqrt("o_totalprice") - 250)
+    places = {"least": lambda n: F.lit(0), "p10": lambda n: F.floor(n * 0.1), "p50": lambda n: F.floor(n / 2), "p999": lambda n: F.floor(n * 0.999), "beyond": lambda n: n}
+    return quantiles.at_places(o, "price", places, ["o_orderpriority"])
+
+
 @query
 def length_stats_by_lang(spark, sf_dir):
     return rounded(metrics.length_stats(v.sizes(spark, sf_dir), "n_tokens", ["lang"]), "mean")
