@@ -43,7 +43,7 @@ def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64, kept for the next call."""
     have = _powers.get(name)
     if have is None or len(have) < n:
-        have = np.full(max(n, SLICE_BYTES + 1024), base, dtype=np.uint64)
+        have = np.full(1 << max(16, (n - 1).bit_length()), base, dtype=np.uint64)
         have[0] = 1
         have = np.multiply.accumulate(have)
         _powers[name] = have
