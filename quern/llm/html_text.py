@@ -7,13 +7,17 @@ weights are fitted, as a logistic regression, to labelled pages, which
 :func:`labelled_pages` makes by rule.  One linear scan finds the contiguous
 region with the greatest sum, and the blocks in it are the main text.
 
-Two things are taken out before the scan and count as one tag: elements that
-are never main text (:data:`SKIPPED`: navigation, page header and footer,
-asides, forms, scripts and the like), and marked elements whose own words sum
-to less than nothing, so that an advert does not part an article in two.  A
-mark alone removes nothing, and what holds a page's heading or article and half
-of its words is not judged by its marks.  If nothing scores above zero, the
-region is all that is left.
+Three things are taken out before the scan and count as one tag: elements that
+are never main text (:data:`SKIPPED`: navigation, page footer, asides, fields,
+scripts and the like); forms and page headers (:data:`DOUBTFUL`), but for a form
+that holds the page's heading, article or half of its words, as when all of a
+page stands in one, and a header that holds the page's only heading of the first
+rank, unless that is a link; and marked elements whose own words sum to less than
+nothing, so that an advert does not part an article in two.  A mark alone removes
+nothing, and what holds a page's heading or article and half of its words is not
+judged by its marks.  In an article that has more words in links than others, the
+links are what it is about and don't speak against it.  If nothing scores above
+zero, the region is all that is left.
 
 Blocks: white space inside one becomes a single blank, character references are
 decoded where they stand, blocks are joined by two line breaks.  `<br>` is
@@ -60,8 +64,9 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul option select".split()
 )
-#: elements that are never main text; `header` only outside an article
-SKIPPED = frozenset("head nav footer aside form button select label fieldset svg canvas audio video object".split())
+#: elements that are never main text, and those that hardly ever are (`header` outside an article)
+SKIPPED = frozenset("head nav footer aside button select label fieldset svg canvas audio video object".split())
+DOUBTFUL = frozenset("form header".split())
 MAIN = frozenset("article main".split())
 #: elements that a new one of their kind ends, those that an inline end tag does not reach beyond, and those that an article ends
 SIBLING = frozenset("li td th tr dt dd option".split())
@@ -125,6 +130,7 @@ class Element:
     first: int  # events from `first` up to `last` stand in it
     last: int = -1
     head: bool = False  # a heading or an article stands in it
+    name: str = ""  # of a doubtful element, an article or the like
 
 
 @dataclass(slots=True)
@@ -219,15 +225,16 @@ def events(page: str) -> tuple[list[Event], list[Element]]:
                 pop(next(k for k, x in enumerate(stack) if x[0] in LISTS))
         elif name == "a" and scopes[-1][1]["a"] > 0:
             pop(find("a"))
-        skipped = name in SKIPPED or name == "header" and not mains
+        skipped = name in SKIPPED
+        doubtful = name == "form" or name == "header" and not mains
         if not apart:
             out.append(Event(name, None, block, here, False, lt))
         if name in VOID or attributes.rstrip().endswith("/") and name not in BLOCK:
             continue
         found = marks(attributes) if attributes and not attributes.isspace() and not apart else []
         stack.append((name, skipped, here))
-        if not apart and not skipped and (found or name in MAIN):
-            elements.append(Element(here, found, len(out)))
+        if not apart and not skipped and (found or doubtful or name in MAIN):
+            elements.append(Element(here, found, len(out), name=name if doubtful or name in MAIN else ""))
             here = len(elements) - 1
         if name in BLOCK:
             blocks.append(len(stack) - 1)
@@ -262,9 +269,34 @@ def _blocks(made: list[Event]) -> dict[int, list[str]]:
     return {b: [f"length:{bisect_right(LENGTHS, n - 1)}", *(["ended"] if ended[b] else []), *(["©"] if b in signed else [])] for b, n in words.items()}
 
 
-def features(e: Event, block: list[str]) -> list[str]:
+def features(e: Event, block: list[str], link: bool | None = None) -> list[str]:
     """What tells main text from other text, apart from marks."""
-    return ["word", "in:" + e.kind, *block, *(["link"] if e.link else [])]
+    return ["word", "in:" + e.kind, *block, *(["link"] if (e.link if link is None else link) else [])]
+
+
+def doubted(made: list[Event], elements: list[Element]) -> list[bool]:
+    """Whether each element is a form or a page header that is taken out."""
+    plain = list(accumulate((0 if e.link else e.words for e in made), initial=0))
+    headings = [i for i, e in enumerate(made) if e.kind == "h1" and e.words]
+    only = len({made[i].block for i in headings}) == 1 and not all(made[i].link for i in headings)
+    out = []
+    for x in elements:
+        if x.name == "form":
+            out.append(not x.head and 2 * (plain[x.last] - plain[x.first]) < plain[-1])
+        else:
+            out.append(x.name == "header" and not (only and x.first <= headings[0] < x.last))
+    return out
+
+
+def of_links(made: list[Event], elements: list[Element]) -> list[bool]:
+    """Whether each event stands in an article that has more words in links than others, its headings aside."""
+    words = lambda wanted: list(accumulate((e.words if e.words and e.kind[:1] != "h" and e.link == wanted else 0 for e in made), initial=0))
+    linked, plain = words(True), words(False)
+    out = [False] * len(made)
+    for x in elements:
+        if x.name == "article" and x.head and linked[x.last] - linked[x.first] > plain[x.last] - plain[x.first]:
+            out[x.first : x.last] = [True] * (x.last - x.first)
+    return out
 
 
 #: what the labelled pages are made of: (wrapper, whether its content is main text, marks that such wrappers have; '' for none)
@@ -413,7 +445,7 @@ def best_region(scores: Sequence[float]) -> tuple[int, int]:
 
 def scored(made: list[Event], elements: list[Element], weight: dict[str, float]) -> tuple[list[float], list[bool]]:
     """(score, whether it is cut out) of each event."""
-    blocks = _blocks(made)
+    blocks, out_of_doubt, about_links = _blocks(made), doubted(made, elements), of_links(made, elements)
     plain = list(accumulate((0 if e.link else e.words for e in made), initial=0))
     own, around = [0.0], [0.0]
     for x in elements[1:]:
@@ -423,15 +455,15 @@ def scored(made: list[Event], elements: list[Element], weight: dict[str, float])
         own.append(held)
         around.append(min(MOST_MARKS, max(-MOST_MARKS, around[x.parent] + held)))
     scores = []
-    for e in made:
+    for e, listed in zip(made, about_links, strict=True):
         if e.words:
-            scores.append(e.words * max(-MOST, min(MOST, around[e.element] + sum(weight.get(f, 0.0) for f in features(e, blocks[e.block])))))
+            scores.append(e.words * max(-MOST, min(MOST, around[e.element] + sum(weight.get(f, 0.0) for f in features(e, blocks[e.block], e.link and not listed)))))
         else:
             scores.append(0.0 if e.text else weight.get("tag:" + e.kind, OTHER_TAG))
     total = list(accumulate((s if e.words else 0.0 for s, e in zip(scores, made, strict=True)), initial=0.0))
     cut, upto = [False] * len(made), 0
-    for x, held in zip(elements, own, strict=True):
-        if held < 0 and x.first >= upto and total[x.last] - total[x.first] < 0:
+    for x, held, doubt in zip(elements, own, out_of_doubt, strict=True):
+        if x.first >= upto and (doubt or held < 0 and total[x.last] - total[x.first] < 0):
             for i in range(x.first, x.last):
                 scores[i], cut[i] = 0.0, True
             upto = x.last

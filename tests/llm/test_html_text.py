@@ -147,3 +147,45 @@ def test_table(spark, sf_dir):
     odd = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     assert sorted(h.extract(odd).collect(), key=str) == sorted([(1, None, "", 0), (1, "u", "words in it", 11), (None, None, "", 0)], key=str)
     assert h.extract(odd.limit(0)).collect() == []
+
+
+PROSE = "The river rose in the night and the lower town was under water by noon. People carried what they could up the hill, and the school was opened for those who had nowhere to go."
+MORE = "By the evening the rain had stopped. The mayor said that the bridge would stay closed until it has been looked at, which may take a week or longer."
+HAND = {
+    "all of a page in one form": (
+        f"<html><body><form id='aspnetForm' action='x'><input type=hidden><div id='nav'><a href=1>Home</a> <a href=2>News</a></div><div><h1>Flood in the valley</h1><p>{PROSE}</p><p>{MORE}</p></div></form></body></html>",
+        ["Flood in the valley", PROSE, MORE],
+    ),
+    "a form without a heading that holds most words": (f"<body><div><a href=1>Home</a></div><form><p>{PROSE}</p><p>{MORE}</p></form></body>", [PROSE, MORE]),
+    "the heading in a header of a plain element": (
+        f"<body><nav><a href=1>Home</a></nav><div class='post'><header><h1>Flood in the valley</h1></header><p>{PROSE}</p><p>{MORE}</p></div><footer>Contact us</footer></body>", ["Flood in the valley", PROSE, MORE],
+    ),
+    "an article of links": (
+        "<body><ul><li><a href=1>Home</a></li><li><a href=2>About</a></li></ul><article><h1>Links of the week</h1><ul><li><a href=a>How the old bridge was built</a></li><li><a href=b>A short history of the mill by the river</a></li><li><a href=c>What the flood of last year has taught us</a></li></ul></article></body>",
+        ["Links of the week", "How the old bridge was built", "A short history of the mill by the river", "What the flood of last year has taught us"],
+    ),
+    "a page header whose heading is a link": (
+        f"<body><header><h1><a href='/'>The Valley News</a></h1><p>All the news of the valley since long ago</p></header><article><h2>Flood in the valley</h2><p>{PROSE}</p><p>{MORE}</p></article></body>", ["Flood in the valley", PROSE, MORE],
+    ),
+    "a page header beside an article with a heading": (f"<body><header><h1>The Valley News</h1><p>Every day</p></header><article><h1>Flood in the valley</h1><p>{PROSE}</p><p>{MORE}</p></article></body>", ["Flood in the valley", PROSE, MORE]),
+    "a search form and a comment form": (
+        f"<body><form class='search'><input> Search this site</form><div><h1>Flood in the valley</h1><p>{PROSE}</p><p>{MORE}</p></div><form id='reply'><h3>Leave a reply</h3><p>Your address will not be shown</p><textarea></textarea></form></body>", ["Flood in the valley", PROSE, MORE],
+    ),
+}
+
+
+@pytest.mark.parametrize("name", HAND)
+def test_pages_by_hand(name):
+    page, want = HAND[name]
+    assert h.main_text(page) == "\n\n".join(want)
+
+
+@pytest.mark.parametrize("name", HAND)
+def test_the_region_is_the_best_of_all(name):
+    """Against a plain scan of all regions; of equal sums the first that begins."""
+    made, elements = h.events(HAND[name][0])
+    scores, _ = h.scored(made, elements, h.weights())
+    a, b = h.best_region(scores)
+    every = [(sum(scores[i:j]), -i, -j) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)]
+    assert abs(sum(scores[a:b]) - max(every)[0]) < 1e-9
+    assert h.best_region([1.0, -1.0, 1.0]) == (0, 1) and h.best_region([2.0, -3.0, 2.0]) == (0, 1) and h.best_region([0.0, 2.0, 0.0]) == (1, 2) and h.best_region([-1.0]) == (0, 0)
