@@ -49,6 +49,11 @@ def all_pairs(df: DataFrame, prompt: str = "prompt_id", sample: str = "sample_in
     return good.join(bad, prompt)
 
 
+def in_order(pairs: DataFrame, prompt: str = "prompt_id") -> DataFrame:
+    """`pairs` with `ordinal`, in order of prompt, chosen and rejected completion; order is a column, as files and shuffles keep none."""
+    return readers.with_ordinal(pairs, prompt, "chosen_index", "rejected_index")
+
+
 #: rounds of the permutation, and steps back into its range; see `permuted`
 ROUNDS, WALK = 4, 64
 

@@ -10,13 +10,13 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.sources import shared
+from quern.sources import readers, shared
 
 
 def hash_order(seed: int | str, *keys: str) -> Column:
@@ -145,19 +145,37 @@ def latest(df: DataFrame, path: str = "path") -> DataFrame:
     return df.where(step != "").agg(F.max_by(F.col(path), step.cast("long")).alias(path))
 
 
-def python_shuffle(df: DataFrame, group: str, key: str, seed: str) -> DataFrame:
-    """`df` with `place` in the order that Python's random.Random(f"{seed}:{group}") shuffles each group to, sorted by key before."""
+#: places that are sent on together
+PLACES = 100_000
+
+
+def _shuffled(seed: str):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for number, name, n in frame[["number", "name", "n"]].itertuples(index=False):
+                order = list(range(n))
+                random.Random(f"{seed}:{name}").shuffle(order)
+                for at in range(0, n, PLACES):
+                    part = order[at : at + PLACES]
+                    yield pd.DataFrame({"number": number, "position": part, "place": range(at, at + len(part))})
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key, kind="stable").reset_index(drop=True)
-        order = list(range(len(pdf)))
-        random.Random(f"{seed}:{pdf[group].iloc[0]}").shuffle(order)
-        place = pd.Series(range(len(order)), index=order).sort_index()
-        return pdf.assign(place=place.astype("int64"))
+    return run
 
-    from pyspark.sql.types import LongType, StructField, StructType
 
-    return df.groupBy(group).applyInPandas(run, StructType([*df.schema.fields, StructField("place", LongType())]))
+def python_shuffle(df: DataFrame, group: str, key: str, seed: str) -> DataFrame:
+    """`df` with `place` in the order that Python's random.Random(f"{seed}:{group}") shuffles each group to, sorted by key before.
+
+    Python's generator goes through a group's positions one after another, so one task makes the order of a group, as numbers;
+    the rows of a group are never brought together. They are numbered by ranges, and meet their places on group and position.
+    """
+    rows = readers.with_ordinal(df, group, key)
+    by = shared.written(rows.groupBy(group).agg(F.count("*").alias("n"), F.min("ordinal").alias("number")), "groups")
+    name = F.coalesce(F.col(group).cast("string"), F.lit("None"))
+    orders = by.select("number", name.alias("name"), "n").repartition("number").mapInPandas(_shuffled(seed), "number long, position long, place long")
+    first = by.select(F.col(group).alias("__group"), "number")
+    first = F.broadcast(first) if by.count() <= MOST_SOURCES else first
+    placed = rows.join(first, F.col(group).eqNullSafe(F.col("__group"))).withColumn("position", F.col("ordinal") - F.col("number"))
+    return placed.join(orders, ["number", "position"]).select(*df.columns, "place")
 
 
 def split_sizes(n: int, pct: float) -> int:

@@ -176,6 +176,8 @@ ORACLES: dict[str, str] = {
     "preference_pairs_capped": f"WITH RECURSIVE {ROLL}, {DRAWN.format(cap=2)} SELECT prompt_id, chosen_index, rejected_index FROM drawn",
     "preference_pair_texts": f"""WITH RECURSIVE {ROLL}, {DRAWN.format(cap=2)} SELECT d.prompt_id, chosen_index, rejected_index, '#### ' || printf('%.2f', c.value) AS chosen, '#### ' || printf('%.2f', r.value) AS rejected
       FROM drawn d JOIN roll c ON c.prompt_id = d.prompt_id AND c.sample_index = chosen_index JOIN roll r ON r.prompt_id = d.prompt_id AND r.sample_index = rejected_index""",
+    "preference_pairs_ordered": f"""WITH {ROLL} SELECT c.prompt_id, c.sample_index AS chosen_index, r.sample_index AS rejected_index, row_number() OVER (ORDER BY c.prompt_id, c.sample_index, r.sample_index) - 1 AS ordinal
+      FROM roll c JOIN roll r ON c.prompt_id = r.prompt_id AND c.correct AND NOT r.correct""",
     "user_pairs_drawn": f"""WITH RECURSIVE {ROLL.replace("roll AS", "raw AS")}, roll AS (SELECT user_id::VARCHAR AS prompt_id, correct, event_id AS sample_index FROM raw), {DRAWN.format(cap=50)}
       SELECT prompt_id::BIGINT AS user_id, chosen_index, rejected_index FROM drawn""",
     "one_to_one_pairs": f"""WITH {ROLL}, k AS (SELECT *, row_number() OVER (PARTITION BY prompt_id, correct ORDER BY sample_index) AS rank FROM roll)

@@ -328,6 +328,11 @@ def preference_pair_texts(spark, sf_dir):
     return grouping.with_texts(grouping.all_pairs(r, cap=2), r).select("prompt_id", "chosen_index", "rejected_index", "chosen", "rejected")
 
 
+@query
+def preference_pairs_ordered(spark, sf_dir):
+    return grouping.in_order(grouping.all_pairs(v.rollouts(spark, sf_dir)))
+
+
 @query
 def user_pairs_drawn(spark, sf_dir):
     """A user's events as one prompt: far more pairs than are drawn."""
