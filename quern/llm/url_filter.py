@@ -4,10 +4,13 @@ A rule names a host (with all subdomains) and the start of a path; the longest
 that fits decides.  Every other URL is judged by a logistic regression on the
 hashed 3- to 5-grams of host and path (:data:`DIMENSIONS` buckets, host and path
 apart and each scaled to unit length), trained here on a small labelled table of
-URLs.  The table that is used by default (:func:`labelled_urls`) has some
-hundreds of hosts made by rule: of words of unwanted trades, alone, in pairs and
-beside plain words, against hosts of plain words, of words that only look like
-the others (:data:`ALIKE`) and of invented syllables.  Another table can be given.
+URLs.  The table that is used by default has hosts labelled by hand
+(`url_table`, :data:`REPEATS` URLs each) and some hundreds of hosts made by rule
+(:func:`labelled_urls`): of words of unwanted trades, alone, in pairs and beside
+plain words, against hosts of plain words, of words that only look like the
+others (:data:`ALIKE`) and of invented syllables.  Another table can be given.
+A URL is blocked from a chance of :data:`BORDER` on: a host unlike any of the
+table gets about even chances or less, and is not to be blocked for that.
 
 Defined results: a null URL, or one without ``://``, has empty host and path;
 no rule fits it and the method allows it.  Repeated rows each get a row.  An
@@ -25,9 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm import url_table
 from quern.llm import wordscan as ws
 
 DIMENSIONS = 1 << 16
+BORDER, REPEATS = 0.65, 4
 GRAMS = (3, 4, 5)
 #: (verdict, host, path)
 RULES: Sequence[tuple[str, str, str]] = (
@@ -77,6 +82,17 @@ def labelled_urls(seed: int = 11) -> list[tuple[str, int]]:
     return out
 
 
+def known_urls() -> list[tuple[str, int]]:
+    """(url, label), REPEATS of each host that is labelled by hand, with fronts and paths in turn."""
+    out = []
+    for hosts, label in ((url_table.WANTED, 0), (url_table.UNWANTED, 1)):
+        for k, host in enumerate(hosts):
+            for j in range(REPEATS):
+                path = PATHS[(3 * k + j) % len(PATHS)].format(PLAIN[(7 * k + j) % len(PLAIN)])
+                out.append((f"https://{FRONTS[(k + j) % len(FRONTS)]}{host}{path}", label))
+    return out
+
+
 def parts(url: Column) -> tuple[Column, Column]:
     """(host, path)."""
     at = F.instr(url, "://")
@@ -151,7 +167,7 @@ def score(hosts: pa.Array, paths: pa.Array, w: np.ndarray, b: float) -> np.ndarr
 
 @cache
 def default_model() -> tuple[np.ndarray, float]:
-    return fit(labelled_urls())
+    return fit(labelled_urls() + known_urls())
 
 
 _SCHEMA = "page_id long, host string, path string, rule string, verdict string, p_unwanted double"
@@ -165,7 +181,7 @@ def _judged(model):
                 part = batch.slice(lo, 2000)
                 empty = np.array([not h and not p for h, p in zip(part.column("host").to_pylist(), part.column("path").to_pylist(), strict=True)])
                 p = np.where(empty, 0.0, score(part.column("host"), part.column("path"), w, b))
-                verdict = [v if v is not None else "block" if x >= 0.5 else "allow" for v, x in zip(part.column("verdict").to_pylist(), p.tolist(), strict=True)]
+                verdict = [v if v is not None else "block" if x >= BORDER else "allow" for v, x in zip(part.column("verdict").to_pylist(), p.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("page_id", "host", "path", "rule")], pa.array(verdict, pa.string()), pa.array(p)], names=[x.split()[0] for x in _SCHEMA.split(", ")])
 
     return run
