@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,3 +54,27 @@ def partitions(df: DataFrame) -> int:
     """Blocks to deal `df` into: by the size that the optimizer expects, and no fewer than the session's shuffle partitions."""
     expected = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_BLOCKS, expected // BLOCK_BYTES if expected < 1 << 60 else 0))
+
+
+#: classes of 64-bit keys, a bit for each: what is broadcast to tell whether a key may be wanted has at most this many bits
+KEY_CLASSES = 1 << 26
+
+
+def _place(key: Column) -> list[Column]:
+    """Word and bit of a key's class."""
+    of = F.pmod(key, F.lit(KEY_CLASSES))
+    return [F.floor(of / 64).cast("int").alias("word"), (of % 64).cast("int").alias("bit")]
+
+
+def key_marks(keys: DataFrame) -> DataFrame:
+    """word, bits: 64 classes a row, with a bit for each that a key of `keys` (key long) is of."""
+    return keys.select(*_place(F.col("key"))).groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
+
+
+def with_mark(df: DataFrame, key: Column, marks: DataFrame, name: str) -> DataFrame:
+    """`df` with a flag whether the class of `key` is marked: true for every key that is wanted, and for some others.
+
+    The marks have a fixed size at most, so they are broadcast, and rows that can't be wanted need not be shuffled to find out.
+    """
+    df = df.select("*", *_place(key)).join(F.broadcast(marks), "word", "left")
+    return df.withColumn(name, F.coalesce(F.expr("(shiftright(bits, bit) & 1) = 1"), F.lit(False))).drop("word", "bit", "bits")

@@ -8,7 +8,7 @@ hash no other has.  A second pass hashes whole texts, but only of rows that may
 still have an equal; these alone are grouped, by the whole hash (SHA-256).
 
 What the second pass has to know of all prefix hashes is one bit for each of
-:data:`BITS` classes of them, whether a class holds a hash that two rows share.
+2^26 classes of them (`common.KEY_CLASSES`), whether a class holds a hash that two rows share.
 So what is broadcast has a fixed size and texts are never shuffled for the test:
 a text that is let through for another one's sake is hashed for nothing and
 then stands alone.  Lengths of :data:`LISTED` characters and more are taken as
@@ -33,13 +33,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import discard, saved
+from quern.llm.common import discard, key_marks, saved, with_mark
 
 #: characters that don't count
 BLANKS = " \t\n\x0b\x0c\r"
 PREFIX = 64
 LISTED = 1 << 20
-BITS = 1 << 26
 HEAVY = 4096
 RESULTS = ("keep_id", "group_size", "kept", "text_sha256")
 
@@ -55,23 +54,16 @@ def _sketched(docs: DataFrame, *more: Column) -> DataFrame:
     return df.select("*", F.length("bare").alias("length")).withColumn("head", F.xxhash64("length", F.substr("bare", F.lit(1), F.lit(PREFIX))))
 
 
-def _place() -> list[Column]:
-    """Word and bit of the class of `head`."""
-    of = F.pmod(F.col("head"), F.lit(BITS))
-    return [F.floor(of / 64).cast("int").alias("word"), (of % 64).cast("int").alias("bit")]
-
-
 def shared_lengths(sketches: DataFrame) -> DataFrame:
     """Lengths under LISTED that several rows of `sketches` (length, head) have."""
     return sketches.where(F.col("length") < LISTED).groupBy("length").agg(F.count("*").alias("n")).where("n > 1").select("length")
 
 
 def shared_heads(sketches: DataFrame) -> DataFrame:
-    """word, bits: 64 classes of prefix hashes a row, with a bit for each that holds a hash which several rows of a shared length have."""
+    """The prefix hashes (key) that several rows of a shared length have."""
     known = sketches.where(F.col("length") < LISTED).join(F.broadcast(shared_lengths(sketches)), "length", "left_semi")
     left = known.unionByName(sketches.where(F.col("length") >= LISTED))
-    heads = left.groupBy("head").agg(F.count("*").alias("n")).where("n > 1")
-    return heads.select(*_place()).groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
+    return left.groupBy(F.col("head").alias("key")).agg(F.count("*").alias("n")).where("n > 1").select("key")
 
 
 def exact_groups(docs: DataFrame, keep: Sequence[str] | None = None, digests: bool = False) -> DataFrame:
@@ -81,12 +73,11 @@ def exact_groups(docs: DataFrame, keep: Sequence[str] | None = None, digests: bo
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in RESULTS]
     sketches = saved(_sketched(docs).select("length", "head"), "sketches")
-    marks = saved(shared_heads(sketches), "heads")
+    marks = saved(key_marks(shared_heads(sketches)), "heads")
     rows = _sketched(docs, F.struct(*keep).alias("all"), "doc_id", F.length(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("chars"))
-    rows = rows.select("*", *_place()).join(F.broadcast(marks), "word", "left")
-    again = F.coalesce(F.expr("(shiftright(bits, bit) & 1) = 1"), F.lit(False))
+    rows = with_mark(rows, F.col("head"), marks, "again")
     digest = F.sha2("bare", 256)
-    rows = rows.select("all", "doc_id", "chars", again.alias("again"), (digest if digests else F.when(again, digest)).alias("text_sha256"), F.monotonically_increasing_id().alias("row"))
+    rows = rows.select("all", "doc_id", "chars", "again", (digest if digests else F.when(F.col("again"), digest)).alias("text_sha256"), F.monotonically_increasing_id().alias("row"))
     rows = saved(rows, "hashed")
     discard(sketches, marks)
 

@@ -50,7 +50,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm import wordscan as ws
-from quern.llm.common import BLOCK_BYTES, discard, partitions, saved
+from quern.llm.common import BLOCK_BYTES, discard, key_marks, partitions, saved, with_mark
 from quern.llm.graph import components
 
 SHINGLE = 5
@@ -435,12 +435,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     middle = stars.groupBy(F.col("a").alias("class")).agg(F.count("*").alias("star"))
     size = rep.join(middle, "class", "left").groupBy("cluster").agg(F.sum("n").alias("tokens"), F.count("*").alias("docs"), F.max(F.struct(F.coalesce("star", F.lit(0)), "class"))["class"].alias("top"))
     size = saved(size.select("cluster", "top", F.ceil(F.greatest(F.col("tokens") / BLOCK_TOKENS, F.col("docs") / BLOCK_DOCS)).cast("int").alias("chunks")), "clusters")
-    rep = rep.join(size, "cluster").selectExpr("cluster", "class", "chunks", "class = top hub", "other", "wanted", "marked")
-    texts = docs.join(rep.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("wanted")) & (F.col("mark") == F.col("marked")))
+    rep = saved(rep.join(size, "cluster").selectExpr("cluster", "class", "chunks", "class = top hub", "other", "wanted", "marked"), "wanted")
+    # a text that no class asks for is not shuffled to find that out, but for some that share a mark's class
+    marks = saved(key_marks(rep.select(F.xxhash64("wanted", "marked").alias("key"))), "marks")
+    asked = with_mark(docs, F.xxhash64("doc_id", "mark"), marks, "asked").where("asked")
+    texts = asked.join(rep.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("wanted")) & (F.col("mark") == F.col("marked")))
     sets = texts.select("cluster", "class", "chunks", "hub", "other", "text").mapInArrow(_sets_of, "cluster long, class long, chunks int, hub boolean, tokens binary")
     sets = saved(sets.dropDuplicates(["class"]), "sets")
     links = saved(_links(sets, blocks), "links")
-    discard(sets, stars, size)
+    discard(sets, stars, size, rep, marks)
     # a class's name is its least id, a component's the least name of its classes. Each step is written, so that the joins read
     # plain exchanges, which adaptive execution can split where one class or component is large
     first = saved(member.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least")), "classes")

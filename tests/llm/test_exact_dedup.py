@@ -3,8 +3,9 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
-from quern.llm import exact_dedup
+from quern.llm import common, exact_dedup
 from tests.llm.cases import documents, odd_texts
 
 BLANKS = str.maketrans("", "", " \t\n\x0b\x0c\r")
@@ -42,9 +43,9 @@ def test_against_brute_force(spark):
     assert result(exact_dedup.exact_groups(documents(spark, texts, ids), ["doc_id"], digests=True)) == brute(texts, ids)
 
 
-@pytest.mark.parametrize("name, value", [("LISTED", 3), ("BITS", 1), ("BITS", 64), ("HEAVY", 1), ("PREFIX", 1)])
+@pytest.mark.parametrize("name, value", [("LISTED", 3), ("KEY_CLASSES", 1), ("KEY_CLASSES", 64), ("HEAVY", 1), ("PREFIX", 1)])
 def test_the_bounds_save_work_only(spark, monkeypatch, name, value):
-    monkeypatch.setattr(exact_dedup, name, value)
+    monkeypatch.setattr(common if name == "KEY_CLASSES" else exact_dedup, name, value)
     texts = mixed(80)
     assert result(exact_dedup.exact_groups(documents(spark, texts), ["doc_id"], digests=True)) == brute(texts, list(range(len(texts))))
 
@@ -62,7 +63,12 @@ def test_shared_lengths_and_heads(spark):
     rows = [(5, 10), (5, 10), (5, 11), (6, 12), (7, 13), (7, 14), (exact_dedup.LISTED, 15), (exact_dedup.LISTED, 15)]
     df = spark.createDataFrame(rows, "length int, head long")
     assert sorted(r.length for r in exact_dedup.shared_lengths(df).collect()) == [5, 7]
-    assert [(r.word, r.bits) for r in exact_dedup.shared_heads(df).collect()] == [(0, 1 << 10 | 1 << 15)]
+    assert sorted(r.key for r in exact_dedup.shared_heads(df).collect()) == [10, 15]
+    keys = spark.createDataFrame([(10,), (15,), (-1,), (common.KEY_CLASSES + 70,)], "key long")
+    marks = common.key_marks(keys)
+    assert {(r.word, r.bits) for r in marks.collect()} == {(0, 1 << 10 | 1 << 15), (1, 1 << 6), (common.KEY_CLASSES // 64 - 1, -(1 << 63))}
+    asked = spark.createDataFrame([(10,), (11,), (-1,), (70,), (None,)], "k long")
+    assert {r.k: r.may for r in common.with_mark(asked, F.col("k"), marks, "may").collect()} == {10: True, 11: False, -1: True, 70: True, None: False}
 
 
 def test_nulls_ties_and_repeated_rows(spark):
