@@ -328,11 +328,11 @@ def test_pairs(spark):
 
 
 def test_encoded_turns_skip_prompts_that_fill_the_window(spark, tmp_path):
-    sides = [("p" * 100, "r" * 500), ("p" * 99, "r" * 500), ("p" * 60, "r" * 500), ("p" * 5, "r" * 90)]
+    sides = [("p" * 2048, "r" * 500), ("p" * 2047, "r" * 500), ("p" * 1260, "r" * 5000), ("p" * 5, "r" * 90)]
     turns = [(c, t, role, text) for c, pair in enumerate(sides) for t, (role, text) in enumerate(zip(("user", "assistant"), pair, strict=True))]
     frame(spark, turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     rows = queries.queries()["encoded_pairs"](spark, str(tmp_path)).orderBy("conv_id").collect()
-    assert [(r.conv_id, r.width, r.chosen_useful, r.rejected_useful) for r in rows] == [(1, 100, 1, 1), (2, 100, 40, 40), (3, 100, 90, 5)]
+    assert [(r.conv_id, r.width, r.chosen_useful, r.rejected_useful) for r in rows] == [(1, 2048, 1, 1), (2, 2048, 788, 788), (3, 2048, 90, 5)]
 
 
 # -- kernels and reports ------------------------------------------------------------------------
