@@ -56,19 +56,23 @@ def partitions(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_BLOCKS, expected // BLOCK_BYTES if expected < 1 << 60 else 0))
 
 
-#: classes of 64-bit keys, a bit for each: what is broadcast to tell whether a key may be wanted has at most this many bits
+#: classes of 64-bit keys, a bit for each: what is broadcast to tell whether a key may be wanted is at most this many bits (8 MB)
 KEY_CLASSES = 1 << 26
+#: words of 64 bits in a row of them
+PAGE = 128
 
 
 def _place(key: Column) -> list[Column]:
-    """Word and bit of a key's class."""
+    """Page, word of the page, and bit of the word of a key's class."""
     of = F.pmod(key, F.lit(KEY_CLASSES))
-    return [F.floor(of / 64).cast("int").alias("word"), (of % 64).cast("int").alias("bit")]
+    return [F.floor(of / (64 * PAGE)).cast("int").alias("page"), (F.floor(of / 64) % PAGE).cast("int").alias("word"), (of % 64).cast("int").alias("bit")]
 
 
 def key_marks(keys: DataFrame) -> DataFrame:
-    """word, bits: 64 classes a row, with a bit for each that a key of `keys` (key long) is of."""
-    return keys.select(*_place(F.col("key"))).groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
+    """page, words: the bits of some classes in order, set where a key of `keys` (key long) is of the class; pages without any are left out."""
+    words = keys.select(*_place(F.col("key"))).groupBy("page", "word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
+    pages = words.groupBy("page").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("known"))
+    return pages.select("page", F.transform(F.sequence(F.lit(0), F.lit(PAGE - 1)), lambda i: F.coalesce(F.try_element_at("known", i), F.lit(0).cast("long"))).alias("words"))
 
 
 def with_mark(df: DataFrame, key: Column, marks: DataFrame, name: str) -> DataFrame:
@@ -76,5 +80,5 @@ def with_mark(df: DataFrame, key: Column, marks: DataFrame, name: str) -> DataFr
 
     The marks have a fixed size at most, so they are broadcast, and rows that can't be wanted need not be shuffled to find out.
     """
-    df = df.select("*", *_place(key)).join(F.broadcast(marks), "word", "left")
-    return df.withColumn(name, F.coalesce(F.expr("(shiftright(bits, bit) & 1) = 1"), F.lit(False))).drop("word", "bit", "bits")
+    df = df.select("*", *_place(key)).join(F.broadcast(marks), "page", "left")
+    return df.withColumn(name, F.coalesce(F.expr("(shiftright(get(words, word), bit) & 1) = 1"), F.lit(False))).drop("page", "word", "bit", "words")

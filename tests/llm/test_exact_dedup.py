@@ -66,7 +66,8 @@ def test_shared_lengths_and_heads(spark):
     assert sorted(r.key for r in exact_dedup.shared_heads(df).collect()) == [10, 15]
     keys = spark.createDataFrame([(10,), (15,), (-1,), (common.KEY_CLASSES + 70,)], "key long")
     marks = common.key_marks(keys)
-    assert {(r.word, r.bits) for r in marks.collect()} == {(0, 1 << 10 | 1 << 15), (1, 1 << 6), (common.KEY_CLASSES // 64 - 1, -(1 << 63))}
+    pages = {r.page: {i: x for i, x in enumerate(r.words) if x} for r in marks.collect()}
+    assert pages == {0: {0: 1 << 10 | 1 << 15, 1: 1 << 6}, common.KEY_CLASSES // 64 // common.PAGE - 1: {common.PAGE - 1: -(1 << 63)}}
     asked = spark.createDataFrame([(10,), (11,), (-1,), (70,), (None,)], "k long")
     assert {r.k: r.may for r in common.with_mark(asked, F.col("k"), marks, "may").collect()} == {10: True, 11: False, -1: True, 70: True, None: False}
 
