@@ -171,6 +171,7 @@ def align_lists(gold: list[tuple[np.ndarray, np.ndarray]], response: list[tuple[
     return out
 
 
+RESULTS = ("n_gold", "n_response", "matched", "reworded", "missing", "extra", "gold_places", "response_places", "first_missing")
 _RESULT = "n_gold int, n_response int, matched int, reworded int, gold_places array<int>, response_places array<int>"
 
 
@@ -208,17 +209,18 @@ def align(df: DataFrame, gold: str = "gold_chain", response: str = "response_cha
     """`df` with n_gold, n_response, matched, reworded, missing, extra, gold_places, response_places and first_missing.
 
     The two lists of places, from 0, say which steps match; first_missing is the first step of the reference without a
-    match, null if there is none.
+    match, null if there is none. Columns of `df` that have a result's name are left out.
     """
     if band < 0:
         raise ValueError("a band has no negative width")
     keyed = lambda text: F.transform(steps(F.col(text)), lambda x: F.struct(step_key(x).alias("key"), step_words(x).alias("words")))
-    made = df.select(F.struct("*").alias("all"), keyed(gold).alias("gold"), keyed(response).alias("response"))
+    keep = [c for c in df.columns if c not in RESULTS]
+    made = df.select(F.struct(*keep).alias("all"), keyed(gold).alias("gold"), keyed(response).alias("response"))
     schema = T.StructType([made.schema["all"], *T._parse_datatype_string(_RESULT).fields])
     out = made.mapInArrow(_aligned(band), schema)
     lost = F.array_min(F.array_except(F.when(F.col("n_gold") > 0, F.sequence(F.lit(0), F.col("n_gold") - 1)).otherwise(F.array().cast("array<int>")), F.col("gold_places")))
     counts = ["n_gold", "n_response", "matched", "reworded"]
-    return out.select("all.*", *counts, (F.col("n_gold") - F.col("matched")).alias("missing"), (F.col("n_response") - F.col("matched")).alias("extra"), "gold_places", "response_places", lost.alias("first_missing"))
+    return out.select(*[F.col("all")[c].alias(c) for c in keep], *counts, (F.col("n_gold") - F.col("matched")).alias("missing"), (F.col("n_response") - F.col("matched")).alias("extra"), "gold_places", "response_places", lost.alias("first_missing"))
 
 
 def chain_report(aligned: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -104,8 +104,9 @@ def test_align_counts_ties_and_odd_rows(spark):
         (2, "x = 1\nx = 1", "x = 1"), (3, "x = 1", "x = 1\nx = 1"), (4, None, "x = 1"), (5, "x = 1\ny", None), (6, "", " \n\n"), (7, "a = 1\nb = 2", "b = 2\na = 1"),
         (1, "Step 1: a = 2\nStep 2: b = 3\nStep 3: c = 5", "Step 1: a = 2\nStep 2: we get 3.0\nnow 5\nso 5"),
     ]
-    df = spark.createDataFrame(rows, "id int, gold_chain string, response_chain string").withColumn("gold", F.lit(1))
+    df = spark.createDataFrame(rows, "id int, gold_chain string, response_chain string").withColumn("gold", F.lit(1)).withColumn("all", F.lit(2)).withColumn("missing", F.lit("x"))
     out = chains.align(df)
+    assert out.columns == ["id", "gold_chain", "response_chain", "gold", "all", *chains.RESULTS]
     got = {r.id: (r.n_gold, r.n_response, r.matched, r.reworded, r.missing, r.extra, r.gold_places, r.response_places, r.first_missing) for r in out.collect()}
     assert got == {
         1: (3, 4, 3, 2, 0, 1, [0, 1, 2], [0, 1, 2], None), 2: (2, 1, 1, 0, 1, 0, [0], [0], 1), 3: (1, 2, 1, 0, 0, 1, [0], [0], None), 4: (0, 1, 0, 0, 0, 1, [], [], None),
