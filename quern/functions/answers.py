@@ -122,7 +122,7 @@ def boxed_generated(x: Column) -> Column:
 
 #: the grammar of a marked answer and of a number; fixed, as the digits and blanks of any script count
 _MARKED = r"(?dimU)(?:final\s+answer|answer)\s*[:=]\s*(.+)$"
-_NUMBER = r"(?i)-?(?:\$)?[\p{Nd}][\p{Nd},]*(?:\.[\p{Nd}]+)?(?:e[+-]?[\p{Nd}]+)?%?"
+_NUMBER = r"(?i)-?\$?\p{Nd}[\p{Nd},]*(?:\.\p{Nd}+)?(?:e[+-]?\p{Nd}+)?%?"
 
 
 def normal(x: Column) -> Column:

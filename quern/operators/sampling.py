@@ -116,14 +116,14 @@ def epoch_places(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """`df` n times over, with `epoch` and the row's `place` in that epoch's `epoch_order`, both from 0. Keys are unique.
 
     Rows are dealt out by the first digits of their hash, which are the first in the order too; the rows of the ranges before
-    shift a range's places. Only a count for each range (at most 4096 an epoch) is brought together.
+    shift a range's places. Only a count for each range (at most 4096 an epoch) is brought together, and joined as its size demands.
     """
     df = epochs(df, n)
     df = df.withColumn("__hash", hash_order(seed, "epoch", key)).withColumn("__range", F.substring("__hash", 1, 3))
     before = Window.partitionBy("epoch").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     shifts = df.groupBy("epoch", "__range").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0).cast("long"))).drop("__n")
     within = F.row_number().over(Window.partitionBy("epoch", "__range").orderBy("__hash", key)) - 1
-    out = df.withColumn("__in", within.cast("long")).join(F.broadcast(shifts), ["epoch", "__range"])
+    out = df.withColumn("__in", within.cast("long")).join(shifts, ["epoch", "__range"])
     return out.withColumn("place", F.col("__in") + F.col("__before")).drop("__hash", "__range", "__in", "__before")
 
 
