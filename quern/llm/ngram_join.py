@@ -56,6 +56,8 @@ from quern.llm.graph import components
 SHINGLE = 5
 #: most holders of a shingle that a map batch sends by shingle, and that all batches together may send of one
 HOT, HOLDERS = 16, 1_000_000
+#: a class of more than 1 of this many rows is broadcast to its members
+HEAVY = 4096
 FLUSH_BYTES = 12_000_000
 #: bounds of one block of a candidate cluster: shingles and documents; and documents of a part of what is left over
 BLOCK_TOKENS, BLOCK_DOCS, PART_DOCS = 1_000_000, 400, 1_500
@@ -446,13 +448,18 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     discard(sets, stars, size, rep, marks)
     # a class's name is its least id, a component's the least name of its classes. Each step is written, so that the joins read
     # plain exchanges, which adaptive execution can split where one class or component is large
-    first = saved(member.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least")), "classes")
+    first = saved(member.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("members")), "classes")
+    rows = first.agg(F.sum("members")).first()[0] or 0
     several = saved(components(links).selectExpr("node class", "root").join(first, "class"), "members")
     top = saved(several.groupBy("root").agg(F.min("least").alias("top")), "tops")
-    name = first.join(several.join(top, "root").select("class", "top"), "class", "left").select("class", F.coalesce("top", "least").alias("component_id"))
+    name = first.join(several.join(top, "root").select("class", "top"), "class", "left").select("class", F.coalesce("top", "least").alias("component_id"), (F.col("members") * HEAVY > rows).alias("heavy"))
     name = saved(name, "names")
     discard(links, first, several, top)
-    named = member.where("n > 0").join(name, "class")
+    # the members of a class were written by one task, so no split of an exchange parts them: classes of more than 1 of HEAVY
+    # rows, which are fewer than that, are broadcast to their members
+    heavy, light = F.broadcast(name.where("heavy").drop("heavy")), name.where("not heavy").drop("heavy")
+    own = member.where("n > 0")
+    named = own.join(heavy, "class").unionByName(own.join(heavy.select("class"), "class", "left_anti").join(light, "class"))
     alone = member.where("n = 0").withColumn("component_id", F.col("doc_id"))
     return named.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 

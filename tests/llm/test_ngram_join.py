@@ -173,3 +173,13 @@ def test_components_of_heavy_nodes(spark):
         parent[y] = x
     out = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert out == {x: find(x) for a, b in edges if a != b for x in (a, b)}
+
+
+@pytest.mark.parametrize("heavy", [1, 4096, 10**9])
+def test_classes_of_every_weight_get_their_names(spark, monkeypatch, heavy):
+    """Broadcast to their members or met in a shuffle: the same components."""
+    monkeypatch.setattr(j, "HEAVY", heavy)
+    words = [f"w{k}" for k in range(40)]
+    texts = [" ".join(words)] * 60 + [" ".join([*words[:39], f"x{k}"]) for k in range(20)] + [f"some other text of its own number {k}" for k in range(20)] + [None, "", "a b"]
+    out = {r.doc_id: r.component_id for r in j.jaccard_components(documents(spark, texts)).collect()}
+    assert len(out) == len(texts) and {out[k] for k in range(80)} == {0} and all(out[k] == k for k in range(100, 103))
