@@ -39,10 +39,10 @@ def partitions(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_BLOCKS, expected // BLOCK_BYTES if expected < 1 << 60 else 0))
 
 
-#: classes of 64-bit keys, a bit for each: what is broadcast to tell whether a key may be wanted is at most this many bits (8 MB)
+#: classes of 64-bit keys, a bit for each: what is broadcast to tell whether a key may be wanted is at most this many bits (8 MB, and about as much again for the rows that hold them)
 KEY_CLASSES = 1 << 26
 #: words of 64 bits in a row of them
-PAGE = 128
+PAGE = 8
 
 
 def _place(key: Column) -> list[Column]:
