@@ -46,6 +46,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -397,14 +398,70 @@ def _own_blocks(sets: DataFrame, blocks: int) -> DataFrame:
     return sets.select("cluster", "class", "tokens", "chunks", hub, bin_.alias("bin"), F.explode(F.when(F.col("hub"), every).otherwise(F.array(_own()))).alias("i"))
 
 
-def _left_over(sets: DataFrame, left: DataFrame) -> DataFrame:
-    """Clusters of several blocks that have classes `left` (cluster, class), which did not reach the hub: these in parts, with all blocks of their cluster."""
-    parts = saved(left.groupBy("cluster").agg(F.ceil(F.count("*") / PART_DOCS).cast("int").alias("parts")), "parts")
-    again = sets.where("chunks > 1").select("cluster", "class", "tokens", "chunks", F.lit(False).alias("hub")).join(parts, "cluster")
-    here = again.select("cluster", "class", "tokens", "hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), _own().alias("j"))
-    over = again.join(left.select("class"), "class", "left_semi")
-    part = F.pmod(F.hash("class", F.lit(1)), F.col("parts"))
-    return here.unionByName(over.select("cluster", "class", "tokens", "hub", part.alias("i"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j")))
+def _entries(sets: DataFrame) -> DataFrame:
+    """cluster, class, n, token: a row for each shingle of each set of `sets` (cluster, class, tokens)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.append(0, np.cumsum(pc.binary_length(batch.column("tokens")).to_numpy(zero_copy_only=False) // 8))
+            lo = 0
+            while lo < len(batch):
+                hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + BLOCK_TOKENS, "right")) - 1)
+                part, n = batch.slice(lo, hi - lo), np.diff(ends[lo : hi + 1])
+                repeated = [np.repeat(x, n) for x in (part.column("cluster").to_numpy(), part.column("class").to_numpy(), n)]
+                tokens = np.frombuffer(b"".join(part.column("tokens").to_pylist()), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (*repeated, tokens)], names=["cluster", "class", "n", "token"])
+                lo = hi
+
+    return sets.select("cluster", "class", "tokens").mapInArrow(run, "cluster long, class long, n long, token long")
+
+
+def _prefixes(over: DataFrame, again: DataFrame) -> DataFrame:
+    """cluster, class, token: of each class of `over` that may link within its cluster of `again`, some shingles one of which any partner has.
+
+    A linked class has 3/4 of each partner's shingles, so a class with fewer that another one has can't link; of the others, all but
+    3/4 of its shingles and one more, the rarest of the cluster, are enough, on both sides of a link.
+    """
+    shared = _entries(again).groupBy("cluster", "token").agg(F.count("*").alias("holders")).where("holders > 1")
+    own = _entries(over).join(shared, ["cluster", "token"])
+    rarest = Window.partitionBy("class").orderBy("holders", "token")
+    own = own.withColumns({"rank": F.row_number().over(rarest), "shared": F.count("*").over(Window.partitionBy("class"))})
+    return own.where("rank <= shared - ceil(3 * n / 4) + 1").select("cluster", "class", "token")
+
+
+def _left_over(sets: DataFrame, left: DataFrame, blocks: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Clusters of several blocks that have classes `left` (cluster, class), which did not reach the hub, as (bin, i, j, cluster, class, tokens, hub) to multiply; and the two tables that this reads.
+
+    Shingles of whole sets part what is left over into clusters of their own; a class that reached the hub goes to each of these
+    that it shares such a shingle with. A cluster's left-over classes go in parts to all blocks of it.
+    """
+    # a few clusters at most, but their sets are read several times
+    again = saved(sets.where("chunks > 1").join(left.select("cluster").distinct(), "cluster", "left_semi").select("cluster", "class", "tokens"), "again")
+    prefix = saved(_prefixes(again.join(left.select("class"), "class", "left_semi"), again), "prefixes")
+    least = prefix.groupBy("cluster", "token").agg(F.min("class").alias("least"))
+    root = components(prefix.join(least, ["cluster", "token"]).select(F.col("class").alias("a"), F.col("least").alias("b")))
+    own = prefix.select("class").distinct().join(root.withColumnRenamed("node", "class"), "class", "left").select("class", F.coalesce("root", "class").alias("narrow"))
+    own = saved(own, "narrow")
+    # all left-over classes with a shingle among these are in one narrow cluster
+    of = saved(least.join(own, F.col("least") == F.col("class")).select("cluster", "token", "narrow"), "tokens")
+    marks = saved(key_marks(of.select(F.xxhash64("cluster", "token").alias("key"))), "marks")
+    reached = _entries(again.join(left.select("class"), "class", "left_anti"))
+    asked = with_mark(reached, F.xxhash64("cluster", "token"), marks, "asked").where("asked").select("cluster", "class", "token")
+    partners = asked.join(of, ["cluster", "token"]).select("class", "narrow").distinct()
+    member = own.withColumn("over", F.lit(True)).unionByName(partners.withColumn("over", F.lit(False)))
+    whole = saved(again.select("class", "tokens").join(member, "class").select(F.col("narrow").alias("cluster"), "class", "tokens", "over"), "whole")
+    size = whole.groupBy("cluster").agg(F.sum(F.length("tokens") / 8).alias("n"), F.count("*").alias("docs"), F.count_if("over").alias("lefts")).where("docs > 1")
+    chunks = F.ceil(F.greatest(F.col("n") / BLOCK_TOKENS, F.col("docs") / BLOCK_DOCS)).cast("int")
+    size = saved(size.select("cluster", chunks.alias("chunks"), F.ceil(F.col("lefts") / PART_DOCS).cast("int").alias("parts")), "parts")
+    discard(again, prefix, own, of, marks)
+    small = (F.col("chunks") == 1) & (F.col("parts") == 1)
+    bin_ = F.when(small, F.pmod(F.hash("cluster"), F.lit(4 * blocks)).cast("long")).otherwise(F.col("cluster"))
+    dealt = whole.join(size, "cluster").select("cluster", "class", "tokens", "chunks", "parts", "over", F.lit(False).alias("hub"), bin_.alias("bin"))
+    names = ["bin", "chunks", "parts", "cluster", "class", "tokens", "hub"]
+    here = dealt.select(*names, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), _own().alias("j"))
+    others = F.array_remove(F.sequence(F.lit(0), F.col("chunks") - 1), _own())
+    over = dealt.where("over").select(*names, F.pmod(F.hash("class", F.lit(1)), F.col("parts")).alias("i"), F.explode(others).alias("j"))
+    return here.unionByName(over), whole, size
 
 
 def _links(sets: DataFrame, blocks: int) -> DataFrame:
@@ -413,7 +470,10 @@ def _links(sets: DataFrame, blocks: int) -> DataFrame:
     links, left = first.where("b is not null").select("a", "b"), first.where("b is null").select("cluster", F.col("a").alias("class"))
     if left.isEmpty():
         return links
-    return links.unionByName(_left_over(sets, left).groupBy("cluster", "i", "j").applyInPandas(_product, _LINK).select("a", "b"))
+    dealt, whole, size = _left_over(sets, left, blocks)
+    second = saved(dealt.groupBy("bin", "chunks", "parts", "i", "j").applyInPandas(_product, _LINK), "links")
+    discard(whole, size)
+    return links.unionByName(second.select("a", "b"))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:

@@ -116,6 +116,25 @@ def test_a_group_of_near_copies_sends_its_sets_once(spark, monkeypatch):
     assert len(sent) == 1 and 200 <= sent[0] < 200 + 25  # its hub goes to every block, the others to one
 
 
+def test_texts_that_share_a_passage_only_are_not_multiplied(spark, monkeypatch):
+    """Candidates by half of their shingles, a few of which link: what is dealt to the products grows with the number of texts."""
+    monkeypatch.setattr(j, "BLOCK_DOCS", 10)
+    monkeypatch.setattr(j, "PART_DOCS", 20)
+    sent = []
+
+    def counted(*given, part=j._left_over):
+        out = part(*given)
+        sent.append((out[0] if isinstance(out, tuple) else out).count())
+        return out
+
+    monkeypatch.setattr(j, "_left_over", counted)
+    passage = " ".join(f"p{k}" for k in range(28))
+    texts = [passage + " " + " ".join(f"u{k}x{i}" for i in range(20)) for k in range(300)]
+    texts += [t + f" end{k}" for k, t in enumerate(texts[:10])] + near_copies(60)
+    assert got(j.jaccard_components(documents(spark, texts))) == brute(list(enumerate(texts)))
+    assert len(sent) == 1 and sent[0] < len(texts)
+
+
 def test_sets_that_share_a_key(monkeypatch):
     """Half a name may be the same by chance; here it nearly always is."""
     whole = j.class_keys
