@@ -139,14 +139,17 @@ def collate_pairs(df: DataFrame, batch: str, pad: int = 0) -> DataFrame:
     return df
 
 
-def sequence_logprob(df: DataFrame, seq: str, position: str, logits: str, label: str) -> DataFrame:
+def sequence_logprob(df: DataFrame, seq: str, position: str, logits: str, label: str, policy: str = "fail") -> DataFrame:
     """seq, logp, tokens: masked token log-probabilities summed by sequence; a position's logits are held against the next label.
 
-    Labels of the prompt are IGNORED. A sequence of one position, or without a response label after the first, raises.
+    Labels of the prompt are IGNORED. A sequence of one position, or without a response label after the first, raises, or
+    under `skip` gives no row.
     """
     after = F.lead(label).over(Window.partitionBy(seq).orderBy(position))
     df = df.select(seq, after.alias("__next"), logits).withColumn("__logp", F.when(F.col("__next") != IGNORED, token_logprob(F.col(logits), F.col("__next"))))
     out = df.groupBy(seq).agg(F.sum("__logp").alias("logp"), F.count_if(F.col("__next") != IGNORED).alias("tokens"), F.count("*").alias("__n"))
+    if policy == "skip":
+        return out.where("tokens > 0").drop("__n")
     fault = F.when(F.col("__n") < 2, "a sequence has two positions at least").when(F.col("tokens") == 0, "no response labels")
     return out.where(F.when(fault.isNull(), F.lit(True)).otherwise(F.raise_error(fault).cast("boolean"))).drop("__n")
 

@@ -720,10 +720,10 @@ def token_logprob(spark, sf_dir):
 
 @query
 def sequence_logprob(spark, sf_dir):
-    """Sequences of five positions; the labels of the first two are the prompt's."""
+    """Sequences of five positions; the labels of the first two are the prompt's. A last one that breaks off in the prompt has nothing to sum."""
     label = F.when(F.pmod("vec_id", F.lit(5)) < 2, kernels.IGNORED).otherwise(F.col("label"))
     df = v.logits(spark, sf_dir).withColumns({"seq": F.floor(F.col("vec_id") / 5).cast("long"), "label": label})
-    return rounded(token_rows.sequence_logprob(df, "seq", "vec_id", "embedding", "label"), "logp")
+    return rounded(token_rows.sequence_logprob(df, "seq", "vec_id", "embedding", "label", policy="skip"), "logp")
 
 
 @query

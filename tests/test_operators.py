@@ -365,6 +365,14 @@ def test_sequence_logprob_shifts_masks_counts_and_raises(spark):
             token_rows.sequence_logprob(frame(spark, rows + bad, schema), "s", "p", "x", "y").collect()
 
 
+def test_sequences_that_break_off_in_the_prompt_give_no_row(spark, sf_dir, tmp_path):
+    from quern.plans import queries
+
+    for n in (11, 12):
+        spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(F.col("vec_id") < n).write.parquet(f"{tmp_path}/{n}/embeddings.parquet")
+        assert sorted((r.seq, r.tokens) for r in queries.queries()["sequence_logprob"](spark, f"{tmp_path}/{n}").collect()) == [(0, 3), (1, 3)]
+
+
 def test_schedule(spark):
     out = [r[0] for r in spark.range(101).select(rates.warmup_cosine(F.col("id"), 10, 100)).collect()]
     assert out[:11] == pytest.approx([k / 10 for k in range(11)]) and out[100] == pytest.approx(0) and all(a >= b for a, b in zip(out[10:], out[11:], strict=False))
