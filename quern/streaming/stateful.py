@@ -1,4 +1,4 @@
-"""Stateful streams on `transformWithState`: count windows and deduplication with typed state, timers and a store that spills to disk.
+"""Stateful streams: count windows and deduplication on `transformWithState` with typed state and time-to-live, sessions on session windows, in a store that spills to disk.
 
 State lives in RocksDB, one store a shuffle partition, so keys need not fit in memory, and goes
 to the checkpoint with each batch: a restart goes on from there.  Keys are split into
@@ -72,62 +72,18 @@ def count_windows(events: DataFrame, key: str, value: str, order: str, size: int
     return rows.groupBy("name").transformWithStateInPandas(_CountWindows(size), schema, "append", "None").withColumnRenamed("name", key)
 
 
-class _Sessions(StatefulProcessor):
-    """An open session a key: event-time timers close it when no event came for `gap` milliseconds."""
-
-    names = ["name", "start", "end", "n", "total"]
-
-    def __init__(self, gap: int):
-        self.gap = gap
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getMapState("open", "begin long", "end long, n long, total double")
-
-    def _row(self, key: tuple, begin: int, session: tuple) -> tuple:
-        return key[0], pd.Timestamp(begin, unit="ms"), pd.Timestamp(session[0], unit="ms"), session[1], session[2]
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        held = {k[0]: v for k, v in self.open.iterator()}
-        before = dict(held)
-        for frame in rows:
-            at = frame["at"].astype("datetime64[ms]").astype("int64")
-            for t, x in sorted(zip(at.tolist(), frame["value"].tolist(), strict=True)):
-                begin, end, n, total = t, t, 1, float(x)
-                # an event may touch the session before it and the one after
-                for b in [b for b, s in held.items() if b - self.gap < t < s[0] + self.gap]:
-                    s = held.pop(b)
-                    begin, end, n, total = min(begin, b), max(end, s[0]), n + s[1], total + s[2]
-                held[begin] = (end, n, total)
-        for b, s in before.items():
-            if held.get(b) != s:
-                self.open.removeKey((b,))
-                self.handle.deleteTimer(s[0] + self.gap)
-        for b, s in held.items():
-            if before.get(b) != s:
-                self.open.updateValue((b,), s)
-            self.handle.registerTimer(s[0] + self.gap)
-        yield pd.DataFrame([], columns=self.names)
-
-    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        done = expiredTimerInfo.getExpiryTimeInMs() - self.gap
-        closed = [(k[0], v) for k, v in self.open.iterator() if v[0] <= done]
-        for b, _ in closed:
-            self.open.removeKey((b,))
-        yield pd.DataFrame([self._row(key, b, s) for b, s in closed], columns=self.names)
-
-    def close(self) -> None:
-        pass
-
-
 def sessions(events: DataFrame, key: str, ts: str, value: str, gap_ms: int, late: str = "1 hour") -> DataFrame:
     """key, start, end, n, total: events of a key less than `gap_ms` apart, given out when event time has passed the gap.
 
-    An event that joins two sessions makes them one. Events behind the watermark are dropped before they reach the state.
+    Times are whole milliseconds. An event that joins two sessions makes them one. An event is dropped as late when the
+    watermark is `gap_ms` or more beyond it: the session that it would be alone is over. One without a time is in no session.
     """
-    df = events.select(F.col(key).alias("name"), F.col(ts).cast("timestamp").alias("at"), F.col(value).alias("value")).withWatermark("at", late)
-    schema = f"name {_type(events, key)}, start timestamp, end timestamp, n long, total double"
-    return df.groupBy("name").transformWithStateInPandas(_Sessions(gap_ms), schema, "append", "EventTime").withColumnRenamed("name", key)
+    # times that are exactly the gap apart are in two sessions, whichever side a window's end belongs to
+    gap = f"{gap_ms * 1000 - 1} microseconds"
+    at = F.date_trunc("millisecond", F.col(ts).cast("timestamp"))
+    df = events.select(F.col(key).alias("name"), at.alias("at"), F.col(value).cast("double").alias("value")).withWatermark("at", late)
+    by = df.groupBy("name", F.session_window("at", gap).alias("w")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return by.select(F.col("name").alias(key), F.col("w.start").alias("start"), (F.col("w.end") - F.expr(f"interval {gap}")).alias("end"), "n", "total")
 
 
 class _FirstOfKey(StatefulProcessor):

@@ -57,6 +57,26 @@ def test_sessions_close_by_timer_merge_and_drop_late_rows(spark, tmp_path):
     assert got == {("a", minute(0), minute(16), 3, 11.0), ("b", minute(3), minute(3), 1, 4.0), ("c", minute(500), minute(500), 1, 1.0)}
 
 
+def test_sessions_at_the_gap_and_without_a_call_for_each_key(spark, tmp_path):
+    gap = 10 * 60_000
+    ms = lambda m, x: minute(m) + dt.timedelta(microseconds=x)
+    # the gap exactly, a millisecond less, and a part of a millisecond less, which does not count
+    rows = [(0, "a", minute(0), 1.0), (1, "a", minute(10), 2.0), (2, "b", minute(0), 1.0), (3, "b", ms(10, -1000), 2.0), (4, "c", ms(0, 900), 1.0), (5, "c", ms(10, 100), 2.0), (6, None, minute(1), 3.0)]
+    put(spark, tmp_path / "in", 0, rows)
+    # the watermark is a millisecond short of the end of d, then on it
+    put(spark, tmp_path / "in", 1, [(7, "d", minute(490), 4.0), (8, "e", ms(530, -1000), 1.0)])
+    df = stateful.sessions(source(spark, tmp_path / "in"), "k", "t", "x", gap, "30 minutes")
+    assert "Pandas" not in df._jdf.queryExecution().toString()
+    run = lambda: ledger.run_available(df, f"{tmp_path}/out", f"{tmp_path}/state")
+    run()
+    got = lambda: sorted(((r.k, r.start, r.end, r.n, r.total) for r in spark.read.parquet(f"{tmp_path}/out").collect()), key=str)
+    early = [("a", minute(0), minute(0), 1, 1.0), ("a", minute(10), minute(10), 1, 2.0), ("b", minute(0), ms(10, -1000), 2, 3.0), ("c", minute(0), minute(0), 1, 1.0), ("c", minute(10), minute(10), 1, 2.0), (None, minute(1), minute(1), 1, 3.0)]
+    assert got() == sorted(early, key=str)
+    put(spark, tmp_path / "in", 2, [(9, "e", minute(530), 1.0)])
+    run()
+    assert got() == sorted([*early, ("d", minute(490), minute(490), 1, 4.0)], key=str)
+
+
 def test_requests_pass_once_across_batches_and_restarts(spark, tmp_path):
     rows = [(i, None if i % 6 == 5 else f"k{i % 6}", minute(i), float(i % 2)) for i in range(60)]
     for n, part in enumerate((rows[30:], rows[:30], rows)):
