@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.functions import answers, scoring
+from quern.functions import answers
 
 #: numbers and bullets before a step
 _MARK = r"(?i)^\s*(?:(?:step\s*)?\d+\s*[:.)]|[-*•])\s+"
@@ -51,9 +51,18 @@ def step_words(step: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(step), r"[^\p{L}\p{N}.%$-]+", " "))
 
 
+def _spelled(number: Column) -> Column:
+    """One spelling of each number of the form that `answers.last_number` gives: no outer zeros, no point at the end, no sign of zero."""
+    digits = F.ltrim(F.replace(number, F.lit("-"), F.lit("")), F.lit("0"))
+    short = answers.let(digits, lambda x: F.when(x.contains("."), F.rtrim(F.rtrim(x, F.lit("0")), F.lit("."))).otherwise(x))
+    return answers.let(short, lambda x: F.when(x == "", "0").when(number.startswith("-"), F.concat(F.lit("-"), x)).otherwise(x))
+
+
 def step_key(step: Column) -> Column:
     """What a step comes to: its last number in one spelling, else its words."""
-    return F.coalesce(F.concat(F.lit("="), scoring.canonical(answers.last_number(step))), step_words(step))
+    # the general spelling of `scoring` allows for signs, exponents and digits that such a number can't have, at several times the cost
+    number = answers.let(answers.last_number(step), lambda x: F.when(x.isNotNull(), F.concat(F.lit("="), _spelled(x))))
+    return F.coalesce(number, step_words(step))
 
 
 class _Pairs:
@@ -205,16 +214,17 @@ def _aligned(band: int):
     return run
 
 
-def align(df: DataFrame, gold: str = "gold_chain", response: str = "response_chain", band: int = BAND) -> DataFrame:
+def align(df: DataFrame, gold: str = "gold_chain", response: str = "response_chain", band: int = BAND, keep: Sequence[str] | None = None) -> DataFrame:
     """`df` with n_gold, n_response, matched, reworded, missing, extra, gold_places, response_places and first_missing.
 
     The two lists of places, from 0, say which steps match; first_missing is the first step of the reference without a
-    match, null if there is none. Columns of `df` that have a result's name are left out.
+    match, null if there is none. Columns of `df` that have a result's name are left out, and those not in `keep` if that is
+    given, so that texts nobody asks for don't pass through Python.
     """
     if band < 0:
         raise ValueError("a band has no negative width")
     keyed = lambda text: F.transform(steps(F.col(text)), lambda x: F.struct(step_key(x).alias("key"), step_words(x).alias("words")))
-    keep = [c for c in df.columns if c not in RESULTS]
+    keep = [c for c in df.columns if c not in RESULTS and (keep is None or c in keep)]
     made = df.select(F.struct(*keep).alias("all"), keyed(gold).alias("gold"), keyed(response).alias("response"))
     schema = T.StructType([made.schema["all"], *T._parse_datatype_string(_RESULT).fields])
     out = made.mapInArrow(_aligned(band), schema)

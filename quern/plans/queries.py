@@ -35,7 +35,7 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 @query
 def chain_alignment(spark, sf_dir):
-    out = chains.align(v.chain_pairs(spark, sf_dir))
+    out = chains.align(v.chain_pairs(spark, sf_dir), keep=["chain_id"])
     return out.select("chain_id", *[F.col(c).cast("long").alias(c) for c in ("n_gold", "n_response", "matched", "reworded", "missing", "extra")])
 
 

@@ -1,5 +1,6 @@
 import functools
 import random
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -98,6 +99,25 @@ def test_steps_keys_and_words(spark):
     assert same.a == same.b != same.c
 
 
+def test_steps_that_come_to_equal_numbers_have_one_key(spark):
+    forms = ["5", "05", "5.0", "005.00", "50", "0.5", "00.50", "-5.0", "-05", "0", "-0.00", "000", "5.05", "500", "0.05", "1" + "0" * 60, "1" + "0" * 60 + ".0"]
+    df = spark.createDataFrame([(f"it is {x}",) for x in forms], "x string").select("x", chains.step_key(F.col("x")).alias("k"))
+    keys = {r.x.removeprefix("it is "): r.k for r in df.collect()}
+    for a in forms:
+        for b in forms:
+            assert (keys[a] == keys[b]) == (Decimal(a) == Decimal(b)), (a, b)
+    assert all(k.startswith("=") for k in keys.values())
+    # what makes it cheap: one regular expression a step, none of them to spell a number
+    plan = spark.range(1).select(chains.step_key(F.concat(F.lit("a"), F.col("id").cast("string"))).alias("k"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_") <= 2
+
+
+def test_only_kept_columns_pass(spark):
+    df = spark.createDataFrame([(1, "a = 1", "a = 1", "x")], "id int, gold_chain string, response_chain string, more string")
+    assert chains.align(df, keep=["id"]).columns == ["id", *chains.RESULTS]
+    assert chains.align(df, keep=["id"]).first().matched == 1
+
+
 def test_align_counts_ties_and_odd_rows(spark):
     rows = [
         (1, "Step 1: a = 2\nStep 2: b = 3\nStep 3: c = 5", "Step 1: a = 2\nStep 2: we get 3.0\nnow 5\nso 5"),
