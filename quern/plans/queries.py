@@ -41,7 +41,7 @@ def chain_alignment(spark, sf_dir):
 
 @query
 def chain_step_report(spark, sf_dir):
-    out = chains.align(v.chain_pairs(spark, sf_dir)).withColumn("reversed", F.col("chain_id") % 4 == 0)
+    out = chains.align(v.chain_pairs(spark, sf_dir), keep=["chain_id"]).withColumn("reversed", F.col("chain_id") % 4 == 0)
     return rounded(chains.chain_report(out, ["reversed"]), "step_recall", "step_precision")
 
 
