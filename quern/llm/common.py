@@ -58,10 +58,20 @@ def key_marks(keys: DataFrame) -> DataFrame:
     return pages.select("page", F.transform(F.sequence(F.lit(0), F.lit(PAGE - 1)), lambda i: F.coalesce(F.try_element_at("known", i), F.lit(0).cast("long"))).alias("words"))
 
 
+def _marked(words: str) -> Column:
+    return F.expr(f"(shiftright(get({words}, word), bit) & 1) = 1")
+
+
 def with_mark(df: DataFrame, key: Column, marks: DataFrame, name: str) -> DataFrame:
     """`df` with a flag whether the class of `key` is marked: true for every key that is wanted, and for some others.
 
     The marks have a fixed size at most, so they are broadcast, and rows that can't be wanted need not be shuffled to find out.
     """
     df = df.select("*", *_place(key)).join(F.broadcast(marks), "page", "left")
-    return df.withColumn(name, F.coalesce(F.expr("(shiftright(get(words, word), bit) & 1) = 1"), F.lit(False))).drop("page", "word", "bit", "words")
+    return df.withColumn(name, F.coalesce(_marked("words"), F.lit(False))).drop("page", "word", "bit", "words")
+
+
+def only_marked(df: DataFrame, key: Column, marks: DataFrame) -> DataFrame:
+    """The rows of `df` that :func:`with_mark` flags; the join itself drops the others."""
+    known = F.broadcast(marks.select(F.col("page").alias("known_page"), F.col("words").alias("known_words")))
+    return df.select("*", *_place(key)).join(known, (F.col("page") == F.col("known_page")) & _marked("known_words"), "left_semi").drop("page", "word", "bit")

@@ -51,7 +51,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm import wordscan as ws
-from quern.llm.common import BLOCK_BYTES, discard, key_marks, partitions, saved, with_mark
+from quern.llm.common import BLOCK_BYTES, discard, key_marks, only_marked, partitions, saved
 from quern.llm.graph import components
 
 SHINGLE = 5
@@ -446,7 +446,7 @@ def _left_over(sets: DataFrame, left: DataFrame, blocks: int) -> tuple[DataFrame
     of = saved(least.join(own, F.col("least") == F.col("class")).select("cluster", "token", "narrow"), "tokens")
     marks = saved(key_marks(of.select(F.xxhash64("cluster", "token").alias("key"))), "marks")
     reached = _entries(again.join(left.select("class"), "class", "left_anti"))
-    asked = with_mark(reached, F.xxhash64("cluster", "token"), marks, "asked").where("asked").select("cluster", "class", "token")
+    asked = only_marked(reached, F.xxhash64("cluster", "token"), marks).select("cluster", "class", "token")
     partners = asked.join(of, ["cluster", "token"]).select("class", "narrow").distinct()
     member = own.withColumn("over", F.lit(True)).unionByName(partners.withColumn("over", F.lit(False)))
     whole = saved(again.select("class", "tokens").join(member, "class").select(F.col("narrow").alias("cluster"), "class", "tokens", "over"), "whole")
@@ -500,7 +500,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     rep = saved(rep.join(size, "cluster").selectExpr("cluster", "class", "chunks", "class = top hub", "other", "wanted", "marked"), "wanted")
     # a text that no class asks for is not shuffled to find that out, but for some that share a mark's class
     marks = saved(key_marks(rep.select(F.xxhash64("wanted", "marked").alias("key"))), "marks")
-    asked = with_mark(docs, F.xxhash64("doc_id", "mark"), marks, "asked").where("asked")
+    asked = only_marked(docs, F.xxhash64("doc_id", "mark"), marks)
     texts = asked.join(rep.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("wanted")) & (F.col("mark") == F.col("marked")))
     sets = texts.select("cluster", "class", "chunks", "hub", "other", "text").mapInArrow(_sets_of, "cluster long, class long, chunks int, hub boolean, tokens binary")
     sets = saved(sets.dropDuplicates(["class"]), "sets")

@@ -72,6 +72,13 @@ def test_shared_lengths_and_heads(spark):
     assert {r.k: r.may for r in common.with_mark(asked, F.col("k"), marks, "may").collect()} == {10: True, 11: False, -1: True, 70: True, None: False}
 
 
+def test_only_marked_rows_are_those_with_a_mark(spark):
+    marks = common.key_marks(spark.createDataFrame([(10,), (15,), (-1,)], "key long"))
+    asked = spark.createDataFrame([(10,), (11,), (-1,), (common.KEY_CLASSES + 15,), (10,), (None,)], "k long")
+    out = common.only_marked(asked, F.col("k"), marks)
+    assert out.columns == ["k"] and sorted(r.k for r in out.collect()) == [-1, 10, 10, common.KEY_CLASSES + 15]
+
+
 def test_nulls_ties_and_repeated_rows(spark):
     texts = ["a b", "ab ", None, "", "  ", "same", "same", "same", "n", "n"]
     ids = [7, 3, 5, 4, 9, 1, 1, 1, None, None]

@@ -135,6 +135,34 @@ def test_texts_that_share_a_passage_only_are_not_multiplied(spark, monkeypatch):
     assert len(sent) == 1 and sent[0] < len(texts)
 
 
+def rows_made(spark, since, columns):
+    """Rows that joins on one of these columns have made, by the executions after the first `since`."""
+    store, total = spark._jsparkSession.sharedState().statusStore(), 0
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    for k in range(since, store.executionsCount()):
+        execution = store.executionsList(k, 1).head().executionId()
+        nodes, values = store.planGraph(execution).allNodes(), store.executionMetrics(execution)
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if "Join" in node.name() and any(f"[{c}#" in node.desc() for c in columns):
+                for metric in (node.metrics().apply(i) for i in range(node.metrics().size())):
+                    if metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                        total += int(values.apply(metric.accumulatorId()).replace(",", ""))
+    return total
+
+
+@pytest.mark.parametrize("n", [100, 200])
+def test_shingles_that_nothing_left_over_has_leave_no_join(spark, monkeypatch, n):
+    """Near copies, and near copies of a text that shares 4/5 of theirs: the first reach the hub, the second do not and ask for a few shingles."""
+    monkeypatch.setattr(j, "BLOCK_DOCS", 50)
+    since = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    texts = near_copies(n)
+    apart = " ".join(["far"] + [f"f{k}" for k in range(39)])
+    texts += [apart + " " + " ".join(t.split(" ")[40:]) for t in near_copies(n)[: n // 40]]
+    assert got(j.jaccard_components(documents(spark, texts))) == brute(list(enumerate(texts)))
+    made = rows_made(spark, since, ("page", "known_page"))
+    assert 0 < made < 20 * len(texts)  # of nearly 200 shingles each
+
+
 def test_sets_that_share_a_key(monkeypatch):
     """Half a name may be the same by chance; here it nearly always is."""
     whole = j.class_keys
